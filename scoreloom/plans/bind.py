@@ -173,6 +173,31 @@ VIEWS: dict[str, str] = {
           CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey % 9 AS STRING) WHEN 1 THEN '2.5 m' WHEN 2 THEN 'b' WHEN 3 THEN 'It is (C)' ELSE 'A or B' END AS typed,
           CASE o_custkey % 3 WHEN 0 THEN 'float' WHEN 1 THEN 'multiple choice' ELSE 'text' END AS typed_kind
         FROM {orders}""",
+    # open answers with several references, `|` between them
+    "multi": """
+        SELECT l_orderkey AS run, l_linenumber AS line, l_quantity AS amount,
+               CASE l_orderkey % 8 WHEN 0 THEN 'The ' || CAST(l_linenumber AS STRING) || ' cups.' WHEN 1 THEN 'Two cups'
+                    WHEN 2 THEN CAST(l_quantity AS STRING) WHEN 3 THEN CAST(l_linenumber AS STRING) || '%' WHEN 4 THEN 'Yes.'
+                    WHEN 5 THEN ' 24 cups, dont' WHEN 6 THEN '' ELSE 'a RED  cup' END AS prediction,
+               CASE l_partkey % 6 WHEN 0 THEN 'yes|yes|yes|no' WHEN 1 THEN '2 cups|two cups|24|' || CAST(l_linenumber AS STRING) || ' cups'
+                    WHEN 2 THEN 'red cup' WHEN 3 THEN CAST(l_linenumber AS STRING) || '%|25' WHEN 4 THEN '24|25|26' ELSE 'the red cups|Yes|two cups|no' END AS answers,
+               l_returnflag AS kind, l_linestatus AS split
+        FROM {lineitem}""",
+    # typed answers over documents
+    "docqa": """
+        SELECT l_orderkey AS run, l_partkey AS pid, l_linenumber AS line,
+               CASE l_partkey % 5 WHEN 0 THEN 'Int' WHEN 1 THEN 'Float' WHEN 2 THEN 'Str' WHEN 3 THEN 'List' ELSE 'None' END AS kind,
+               CASE l_partkey % 5 WHEN 0 THEN CAST(l_linenumber AS STRING) WHEN 1 THEN CAST(l_discount AS STRING) || '%'
+                    WHEN 2 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'page ' || CAST(l_linenumber AS STRING) ELSE 'The Red Cup (big)' END
+                    WHEN 3 THEN '[' || chr(39) || 'red' || chr(39) || ', ' || chr(39) || 'cup' || CAST(l_linenumber AS STRING) || chr(39) || ']'
+                    ELSE 'Not answerable' END AS truth,
+               CASE l_partkey % 5 WHEN 0 THEN CAST(l_orderkey % 5 AS STRING) || '.0' WHEN 1 THEN CAST(l_tax * 100 AS STRING)
+                    WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'page ' || CAST(l_linenumber AS STRING) ELSE 'the red cap' END
+                    WHEN 3 THEN CASE WHEN l_suppkey % 3 = 0 THEN '[' || chr(39) || 'cup' || CAST(1 + l_suppkey % 7 AS STRING) || chr(39) || ', ' || chr(39) || 'red' || chr(39) || ']' ELSE 'red' END
+                    ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'Not answerable' ELSE 'red' END END AS prediction,
+               CASE l_suppkey % 4 WHEN 0 THEN 'Chart' WHEN 1 THEN 'Table,Figure' WHEN 2 THEN 'Text' ELSE 'Chart,Text' END AS sources,
+               l_linenumber % 4 AS pages
+        FROM {lineitem}""",
     # JSON fields
     "fields": """
         SELECT event_id AS id, user_id, event_type AS task, props, value, SECS(ts) AS secs
