@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoreloom.functions.text import clean_doc_string, normalise_answer, words
+from scoreloom.functions.text import bound, clean_doc_string, normalise_answer, words
 
 
 def as_float(s: Column) -> Column:
@@ -36,18 +36,20 @@ def exact_hit(prediction: Column, answer: Column) -> Column:
 
 def vqa_score(prediction: Column, answers: Column) -> Column:
     """Mean over references of min(1, other references equal to the prediction / 3)."""
-    pred, refs = normalise_answer(prediction), F.transform(answers, normalise_answer)
-    equal = F.transform(refs, lambda r: flag(r == pred))
-    hits = sum_of(equal)
-    return mean_of(F.transform(equal, lambda e: F.least(F.lit(1.0), (hits - e) / 3.0)))
+
+    def score(equal: Column) -> Column:
+        others = lambda hits: mean_of(F.transform(equal, lambda e: F.least(F.lit(1.0), (hits - e) / 3.0)))
+        return bound(sum_of(equal), others)
+
+    equal = lambda pred: F.transform(answers, lambda a: flag(normalise_answer(a) == pred))
+    return bound(bound(normalise_answer(prediction), equal), score)
 
 
 def any_equal(prediction: Column, answers: Column, normalise: bool = True, how: str = "max") -> Column:
     """Equality with each reference after normalisation or plain lower/trim; max or mean."""
     clean = normalise_answer if normalise else lambda s: F.lower(F.trim(s))
-    pred = clean(prediction)
-    hits = F.transform(answers, lambda r: flag(clean(r) == pred))
-    return F.array_max(hits) if how == "max" else mean_of(hits)
+    hits = bound(clean(prediction), lambda pred: F.transform(answers, lambda r: flag(clean(r) == pred)))
+    return F.array_max(hits) if how == "max" else bound(hits, mean_of)
 
 
 def relaxed_accuracy(prediction: Column, answers: Column, tolerance: float = 0.05, legacy: bool = True) -> Column:
@@ -74,17 +76,15 @@ def relaxed_accuracy(prediction: Column, answers: Column, tolerance: float = 0.0
 def anls(prediction: Column, answers: Column, threshold: float = 0.5) -> Column:
     """1 - smallest edit distance over the longer *raw* length; 0 below the threshold."""
     squeeze = lambda s: F.array_join(words(F.lower(s)), " ")
-    pred = squeeze(prediction)
-    costs = F.transform(answers, lambda r: F.coalesce(
-        F.try_divide(F.levenshtein(squeeze(r), pred), F.greatest(F.length(r), F.length(prediction))), F.lit(0.0)))
-    value = 1.0 - F.array_min(costs)
-    return F.when(value < threshold, 0.0).otherwise(value)
+    costs = bound(squeeze(prediction), lambda pred: F.transform(answers, lambda r: F.coalesce(
+        F.try_divide(F.levenshtein(squeeze(r), pred), F.greatest(F.length(r), F.length(prediction))), F.lit(0.0))))
+    return bound(1.0 - F.array_min(costs), lambda v: F.when(v < threshold, 0.0).otherwise(v))
 
 
 def anls_doc(truth: Column, prediction: Column, threshold: float = 0.5) -> Column:
     longest = F.greatest(F.length(truth), F.length(prediction))
     value = 1.0 - F.coalesce(F.try_divide(F.levenshtein(truth, prediction), longest), F.lit(0.0))
-    return F.when(value <= threshold, 0.0).otherwise(value)
+    return bound(value, lambda v: F.when(v <= threshold, 0.0).otherwise(v))
 
 
 def float_equal(reference: Column, prediction: Column) -> Column:
@@ -119,7 +119,7 @@ def typed_doc_score(truth: Column, prediction: Column, kind: Column, parse_list)
     exact = ts[0].rlike(EXACT_SHAPES) | as_float(ts[0]).isNotNull()
     listed = F.when(F.size(ts) != F.size(ps), 0.0).when(
         exact, flag(F.array_join(ts, "-") == F.array_join(ps, "-"))
-    ).otherwise(F.array_min(F.zip_with(ts, ps, anls_doc)))
+    ).otherwise(F.array_min(F.zip_with(ts, ps, lambda a, b: anls_doc(a, b))))
     return (
         F.when(kind == "Int", flag(integer)).when(kind == "Float", flag(number)).when(kind == "Str", text).otherwise(listed)
     )
@@ -147,10 +147,9 @@ def contains_answer(prediction: Column, answers: Column, drop: str = "") -> Colu
 
 def reciprocal_rank(prediction: Column, answers: Column) -> Column:
     """1 / position of the first reference standing as whole words in the reply, else 0."""
-    text = F.concat(F.lit(" "), F.regexp_replace(normalise_answer(prediction), r"\W", " "), F.lit(" "))
     whole = lambda a: F.concat(F.lit(" "), F.regexp_replace(normalise_answer(a), r"\W", " "), F.lit(" "))
-    spot = F.array_position(F.transform(answers, lambda a: F.contains(text, whole(a))), F.lit(True))
-    return F.when(spot > 0, 1.0 / spot).otherwise(0.0)
+    inside = lambda text: F.array_position(F.transform(answers, lambda a: F.contains(text, whole(a))), F.lit(True))
+    return bound(bound(whole(prediction), inside), lambda spot: F.when(spot > 0, 1.0 / spot).otherwise(0.0))
 
 
 def string_exact(response: Column, answer: Column) -> Column:
@@ -182,8 +181,7 @@ def near_match(a: Column, b: Column, cutoff: float = 0.9) -> Column:
     """Edit similarity without articles and accents; zero below the cutoff."""
     accents, plain = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
     fold = lambda s: F.translate(F.regexp_replace(F.lower(s), r"\b(a|an|the)\b\s*", ""), accents, plain)
-    value = edit_similarity(fold(a), fold(b))
-    return F.when(value >= cutoff, value).otherwise(0.0)
+    return bound(edit_similarity(fold(a), fold(b)), lambda v: F.when(v >= cutoff, v).otherwise(0.0))
 
 
 # -- numbers -----------------------------------------------------------------------------------
@@ -307,7 +305,7 @@ def point_hit(x: Column, y: Column, b: Column, width: Column, height: Column) ->
 def best_match_iou(predictions: Column, truths: Column) -> Column:
     """Mean over predicted boxes of the best IoU with any target; 0 for none."""
     best = F.transform(predictions, lambda p: F.coalesce(F.array_max(F.transform(truths, lambda g: box_iou(p, g))), F.lit(0.0)))
-    return F.coalesce(mean_of(best), F.lit(0.0))
+    return F.coalesce(bound(best, mean_of), F.lit(0.0))
 
 
 def positionwise_iou(predictions: Column, truths: Column) -> Column:
@@ -471,9 +469,12 @@ def merge_spans(spans: Column) -> Column:
 
 def interval_iou(a: Column, b: Column) -> Column:
     """Overlap of the merged spans over the length of their union."""
-    a, b = merge_spans(a), merge_spans(b)
     length = lambda spans: sum_of(F.transform(spans, lambda s: s["end"] - s["start"]))
-    shared = sum_of(F.transform(a, lambda x: sum_of(F.transform(b, lambda y: F.greatest(
-        F.lit(0.0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))))))
-    union = length(a) + length(b) - shared
-    return F.when(union > 0, shared / union).otherwise(0.0)
+
+    def score(sides: Column) -> Column:
+        shared = sum_of(F.transform(sides["a"], lambda x: sum_of(F.transform(sides["b"], lambda y: F.greatest(
+            F.lit(0.0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))))))
+        total = length(sides["a"]) + length(sides["b"])
+        return bound(shared, lambda s: F.when(total - s > 0, s / (total - s)).otherwise(0.0))
+
+    return bound(F.struct(merge_spans(a).alias("a"), merge_spans(b).alias("b")), score)

@@ -16,6 +16,11 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, where an expression needs it several times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(s: Column) -> Column:
     """Whitespace-separated words without empty ones."""
     return F.filter(F.split(s, r"\s+"), lambda w: w != "")
@@ -26,8 +31,10 @@ def strip_punctuation(s: Column) -> Column:
     grouped_digits = s.rlike(r"\d,\d")
 
     def one(out: Column, mark: str) -> Column:
-        delete = grouped_digits | s.contains(mark + " ") | s.contains(" " + mark)
-        return F.replace(out, F.lit(mark), F.when(delete, "").otherwise(" "))
+        touches = s.contains(mark + " ") | s.contains(" " + mark)
+        # the first branch skips the digit test for marks that do not occur
+        put = F.when(~s.contains(mark), " ").when(touches | grouped_digits, "").otherwise(" ")
+        return F.replace(out, F.lit(mark), put)
 
     out = reduce(one, fixed.PUNCTUATION, s)
     return F.regexp_replace(out, r"(?<!\d)\.(?!\d)", "")

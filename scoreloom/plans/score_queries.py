@@ -21,7 +21,8 @@ def answer_tally(t, **scores):
 
 
 def answer_sql(**scores):
-    return tally_sql("@multi", "prediction", answers="answers", **{k: f"round(CAST({v} AS DOUBLE), 6)" for k, v in scores.items()})
+    cols = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in scores.items())
+    return f"SELECT prediction AS reply, answers, {cols}, n FROM (SELECT prediction, answers, count(*) AS n FROM @multi GROUP BY ALL)"
 
 
 def norm(s):
@@ -42,8 +43,9 @@ _HITS = f"len(list_filter(refs, lambda r: r = pred))"
 
 @query("d2_vqa_score", f"""
     SELECT prediction AS reply, answers, round(list_sum(list_transform(refs, lambda r:
-        least(1e0, ({_HITS} - CASE WHEN r = pred THEN 1 ELSE 0 END) / 3e0))) / len(refs), 6) AS score, count(*) AS n
-    FROM (SELECT prediction, answers, {norm('prediction')} AS pred, {_REFS} AS refs FROM @multi) GROUP BY ALL""")
+        least(1e0, ({_HITS} - CASE WHEN r = pred THEN 1 ELSE 0 END) / 3e0))) / len(refs), 6) AS score, n
+    FROM (SELECT prediction, answers, n, {norm('prediction')} AS pred, {_REFS} AS refs
+          FROM (SELECT prediction, answers, count(*) AS n FROM @multi GROUP BY ALL))""")
 def _(t):
     return answer_tally(t, score=sc.vqa_score(F.col("prediction"), ANSWERS))
 
