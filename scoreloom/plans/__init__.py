@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text_queries", "extract_queries", "score_queries"]
+_MODULES = ["text_queries", "extract_queries", "score_queries", "report_queries"]
 
 
 def _load():
