@@ -138,18 +138,17 @@ def place_spans_among_frames(frames: DataFrame, spans: DataFrame, key: str, time
     at = frames.select(key, F.col(time).alias("_time"), F.floor(F.col(time) / width).alias("_slice")).distinct()
     kept = cut.join(at, [key, "_slice"]).filter((F.col("_from") < F.col("_time")) & (F.col("_time") < F.col("_to"))).select(
         key, text, "_at").distinct()
-    events = frames.select(key, F.col(time).cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias(text)).unionByName(
-        kept.select(key, F.col("_at").alias("at"), F.lit(1).alias("kind"), text))
-    whole = events.withColumn("_second", F.floor("at"))
-    return with_position(whole, "_second", "position", [key], ["at", "kind", text], width).drop("_second")
+    events = frames.select(key, F.col(time).cast("double").alias("seconds"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias(text)).unionByName(
+        kept.select(key, F.col("_at").alias("seconds"), F.lit(1).alias("kind"), text))
+    whole = events.withColumn("_second", F.floor("seconds"))
+    return with_position(whole, "_second", "position", [key], ["seconds", "kind", text], width).drop("_second")
 
 
 def step_chain_join(df: DataFrame, key: str, step: str, steps: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Rows of all steps side by side per id, columns suffixed by step; ids lacking a step dropped."""
+    """Rows of all steps side by side per id that has the first step; missing steps are null."""
     aggs = [F.max(F.when(F.col(step) == s, F.col(v))).alias(f"{v}_{s}") for s in steps for v in values]
-    seen = [F.max(F.when(F.col(step) == s, 1)).alias(f"_has_{s}") for s in steps]
-    wide = df.groupBy(key).agg(*aggs, *seen).dropna(subset=[f"_has_{s}" for s in steps])
-    return wide.drop(*[f"_has_{s}" for s in steps])
+    wide = df.groupBy(key).agg(*aggs, F.max(F.when(F.col(step) == steps[0], 1)).alias("_first"))
+    return wide.filter(F.col("_first") == 1).drop("_first")
 
 
 def taxonomy_join(scores: DataFrame, nodes: DataFrame, leaf: str, root: str, value: str) -> DataFrame:
@@ -178,11 +177,14 @@ def undone(items: DataFrame, results: DataFrame, key: str, failed: Column | None
     return items.join(done.select(key), key, "left_anti")
 
 
-def missing_matrix(models: DataFrame, datasets: DataFrame, runs: DataFrame, halves: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """(model, dataset) pairs without a run; a dataset also counts as run when all its halves are."""
+def missing_matrix(
+    runs: DataFrame, models: Sequence[str], datasets: Sequence[str], halves: dict[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """(model, dataset) pairs of the two lists without a run; all halves of a dataset count as the whole."""
     done = runs.select("model", "dataset").distinct()
     for whole, parts in (halves or {}).items():
         both = done.filter(F.col("dataset").isin(list(parts))).groupBy("model").agg(F.count("*").alias("n"))
         done = done.unionByName(both.filter(F.col("n") == len(parts)).select("model", F.lit(whole).alias("dataset")))
-    wanted = models.select("model", F.lit(1).alias("_one")).join(datasets.select("dataset", F.lit(1).alias("_one")), "_one").drop("_one")
+    names = runs.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    wanted = names.select("model", F.explode(F.array(*map(F.lit, datasets))).alias("dataset"))
     return wanted.join(done, ["model", "dataset"], "left_anti")

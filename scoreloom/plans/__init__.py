@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["text_queries", "extract_queries", "score_queries", "report_queries"]
+_MODULES = [
+    "text_queries", "extract_queries", "score_queries", "report_queries", "join_queries", "consistency_queries",
+    "crossmodel_queries",
+]
 
 
 def _load():
