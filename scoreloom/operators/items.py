@@ -58,3 +58,119 @@ def split_on_image_tags(
         *keys, turn, "segment", "part",
         F.when(F.col("segment") > 0, F.col("_base") + F.col("segment") - 1).alias("image"),
     )
+
+
+def of_question_type(df: DataFrame, kind: str, column: str = "question_type") -> DataFrame:
+    """Rows of one question type; all rows when the table has no such column."""
+    return df.filter(F.col(column) == kind) if column in df.columns else df
+
+
+def resolve_shared_payload(df: DataFrame, payload: str, index: str = "index", longest: int = 64) -> DataFrame:
+    """Short payloads name the row that owns the payload; ``payload_error`` marks broken references.
+
+    Only the referring rows take part in the join, the owners pass through.
+    """
+    refers = F.length(payload) <= longest
+    owners = df.filter(~refers).select(F.col(index).cast("string").alias("_ref"), F.col(payload).alias("_owned"))
+    short = df.filter(refers).withColumn("_ref", F.col(payload)).join(owners, "_ref", "left")
+    resolved = short.withColumn("payload_error", F.when(F.col("_owned").isNull(), "unknown owner"))
+    resolved = resolved.withColumn(payload, F.coalesce("_owned", payload)).drop("_ref", "_owned")
+    kept = df.filter(F.coalesce(~refers, F.lit(True))).withColumn("payload_error", F.lit(None).cast("string"))
+    return kept.unionByName(resolved)
+
+
+def payload_fanout(df: DataFrame, payloads: str, path: str, index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """(files, items): one row per payload with its path, and the items holding only the paths.
+
+    A single payload keeps the path; several get ``path_0 .. path_n``.
+    """
+    named = lambda path_, n, i: F.when(n > 1, F.concat(path_, F.lit("_"), i.cast("string"))).otherwise(path_)
+    files = df.select(index, path, F.size(payloads).alias("_n"), F.posexplode(payloads).alias("pos", "payload")).select(
+        index, "pos", named(F.col(path), F.col("_n"), F.col("pos")).alias("path"), F.unbase64("payload").alias("content"))
+    paths = F.transform(F.col(payloads), lambda _, i: named(F.col(path), F.size(payloads), i))
+    return files, df.withColumn("paths", paths).drop(payloads)
+
+
+def submission_export(df: DataFrame, key: str = "index", labels: Sequence[str] = "ABCD") -> DataFrame:
+    """Choice rows export the inferred letter, open rows the raw reply."""
+    from scoreloom.functions.extract import infer
+
+    inferred = infer(F.col("prediction"), item_options(labels))
+    return df.select(key, F.when(F.col("A").isNotNull(), inferred).otherwise(F.col("prediction")).alias("value"))
+
+
+def shuffle_two_options(df: DataFrame, first: str, second: str, coin: Column) -> DataFrame:
+    """Put two texts in A / B by a coin; ``answer`` is the place of the second one."""
+    heads = coin == 1
+    return df.withColumns({
+        "A": F.when(heads, F.col(first)).otherwise(F.col(second)), "B": F.when(heads, F.col(second)).otherwise(F.col(first)),
+        "answer": F.when(heads, "B").otherwise("A")}).drop(first, second)
+
+
+def organise_tasks(df: DataFrame, task: str, order: str, description: str, query: Column, size: int = 512, tie: Sequence[str] = ()) -> DataFrame:
+    """Flat rows as task objects holding lists of queries.
+
+    A task's list is cut into parts of ``size`` queries, so no task is gathered in one place.
+    """
+    placed = with_position(df, order, "_pos", [task], tie)
+    packed = placed.groupBy(task, F.floor(F.col("_pos") / size).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("position"), query.alias("query")))).alias("queries"))
+    described = df.groupBy(task).agg(F.min(description).alias("description"))
+    return packed.join(described, task)
+
+
+PAIR = "array<struct<question:string,answer:string>>"
+
+
+def expand_qa_pairs(df: DataFrame, question: str = "question") -> tuple[DataFrame, DataFrame]:
+    """(pairs, rejected): one row per question-answer pair, and the rows whose list cannot be read."""
+    parsed = df.withColumn("_pairs", F.from_json(F.translate(question, "'", '"'), PAIR))
+    good = F.col("_pairs").isNotNull() & ~F.exists("_pairs", lambda p: p["question"].isNull())
+    keep = [c for c in df.columns if c != question]
+    pairs = parsed.filter(good).select(*keep, F.posexplode("_pairs").alias("pair", "_p")).select(
+        *keep, "pair", F.col("_p.question").alias(question), F.col("_p.answer").alias("answer"))
+    return pairs, parsed.filter(~F.coalesce(good, F.lit(False))).drop("_pairs")
+
+
+def pack_questions(df: DataFrame, video: str, index: str, question: str, size: int = 64) -> DataFrame:
+    """Questions of a video as JSON maps of at most ``size`` entries, numbered by ``pack``."""
+    placed = with_position(df.select(video, index, question), index, "_pos", [video])
+    entry = F.struct(F.col("_pos").alias("p"), F.col(index).cast("string").alias("key"), F.col(question).alias("value"))
+    lists = placed.groupBy(video, F.floor(F.col("_pos") / size).alias("pack")).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
+    as_map = F.map_from_entries(F.transform("_l", lambda e: F.struct(e["key"], e["value"])))
+    return lists.select(video, "pack", F.to_json(as_map).alias("questions"))
+
+
+def read_answer_map(reply: Column) -> Column:
+    """JSON object of a reply; else ``key: value`` lines after its only brace; else null."""
+    text = F.trim(reply)
+    whole = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), "map<string,string>")
+    body = F.substring_index(text, "{", -1)
+    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x.contains(": "))
+    side = lambda x: F.regexp_replace(F.trim(x), "^[\"',]+|[\"',]+$", "")
+    pairs = F.transform(lines, lambda x: F.struct(side(F.split_part(x, F.lit(": "), F.lit(1))).alias("key"), side(F.split_part(x, F.lit(": "), F.lit(2))).alias("value")))
+    one_brace = (F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))) == 1
+    loose = F.map_from_entries(F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != "")))
+    return F.coalesce(whole, F.when(one_brace, loose))
+
+
+def unpack_answers(packs: DataFrame, items: DataFrame, video: str, index: str, reply: str) -> tuple[DataFrame, DataFrame]:
+    """(items with ``prediction``, counters): replies opened and looked up per question."""
+    failed = tx.is_failure(F.col(reply))
+    opened = packs.select(video, failed.alias("_failed"), F.when(~failed, read_answer_map(F.col(reply))).alias("_m"))
+    answers = opened.select(video, F.explode("_m").alias("_key", "prediction")).groupBy(video, "_key").agg(F.max("prediction").alias("prediction"))
+    joined = items.withColumn("_key", F.col(index).cast("string")).join(answers, [video, "_key"], "left").drop("_key")
+    replies = opened.agg(F.count_if("_failed").alias("GEN_FAIL"), F.count_if(~F.col("_failed") & F.col("_m").isNotNull()).alias("PARSE_OK"),
+                         F.count_if(~F.col("_failed") & F.col("_m").isNull()).alias("PARSE_FAIL"))
+    valid = joined.agg(F.count("prediction").alias("VALIDQ"), F.count_if(F.col("prediction").isNull()).alias("INVALIDQ"))
+    counters = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in df.columns])))
+    return joined, counters(replies).unionByName(counters(valid))
+
+
+def scatter_by_benchmark(df: DataFrame, route: Column, scorers: dict[str, Column], score: str = "score") -> DataFrame:
+    """One plan for a composite benchmark: each row is scored by the scorer its route names.
+
+    Rows with an unknown route get a null score and the route in ``route_error``.
+    """
+    known = F.coalesce(*[F.when(route == k, v.cast("double")) for k, v in scorers.items()])
+    return df.withColumns({"benchmark": route, score: known, "route_error": F.when(~route.isin(list(scorers)), route)})

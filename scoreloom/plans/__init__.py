@@ -6,7 +6,7 @@ import importlib
 
 _MODULES = [
     "text_queries", "extract_queries", "score_queries", "report_queries", "join_queries", "consistency_queries",
-    "crossmodel_queries",
+    "crossmodel_queries", "corpus_queries", "source_queries",
 ]
 
 
