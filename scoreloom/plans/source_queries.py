@@ -119,11 +119,19 @@ def _(t):
 _NAV = "list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))"
 
 
+_LEAD = "trim(regexp_replace({}, '^[\\s.,\\-:;]+', ''))"
+
+
 @query("a11_pages_to_items", f"""
-    WITH l AS (SELECT page_id, {_NAV} AS li FROM pages), r AS (SELECT page_id, li, CASE WHEN page_id % 3 = 0 THEN li[3] WHEN page_id % 3 = 1 THEN '' ELSE 'zzz' END AS said FROM l WHERE len(li) > 0)
-    SELECT page_id, CAST(0 AS INT) AS "row", li[1] AS question, coalesce(li[2], '') AS "A", coalesce(li[3], '') AS "B", coalesce(li[4], '') AS "C", coalesce(li[5], '') AS "D",
-      trim(regexp_replace(CASE WHEN page_id % 3 = 1 THEN coalesce(li[4], '') ELSE said END, '^[\\s.,\\-:;]+', '')) AS answer,
-      CASE WHEN page_id % 3 = 1 THEN 'C' WHEN page_id % 3 = 0 THEN CASE WHEN contains(lower(coalesce(li[2], '')), lower(trim(regexp_replace(said, '^[\\s.,\\-:;]+', '')))) THEN 'A' ELSE 'B' END ELSE '' END AS correct_option, 'MCQ' AS question_type FROM r""")
+    WITH l AS (SELECT page_id, {_NAV} AS li FROM pages),
+    r AS (SELECT page_id, li, coalesce(li[2], '') AS "A", coalesce(li[3], '') AS "B", coalesce(li[4], '') AS "C", coalesce(li[5], '') AS "D",
+            CASE WHEN page_id % 3 = 0 THEN li[3] WHEN page_id % 3 = 1 THEN 'C' ELSE 'zzz' END AS said FROM l WHERE len(li) > 0),
+    s AS (SELECT *, CASE WHEN page_id % 3 < 2 THEN upper(regexp_extract(said, '(?i)^([a-d])', 1)) ELSE '' END AS letter,
+            CASE WHEN page_id % 3 < 2 AND regexp_matches(said, '(?i)^[a-d]') THEN {_LEAD.format("regexp_replace(said, '(?i)^[a-d]\s*[).\-]?\s*', '')")} ELSE {_LEAD.format('said')} END AS txt FROM r)
+    SELECT page_id, CAST(0 AS INT) AS "row", li[1] AS question, "A", "B", "C", "D",
+      trim(regexp_replace(CASE WHEN txt <> '' THEN txt ELSE CASE letter WHEN 'A' THEN "A" WHEN 'B' THEN "B" WHEN 'C' THEN "C" WHEN 'D' THEN "D" ELSE '' END END, '^[\s.,\-:;]+', '')) AS answer,
+      CASE WHEN letter <> '' THEN letter WHEN txt = '' THEN '' WHEN contains(lower("A"), lower(txt)) THEN 'A' WHEN contains(lower("B"), lower(txt)) THEN 'B' WHEN contains(lower("C"), lower(txt)) THEN 'C'
+           WHEN contains(lower("D"), lower(txt)) THEN 'D' ELSE '' END AS correct_option, 'MCQ' AS question_type FROM s""")
 def _(t):
     nav = F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1)
     third = pg.inner_text(F.get(pg.elements(nav, "li"), F.lit(2)))

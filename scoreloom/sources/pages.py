@@ -59,7 +59,7 @@ def pages_to_items(pages: DataFrame, key: str, html: str) -> DataFrame:
         any_option & (F.col("said.text") != "") & (hit > 0), F.substring(F.lit("ABCD"), 1, 4).substr(hit.cast("int"), F.lit(1))).otherwise("")
     text = F.when(F.col("said.text") != "", F.col("said.text")).when(
         any_option, F.coalesce(F.get("o", F.instr(F.lit("ABCD"), F.col("said.letter")) - 1), F.lit("")))
-    answer = F.when(any_option, F.coalesce(text, F.lit(""))).otherwise(F.when(F.col("said.text") != "", F.col("said.text")).otherwise(_clean_lead(F.col("cell"))))
+    answer = F.when(any_option, _clean_lead(F.coalesce(text, F.lit("")))).otherwise(F.when(F.col("said.text") != "", F.col("said.text")).otherwise(_clean_lead(F.col("cell"))))
     return shaped.select(
         key, "row", "question", *[F.get("o", F.lit(i)).alias(c) for i, c in enumerate("ABCD")], answer.alias("answer"),
         letter.alias("correct_option"), F.when(any_option, "MCQ").otherwise("SAQ").alias("question_type"))
