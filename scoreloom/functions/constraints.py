@@ -37,12 +37,15 @@ def word_count(text: Column) -> Column:
     return F.size(words(F.regexp_replace(text, r"[^\p{L}\p{N}_\s.-]", "")))
 
 
-def keyword_count(text: Column, keyword: Column) -> Column:
-    """Whole-word occurrences, case ignored."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "  ")
-    padded = F.concat(F.lit(" "), spaced, F.lit(" "))
+def spaced_words(text: Column) -> Column:
+    """Lower-case words, each with a blank on both sides."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "  "), F.lit(" "))
+
+
+def keyword_count(spaced: Column, keyword: Column) -> Column:
+    """Whole-word occurrences, case ignored, in the result of ``spaced_words``."""
     needle = F.concat(F.lit(" "), F.lower(keyword), F.lit(" "))
-    gone = F.length(padded) - F.length(F.replace(padded, needle, F.lit("")))
+    gone = F.length(spaced) - F.length(F.replace(spaced, needle, F.lit("")))
     return F.try_divide(gone, F.length(needle)).cast("int")
 
 
@@ -62,7 +65,7 @@ def number_digits(text: Column) -> Column:
     return F.transform(all_found(text, pattern), lambda n: F.length(F.split_part(mantissa(F.lower(n)), F.lit("."), F.lit(2))))
 
 
-def check_rule(text: Column, tidied: Column, paras: Column, sents: Column, c: Column) -> Column:
+def check_rule(text: Column, spaced: Column, paras: Column, sents: Column, c: Column) -> Column:
     first = F.get(c["texts"], F.lit(0))
     counts = lambda of: F.transform(paras, of)
     rules = {
@@ -80,9 +83,9 @@ def check_rule(text: Column, tidied: Column, paras: Column, sents: Column, c: Co
         "paragraphs_end": F.forall(paras, lambda p: F.endswith(p, first)),
         "begins": F.startswith(F.btrim(text, F.lit(" \t\n")), first),
         "ends": F.endswith(F.btrim(text, F.lit(" \t\n")), first),
-        "each_keyword": F.forall(F.transform(c["texts"], lambda k: keyword_count(tidied, k)), lambda n: _within(n, c)),
+        "each_keyword": F.forall(F.transform(c["texts"], lambda k: keyword_count(spaced, k)), lambda n: _within(n, c)),
         "total_keywords": _within(
-            F.aggregate(c["texts"], F.lit(0), lambda a, k: a + keyword_count(tidied, k)), c),
+            F.aggregate(c["texts"], F.lit(0), lambda a, k: a + keyword_count(spaced, k)), c),
         "percent_precision": F.forall(percent_digits(text), lambda d: d == c["low"]),
         "number_precision": F.forall(number_digits(text), lambda d: d == c["low"]),
         "no_arabic_numbers": ~text.rlike(r"(?<![.\w])\d[\d,]*(\.\d+)?([eE][+-]?\d+)?%?(?![.\w])"),
@@ -95,14 +98,15 @@ def constraint_scores(df: DataFrame, text: str, constraints: str) -> DataFrame:
     """Add ``passed`` (key -> boolean pairs) and ``score`` (share of constraints that hold)."""
     parts = df.withColumn("_tidy", tidy(F.col(text)))
     parts = parts.withColumn("_paras", paragraphs(F.col("_tidy"))).withColumn("_sents", sentences(F.col("_tidy")))
+    parts = parts.withColumn("_spaced", spaced_words(F.col("_tidy")))
 
     def holds(constraint: Column) -> Column:
         return F.forall(constraint["checks"], lambda c: check_rule(
-            F.col(text), F.col("_tidy"), F.col("_paras"), F.col("_sents"), c))
+            F.col(text), F.col("_spaced"), F.col("_paras"), F.col("_sents"), c))
 
     passed = F.transform(F.col(constraints), lambda k: F.struct(k["key"].alias("key"), holds(k).alias("ok")))
     scored = parts.withColumn("passed", passed)
-    return scored.withColumn("score", mean_of(F.transform("passed", lambda p: flag(p["ok"])))).drop("_tidy", "_paras", "_sents")
+    return scored.withColumn("score", mean_of(F.transform("passed", lambda p: flag(p["ok"])))).drop("_tidy", "_paras", "_sents", "_spaced")
 
 
 def text_features(text: Column, phrase: str, start: str, end: str) -> Column:
@@ -110,7 +114,7 @@ def text_features(text: Column, phrase: str, start: str, end: str) -> Column:
     return F.struct(
         word_count(text).alias("words"),
         F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("lines"),
-        keyword_count(text, F.lit(phrase)).alias("phrase_count"),
+        keyword_count(spaced_words(text), F.lit(phrase)).alias("phrase_count"),
         F.startswith(F.lower(F.trim(text)), F.lit(start.lower())).alias("starts"),
         F.endswith(F.lower(F.trim(text)), F.lit(end.lower())).alias("ends"),
     )

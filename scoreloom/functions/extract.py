@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed
-from scoreloom.functions.text import literal_map, strip_punctuation, words
+from scoreloom.functions.text import bound, literal_map, strip_punctuation, words
 
 
 def found(s: Column, pattern: str, group: int = 1) -> Column:
@@ -207,21 +207,22 @@ def match_first_token_or_text(prediction: Column, truth: Column) -> Column:
 
 def parse_choice_multi(response: Column, options: Column) -> Column:
     """Bracketed label, spaced label, then option text; the last position wins; null for none."""
-    text = F.concat(F.lit(" "), F.btrim(response, F.lit(",.!?;:'")), F.lit(" "))
-    low = F.lower(text)
-
     def latest(hay: Column, entries: Column, needle) -> Column:
-        """Label of the entry whose needle stands nearest the end of ``hay``."""
-        spots = F.transform(entries, lambda e: F.struct(
-            F.instr(F.reverse(hay), F.reverse(needle(e))).alias("gap"), e.key.alias("label")))
-        return F.try_element_at(F.array_sort(F.filter(spots, lambda x: x.gap > 0)), F.lit(1)).label
+        """Label of the entry whose needle stands nearest the end of the reversed ``hay``."""
+        spots = F.transform(entries, lambda e: F.struct(F.instr(hay, F.reverse(needle(e))).alias("gap"), e["key"].alias("label")))
+        return F.try_element_at(F.array_sort(F.filter(spots, lambda x: x["gap"] > 0)), F.lit(1))["label"]
+
+    def read(t: Column) -> Column:
+        back, entries = t["back"], t["entries"]
+        bracket = latest(back, entries, lambda e: F.concat(F.lit("("), e["key"], F.lit(")")))
+        dotted = F.filter(F.transform(entries, lambda e: e["key"]), lambda k: F.contains(t["text"], F.concat(k, F.lit(". "))))
+        spaced = latest(back, entries, lambda e: F.concat(F.lit(" "), e["key"], F.lit(" ")))
+        by_text = F.when(F.size(words(t["text"])) > 5, latest(F.lower(back), entries, lambda e: F.lower(e["value"])))
+        return F.coalesce(bracket, F.try_element_at(dotted, F.lit(1)), spaced, by_text)
 
-    entries = F.map_entries(options)
-    bracket = latest(text, entries, lambda e: F.concat(F.lit("("), e.key, F.lit(")")))
-    dotted = F.filter(F.map_keys(options), lambda k: F.contains(text, F.concat(k, F.lit(". "))))
-    spaced = latest(text, entries, lambda e: F.concat(F.lit(" "), e.key, F.lit(" ")))
-    by_text = F.when(F.size(words(text)) > 5, latest(low, entries, lambda e: F.lower(e.value)))
-    return F.coalesce(bracket, F.try_element_at(dotted, F.lit(1)), spaced, by_text)
+    text = F.concat(F.lit(" "), F.btrim(response, F.lit(",.!?;:'")), F.lit(" "))
+    facts = F.struct(text.alias("text"), F.reverse(text).alias("back"), F.map_entries(options).alias("entries"))
+    return bound(facts, read)
 
 
 def extract_numbers(s: Column) -> Column:
@@ -376,14 +377,11 @@ def parse_qa_output(s: Column) -> Column:
 
 def parse_bbox(s: Column) -> Column:
     """struct(x1, y1, x2, y2) when exactly one group of four decimals below 10 is present."""
-    number = r"(\d?(?:\.\d+)?)"
-    pattern = r",\s?".join([number] * 4)
-    text = F.replace(s, F.lit("\n"), F.lit(""))
-    one = F.size(all_found(text, pattern, 1)) == 1
-    names = ["x1", "y1", "x2", "y2"]
-    return F.struct(*[
-        F.when(one, F.regexp_extract(text, pattern, i + 1).try_cast("double")).alias(n) for i, n in enumerate(names)
-    ])
+    pattern = r",\s?".join([r"\d?(?:\.\d+)?"] * 4)
+    hits = all_found(F.replace(s, F.lit("\n"), F.lit("")), pattern, 0)
+    number = lambda parts, i: F.trim(F.get(parts, F.lit(i))).try_cast("double")
+    corners = lambda parts: F.struct(*[number(parts, i).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    return bound(bound(hits, lambda h: F.split(only(h), ",")), corners)
 
 
 def parse_answer_line(s: Column) -> Column:

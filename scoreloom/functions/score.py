@@ -62,15 +62,18 @@ def relaxed_accuracy(prediction: Column, answers: Column, tolerance: float = 0.0
         percent = F.rtrim(F.regexp_replace(s, "%+$", "")).try_cast("double") / 100.0
         return F.when(s.endswith("%"), percent).otherwise(s.try_cast("double"))
 
-    pred = F.trim(prediction)
+    side = lambda s: F.struct(s.alias("text"), number(s).alias("value"))
 
-    def one(ref: Column) -> Column:
-        target, other = (pred, ref) if legacy else (ref, pred)
-        t, o = number(target), number(other)
-        close = F.abs(o - t) / F.abs(t) <= tolerance
-        return flag(F.when(t.isNotNull() & o.isNotNull() & (t != 0), close).otherwise(F.lower(target) == F.lower(other)))
+    def against(pred: Column) -> Column:
+        def one(ref: Column) -> Column:
+            target, other = (pred, ref) if legacy else (ref, pred)
+            usable = target["value"].isNotNull() & other["value"].isNotNull() & (target["value"] != 0)
+            close = F.abs(other["value"] - target["value"]) / F.abs(target["value"]) <= tolerance
+            return flag(F.when(usable, close).otherwise(F.lower(target["text"]) == F.lower(other["text"])))
 
-    return F.array_max(F.transform(answers, one))
+        return F.array_max(F.transform(F.transform(answers, side), one))
+
+    return bound(side(F.trim(prediction)), against)
 
 
 def anls(prediction: Column, answers: Column, threshold: float = 0.5) -> Column:
@@ -93,12 +96,13 @@ def float_equal(reference: Column, prediction: Column) -> Column:
     def digits(x: Column) -> Column:
         return F.length(F.split_part(x.cast("string"), F.lit("."), F.lit(2)))
 
-    def one(item: Column) -> Column:
-        close = F.abs(item - prediction) <= 0.01 * F.greatest(F.abs(item), F.abs(prediction))
-        scale = F.pow(F.lit(10.0), F.greatest(F.least(digits(prediction), digits(item)), F.lit(2)))
-        return close | (F.rint(prediction * scale) == F.rint(item * scale))
+    def one(item: Column, said: Column) -> Column:
+        close = F.abs(item - said) <= 0.01 * F.greatest(F.abs(item), F.abs(said))
+        scale = F.pow(F.lit(10.0), F.greatest(F.least(digits(said), digits(item)), F.lit(2)))
+        return close | (F.rint(said * scale) == F.rint(item * scale))
 
-    return F.coalesce(one(reference / 100.0) | one(reference) | one(reference * 100.0), F.lit(False))
+    forms = F.array(reference / 100.0, reference, reference * 100.0)
+    return F.coalesce(bound(prediction, lambda said: F.exists(forms, lambda item: one(item, said))), F.lit(False))
 
 
 # Shapes of answers that only count when identical.
@@ -111,15 +115,19 @@ EXACT_SHAPES = (
 def typed_doc_score(truth: Column, prediction: Column, kind: Column, parse_list) -> Column:
     """Score by answer type: Int, Float, Str, or a list compared in sorted order."""
     integer = F.trim(truth).try_cast("bigint") == as_float(prediction).try_cast("bigint")
-    number = float_equal(as_float(clean_doc_string(truth)), as_float(clean_doc_string(prediction)))
-    t, p = clean_doc_string(truth), clean_doc_string(prediction)
-    text = F.when(t.rlike(EXACT_SHAPES), flag(t == p)).otherwise(anls_doc(t, p))
-    ts = F.array_sort(F.transform(parse_list(truth), clean_doc_string))
-    ps = F.array_sort(F.transform(parse_list(prediction), clean_doc_string))
-    exact = ts[0].rlike(EXACT_SHAPES) | as_float(ts[0]).isNotNull()
-    listed = F.when(F.size(ts) != F.size(ps), 0.0).when(
-        exact, flag(F.array_join(ts, "-") == F.array_join(ps, "-"))
-    ).otherwise(F.array_min(F.zip_with(ts, ps, lambda a, b: anls_doc(a, b))))
+    cleaned = F.struct(clean_doc_string(truth).alias("t"), clean_doc_string(prediction).alias("p"))
+    number = bound(cleaned, lambda c: float_equal(as_float(c["t"]), as_float(c["p"])))
+    text = bound(cleaned, lambda c: F.when(c["t"].rlike(EXACT_SHAPES), flag(c["t"] == c["p"])).otherwise(anls_doc(c["t"], c["p"])))
+
+    def lists(c: Column) -> Column:
+        ts, ps = c["t"], c["p"]
+        exact = ts[0].rlike(EXACT_SHAPES) | as_float(ts[0]).isNotNull()
+        return F.when(F.size(ts) != F.size(ps), 0.0).when(
+            exact, flag(F.array_join(ts, "-") == F.array_join(ps, "-"))
+        ).otherwise(F.array_min(F.zip_with(ts, ps, lambda a, b: anls_doc(a, b))))
+
+    ordered = lambda s: F.array_sort(F.transform(parse_list(s), clean_doc_string))
+    listed = bound(F.struct(ordered(truth).alias("t"), ordered(prediction).alias("p")), lists)
     return (
         F.when(kind == "Int", flag(integer)).when(kind == "Float", flag(number)).when(kind == "Str", text).otherwise(listed)
     )

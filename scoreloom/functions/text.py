@@ -21,6 +21,11 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def looked_up(value: Column, table: dict) -> Column:
+    """Entry of a fixed table, or the value itself; misses cost one hash probe."""
+    return F.when(value.isin(list(table)), F.try_element_at(literal_map(table), value)).otherwise(value)
+
+
 def words(s: Column) -> Column:
     """Whitespace-separated words without empty ones."""
     return F.filter(F.split(s, r"\s+"), lambda w: w != "")
@@ -37,18 +42,15 @@ def strip_punctuation(s: Column) -> Column:
         return F.replace(out, F.lit(mark), put)
 
     out = reduce(one, fixed.PUNCTUATION, s)
-    return F.regexp_replace(out, r"(?<!\d)\.(?!\d)", "")
+    marked = F.when(s.rlike("[" + "".join("\\" + m for m in fixed.PUNCTUATION) + "]"), out).otherwise(s)
+    return F.regexp_replace(marked, r"(?<!\d)\.(?!\d)", "")
 
 
 def normalise_words(s: Column) -> Column:
     """Lower case, digits for number words, no articles, contractions restored."""
-    digits = literal_map(fixed.DIGIT_WORDS)
-    contractions = literal_map(fixed.CONTRACTIONS)
-    plain = F.transform(words(F.lower(s)), lambda w: F.coalesce(F.try_element_at(digits, w), w))
+    plain = F.transform(words(F.lower(s)), lambda w: looked_up(w, fixed.DIGIT_WORDS))
     kept = F.filter(plain, lambda w: ~w.isin(fixed.ARTICLES))
-    return F.array_join(
-        F.transform(kept, lambda w: F.coalesce(F.try_element_at(contractions, w), w)), " "
-    )
+    return F.array_join(F.transform(kept, lambda w: looked_up(w, fixed.CONTRACTIONS)), " ")
 
 
 def normalise_answer(s: Column) -> Column:

@@ -33,16 +33,22 @@ def _windows(tokens: Column, n: int, sep: str) -> Column:
     return bound(tokens, lambda t: F.transform(t, lambda _, i: F.array_join(F.slice(t, i + 1, n), sep)))
 
 
+def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows over all shuffle partitions: for small texts that cause much work per row.
+
+    The number is explicit, so adaptive execution does not fold the partitions by their byte size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
+
+
 def gram_counts(pairs: DataFrame, ids: Sequence[str], hyp: Column, ref: Column, max_n: int, sep: str = " ") -> DataFrame:
     """Counts (ids, n, gram, h, r) of both sides of every pair; ``hyp`` and ``ref`` are token arrays.
 
-    Tokens joined by "" must be single characters, others must not hold ``sep``. The number of
-    partitions is explicit, because the texts are small next to the work they cause.
+    Tokens joined by "" must be single characters, others must not hold ``sep``.
     """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     side = lambda tokens, h, r: F.struct(
         _windows(tokens, max_n, sep).alias("w"), F.lit(h).alias("h"), F.lit(r).alias("r"))
-    sides = pairs.repartition(parts, *ids).select(*ids, F.inline(F.array(side(hyp, 1, 0), side(ref, 0, 1))))
+    sides = spread(pairs, ids).select(*ids, F.inline(F.array(side(hyp, 1, 0), side(ref, 0, 1))))
     spots = sides.select(*ids, "h", "r", F.explode("w").alias("w"))
     held = F.length("w") if sep == "" else F.length("w") - F.length(F.replace("w", F.lit(sep), F.lit(""))) + 1
     orders = spots.select(*ids, "h", "r", "w", F.explode(F.sequence(F.lit(1), held)).alias("n"))
@@ -136,7 +142,7 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def rouge_l(pairs: DataFrame, ids: Sequence[str], hyp: str, ref: str, beta: float = 1.2) -> DataFrame:
     """LCS-based F-score of the words; a long-text helper runs in Arrow batches."""
-    tokens = pairs.select(*ids, words(F.col(hyp)).alias("_h"), words(F.col(ref)).alias("_r"))
+    tokens = spread(pairs, ids).select(*ids, words(F.col(hyp)).alias("_h"), words(F.col(ref)).alias("_r"))
     scored = tokens.withColumn("_l", lcs_length(F.col("_h"), F.col("_r")))
     p, r = F.try_divide(F.col("_l"), F.size("_h")), F.try_divide(F.col("_l"), F.size("_r"))
     value = F.try_divide((1 + beta * beta) * p * r, r + beta * beta * p)
@@ -307,6 +313,11 @@ def best_ngram_window(needle: Column, hay: Column) -> Column:
     return bound(bound(tokens, windows), scores)
 
 
+def best_windows(df: DataFrame, ids: Sequence[str], needle: str, hay: str) -> DataFrame:
+    """``best_ngram_window`` of every row, spread over the cluster by ``ids``."""
+    return spread(df, ids).select(*ids, best_ngram_window(F.col(needle), F.col(hay)).alias("b")).select(*ids, "b.*")
+
+
 def align_blocks(pages: DataFrame, gts: str, preds: str, rounds: int = 1) -> DataFrame:
     """Match a page's blocks by lowest normalised edit distance, each used once.
 

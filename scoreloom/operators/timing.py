@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions.text import bound
+
 
 def hms_to_seconds(s: Column) -> Column:
     part = lambda i: F.split_part(s, F.lit(":"), F.lit(i)).try_cast("double")
@@ -15,8 +17,8 @@ def hms_to_seconds(s: Column) -> Column:
 
 def sample_array(items: Column, k: int) -> Column:
     """All when k >= n, else the items at floor(i * n / k)."""
-    picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(items, F.floor(i * F.size(items) / k).cast("int")))
-    return F.when(F.size(items) <= k, items).otherwise(picked)
+    picked = lambda a: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(a, F.floor(i * F.size(a) / k).cast("int")))
+    return bound(items, lambda a: F.when(F.size(a) <= k, a).otherwise(picked(a)))
 
 
 def sample_by_rate(frames: Column, fps: Column, target: float) -> Column:

@@ -225,7 +225,7 @@ def _(t):
     SELECT conv_id, turn, coalesce(array_to_string(win, ' '), '') AS "window", round(coalesce(sim, 0), 6) AS similarity, round(coalesce(pr, 0), 6) AS precision, round(coalesce(re, 0), 6) AS recall, round(coalesce(2 * pr * re / (pr + re), 0), 6) AS f1,
       round(coalesce(len(list_intersect(list_distinct(win), list_distinct(nw))) / CAST(len(list_distinct(list_concat(win, nw))) AS DOUBLE), 0), 6) AS jaccard, CASE WHEN win = nw THEN 1e0 ELSE 0e0 END AS exact FROM x""")
 def _(t):
-    best = _folded(t).select("conv_id", "turn", cp.best_ngram_window(F.col("gt"), F.col("pred")).alias("b")).select("conv_id", "turn", "b.*")
+    best = cp.best_windows(_folded(t), IDS, "gt", "pred")
     return best.select("conv_id", "turn", "window", *[F.round(c, 6).alias(c) for c in ("similarity", "precision", "recall", "f1", "jaccard")], "exact")
 
 

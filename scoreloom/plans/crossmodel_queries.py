@@ -106,12 +106,12 @@ def _(t):
 def _radar_sql(v, pad):
     return f"""WITH s AS (SELECT model, metric, avg(value) / 10000 AS value FROM {_SCORES} GROUP BY model, metric), r AS (SELECT metric, min({v}) AS lo, max({v}) AS hi FROM s GROUP BY metric),
     w AS (SELECT max(hi - lo) * {pad} AS span FROM r), p AS (SELECT s.*, lo, hi, span, (lo + hi) / 2 + span / 2 AS top FROM s JOIN r USING (metric) CROSS JOIN w)
-    SELECT model, metric, round(value, 6) AS value, round(({v} - CASE WHEN top < 100 THEN top - span ELSE 100 - span END) / span * 100, 6) AS scaled FROM p"""
+    SELECT model, metric, round(value, 9) AS value, round(({v} - CASE WHEN top < 100 THEN top - span ELSE 100 - span END) / span * 100, 6) AS scaled FROM p"""
 
 
 def _radar(t, log):
     scores = _scores(t).groupBy("model", "metric").agg((F.avg("value") / 10000).alias("value"))
-    return cm.radar_normalise(scores, log=log).withColumn("value", F.round("value", 6))
+    return cm.radar_normalise(scores, log=log).withColumn("value", F.round("value", 9))
 
 
 @query("k8_radar_normalise", _radar_sql("value", "1.25e0"))
