@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed
-from scoreloom.functions.text import bound, literal_map, strip_punctuation, words
+from scoreloom.functions.text import as_float, bound, literal_map, strip_punctuation, words
 
 
 def found(s: Column, pattern: str, group: int = 1) -> Column:
@@ -33,13 +33,14 @@ def infer_option(prediction: Column, options: Column) -> Column:
     """The one option label among the tokens; Z for refusals and a lone Z."""
     marks = ".()[],:;!*#{}"
     tokens = words(F.translate(prediction, marks, " " * len(marks)))
-    labels = F.array_intersect(F.map_keys(options), tokens)
     refused = reduce(lambda a, b: a | b, [prediction.contains(r) for r in fixed.REFUSALS])
+
+    def pick(said: Column) -> Column:
+        labels = F.array_intersect(F.map_keys(options), said)
+        return bound(labels, lambda l: F.when(F.size(l) == 1, l[0]).when((F.size(l) == 0) & F.array_contains(said, "Z"), "Z"))
+
     return (
-        F.when(prediction.contains(fixed.FAILURE_TEXT), F.lit(None))
-        .when(refused, "Z")
-        .when(F.size(labels) == 1, labels[0])
-        .when((F.size(labels) == 0) & F.array_contains(tokens, "Z"), "Z")
+        F.when(prediction.contains(fixed.FAILURE_TEXT), F.lit(None)).when(refused, "Z").otherwise(bound(tokens, pick))
     )
 
 
@@ -47,7 +48,7 @@ def infer_text(prediction: Column, options: Column) -> Column:
     """The label whose text alone occurs in the reply."""
     low = F.lower(prediction)
     hits = F.filter(F.map_entries(options), lambda e: F.contains(low, F.lower(e.value)))
-    return F.when(F.size(hits) == 1, hits[0].key)
+    return bound(hits, lambda h: F.when(F.size(h) == 1, h[0]["key"]))
 
 
 def infer(prediction: Column, options: Column) -> Column:
@@ -325,7 +326,7 @@ def parse_score_json(s: Column) -> Column:
 def parse_score_pair(s: Column) -> Column:
     """struct(first, second) of the first line ``x y`` or ``x, y``; -1 for both otherwise."""
     parts = F.split(F.translate(F.split_part(s, F.lit("\n"), F.lit(1)), ",", " "), " ")
-    a, b = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
+    a, b = as_float(F.get(parts, F.lit(0))), as_float(F.get(parts, F.lit(1)))
     good = (F.size(parts) == 2) & a.isNotNull() & b.isNotNull()
     return F.struct(F.when(good, a).otherwise(-1.0).alias("first"), F.when(good, b).otherwise(-1.0).alias("second"))
 
@@ -431,7 +432,7 @@ def parse_by_type(s: Column, kind: Column) -> Column:
     """struct(ok, value): numbers (a π suffix multiplies), single letters, or free text."""
     head = F.split_part(s, F.lit(" "), F.lit(1))
     factor = F.split_part(head, F.lit("π"), F.lit(1)).try_cast("double")
-    number = F.when(head.contains("π"), factor * F.pi()).otherwise(head.try_cast("double"))
+    number = F.when(head.contains("π"), factor * F.pi()).otherwise(as_float(head))
     up = F.upper(s)
     present = F.filter(F.array(*[F.lit(c) for c in "ABCDE"]), lambda c: F.contains(up, c))
     letter = F.when(F.length(s) == 1, up).when(F.size(present) == 1, present[0])

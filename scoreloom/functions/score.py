@@ -7,11 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoreloom.functions.text import bound, clean_doc_string, normalise_answer, words
-
-
-def as_float(s: Column) -> Column:
-    return F.trim(s).try_cast("double")
+from scoreloom.functions.text import as_float, bound, clean_doc_string, normalise_answer, words
 
 
 def flag(c: Column) -> Column:
@@ -59,8 +55,8 @@ def relaxed_accuracy(prediction: Column, answers: Column, tolerance: float = 0.0
     """
 
     def number(s: Column) -> Column:
-        percent = F.rtrim(F.regexp_replace(s, "%+$", "")).try_cast("double") / 100.0
-        return F.when(s.endswith("%"), percent).otherwise(s.try_cast("double"))
+        percent = as_float(F.rtrim(s, F.lit("%"))) / 100.0
+        return F.when(s.endswith("%"), percent).otherwise(as_float(s))
 
     side = lambda s: F.struct(s.alias("text"), number(s).alias("value"))
 

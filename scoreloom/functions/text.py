@@ -21,6 +21,14 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
+
+
+def as_float(s: Column) -> Column:
+    """Number of a text or null; the pattern spares a failed conversion for every other text."""
+    return F.when(F.trim(s).rlike(NUMBER), F.trim(s).try_cast("double"))
+
+
 def looked_up(value: Column, table: dict) -> Column:
     """Entry of a fixed table, or the value itself; misses cost one hash probe."""
     return F.when(value.isin(list(table)), F.try_element_at(literal_map(table), value)).otherwise(value)
