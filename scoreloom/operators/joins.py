@@ -55,14 +55,16 @@ def join_variants(df: DataFrame, on: Sequence[str], variant: str, variants: Sequ
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int = 1 << 16) -> DataFrame:
     """Overlapping or touching intervals of a key merged.
 
-    Gaps and islands on the latest end seen before each row; both running folds are cut into chunks
-    of ``width`` start units, so a hot key is spread over many tasks. Starts are integers.
+    Equal starts are reduced to their latest end, so the order by start is total and a chunk holds
+    at most ``width`` rows of a key. Then gaps and islands on the latest end seen before each row;
+    both running folds work by chunks, so a hot key is spread over many tasks. Starts are integers.
     """
-    seen = prefix_fold(df.select(*keys, start, end), F.col(end), start, "_reach", keys, [end], F.max, width)
+    longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
+    seen = prefix_fold(longest, F.col(end), start, "_reach", keys, (), F.max, width)
     fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
     marked = seen.withColumn("_first", F.when(fresh, F.col(start)))
     # the island of a row is the last fresh start up to and including it
-    carried = prefix_fold(marked, F.col("_first"), start, "_before", keys, [end], F.max, width)
+    carried = prefix_fold(marked, F.col("_first"), start, "_before", keys, (), F.max, width)
     island = F.coalesce("_first", "_before")
     return carried.groupBy(*keys, island.alias(start)).agg(F.max(end).alias(end))
 
