@@ -170,12 +170,13 @@ def mean_by_type(df: DataFrame, category: str, score: str, types: Mapping[str, s
     return per.unionByName(per.agg(F.avg("m").alias("m")).select(F.lit("Avg ACC").alias("type"), "m")).select("type", F.round("m", 6).alias("value"))
 
 
-def quad_scores(df: DataFrame, order: str, answer: str, tie: Sequence[str] = ()) -> DataFrame:
+def quad_scores(df: DataFrame, order: str | Sequence[str], answer: str, tie: Sequence[str] = ()) -> DataFrame:
     """Every four consecutive rows are two questions x two images with expected answers 1, 0, 0, 1.
 
     Question, image, binary and group accuracy; a trailing incomplete quad is left out.
     """
-    placed = with_position(df.select(order, answer, *tie), order, "_pos", tie=tie)
+    columns = [order] if isinstance(order, str) else list(order)
+    placed = with_position(df.select(*columns, answer, *tie), order, "_pos", tie=tie)
     slot = lambda i: F.max(F.when(F.col("_pos") % 4 == i, F.col(answer))).alias(f"a{i}")
     quads = placed.groupBy(F.floor(F.col("_pos") / 4).alias("quad")).agg(*[slot(i) for i in range(4)], F.count("*").alias("_n")).filter(F.col("_n") == 4)
     right = [F.col("a0") == 1, F.col("a1") == 0, F.col("a2") == 0, F.col("a3") == 1]

@@ -22,7 +22,7 @@ def drop_missing_payload(df: DataFrame, payload: str = "image") -> DataFrame:
     return df.filter(F.col(payload).isNotNull())
 
 
-def ensure_index(df: DataFrame, order: str, tie: Sequence[str] = (), index: str = "index") -> DataFrame:
+def ensure_index(df: DataFrame, order: str | Sequence[str], tie: Sequence[str] = (), index: str = "index") -> DataFrame:
     """Add a dense index by a stable order when the table has none."""
     return df if index in df.columns else with_position(df, order, index, tie=tie)
 

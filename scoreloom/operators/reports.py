@@ -412,7 +412,7 @@ def two_level_weighted(df: DataFrame, tag: str, score: str) -> DataFrame:
     return per.unionByName(total).select(F.col(tag).alias("level"), F.round("m", 6).alias("accuracy"), "n")
 
 
-def fold_std(df: DataFrame, order: str, value: str, k: int = 5, tie: Sequence[str] = ()) -> DataFrame:
+def fold_std(df: DataFrame, order: str | Sequence[str], value: str, k: int = 5, tie: Sequence[str] = ()) -> DataFrame:
     """Ordered outcomes in k consecutive folds (the last takes the rest): means x 100, population std."""
     from scoreloom.operators.ordered import with_position
 

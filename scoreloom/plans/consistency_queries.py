@@ -142,7 +142,7 @@ def _(t):
     SELECT round(sum(qs) / CAST(count(*) * 2 AS DOUBLE), 6) AS "Q_Acc", round(sum(im) / CAST(count(*) * 2 AS DOUBLE), 6) AS "I_Acc", round(sum(b) / CAST(count(*) * 4 AS DOUBLE), 6) AS "Acc", round(count(*) FILTER (WHERE qs = 2 AND im = 2) / CAST(count(*) AS DOUBLE), 6) AS "G_Acc" FROM s""")
 def _(t):
     answer = F.when(F.col("qid") % 3 == 0, F.col("hit")).when(F.col("qid") % 3 == 1, F.col("varid").isin(1, 4).cast("int")).otherwise(F.col("hit") - 1)
-    return co.quad_scores(t.variants.withColumn("a", answer), "qid", "a", ["varid"])
+    return co.quad_scores(t.variants.withColumn("a", answer), ["qid", "varid"], "a")
 
 
 @query("i11_tf_pair_accuracy", """

@@ -9,7 +9,7 @@ from scoreloom.operators import crossmodel as cm
 from scoreloom.operators import reports as rp
 from scoreloom.operators.ordered import fold_id
 from scoreloom.plans.catalog import query
-from scoreloom.plans.score_queries import GOLD
+from scoreloom.plans.score_queries import true_box
 
 
 @query("k1_sort_by_index", """SELECT "index", question FROM @items""")
@@ -24,7 +24,7 @@ _MISS = "sqrt(pow(greatest(gx1 - px1, 0, px1 - gx2), 2) + pow(greatest(gy1 - py1
     SELECT oid, line, pid, broken, round(miss, 6) AS miss FROM (SELECT DISTINCT oid, line, pid, CASE WHEN px1 IS NULL THEN 1 ELSE 0 END AS broken, CASE WHEN px1 IS NULL THEN 0e0 ELSE {_MISS} END AS miss FROM @boxes)
     ORDER BY broken DESC, round(miss, 6) DESC, oid, line, pid LIMIT 6000""")
 def _(t):
-    distance = F.coalesce(F.when(F.col("px1").isNotNull(), cm.miss_distance(F.col("px1"), F.col("py1"), GOLD)), F.lit(0.0))
+    distance = F.coalesce(F.when(F.col("px1").isNotNull(), cm.miss_distance(F.col("px1"), F.col("py1"), true_box())), F.lit(0.0))
     rows = t.boxes.select("oid", "line", "pid", F.col("px1").isNull().cast("int").alias("broken"), F.round(distance, 6).alias("miss")).distinct()
     return cm.worst_cases(rows, 6000, [F.desc("broken"), F.desc("miss"), F.col("oid"), F.col("line"), F.col("pid")])
 
@@ -154,7 +154,7 @@ def _(t):
 @query("k12_round_robin", """
     SELECT qid, varid, (row_number() OVER (ORDER BY qid, varid) - 1) % 8 AS fold FROM @variants""")
 def _(t):
-    return fold_id(t.variants.select("qid", "varid"), "qid", 8, tie=["varid"])
+    return fold_id(t.variants.select("qid", "varid"), ["qid", "varid"], 8)
 
 
 @query("a14_latest_run", """

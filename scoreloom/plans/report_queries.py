@@ -8,7 +8,7 @@ from scoreloom.functions import score as sc
 from scoreloom.operators import reports as rp
 from scoreloom.plans import sqltext as q
 from scoreloom.plans.catalog import query
-from scoreloom.plans.score_queries import GOLD, PRED, _DOC_SCORE, _IOU
+from scoreloom.plans.score_queries import _DOC_SCORE, _IOU, said_box, true_box
 
 
 def scopes_sql(view: str, scopes: dict, exprs: dict[str, str], keys: str = "", where: str = "true") -> str:
@@ -102,7 +102,10 @@ def _(t):
 
 
 # tags of a row: its task, subtask and line; coarse groups by task only
-TAGS = F.array("task", "subtask", F.concat(F.lit("line"), F.col("line").cast("string")))
+def tags():
+    return F.array("task", "subtask", F.concat(F.lit("line"), F.col("line").cast("string")))
+
+
 COARSE = {"task0": "even", "task2": "even", "task1": "odd", "sub0": "even", "sub1": "odd"}
 
 
@@ -113,7 +116,7 @@ COARSE = {"task0": "even", "task2": "even", "task1": "odd", "sub0": "even", "sub
     SELECT scope, g AS "group", round(CAST(sum(greatest(score, 0)) AS DOUBLE) / count(*), 6) AS all_mean,
            round(CAST(sum(score) FILTER (WHERE score >= 0) AS DOUBLE) / count(*) FILTER (WHERE score >= 0), 6) AS valid_mean, count(*) AS n FROM e GROUP BY scope, g""")
 def _(t):
-    return rp.rating_all_valid(t.scored.withColumn("tags", TAGS), "tags", COARSE)
+    return rp.rating_all_valid(t.scored.withColumn("tags", tags()), "tags", COARSE)
 
 
 @query("g10_dimension_cube", scopes_sql(
@@ -193,7 +196,7 @@ def _(t):
 
 
 _CONF = """WITH b AS (SELECT CASE WHEN "index" % 5 = 0 THEN 'original' ELSE source END AS kind, l2_category AS task, answer, CASE WHEN answer = extracted THEN 1 ELSE 0 END AS score FROM @yn),
-    u AS (SELECT k.kind, {k} b.answer, b.score FROM b JOIN (SELECT DISTINCT kind {t2} FROM b WHERE kind <> 'original') k ON (b.kind = k.kind OR b.kind = 'original') {on}),
+    u AS (SELECT k.kind, {k} b.answer, b.score FROM b JOIN (SELECT DISTINCT kind {t2} FROM b WHERE kind <> 'original' {w}) k ON (b.kind = k.kind OR b.kind = 'original') {on}),
     c AS (SELECT kind, {g} count(*) FILTER (WHERE answer = 'Yes' AND score = 1) AS tp, count(*) FILTER (WHERE answer = 'No' AND score = 0) AS fp,
              count(*) FILTER (WHERE answer = 'Yes' AND score = 0) AS fn, count(*) FILTER (WHERE answer = 'No' AND score = 1) AS tn FROM u GROUP BY ALL),
     p AS (SELECT *, (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) AS accuracy, coalesce(tp / CAST(nullif(tp + fp, 0) AS DOUBLE), 0e0) AS precision, coalesce(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 0e0) AS recall FROM c),
@@ -207,12 +210,12 @@ def _conf(t):
                        "answer", (F.col("answer") == F.col("extracted")).cast("int").alias("score"))
 
 
-@query("g16_confusion_report", _CONF.format(k="", t2="", on="", g="", gb=""))
+@query("g16_confusion_report", _CONF.format(k="", t2="", on="", g="", gb="", w=""))
 def _(t):
     return rp.confusion_report(_conf(t), "kind", "answer", "score")
 
 
-@query("g16_confusion_by_task", _CONF.format(k="k.task,", t2=", task", on="AND b.task = k.task", g="task,", gb="GROUP BY task"))
+@query("g16_confusion_by_task", _CONF.format(k="k.task,", t2=", task", on="AND b.task = k.task", g="task,", gb="GROUP BY task", w="AND task IN (SELECT task FROM b WHERE kind = 'original')"))
 def _(t):
     return rp.confusion_report(_conf(t), "kind", "answer", "score", task="task")
 
@@ -237,7 +240,7 @@ def _(t):
     SELECT skill, count(*) AS tot, CAST(sum(hit) AS BIGINT) AS hit, CAST(sum(pre) AS BIGINT) AS prefetch, round(sum(hit) * 100e0 / count(*), 6) AS acc,
            round(sum(pre) * 100e0 / count(*), 6) AS prefetch_rate FROM e GROUP BY skill""")
 def _(t):
-    return rp.skill_report(t.scored.withColumn("pre", (F.col("score") >= 0).cast("int")), TAGS, "hit", "pre")
+    return rp.skill_report(t.scored.withColumn("pre", (F.col("score") >= 0).cast("int")), tags(), "hit", "pre")
 
 
 @query("g18_skill_report_by_text", """
@@ -288,7 +291,7 @@ _BOXED = f"(SELECT *, {_IOU} AS iou, (px1 + px2) / 2 BETWEEN gx1 AND gx2 AND (py
     "n": "count(iou)", "iou": "round(sum(iou) / count(iou), 6)", "center": "round(count(*) FILTER (WHERE center) / CAST(count(iou) AS DOUBLE), 6)",
     **{f"acc_at_{int(x * 10)}0": f"round(count(*) FILTER (WHERE iou >= {x}e0) / CAST(count(iou) AS DOUBLE), 6)" for x in rp.BOX_THRESHOLDS}}))
 def _(t):
-    return rp.box_report(t.boxes.select("data_type", sc.box_iou(PRED, GOLD).alias("iou"), sc.center_in_box(PRED, GOLD).alias("center")), "iou", "center", "data_type")
+    return rp.box_report(t.boxes.select("data_type", sc.box_iou(said_box(), true_box()).alias("iou"), sc.center_in_box(said_box(), true_box()).alias("center")), "iou", "center", "data_type")
 
 
 _POINT = "(SELECT data_type, category, CASE WHEN px1 IS NULL THEN -1 WHEN (px1 + px2) / 2 BETWEEN gx1 AND gx2 AND (py1 + py2) / 2 BETWEEN gy1 AND gy2 THEN 1 ELSE 0 END AS hit FROM @boxes)"
@@ -297,7 +300,7 @@ _POINT = "(SELECT data_type, category, CASE WHEN px1 IS NULL THEN -1 WHEN (px1 +
 @query("g23_point_report", scopes_sql(_POINT, {"overall": None, "kind": "data_type", "category": "category || '/' || data_type"}, {
     "n": "count(*)", "accuracy": "round(count(*) FILTER (WHERE hit = 1) * 100e0 / count(*), 6)", "format_error": "round(count(*) FILTER (WHERE hit = -1) * 100e0 / count(*), 6)"}))
 def _(t):
-    hit = F.when(F.col("px1").isNull(), -1).when(sc.center_in_box(PRED, GOLD), 1).otherwise(0)
+    hit = F.when(F.col("px1").isNull(), -1).when(sc.center_in_box(said_box(), true_box()), 1).otherwise(0)
     return rp.point_report(t.boxes.select("data_type", "category", hit.alias("hit")), "hit", "data_type", "category")
 
 
@@ -328,8 +331,6 @@ def _(t):
     return rp.weighted_field_score(_fields(t), "task", "query", how="min")
 
 
-
-
 @query("g25_dims_all_valid", " UNION ALL ".join(
     f"SELECT '{name}' AS dim, round(sum(CASE WHEN TRY_CAST({expr} AS INT) IS NOT NULL THEN greatest(0, least(10, TRY_CAST({expr} AS INT))) END) * 10e0 / count(*), 6) AS all_score, round(sum(CASE WHEN TRY_CAST({expr} AS INT) IS NOT NULL THEN greatest(0, least(10, TRY_CAST({expr} AS INT))) END) * 10e0 / count(TRY_CAST({expr} AS INT)), 6) AS valid_score FROM @scored"
     for name, expr in {"style": "CASE WHEN run % 7 = 0 THEN 'bad' ELSE CAST(line * 2 AS VARCHAR) END", "depth": "CASE WHEN score < 0 THEN NULL ELSE CAST(score - 2 AS VARCHAR) END"}.items()))
@@ -351,7 +352,7 @@ def _(t):
     m AS (SELECT least(pos // (n // 5), 4) AS fold, sum(hit) * 100e0 / count(hit) AS m FROM r GROUP BY 1)
     SELECT 'fold' || fold AS name, round(m, 6) AS value FROM m UNION ALL SELECT 'std', round(stddev_pop(m), 6) FROM m""")
 def _(t):
-    return rp.fold_std(t.variants, "qid", "hit", 5, tie=["varid"])
+    return rp.fold_std(t.variants, ["qid", "varid"], "hit", 5)
 
 
 @query("g28_component_means", """

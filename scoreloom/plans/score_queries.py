@@ -12,7 +12,11 @@ from scoreloom.plans import sqltext as q
 from scoreloom.plans.catalog import query
 from scoreloom.plans.extract_queries import _CASCADE, _JOINED, tally, tally_sql, with_items
 
-ANSWERS = F.split("answers", r"\|")
+
+def refs():
+    return F.split("answers", r"\|")
+
+
 _ANSWERS = "string_split(answers, '|')"
 
 
@@ -47,7 +51,7 @@ _HITS = f"len(list_filter(refs, lambda r: r = pred))"
     FROM (SELECT prediction, answers, n, {norm('prediction')} AS pred, {_REFS} AS refs
           FROM (SELECT prediction, answers, count(*) AS n FROM @multi GROUP BY ALL))""")
 def _(t):
-    return answer_tally(t, score=sc.vqa_score(F.col("prediction"), ANSWERS))
+    return answer_tally(t, score=sc.vqa_score(F.col("prediction"), refs()))
 
 
 _PLAIN = f"list_transform({_ANSWERS}, lambda a: CASE WHEN lower(trim(a)) = lower(trim(prediction)) THEN 1e0 ELSE 0e0 END)"
@@ -57,7 +61,7 @@ _PLAIN = f"list_transform({_ANSWERS}, lambda a: CASE WHEN lower(trim(a)) = lower
     best=f"CASE WHEN list_contains({_REFS}, {norm('prediction')}) THEN 1 ELSE 0 END", plain_mean=f"list_sum({_PLAIN}) / len({_PLAIN})"))
 def _(t):
     p = F.col("prediction")
-    return answer_tally(t, best=sc.any_equal(p, ANSWERS), plain_mean=sc.any_equal(p, ANSWERS, normalise=False, how="mean"))
+    return answer_tally(t, best=sc.any_equal(p, refs()), plain_mean=sc.any_equal(p, refs(), normalise=False, how="mean"))
 
 
 def _num(s):
@@ -72,7 +76,7 @@ def _relaxed(target, other):
 @query("d4_relaxed_accuracy", answer_sql(legacy=_relaxed("trim(prediction)", "a"), straight=_relaxed("a", "trim(prediction)")))
 def _(t):
     p = F.col("prediction")
-    return answer_tally(t, legacy=sc.relaxed_accuracy(p, ANSWERS), straight=sc.relaxed_accuracy(p, ANSWERS, legacy=False))
+    return answer_tally(t, legacy=sc.relaxed_accuracy(p, refs()), straight=sc.relaxed_accuracy(p, refs(), legacy=False))
 
 
 def _squeeze(s):
@@ -85,7 +89,7 @@ _COST = f"""list_min(list_transform({_ANSWERS}, lambda a: CASE WHEN greatest(len
 
 @query("d5_anls", answer_sql(score=f"CASE WHEN 1 - {_COST} < 0.5 THEN 0e0 ELSE 1 - {_COST} END"))
 def _(t):
-    return answer_tally(t, score=sc.anls(F.col("prediction"), ANSWERS))
+    return answer_tally(t, score=sc.anls(F.col("prediction"), refs()))
 
 
 def _anls_doc(a, b):
@@ -151,7 +155,7 @@ def _(t):
     bare=f"CASE WHEN len(list_filter({_ANSWERS}, lambda a: contains(lower(translate(prediction, '. ', '')), lower(translate(a, '. ', ''))))) > 0 THEN 1 ELSE 0 END"))
 def _(t):
     p = F.col("prediction")
-    return answer_tally(t, plain=sc.contains_answer(p, ANSWERS), bare=sc.contains_answer(p, ANSWERS, ". "))
+    return answer_tally(t, plain=sc.contains_answer(p, refs()), bare=sc.contains_answer(p, refs(), ". "))
 
 
 def _spaced(s):
@@ -161,7 +165,7 @@ def _spaced(s):
 @query("d10_reciprocal_rank", answer_sql(score=f"""
     coalesce(1e0 / nullif(coalesce(list_position(list_transform({_ANSWERS}, lambda a: contains({_spaced('prediction')}, {_spaced('a')})), true), 0), 0), 0e0)"""))
 def _(t):
-    return answer_tally(t, score=sc.reciprocal_rank(F.col("prediction"), ANSWERS))
+    return answer_tally(t, score=sc.reciprocal_rank(F.col("prediction"), refs()))
 
 
 def line_report(t, **scores):
@@ -175,13 +179,28 @@ def line_sql(**scores):
     return f"SELECT l_returnflag, {cols}, count(*) AS n FROM lineitem GROUP BY l_returnflag"
 
 
-QTY, LINE, DISC, TAX = (F.col(c) for c in ("l_quantity", "l_linenumber", "l_discount", "l_tax"))
+def qty():
+    return F.col("l_quantity")
+
+
+def line():
+    return F.col("l_linenumber")
+
+
+def disc():
+    return F.col("l_discount")
+
+
+def tax():
+    return F.col("l_tax")
+
+
 _RATIO = "greatest((l_quantity + 1e-8) / (l_linenumber * 8 + 1e-8), (l_linenumber * 8 + 1e-8) / (l_quantity + 1e-8))"
 
 
 @query("d11_ratio_within", line_sql(two=f"CASE WHEN {_RATIO} < 2 THEN 1 ELSE 0 END", one_half=f"CASE WHEN {_RATIO} < 1.5e0 THEN 1 ELSE 0 END"))
 def _(t):
-    return line_report(t, two=sc.ratio_within(QTY, LINE * 8, 2.0), one_half=sc.ratio_within(QTY, LINE * 8, 1.5))
+    return line_report(t, two=sc.ratio_within(qty(), line() * 8, 2.0), one_half=sc.ratio_within(qty(), line() * 8, 1.5))
 
 
 _MRA = " + ".join(f"CASE WHEN abs(l_linenumber * 8 - l_quantity) / (l_linenumber * 8) < {i}e0 / 100e0 THEN 1 ELSE 0 END" for i in range(5, 51, 5))
@@ -189,25 +208,32 @@ _MRA = " + ".join(f"CASE WHEN abs(l_linenumber * 8 - l_quantity) / (l_linenumber
 
 @query("d12_mean_relative_accuracy", line_sql(score=f"({_MRA}) / 10e0"))
 def _(t):
-    return line_report(t, score=sc.mean_relative_accuracy(QTY, LINE * 8))
+    return line_report(t, score=sc.mean_relative_accuracy(qty(), line() * 8))
 
 
 @query("d13_count_score", line_sql(score="""
     CASE WHEN l_quantity = l_linenumber THEN 100e0
          ELSE greatest(0e0, 100e0 * (1 - 4e0 / (l_linenumber + 9) * pow(abs(l_quantity - l_linenumber) / greatest(l_linenumber - 1, 9, 1), 0.1e0))) END"""))
 def _(t):
-    return line_report(t, score=sc.count_score(QTY, LINE, LINE + 9))
+    return line_report(t, score=sc.count_score(qty(), line(), line() + 9))
 
 
 @query("d14_linear_decay", line_sql(
     score="CASE WHEN l_linenumber = 7 THEN 0 ELSE greatest(0e0, (0.5e0 - abs(l_discount * 10 - l_tax * 10)) / 0.5e0) END",
     valid="CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 END"))
 def _(t):
-    raw = sc.linear_decay(F.when(LINE != 7, DISC * 10), TAX * 10)
+    raw = sc.linear_decay(F.when(line() != 7, disc() * 10), tax() * 10)
     return line_report(t, score=F.nullif(raw, F.lit(-1.0)), valid=(raw >= 0).cast("int"))
 
 
-PRED, GOLD = sc.box(*(F.col(c) for c in ("px1", "py1", "px2", "py2"))), sc.box(*(F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")))
+def said_box():
+    return sc.box(*(F.col(c) for c in ("px1", "py1", "px2", "py2")))
+
+
+def true_box():
+    return sc.box(*(F.col(c) for c in ("gx1", "gy1", "gx2", "gy2")))
+
+
 _IOU = """CASE WHEN px1 IS NULL THEN NULL WHEN least(px2, gx2) <= greatest(px1, gx1) OR least(py2, gy2) <= greatest(py1, gy1) THEN 0e0 ELSE
   (least(px2, gx2) - greatest(px1, gx1)) * (least(py2, gy2) - greatest(py1, gy1))
   / ((px2 - px1) * (py2 - py1) + (gx2 - gx1) * (gy2 - gy1) - (least(px2, gx2) - greatest(px1, gx1)) * (least(py2, gy2) - greatest(py1, gy1))) END"""
@@ -217,7 +243,7 @@ _IOU = """CASE WHEN px1 IS NULL THEN NULL WHEN least(px2, gx2) <= greatest(px1,
     SELECT data_type, category, round(sum({_IOU}), 4) AS iou_sum, CAST(count(*) FILTER (WHERE {_IOU} = 0) AS BIGINT) AS disjoint, count({_IOU}) AS n
     FROM @boxes GROUP BY ALL""")
 def _(t):
-    return t.boxes.select("data_type", "category", sc.box_iou(PRED, GOLD).alias("iou")).groupBy("data_type", "category").agg(
+    return t.boxes.select("data_type", "category", sc.box_iou(said_box(), true_box()).alias("iou")).groupBy("data_type", "category").agg(
         F.round(F.sum("iou"), 4).alias("iou_sum"), F.count_if(F.col("iou") == 0).alias("disjoint"), F.count("iou").alias("n"))
 
 
@@ -233,7 +259,7 @@ def _(t):
     x, y = F.col("pid") % 1000 + 0.0, F.col("oid") % 600 + 0.0
     inside = F.when((x > 1) | (y > 1), sc.point_hit(x, y, target, w, h)).otherwise(sc.point_in_box(x / w, y / h, target))
     return t.boxes.groupBy("data_type").agg(
-        F.count_if(sc.center_in_box(PRED, GOLD)).alias("centers"), F.count_if(inside).alias("points"))
+        F.count_if(sc.center_in_box(said_box(), true_box())).alias("centers"), F.count_if(inside).alias("points"))
 
 
 def _iou_of(p, g):
@@ -259,8 +285,8 @@ def _iou2(p, g):
     SELECT data_type, round(sum((greatest({_iou2(_P1, _G1)}, {_iou2(_P1, _G2)}) + greatest({_iou2(_P2, _G1)}, {_iou2(_P2, _G2)})) / 2e0), 4) AS best,
       round(sum(({_iou2(_P1, _G1)} + {_iou2(_P2, _G2)}) / 2e0), 4) AS positionwise, count(*) AS n FROM @boxes WHERE px1 IS NOT NULL GROUP BY data_type""")
 def _(t):
-    preds = F.array(PRED, sc.box(*(F.col(c) for c in _P2)))
-    golds = F.array(GOLD, sc.box(*(F.col(c) * 0.5 for c in _P1)))
+    preds = F.array(said_box(), sc.box(*(F.col(c) for c in _P2)))
+    golds = F.array(true_box(), sc.box(*(F.col(c) * 0.5 for c in _P1)))
     return t.boxes.filter(F.col("px1").isNotNull()).groupBy("data_type").agg(
         F.round(F.sum(sc.best_match_iou(preds, golds)), 4).alias("best"),
         F.round(F.sum(sc.positionwise_iou(preds, golds)), 4).alias("positionwise"), F.count("*").alias("n"))
@@ -275,12 +301,19 @@ def _(t):
     SELECT l_returnflag, round(sum(shared / (len_a + 2 - shared)), 4) AS iou, count(*) AS n FROM m GROUP BY l_returnflag""")
 def _(t):
     span = lambda a, b: F.struct(a.cast("double").alias("start"), b.cast("double").alias("end"))
-    shift = LINE + F.col("l_suppkey") % 6
-    said = F.array(span(shift, shift + 3), span(LINE, LINE + 4))
-    return line_report(t, iou=sc.interval_iou(said, F.array(span(QTY / 4, QTY / 4 + 2))))
+    shift = line() + F.col("l_suppkey") % 6
+    said = F.array(span(shift, shift + 3), span(line(), line() + 4))
+    return line_report(t, iou=sc.interval_iou(said, F.array(span(qty() / 4, qty() / 4 + 2))))
+
+
+def said_words():
+    return F.split(F.lower("prediction"), " ")
+
+
+def true_words():
+    return F.split(F.replace("answers", F.lit(" "), F.lit("|")), r"\|")
 
 
-SAID, TRUE = F.split(F.lower("prediction"), " "), F.split(F.replace("answers", F.lit(" "), F.lit("|")), r"\|")
 _SAID, _TRUE = "string_split(lower(prediction), ' ')", "string_split(replace(answers, ' ', '|'), '|')"
 _I, _U = f"len(list_intersect({_SAID}, {_TRUE}))", f"len(list_distinct(list_concat({_SAID}, {_TRUE})))"
 
@@ -289,7 +322,7 @@ _I, _U = f"len(list_intersect({_SAID}, {_TRUE}))", f"len(list_distinct(list_conc
     jaccard=f"{_I} / CAST({_U} AS DOUBLE)", precision=f"{_I} / CAST(len(list_distinct({_SAID})) AS DOUBLE)", recall=f"{_I} / CAST(len(list_distinct({_TRUE})) AS DOUBLE)",
     equal=f"CASE WHEN {_U} = {_I} THEN 1 ELSE 0 END"))
 def _(t):
-    return answer_tally(t, jaccard=sc.jaccard(SAID, TRUE), precision=sc.set_precision(SAID, TRUE), recall=sc.set_recall(SAID, TRUE), equal=sc.set_equal(SAID, TRUE))
+    return answer_tally(t, jaccard=sc.jaccard(said_words(), true_words()), precision=sc.set_precision(said_words(), true_words()), recall=sc.set_recall(said_words(), true_words()), equal=sc.set_equal(said_words(), true_words()))
 
 
 _ZIP = f"list_transform(range(1, CAST(least(len({_SAID}), len({_TRUE})) AS BIGINT) + 1), lambda i: ({_SAID})[i] = ({_TRUE})[i])"
@@ -301,8 +334,8 @@ _ZIP = f"list_transform(range(1, CAST(least(len({_SAID}), len({_TRUE})) AS BIGIN
     prefix=f"(coalesce(nullif(list_position({_ZIP}, false), 0), len({_ZIP}) + 1) - 1) / CAST(len({_TRUE}) AS DOUBLE)",
     sorted_equal=f"CASE WHEN list_sort({_SAID}) = list_sort({_TRUE}) THEN 1 ELSE 0 END"))
 def _(t):
-    return answer_tally(t, equal=sc.sequence_equal(SAID, TRUE), equal_fold=sc.sequence_equal(SAID, TRUE, True), accuracy=sc.sequence_accuracy(SAID, TRUE),
-                        prefix=sc.common_prefix_ratio(SAID, TRUE), sorted_equal=sc.sorted_equal(SAID, TRUE))
+    return answer_tally(t, equal=sc.sequence_equal(said_words(), true_words()), equal_fold=sc.sequence_equal(said_words(), true_words(), True), accuracy=sc.sequence_accuracy(said_words(), true_words()),
+                        prefix=sc.common_prefix_ratio(said_words(), true_words()), sorted_equal=sc.sorted_equal(said_words(), true_words()))
 
 
 @query("d21_map_scores", """
@@ -364,9 +397,9 @@ def _(t):
     positive="CASE WHEN l_linenumber - 3 <= 0 AND l_suppkey % 5 - 2 <= 0 THEN -1 WHEN l_linenumber - 3 = l_suppkey % 5 - 2 THEN 1 ELSE 0 END"))
 def _(t):
     return line_report(
-        t, relative=sc.relative_difference(QTY, LINE * 8), squared=sc.squared_error(QTY, LINE), clipped=sc.clipped_error(DISC, TAX),
-        sequence=sc.sequence_error(F.array(QTY, LINE.cast("double")), F.array(F.lit(20.0), F.lit(3.0))),
-        positive=sc.positive_int_match(LINE - 3, F.col("l_suppkey") % 5 - 2))
+        t, relative=sc.relative_difference(qty(), line() * 8), squared=sc.squared_error(qty(), line()), clipped=sc.clipped_error(disc(), tax()),
+        sequence=sc.sequence_error(F.array(qty(), line().cast("double")), F.array(F.lit(20.0), F.lit(3.0))),
+        positive=sc.positive_int_match(line() - 3, F.col("l_suppkey") % 5 - 2))
 
 
 @query("d25_keypoint_similarity", """
@@ -386,14 +419,14 @@ def _(t):
     exp(-2 * 6371.0088e0 * asin(sqrt(least(pow(sin(radians(l_discount * 100 - l_tax * 100) / 2), 2)
       + cos(radians(l_tax * 100)) * cos(radians(l_discount * 100)) * pow(sin(radians(l_linenumber - l_quantity) / 2), 2), 1e0))) / 1000e0)"""))
 def _(t):
-    return line_report(t, score=sc.geo_proximity(TAX * 100, QTY, DISC * 100, LINE, 1000.0))
+    return line_report(t, score=sc.geo_proximity(tax() * 100, qty(), disc() * 100, line(), 1000.0))
 
 
 @query("d27_rubric_bucket", """
     SELECT l_returnflag, bucket, count(*) AS n FROM (SELECT l_returnflag,
       CASE WHEN l_linenumber = 7 THEN 0 WHEN l_quantity / 50 * 5 <= 2 THEN 1 WHEN l_quantity / 50 * 5 <= 4 THEN 3 ELSE 5 END AS bucket FROM lineitem) GROUP BY ALL""")
 def _(t):
-    bucket = sc.rubric_bucket(F.when(LINE != 7, QTY / 50)).alias("bucket")
+    bucket = sc.rubric_bucket(F.when(line() != 7, qty() / 50)).alias("bucket")
     return t.lineitem.select("l_returnflag", bucket).groupBy("l_returnflag", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -427,9 +460,9 @@ def _(t):
              CASE WHEN l_partkey % 2 = 0 THEN l_linenumber * 1e6 ELSE l_suppkey % 8 * 1e0 END AS tv, CASE WHEN l_partkey % 2 = 0 THEN l_linenumber * 1e6 ELSE l_suppkey % 8 * 1e0 END AS tb
       FROM lineitem) GROUP BY ALL""")
 def _(t):
-    line = LINE.cast("string")
-    said = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("$"), line, F.lit(" million"))).otherwise(F.concat(F.lit("("), line, F.lit(") shares")))
-    truth = F.when(F.col("l_partkey") % 2 == 0, F.concat(line, F.lit(",000,000"))).otherwise((F.col("l_suppkey") % 8).cast("string"))
+    number = line().cast("string")
+    said = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("$"), number, F.lit(" million"))).otherwise(F.concat(F.lit("("), number, F.lit(") shares")))
+    truth = F.when(F.col("l_partkey") % 2 == 0, F.concat(number, F.lit(",000,000"))).otherwise((F.col("l_suppkey") % 8).cast("string"))
     rows = t.lineitem.select(said.alias("said"), truth.alias("truth"))
     a, b = sc.table_number_forms(F.col("said")), sc.table_number_forms(F.col("truth"))
     return rows.select("said", "truth", (a["exact"] == b["exact"]).cast("int").alias("strict"),
@@ -453,17 +486,19 @@ def check(rule, low=None, high=None, texts=(), ranges=()):
 
 
 # the rule tables of the registered query: one constraint per line, all checks of a line must hold
-RULES = {
-    "length": [check("paragraph_count", 1, 1), check("word_count", 60, 400)],
-    "sentences": [check("sentence_count", 3, 40), check("paragraph_sentences", 1, 60)],
-    "paragraph_words": [check("paragraph_words", 20, 500)],
-    "clean": [check("without", texts=["###", "***", "http"])],
-    "marks": [check("sentences_end", texts=["."]), check("paragraphs_end", texts=["."])],
-    "opening": [check("begins", texts=["T"]), check("paragraphs_begin", texts=["T"])],
-    "closing": [check("ends", texts=["."])],
-    "keywords": [check("each_keyword", 1, 60, ["the", "of"]), check("total_keywords", 4, 80, ["the", "and"])],
-    "percent": [check("percent_precision", 0, 0)],
-}
+def rules():
+    return {
+        "length": [check("paragraph_count", 1, 1), check("word_count", 60, 400)],
+        "sentences": [check("sentence_count", 3, 40), check("paragraph_sentences", 1, 60)],
+        "paragraph_words": [check("paragraph_words", 20, 500)],
+        "clean": [check("without", texts=["###", "***", "http"])],
+        "marks": [check("sentences_end", texts=["."]), check("paragraphs_end", texts=["."])],
+        "opening": [check("begins", texts=["T"]), check("paragraphs_begin", texts=["T"])],
+        "closing": [check("ends", texts=["."])],
+        "keywords": [check("each_keyword", 1, 60, ["the", "of"]), check("total_keywords", 4, 80, ["the", "and"])],
+        "percent": [check("percent_precision", 0, 0)],
+    }
+
 
 _TIDY = "trim(regexp_replace(text, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), ' ' || chr(9) || chr(10))"
 _PARAS = f"list_filter(regexp_split_to_array(tidy, '\\n\\s*\\n'), lambda p: trim(p) <> '')"
@@ -499,10 +534,10 @@ _CHECKS = {
     SELECT doc_id, {', '.join(f'({v}) AS {k}' for k, v in _CHECKS.items())},
       round(({' + '.join(f'CAST(({v}) AS INT)' for v in _CHECKS.values())}) / {len(_CHECKS)}e0, 6) AS score FROM p""")
 def _(t):
-    rules = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*v).alias("checks")) for k, v in RULES.items()])
-    scored = cs.constraint_scores(t.documents.select("doc_id", "text").withColumn("rules", rules), "text", "rules")
+    table = F.array(*[F.struct(F.lit(k).alias("key"), F.array(*v).alias("checks")) for k, v in rules().items()])
+    scored = cs.constraint_scores(t.documents.select("doc_id", "text").withColumn("rules", table), "text", "rules")
     flags = F.map_from_entries("passed")
-    return scored.select("doc_id", *[flags[k].alias(k) for k in RULES], F.round("score", 6).alias("score"))
+    return scored.select("doc_id", *[flags[k].alias(k) for k in rules()], F.round("score", 6).alias("score"))
 
 
 @query("d33_text_constraint_features", """

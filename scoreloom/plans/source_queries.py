@@ -122,12 +122,12 @@ _NAV = "list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</
 _LEAD = "trim(regexp_replace({}, '^[\\s.,\\-:;]+', ''))"
 
 
-@query("a11_pages_to_items", f"""
+@query("a11_pages_to_items", rf"""
     WITH l AS (SELECT page_id, {_NAV} AS li FROM pages),
     r AS (SELECT page_id, li, coalesce(li[2], '') AS "A", coalesce(li[3], '') AS "B", coalesce(li[4], '') AS "C", coalesce(li[5], '') AS "D",
             CASE WHEN page_id % 3 = 0 THEN li[3] WHEN page_id % 3 = 1 THEN 'C' ELSE 'zzz' END AS said FROM l WHERE len(li) > 0),
     s AS (SELECT *, CASE WHEN page_id % 3 < 2 THEN upper(regexp_extract(said, '(?i)^([a-d])', 1)) ELSE '' END AS letter,
-            CASE WHEN page_id % 3 < 2 AND regexp_matches(said, '(?i)^[a-d]') THEN {_LEAD.format("regexp_replace(said, '(?i)^[a-d]\s*[).\-]?\s*', '')")} ELSE {_LEAD.format('said')} END AS txt FROM r)
+            CASE WHEN page_id % 3 < 2 AND regexp_matches(said, '(?i)^[a-d]') THEN {_LEAD.format(r"regexp_replace(said, '(?i)^[a-d]\s*[).\-]?\s*', '')")} ELSE {_LEAD.format('said')} END AS txt FROM r)
     SELECT page_id, CAST(0 AS INT) AS "row", li[1] AS question, "A", "B", "C", "D",
       trim(regexp_replace(CASE WHEN txt <> '' THEN txt ELSE CASE letter WHEN 'A' THEN "A" WHEN 'B' THEN "B" WHEN 'C' THEN "C" WHEN 'D' THEN "D" ELSE '' END END, '^[\s.,\-:;]+', '')) AS answer,
       CASE WHEN letter <> '' THEN letter WHEN txt = '' THEN '' WHEN contains(lower("A"), lower(txt)) THEN 'A' WHEN contains(lower("B"), lower(txt)) THEN 'B' WHEN contains(lower("C"), lower(txt)) THEN 'C'
@@ -260,7 +260,7 @@ def _(t):
 
 
 @query("h3_dialog_history", """
-    SELECT conv_id, turn, coalesce(sum(length(text)) OVER w, 0) AS history_chars, count(text) OVER w AS history_turns FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+    SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS history_chars, count(text) OVER w AS history_turns FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(t):
     rows = t.conversations.select("conv_id", "turn", F.length("text").cast("bigint").alias("size"))
     chars = prefix_fold(rows, F.col("size"), "turn", "history_chars", ["conv_id"])

@@ -29,7 +29,7 @@ def _(t):
 @query("b2_ensure_index", """
     SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS "index" FROM conversations""")
 def _(t):
-    return it.ensure_index(t.conversations.select("conv_id", "turn"), "conv_id", tie=["turn"])
+    return it.ensure_index(t.conversations.select("conv_id", "turn"), ["conv_id", "turn"])
 
 
 @query("b2_index_as_number", """

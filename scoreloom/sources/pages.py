@@ -50,7 +50,7 @@ def pages_to_items(pages: DataFrame, key: str, html: str) -> DataFrame:
     listed = cells.select(key, "row", F.transform(elements(F.get("td", F.lit(0)), "li"), inner_text).alias("li"),
                           inner_text(F.element_at("td", -1)).alias("cell")).filter(F.size("li") > 0)
     question = F.trim(F.regexp_replace(F.get("li", F.lit(0)), r"^\s*\d+\s*[).]\s*", ""))
-    stripped = F.transform(F.slice("li", 2, 1000), lambda o: F.trim(F.regexp_replace(o, r"^[A-D]\s*[).\-]\s*", "")))
+    stripped = F.transform(F.slice("li", F.lit(2), F.size("li")), lambda o: F.trim(F.regexp_replace(o, r"^[A-D]\s*[).\-]\s*", "")))
     four = F.slice(F.concat(stripped, F.array_repeat(F.lit(""), 4)), 1, 4)
     shaped = listed.select(key, "row", question.alias("question"), four.alias("o"), split_answer(F.col("cell")).alias("said"), "cell")
     any_option = F.exists("o", lambda o: o != "")

@@ -34,6 +34,18 @@ def test_prefix_fold_on_a_hot_key(spark, width):
         before.append(v)
 
 
+@pytest.mark.parametrize("width", [1, 9, 1 << 16])
+def test_several_order_columns_with_a_hot_first_one(spark, width):
+    rows = [(0 if i % 3 == 0 else i // 50, i, i % 7) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a int, b int, v int")
+    got = {r["b"]: (r["position"], r["s"]) for r in od.prefix_fold(
+        od.with_position(df, ["a", "b"], width=width), F.col("v"), ["a", "b"], "s", width=width).collect()}
+    total = 0
+    for spot, (a, b, v) in enumerate(sorted(rows)):
+        assert got[b] == (spot, total if spot else None)
+        total += v
+
+
 def test_positions_are_dense(spark):
     rows = hot_rows(2000)
     df = spark.createDataFrame(rows, "k int, o int, id int, v int")
