@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,11 +182,42 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1.0 - F.coalesce(F.try_divide(F.levenshtein(a, b), longest), F.lit(0.0))
 
 
-def near_match(a: Column, b: Column, cutoff: float = 0.9) -> Column:
+def _transposing_distance(a: str, b: str) -> int:
+    """Edit distance that also counts a swap of neighbours as one step, edits between them allowed."""
+    limit = len(a) + len(b)
+    table = [[limit] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for j in range(len(b) + 1):
+        table[1][j + 1] = j
+    seen: dict[str, int] = {}
+    for i, x in enumerate(a, 1):
+        table[i + 1][1] = i
+        match = 0
+        for j, y in enumerate(b, 1):
+            row, col = seen.get(y, 0), match
+            if x == y:
+                match = j
+            table[i + 1][j + 1] = min(
+                table[i][j] + (x != y), table[i + 1][j] + 1, table[i][j + 1] + 1, table[row][col] + (i - row - 1) + 1 + (j - col - 1))
+        seen[x] = i
+    return table[-1][-1]
+
+
+def transposing_similarity(a: Column, b: Column) -> Column:
+    """Edit similarity with transpositions, in Arrow batches; for short answers."""
+
+    def batch(x: pd.Series, y: pd.Series) -> pd.Series:
+        rate = lambda p, q: None if p is None or q is None else 1.0 - _transposing_distance(p, q) / max(len(p), len(q), 1)
+        return pd.Series([rate(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return F.pandas_udf(batch, "double")(a, b)
+
+
+def near_match(a: Column, b: Column, cutoff: float = 0.9, similarity=edit_similarity) -> Column:
     """Edit similarity without articles and accents; zero below the cutoff."""
     accents, plain = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
     fold = lambda s: F.translate(F.regexp_replace(F.lower(s), r"\b(a|an|the)\b\s*", ""), accents, plain)
-    return bound(edit_similarity(fold(a), fold(b)), lambda v: F.when(v >= cutoff, v).otherwise(0.0))
+    value = similarity(fold(a), fold(b))
+    return F.when(value >= cutoff, value).otherwise(0.0)
 
 
 # -- numbers -----------------------------------------------------------------------------------

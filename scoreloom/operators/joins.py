@@ -138,8 +138,9 @@ def place_spans_among_frames(frames: DataFrame, spans: DataFrame, key: str, time
         F.when(short, middle - 0.5).otherwise(F.col(start)).alias("_from"), F.when(short, middle + 0.5).otherwise(F.col(end)).alias("_to"))
     cut = widened.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
     at = frames.select(key, F.col(time).alias("_time"), F.floor(F.col(time) / width).alias("_slice")).distinct()
-    kept = cut.join(at, [key, "_slice"]).filter((F.col("_from") < F.col("_time")) & (F.col("_time") < F.col("_to"))).select(
-        key, text, "_at").distinct()
+    frame = at.select(F.col(key).alias("_key"), F.col("_slice").alias("_frame_slice"), "_time")
+    inside = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_frame_slice")) & (F.col("_from") < F.col("_time")) & (F.col("_time") < F.col("_to"))
+    kept = cut.join(frame, inside, "left_semi").select(key, text, "_at").distinct()
     events = frames.select(key, F.col(time).cast("double").alias("seconds"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias(text)).unionByName(
         kept.select(key, F.col("_at").alias("seconds"), F.lit(1).alias("kind"), text))
     whole = events.withColumn("_second", F.floor("seconds"))

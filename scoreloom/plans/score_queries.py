@@ -391,6 +391,13 @@ def _(t):
     return tally(t.multi, "prediction", answers=a, similarity=F.round(sc.edit_similarity(p, a), 6), near=F.round(sc.near_match(p, a, 0.5), 6))
 
 
+@query("d23_transposing_similarity", tally_sql("@notes", "choice", truth="choice_truth",
+       similarity="round(1e0 - damerau_levenshtein(choice, choice_truth) / CAST(greatest(length(choice), length(choice_truth)) AS DOUBLE), 6)"))
+def _(t):
+    a, b = F.col("choice"), F.col("choice_truth")
+    return tally(t.notes, "choice", truth=b, similarity=F.round(sc.transposing_similarity(a, b), 6))
+
+
 @query("d24_numeric_field_scores", line_sql(
     relative="greatest(0e0, 1e0 - abs((l_quantity - l_linenumber * 8) / (l_linenumber * 8)))", squared="(l_quantity - l_linenumber) * (l_quantity - l_linenumber)",
     clipped="1e0 - least(abs(l_discount - l_tax), 0.1e0) / 0.1e0", sequence="1e0 - least((abs(l_quantity - 20) + abs(l_linenumber - 3)) / 2e0, 10e0) / 10e0",

@@ -13,7 +13,7 @@ from scoreloom.plans.bind import BASE_TABLES
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = plans.queries(), plans.oracle_sql()
 # queries that call a user function or an Arrow helper
-PYTHON = {"h1_resumable_apply", "h2_rule_then_judge", "h3_multi_turn_apply", "e5_rouge_l"}
+PYTHON = {"d23_transposing_similarity", "h1_resumable_apply", "h2_rule_then_judge", "h3_multi_turn_apply", "e5_rouge_l"}
 
 
 @pytest.fixture(scope="module")

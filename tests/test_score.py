@@ -99,6 +99,13 @@ def test_constraint_rules(value):
     assert run("x", rule("no such rule")) is False
 
 
+def test_transpositions(spark):
+    rows = [(1, "ab", "ba"), (2, "ca", "abc"), (3, "", ""), (4, "abcd", "abcd"), (5, "a cat", "a act")]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    got = {r["id"]: r["s"] for r in df.select("id", sc.transposing_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got == {1: 0.5, 2: pytest.approx(1 / 3), 3: 1.0, 4: 1.0, 5: 0.8}
+
+
 def brute_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
