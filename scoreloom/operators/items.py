@@ -68,11 +68,14 @@ def of_question_type(df: DataFrame, kind: str, column: str = "question_type") ->
 def resolve_shared_payload(df: DataFrame, payload: str, index: str = "index", longest: int = 64) -> DataFrame:
     """Short payloads name the row that owns the payload; ``payload_error`` marks broken references.
 
-    Only the referring rows take part in the join, the owners pass through.
+    Only the referring rows and the owners they name take part in the join; other payloads pass
+    through without being shuffled for it.
     """
     refers = F.length(payload) <= longest
+    short = df.filter(refers).withColumn("_ref", F.col(payload))
+    named = short.select("_ref").distinct()
     owners = df.filter(~refers).select(F.col(index).cast("string").alias("_ref"), F.col(payload).alias("_owned"))
-    short = df.filter(refers).withColumn("_ref", F.col(payload)).join(owners, "_ref", "left")
+    short = short.join(owners.join(named, "_ref", "left_semi"), "_ref", "left")
     resolved = short.withColumn("payload_error", F.when(F.col("_owned").isNull(), "unknown owner"))
     resolved = resolved.withColumn(payload, F.coalesce("_owned", payload)).drop("_ref", "_owned")
     kept = df.filter(F.coalesce(~refers, F.lit(True))).withColumn("payload_error", F.lit(None).cast("string"))
