@@ -279,12 +279,14 @@ def _(t):
                  total=F.round(F.get(parts, F.lit(2)), 6))
 
 
-_V = f"list_distinct({q.found_all('verdict_text', '\\[\\[' + ex.VERDICT + '\\]\\]')})"
+_BRACKETED = r"\[\[" + ex.VERDICT + r"\]\]"
+_V = f"list_distinct({q.found_all('verdict_text', _BRACKETED)})"
+_MARKED = q.found("replace(upper(verdict_text), ' ', '')", _BRACKETED)
 
 
 @query("c23_parse_verdict", tally_sql(
     "@notes", "verdict_text", verdict=f"CASE WHEN len({_V}) = 1 THEN {_V}[1] END",
-    marked=f"CASE WHEN contains(upper(verdict_text), 'FINAL VERDICT IS:') THEN {q.found(chr(10).join(['replace(upper(verdict_text),', chr(39) + ' ' + chr(39) + ',', chr(39) * 2 + ')']), '\\[\\[' + ex.VERDICT + '\\]\\]')} END"))
+    marked=f"CASE WHEN contains(upper(verdict_text), 'FINAL VERDICT IS:') THEN {_MARKED} END"))
 def _(t):
     s = F.col("verdict_text")
     return tally(t.notes, "verdict_text", verdict=ex.parse_verdict(s), marked=ex.parse_verdict(s, "FINAL VERDICT IS:"))
@@ -307,7 +309,8 @@ def _(t):
 
 
 def _ab(side):
-    return f"TRY_CAST({q.found('upper(replace(ab_scores, ' + q.lit('*') + ', ' + q.lit('') + '))', f'RESPONSE {side} VISUAL FACTUALITY SCORE:' + chr(92) + 's*([0-9.]+)')} AS DOUBLE)"
+    score = q.found("upper(replace(ab_scores, '*', ''))", rf"RESPONSE {side} VISUAL FACTUALITY SCORE:\s*([0-9.]+)")
+    return f"TRY_CAST({score} AS DOUBLE)"
 
 
 @query("c24_parse_ab_scores", tally_sql("@notes", "ab_scores", value=f"""

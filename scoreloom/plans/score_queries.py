@@ -516,7 +516,8 @@ def _sents(s):
 
 
 def _wc(s):
-    return f"len({q.words(f'regexp_replace({s}, {q.lit(chr(91) + chr(94) + chr(92) + "p{L}" + chr(92) + "p{N}_" + chr(92) + "s.-" + chr(93))}, {q.lit("")}, {q.lit("g")})')})"
+    kept = rf"regexp_replace({s}, '[^\p{{L}}\p{{N}}_\s.-]', '', 'g')"
+    return f"len({q.words(kept)})"
 
 
 def _kw(k):
