@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scoreloom.functions import constraints as cs
@@ -249,7 +251,7 @@ def _(t):
 
 @query("d16_center_and_point_in_box", """
     SELECT data_type, CAST(count(*) FILTER (WHERE (px1 + px2) / 2 BETWEEN gx1 AND gx2 AND (py1 + py2) / 2 BETWEEN gy1 AND gy2) AS BIGINT) AS centers,
-      CAST(count(*) FILTER (WHERE (pid % 1000) / 1000e0 BETWEEN (line - CASE WHEN line = 0 THEN 0 ELSE 0 END) * 10 / 1000e0 AND (line * 10 + 400 - 1) / 1000e0
+      CAST(count(*) FILTER (WHERE (pid % 1000) / 1000e0 BETWEEN line * 10 / 1000e0 AND (line * 10 + 400 - 1) / 1000e0
             AND (oid % 600) / 600e0 BETWEEN (oid % 50) / 600e0 AND (oid % 50 + 300 - 1) / 600e0) AS BIGINT) AS points
     FROM @boxes GROUP BY data_type""")
 def _(t):
@@ -262,23 +264,14 @@ def _(t):
         F.count_if(sc.center_in_box(said_box(), true_box())).alias("centers"), F.count_if(inside).alias("points"))
 
 
-def _iou_of(p, g):
-    pick = lambda side, b: [f"{side}{c}" if b is None else b[i] for i, c in enumerate(("x1", "y1", "x2", "y2"))]
-    sql = _IOU.replace("px1 IS NULL", "false")
-    for names, vals in ((("px1", "py1", "px2", "py2"), p), (("gx1", "gy1", "gx2", "gy2"), g)):
-        for n, v in zip(names, vals):
-            sql = sql.replace(n, f"({v})")
-    return sql
-
-
 _P1, _P2 = ("px1", "py1", "px2", "py2"), ("gy1", "gx1", "gy2", "gx2")
 _G1, _G2 = ("gx1", "gy1", "gx2", "gy2"), ("px1 * 0.5e0", "py1 * 0.5e0", "px2 * 0.5e0", "py2 * 0.5e0")
 
 
 def _iou2(p, g):
-    # names are parked first so that replacing one side does not touch the other
-    park = lambda cols, tag: [c.replace("px", f"{tag}px").replace("py", f"{tag}py").replace("gx", f"{tag}gx").replace("gy", f"{tag}gy") for c in cols]
-    return _iou_of([c.replace("p", "#").replace("g", "~") for c in p], [c.replace("p", "#").replace("g", "~") for c in g]).replace("#", "p").replace("~", "g")
+    """IoU of any two boxes given by their four corner expressions."""
+    corners = {**dict(zip(_P1, p)), **dict(zip(_G1, g))}
+    return re.sub(r"\b[pg][xy][12]\b", lambda m: f"({corners[m.group()]})", _IOU.replace("px1 IS NULL", "false"))
 
 
 @query("d17_best_match_iou", f"""
