@@ -117,11 +117,27 @@ def _window_words(data: np.ndarray, starts_text: np.ndarray, word: np.ndarray) -
     first[cuts] = inside[1:-1][cuts]
     last[cuts - 1] = inside[1:-1][cuts - 1]
     first, last = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _powers(max(WINDOW_BYTES, len(data)) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[last + 1] - sums[first]) * down[first]
-    return first, mix(h + (last + 1 - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return first, span_sums(low, first, last + 1)
+
+
+def span_sums(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of ``data``, from differences of one running sum of weighted bytes."""
+    with np.errstate(over="ignore"):
+        up, down = _powers(max(WINDOW_BYTES, len(data)) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[first]) * down[first]
+        return mix(h + (end - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes under a text column and where its rows begin and end in them."""
+    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    return (np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)), bounds
 
 
 def word_hashes(texts: pa.Array, word: np.ndarray = ~_SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -129,10 +145,7 @@ def word_hashes(texts: pa.Array, word: np.ndarray = ~_SPACE) -> Iterator[tuple[i
 
     Memory is bounded by the window and one text's hashes: long texts are read in windows cut between words.
     """
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    body = texts.buffers()[2]
-    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+    data, bounds = text_buffers(texts)
     row = 0
     with np.errstate(over="ignore"):
         while row < len(texts):
