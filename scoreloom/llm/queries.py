@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import mixing, packing, pii, sharding, token_files, toxicity
+from scoreloom.llm import language_model, mixing, packing, pii, sharding, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_documents(spark, sf_dir))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(_documents(spark, sf_dir), order=2)
+
+
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_documents(spark, sf_dir), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_find_personal_data": op3_find_personal_data,
     "op4_pack_sequences": op4_pack_sequences,
     "op7_token_files": op7_token_files,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_kd_shards": op9_kd_shards,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
