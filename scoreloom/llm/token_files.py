@@ -33,7 +33,7 @@ MAGIC = b"EFTOKEN1"
 #: magic, documents, ids, bytes an id, low bits, bytes of low bits, bytes of high bits, samples
 HEADER = struct.Struct("<8sQQBBQQQ")
 FILE_IDS = 1 << 20
-PARTITION_BYTES = 32 << 20
+PARTITION_BYTES = 16 << 20
 SAMPLE = 256
 FILES = "part int, number int, documents bigint, ids bigint, file binary"
 

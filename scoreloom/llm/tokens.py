@@ -17,9 +17,9 @@ import pyarrow as pa
 from scoreloom.llm.common import mix, span_sums, text_buffers
 
 END_ID = 0
-CACHE_PARTS = 3_000_000
+CACHE_PARTS = 1_000_000
 JOINED = 2000
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A, 0x0D, 0x09]] = True
 _ALNUM = np.zeros(256, bool)
@@ -69,8 +69,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -106,7 +106,9 @@ class Encoder:
         starts[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
         self.used += len(flat)
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.lengths = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, starts.astype(np.int32))
+        self.lengths = np.insert(self.lengths, at, lengths.astype(np.int32))
 
     def _window(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a window of whole parts, and the number of ids of each text; ``cuts``: bounds of the texts."""
@@ -125,7 +127,7 @@ class Encoder:
             raw = data.tobytes()
             self._learn(distinct[new], [raw[a:b] for a, b in zip(first[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, distinct)
-        lengths = self.lengths[at][back]
+        lengths = self.lengths[at][back].astype(np.int64)
         sums = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=sums[1:])
         ids = self.pool[np.repeat(self.starts[at][back] - sums[:-1], lengths) + np.arange(sums[-1])]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import LETTERS, free_name, word_hashes
 
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 MAX_FEATURES = 4096
 MIN_DOCUMENTS = 5
 MIN_Z = 4.5
