@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import jaccard_join, language_model, mixing, packing, pii, sharding, token_files, toxicity
+from scoreloom.llm import fingerprints, jaccard_join, language_model, mixing, packing, pii, sharding, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_classes(fingerprints.fingerprint_documents(_documents(spark, sf_dir)))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sizes_of(_documents(spark, sf_dir)))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -49,6 +53,7 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_edit_fingerprints": op1_edit_fingerprints,
     "op2_mix_sources": op2_mix_sources,
     "op3_find_personal_data": op3_find_personal_data,
     "op4_pack_sequences": op4_pack_sequences,
