@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import fingerprints, jaccard_join, language_model, mixing, packing, pii, sharding, token_files, toxicity
+from scoreloom.llm import fingerprints, jaccard_join, language_model, mixing, neighbours, packing, pii, sharding, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest(vectors, vectors.filter("id % 50 = 0"), k=5)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_find_personal_data": op3_find_personal_data,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_vantage_point_search": op5_vantage_point_search,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_kneser_ney": op8_kneser_ney,
