@@ -1,21 +1,53 @@
-"""From raw documents to packed sequences: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoreloom.llm import mixing
+from scoreloom.llm import jaccard_join, mixing, packing, pii, toxicity
 from scoreloom.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of every group of near copies."""
+    return jaccard_join.keep_one(docs, COLUMNS)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by the name of its kind; ``n_chars`` follows the text."""
+    return pii.redact(docs, COLUMNS).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix_documents(docs.select(*COLUMNS))
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
+#: a fitted classifier, hashes and a tokenizer are no SQL; tests compare with a brute-force run
 ORACLE_SQL = None
 
 
