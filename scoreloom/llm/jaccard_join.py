@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import free_name, mix, new_path, stored, whole_text, word_hashes
+from scoreloom.llm.common import mix, new_path, stored, whole_text, word_hashes
 from scoreloom.llm.components import components
 from scoreloom.llm.language_model import _bucket, _folder, _hit, _map, _save
 
@@ -349,8 +349,7 @@ def keep_one(docs: DataFrame, columns: Sequence[str], words: int = WORDS, simila
     first = linked.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "doc_id", "text_hash")).alias("k"))
     kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.lit(True).alias("_one"))
     wordless = rows.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(False).alias("_one")).distinct()
-    name = free_name(docs.columns, "_text_hash")
-    hashed = docs.withColumn(name, F.xxhash64(whole_text()))
-    joined = hashed.join(kept.unionByName(wordless), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_hash")))
+    hashed = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"))
+    joined = hashed.join(kept.unionByName(wordless), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     once = joined.filter("_one").dropDuplicates(["_id", "_hash"])
-    return once.select(*columns).unionByName(joined.filter("NOT _one").select(*columns))
+    return once.select("row.*").unionByName(joined.filter("NOT _one").select("row.*"))

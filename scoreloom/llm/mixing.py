@@ -148,9 +148,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     times = taken.select(F.col("doc_id").alias("_id"), "source", "size", F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("_times"))
     times = times.withColumnRenamed("source", "_of").withColumn("_times", F.when(F.col("size") == 0, 1).otherwise(F.col("_times")))
     kept = times.filter("_times > 0").groupBy("_id", "_of", "size").agg(F.array_sort(F.collect_list("_times")).alias("_times"))
-    sized = docs.withColumn("_size", count_words(whole_text()))
-    ranked = sized.join(
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", count_words(whole_text()).alias("_size"))
+    ranked = rows.join(
         kept.withColumnRenamed("size", "_words"),
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("_size") == F.col("_words")),
     )
-    return ranked.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.element_at("_times", 1))).alias("_copy")).drop("_copy")
+    return ranked.select("row", F.explode(F.sequence(F.lit(1), F.element_at("_times", 1))).alias("copy")).select("row.*")

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import free_name, stored, whole_text
+from scoreloom.llm.common import stored, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -195,14 +195,15 @@ def redact(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     lists = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_s"))
     # the end of what is covered before each span, so that overlaps are cut once
     lists = lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_h")
-    hashed, text = free_name(docs.columns, "_text_hash"), whole_text()
-    hit = docs.filter(text.rlike(ANY_HINT)).withColumn(hashed, F.xxhash64(text))
-    joined = hit.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(hashed) == F.col("_h")), "left")
+    rows = docs.select(F.struct(*columns).alias("row"), "doc_id", whole_text().alias("_text"))
+    text = F.col("_text")
+    hit = rows.filter(text.rlike(ANY_HINT)).withColumn("_hash", F.xxhash64(text))
+    joined = hit.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
     tag = lambda kind: F.coalesce(*[F.when(kind == k, F.lit(t)) for k, t in TAGS.items()])
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), tag(s["kind"])).alias("out"))
     )
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     whole = F.aggregate("_s", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    changed = joined.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(whole)).select(*columns)
-    return changed.unionByName(docs.filter(~text.rlike(ANY_HINT)).select(*columns))
+    changed = joined.select(F.col("row").withField("text", F.when(F.col("_s").isNull(), F.col("row.text")).otherwise(whole)).alias("row")).select("row.*")
+    return changed.unionByName(rows.filter(~text.rlike(ANY_HINT)).select("row.*"))
