@@ -124,9 +124,9 @@ def extract_boxed_or_phrase(s: Column, labels: str = "ABCD") -> Column:
     group = f"([{labels}])"
     boxed = last(all_found(s, r"\\boxed\{(?:\\text\{|\\rm\{|\\mathbf\{|\$)?\s*" + group + r"\s*\$?\}"))
     plain = F.replace(s, F.lit("<|endoftext|>"), F.lit(""))
-    framed = F.coalesce(
-        found(plain, rf" \(?{group}\)?\.$"), found(plain, rf"^\(?{group}\)?\n"),
-    )
+    ends = lambda c: plain.endswith(f" {c}.") | plain.endswith(f" ({c}).")
+    starts = lambda c: plain.startswith(f"{c}\n") | plain.startswith(f"({c})\n") | plain.startswith(f"({c}) {c}\n")
+    framed = F.coalesce(*[F.when(ends(c) | starts(c), F.lit(c)) for c in labels])
     low = F.lower(plain)
     tail = lambda p: F.split_part(F.split_part(F.trim(F.substring_index(low, p, -1)), F.lit("\n"), F.lit(1)), F.lit("."), F.lit(1))
     phrase = F.coalesce(*[
@@ -317,8 +317,8 @@ def number_pairs(s: Column) -> Column:
 
 def parse_score_json(s: Column) -> Column:
     """struct(pred, score) of a JSON or literal-style object; (null, -1) if unreadable."""
-    quoted = F.translate(s, "'", '"')
-    pred, score = F.get_json_object(quoted, "$.pred"), F.get_json_object(quoted, "$.score").try_cast("double")
+    read = F.from_json(s, "pred string, score string")
+    pred, score = read["pred"], read["score"].try_cast("double")
     good = pred.isNotNull() & score.isNotNull()
     return F.struct(F.when(good, F.lower(pred)).alias("pred"), F.when(good, score).otherwise(-1.0).alias("score"))
 

@@ -103,10 +103,18 @@ def float_equal(reference: Column, prediction: Column) -> Column:
 
 
 # Shapes of answers that only count when identical.
-EXACT_SHAPES = (
-    r"https://|(\.py|ipynb)$|^page|^\d+([-]\d+|\s\d+)?$|a\.m\.|p\.m\.|^\d{4}[-\s]\d{2}[-\s]\d{2}$"
-    r"|^\d{4}[-\s]\d{2}$|^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-)
+EXACT_SHAPES = "|".join([
+    r"https://",
+    r"\.py$",
+    r"ipynb$",
+    r"^page",
+    r"^\d+(-\d+|\s\d+)?$",
+    r"a\.m\.",
+    r"p\.m\.",
+    r"^\d{4}[-\s]\d{2}[-\s]\d{2}$",
+    r"^\d{4}[-\s]\d{2}$",
+    r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",
+])
 
 
 def typed_doc_score(truth: Column, prediction: Column, kind: Column, parse_list) -> Column:
@@ -132,7 +140,7 @@ def typed_doc_score(truth: Column, prediction: Column, kind: Column, parse_list)
 
 def parse_list(s: Column) -> Column:
     """A list written as text; anything unreadable becomes one element."""
-    parsed = F.from_json(F.translate(s, "'", '"'), "array<string>")
+    parsed = F.from_json(s, "array<string>")
     return F.coalesce(F.when(s.startswith("["), parsed), F.array(s))
 
 

@@ -222,10 +222,10 @@ def kie_field_f1(counts: DataFrame) -> DataFrame:
     return both.select("field", "tp", "errors", F.round(F.col("tp") / (F.col("tp") + F.col("errors") / 2 + 1e-6), 6).alias("acc"))
 
 
-def kie_worst_files(counts: DataFrame, name: str, k: int) -> DataFrame:
-    """Files by number of wrong fields, the worst first."""
+def kie_worst_files(counts: DataFrame, name: str) -> DataFrame:
+    """All files with wrong fields by their number, the worst first."""
     errors = counts.groupBy(name).agg(F.sum("miss").alias("errors")).filter(F.col("errors") > 0)
-    return errors.orderBy(F.desc("errors"), name).limit(k)
+    return errors.orderBy(F.desc("errors"), name)
 
 
 # -- document samples ----------------------------------------------------------------------------
@@ -367,7 +367,9 @@ def embedding_score(df: DataFrame, hyp: str, ref: str, keys: Sequence[str]) -> t
 
 def order_code(positions: Column) -> Column:
     """Positions as one character each, so that sequences compare by edit distance."""
-    code = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + p), 4, "0")), "UTF-16BE")
+    # characters beyond the surrogates: a million of them, more is an error
+    checked = lambda p: F.when(p < 0x100000, F.lit(0x10000) + p).otherwise(F.raise_error(F.lit("more than a million positions in a page")).cast("bigint"))
+    code = lambda p: F.decode(F.unhex(F.lpad(F.hex(checked(p)), 8, "0")), "UTF-32")
     return F.array_join(F.transform(positions, code), "")
 
 

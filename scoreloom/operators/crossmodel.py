@@ -17,9 +17,9 @@ def sort_by_index(df: DataFrame, index: str = "index") -> DataFrame:
     return df.orderBy(F.col(index).try_cast("bigint"), index)
 
 
-def worst_cases(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
-    """The k rows that lead by ``order``; a top-k per task, then one merge."""
-    return df.orderBy(*order).limit(k)
+def worst_cases(df: DataFrame, failed: Column, order: Sequence[Column]) -> DataFrame:
+    """Every failed row, in ``order``."""
+    return df.filter(failed).orderBy(*order)
 
 
 def miss_distance(x: Column, y: Column, box: Column) -> Column:

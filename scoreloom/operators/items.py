@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import text as tx
-from scoreloom.operators.ordered import prefix_fold, with_position
+from scoreloom.operators.ordered import prefix_fold, same_keys_join, with_position
 
 LABELS = list(string.ascii_uppercase)
 
@@ -110,16 +110,15 @@ def shuffle_two_options(df: DataFrame, first: str, second: str, coin: Column) ->
         "answer": F.when(heads, "B").otherwise("A")}).drop(first, second)
 
 
-def organise_tasks(df: DataFrame, task: str, order: str, description: str, query: Column, size: int = 512, tie: Sequence[str] = ()) -> DataFrame:
-    """Flat rows as task objects holding lists of queries.
+def organise_tasks(df: DataFrame, task: str, order: str, description: str, query: Column, tie: Sequence[str] = ()) -> DataFrame:
+    """Flat rows as the queries of tasks: (task, position, query, description).
 
-    A task's list is cut into parts of ``size`` queries, so no task is gathered in one place.
+    One row per query, so that a task of any size is never gathered in one place; a sink that wants
+    nested lists groups them there.
     """
-    placed = with_position(df, order, "_pos", [task], tie)
-    packed = placed.groupBy(task, F.floor(F.col("_pos") / size).alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_pos").alias("position"), query.alias("query")))).alias("queries"))
+    placed = with_position(df, order, "position", [task], tie).select(task, "position", query.alias("query"))
     described = df.groupBy(task).agg(F.min(description).alias("description"))
-    return packed.join(described, task)
+    return same_keys_join(placed, described, [task])
 
 
 PAIR = "array<struct<question:string,answer:string>>"
@@ -127,7 +126,7 @@ PAIR = "array<struct<question:string,answer:string>>"
 
 def expand_qa_pairs(df: DataFrame, question: str = "question") -> tuple[DataFrame, DataFrame]:
     """(pairs, rejected): one row per question-answer pair, and the rows whose list cannot be read."""
-    parsed = df.withColumn("_pairs", F.from_json(F.translate(question, "'", '"'), PAIR))
+    parsed = df.withColumn("_pairs", F.from_json(question, PAIR))
     good = F.col("_pairs").isNotNull() & ~F.exists("_pairs", lambda p: p["question"].isNull())
     keep = [c for c in df.columns if c != question]
     pairs = parsed.filter(good).select(*keep, F.posexplode("_pairs").alias("pair", "_p")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import extract as ex
 from scoreloom.operators.items import item_options
-from scoreloom.operators.ordered import prefix_fold, with_position
+from scoreloom.operators.ordered import prefix_fold, same_keys_join, with_position
 
 
 def attach_ground_truth(predictions: DataFrame, items: DataFrame, key: str = "index", answer: str = "answer") -> DataFrame:
@@ -89,7 +89,7 @@ def interval_overlap_join(
         return cut.select(*keys, "_slice", F.greatest(start, low).alias(f"{tag}_start"), F.least(end, high).alias(f"{tag}_end")).filter(
             F.col(f"{tag}_end") > F.col(f"{tag}_start"))
 
-    met = pieces(a, "a").join(pieces(b, "b"), [*keys, "_slice"])
+    met = same_keys_join(pieces(a, "a"), pieces(b, "b"), keys, ["_slice"])
     length = F.greatest(F.lit(0), F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
     return met.groupBy(*keys).agg(F.sum(length).alias("overlap"))
 
@@ -98,8 +98,9 @@ def interval_iou_by_key(a: DataFrame, b: DataFrame, keys: Sequence[str], start:
     """Merged overlap over union length per key, 0 without overlap."""
     a, b = merge_intervals(a, keys, start, end), merge_intervals(b, keys, start, end)
     length = lambda df, name: df.groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias(name))
-    both = length(a, "a").join(length(b, "b"), list(keys), "full").join(
-        interval_overlap_join(a, b, keys, start, end, width), list(keys), "left")
+    none = F.lit(0).cast("bigint")
+    lengths = length(a, "a").withColumn("b", none).unionByName(length(b, "b").withColumn("a", none)).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    both = same_keys_join(lengths, interval_overlap_join(a, b, keys, start, end, width), keys, how="left")
     shared = F.coalesce("overlap", F.lit(0))
     union = F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)) - shared
     return both.select(*keys, shared.alias("overlap"), union.alias("union_length"),
@@ -125,22 +126,32 @@ def distinct_spans(frames: DataFrame, spans: DataFrame, key: str, time: str, sta
     return hits.groupBy(key, text).agg(F.min(time).alias("first_seen"))
 
 
-def place_spans_among_frames(frames: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, text: str, width: int) -> DataFrame:
+def place_spans_among_frames(
+    frames: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, text: str, width: int, duration: str | None = None
+) -> DataFrame:
     """Frames and kept spans of each key in reading order.
 
     A span stands after the frames at or before its midpoint and is kept when some frame lies
-    inside it; spans shorter than a second are widened by half a second on both sides.
+    inside it; spans shorter than a second are widened by half a second on both sides. A span with an
+    open end lasts to ``duration`` (a column of ``spans``), else to its key's last frame. Repeated
+    spans are kept as often as they occur.
     """
+    if duration is None:
+        last = frames.groupBy(key).agg(F.max(time).alias("_last"))
+        spans = same_keys_join(spans, last, [key], how="left")
+    closed = spans.withColumn(end, F.coalesce(F.col(end), F.col(duration or "_last")))
+    counted = closed.groupBy(key, text, start, end).agg(F.count(F.lit(1)).cast("int").alias("_times"))
     middle = (F.col(start) + F.col(end)) / 2
     short = F.col(end) - F.col(start) < 1
-    widened = spans.select(
-        key, text, middle.alias("_at"),
+    widened = counted.select(
+        key, text, start, end, "_times", middle.alias("_at"),
         F.when(short, middle - 0.5).otherwise(F.col(start)).alias("_from"), F.when(short, middle + 0.5).otherwise(F.col(end)).alias("_to"))
     cut = widened.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
     at = frames.select(key, F.col(time).alias("_time"), F.floor(F.col(time) / width).alias("_slice")).distinct()
     frame = at.select(F.col(key).alias("_key"), F.col("_slice").alias("_frame_slice"), "_time")
     inside = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_frame_slice")) & (F.col("_from") < F.col("_time")) & (F.col("_time") < F.col("_to"))
-    kept = cut.join(frame, inside, "left_semi").select(key, text, "_at").distinct()
+    met = cut.join(frame, inside, "left_semi").select(key, text, start, end, "_at", "_times").distinct()
+    kept = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     events = frames.select(key, F.col(time).cast("double").alias("seconds"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias(text)).unionByName(
         kept.select(key, F.col("_at").alias("seconds"), F.lit(1).alias("kind"), text))
     whole = events.withColumn("_second", F.floor("seconds"))

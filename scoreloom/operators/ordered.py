@@ -2,9 +2,9 @@
 
 A plain window over a group runs in one task. Here rows are cut into chunks of the integer order
 column, each chunk is folded to one row, the folds are scanned, and only then does a window run
-inside each (keys, chunk). No task sees more than one chunk of a group plus one row per chunk: with
-the default width that is 65,536 rows, and 15 million folds for 10^12 dense rows. Sparse order
-columns need a wider ``width`` or ``levels=2``, which scans the folds by chunks again.
+inside each (keys, chunk). No task sees more than one chunk of a group plus the folds of one scan.
+Without keys the folds are cut into chunks of chunks again until a scan holds at most 2^16 of them,
+however sparse the order column is. Null keys are a key like any other.
 """
 
 from __future__ import annotations
@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 DEFAULT_WIDTH = 1 << 16
 
 
+def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], never_null: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Equi-join by columns of the same names in which a null equals a null; ``right``'s copies are left out."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in [*keys, *never_null]})
+    on = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys] + [F.col(k) == F.col(f"_same_{k}") for k in never_null]
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in [*keys, *never_null]])
+
+
 def prefix_fold(
     df: DataFrame,
     value: Column,
@@ -26,14 +33,16 @@ def prefix_fold(
     tie: Sequence[str] = (),
     fold: Callable[[Column], Column] = F.sum,
     width: int = DEFAULT_WIDTH,
-    levels: int = 1,
+    levels: int | None = None,
 ) -> DataFrame:
     """``out`` = fold of ``value`` over the *earlier* rows of the same ``keys`` (null for none).
 
     ``order`` is an integer column, or several in order of weight; rows equal in all of them are
     placed by ``tie``. A chunk holds the rows of ``width`` consecutive values of the last order
-    column, so name enough of them to make rows (nearly) unique. Keys must not be null.
+    column, so name enough of them to make rows (nearly) unique. ``levels``: how often folds are
+    folded in turn; without keys three times by default, which 64-bit orders need at most.
     """
+    levels = levels or (1 if keys else 3)
     if not isinstance(order, str) and len(order) > 1:
         return _by_groups(df, value, list(order), out, keys, tie, fold, width, levels)
     order = order if isinstance(order, str) else order[0]
@@ -52,7 +61,7 @@ def prefix_fold(
     inside = (
         Window.partitionBy(*keys, chunk).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = cut.join(sums.drop(part), [*keys, chunk])
+    joined = same_keys_join(cut, sums.drop(part), keys, [chunk])
     return joined.withColumn(out, combine(F.col(base), fold(F.col(part)).over(inside))).drop(chunk, base, part)
 
 
@@ -62,7 +71,7 @@ def _by_groups(df, value, order, out, keys, tie, fold, width, levels) -> DataFra
     groups = df.groupBy(*keys, first).agg(fold(value).alias(part))
     before = prefix_fold(groups, F.col(part), first, base, keys, (), fold, width, levels).drop(part)
     inside = prefix_fold(df, value, order[1:], out, [*keys, first], tie, fold, width, levels)
-    joined = inside.join(before, [*keys, first])
+    joined = same_keys_join(inside, before, [*keys, first])
     return joined.withColumn(out, _combiner(fold)(F.col(base), F.col(out))).drop(base)
 
 
@@ -97,4 +106,4 @@ def uniform_sample(df: DataFrame, order: str | Sequence[str], k: int, keys: Sequ
     pos, n = F.col("_pos"), F.col("_n")
     # i is the only candidate with floor(i * n / k) = pos: the smallest i with i * n >= pos * k
     i = F.floor((pos * k + n - 1) / n)
-    return ranked.join(sizes, list(keys)).filter((n <= k) | ((i < k) & (F.floor(i * n / k) == pos))).drop("_n")
+    return same_keys_join(ranked, sizes, keys).filter((n <= k) | ((i < k) & (F.floor(i * n / k) == pos))).drop("_n")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import literal_map
+from scoreloom.operators.ordered import same_keys_join
 
 ALL = "all"
 
@@ -36,7 +37,7 @@ def scoped_sums(
     members = F.array(*[
         F.struct(
             F.lit(kind).alias("scope"),
-            (F.concat_ws("/", *[F.col(c).cast("string") for c in cols]) if cols else F.lit(ALL)).alias("group"),
+            (F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]) if cols else F.lit(ALL)).alias("group"),
         )
         for kind, cols in parts.items()
     ])
@@ -97,8 +98,8 @@ def report_acc_hierarchical(df: DataFrame, l2: str = "l2_category", category: st
         "split", F.lit("category").alias("scope"), F.col(category).alias("group"), F.round("m", 6).alias("value"))
     members = finest.select(l2, category).distinct()
     sizes = members.groupBy(l2).agg(F.count("*").alias("size"))
-    l2_means = members.join(per_category, category).groupBy("split", l2).agg(
-        F.avg("m").alias("m"), F.count("*").alias("seen")).join(sizes, l2).select(
+    l2_means = same_keys_join(same_keys_join(members, per_category, [category]).groupBy("split", l2).agg(
+        F.avg("m").alias("m"), F.count("*").alias("seen")), sizes, [l2]).select(
         "split", F.lit("l2").alias("scope"), F.col(l2).alias("group"),
         F.when(F.col("seen") == F.col("size"), F.round("m", 6)).alias("value"))
     return overall.unionByName(categories).unionByName(l2_means)
@@ -330,7 +331,7 @@ def skills_in_text(category: Column, skills: Sequence[str]) -> Column:
 
 def json_metadata_report(df: DataFrame, metadata: str, schema: str, version: str, fields: Sequence[str], score: str) -> DataFrame:
     """Metadata JSON flattened; per version overall and per field value, x 100."""
-    parsed = df.withColumn("_m", F.from_json(F.translate(metadata, "'", '"'), schema)).select(score, "_m.*")
+    parsed = df.withColumn("_m", F.from_json(metadata, schema)).select(score, "_m.*")
     return accuracy(parsed, {"overall": None, **{f: f for f in fields}}, score, [version], 100.0)
 
 

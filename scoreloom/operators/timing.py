@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import bound
+from scoreloom.operators.ordered import same_keys_join
 
 
 def hms_to_seconds(s: Column) -> Column:
@@ -44,5 +45,5 @@ def sample_in_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str
     every = F.when(length > 0, F.sequence(F.col("_a"), F.col("_b") - 1)).otherwise(F.array().cast("array<bigint>"))
     segment = length / points
     chosen = F.transform(F.sequence(F.lit(0), points - 1), lambda i: F.floor(F.col("_a") + segment / 2 + segment * i))
-    picked = frames.join(totals, list(keys)).withColumn("frame", F.explode(F.when(F.col("_total") <= k, every).otherwise(chosen)))
+    picked = same_keys_join(frames, totals, keys).withColumn("frame", F.explode(F.when(F.col("_total") <= k, every).otherwise(chosen)))
     return picked.drop("_a", "_b", "_total")

@@ -21,12 +21,11 @@ _MISS = "sqrt(pow(greatest(gx1 - px1, 0, px1 - gx2), 2) + pow(greatest(gy1 - py1
 
 
 @query("k2_worst_cases", f"""
-    SELECT oid, line, pid, broken, round(miss, 6) AS miss FROM (SELECT DISTINCT oid, line, pid, CASE WHEN px1 IS NULL THEN 1 ELSE 0 END AS broken, CASE WHEN px1 IS NULL THEN 0e0 ELSE {_MISS} END AS miss FROM @boxes)
-    ORDER BY broken DESC, round(miss, 6) DESC, oid, line, pid LIMIT 6000""")
+    SELECT oid, line, pid, broken, round(miss, 6) AS miss FROM (SELECT DISTINCT oid, line, pid, CASE WHEN px1 IS NULL THEN 1 ELSE 0 END AS broken, CASE WHEN px1 IS NULL THEN 0e0 ELSE {_MISS} END AS miss FROM @boxes) WHERE broken = 1 OR miss > 0""")
 def _(t):
     distance = F.coalesce(F.when(F.col("px1").isNotNull(), cm.miss_distance(F.col("px1"), F.col("py1"), true_box())), F.lit(0.0))
     rows = t.boxes.select("oid", "line", "pid", F.col("px1").isNull().cast("int").alias("broken"), F.round(distance, 6).alias("miss")).distinct()
-    return cm.worst_cases(rows, 6000, [F.desc("broken"), F.desc("miss"), F.col("oid"), F.col("line"), F.col("pid")])
+    return cm.worst_cases(rows, (F.col("broken") == 1) | (F.col("miss") > 0), [F.desc("broken"), F.desc("miss"), F.col("oid"), F.col("line"), F.col("pid")])
 
 
 @query("k3_concat_datasets", """
@@ -52,13 +51,12 @@ def _(t):
     return out("difference").unionByName(out("intersection"))
 
 
-_SCORES = """(SELECT model, dataset, CASE status WHEN 'F' THEN 'acc' WHEN 'O' THEN 'f1' ELSE 'rec' END AS metric, CAST(floor(min(value)) AS DOUBLE) AS value, count(*) AS n FROM @runs WHERE dataset <> 'D' || (CAST(substr(model, 2) AS INT) + 1) GROUP BY 1, 2, 3)"""
+_SCORES = """(SELECT model, dataset, CASE status WHEN 'F' THEN 'acc' WHEN 'O' THEN 'f1' ELSE 'rec' END AS metric, CAST(floor(min(value)) AS DOUBLE) AS value, count(*) AS n FROM @runs GROUP BY 1, 2, 3)"""
 
 
 def _scores(t):
     metric = F.when(F.col("status") == "F", "acc").when(F.col("status") == "O", "f1").otherwise("rec")
-    gap = F.concat(F.lit("D"), (F.substring("model", 2, 9).cast("int") + 1).cast("string"))
-    return t.runs.filter(F.col("dataset") != gap).groupBy("model", "dataset", metric.alias("metric")).agg(
+    return t.runs.groupBy("model", "dataset", metric.alias("metric")).agg(
         F.floor(F.min("value")).cast("double").alias("value"), F.count("*").alias("n"))
 
 
@@ -78,15 +76,15 @@ def _(t):
     return cm.headline(_scores(t), {"D0": (["acc"], 100.0), "D3": (["acc", "f1"], 1.0)})
 
 
-SETS = ["D1", "D2", "D3", "D4"]
+SETS = [f"D{i}" for i in range(9)]
 
 
 def _summary_sql(total):
     cells = ", ".join(f"round(max(value) FILTER (WHERE dataset = '{d}') * 100, 2) AS \"{d}\"" for d in SETS)
-    return f"SELECT metric, model, {cells}, CASE WHEN count(*) = 4 THEN round({total} * 100, 2) END AS summary FROM {_SCORES} WHERE dataset IN ('D1', 'D2', 'D3', 'D4') GROUP BY metric, model"
+    return f"SELECT metric, model, {cells}, CASE WHEN count(*) = 9 THEN round({total} * 100, 2) END AS summary FROM {_SCORES} WHERE dataset IN ('D0', 'D1', 'D2', 'D3', 'D4', 'D5', 'D6', 'D7', 'D8') GROUP BY metric, model"
 
 
-@query("k6_experiment_summary", _summary_sql("sum(value) / 4"))
+@query("k6_experiment_summary", _summary_sql("sum(value) / 9"))
 def _(t):
     return cm.experiment_summary(_scores(t), SETS)
 

@@ -11,22 +11,23 @@ from scoreloom.plans.catalog import query
 
 
 @query("f1_attach_ground_truth", """
-    SELECT "GT", model, count(*) AS n FROM (SELECT p.model, i.answer AS "GT" FROM @preds p JOIN (SELECT * FROM @items WHERE split = 'dev') i ON p."index" = i."index") GROUP BY ALL""")
+    SELECT "GT", model, count(*) AS n FROM (SELECT p.model, i.answer AS "GT" FROM @preds p JOIN @items i ON p."index" = i."index") GROUP BY ALL""")
 def _(t):
-    return jn.attach_ground_truth(t.preds, t.items.filter(F.col("split") == "dev")).groupBy("GT", "model").agg(F.count("*").alias("n"))
+    return jn.attach_ground_truth(t.preds, t.items).groupBy("GT", "model").agg(F.count("*").alias("n"))
 
 
 @query("f1_unknown_predictions", """
-    SELECT model, count(*) AS n FROM @preds WHERE "index" NOT IN (SELECT "index" FROM @items WHERE split = 'dev') GROUP BY model""")
+    SELECT 'dev' AS split, model, count(*) AS n FROM @preds WHERE "index" NOT IN (SELECT "index" FROM @items WHERE split = 'dev') GROUP BY model
+    UNION ALL SELECT 'test', model, count(*) FROM @preds WHERE "index" NOT IN (SELECT "index" FROM @items WHERE split = 'test') GROUP BY model""")
 def _(t):
-    return jn.unknown_predictions(t.preds, t.items.filter(F.col("split") == "dev")).groupBy("model").agg(F.count("*").alias("n"))
+    of = lambda split: jn.unknown_predictions(t.preds, t.items.filter(F.col("split") == split)).groupBy("model").agg(F.count("*").alias("n")).select(F.lit(split).alias("split"), "model", "n")
+    return of("dev").unionByName(of("test"))
 
 
 @query("f2_attach_optional", """
-    SELECT model, answer, count(*) AS n FROM @preds p LEFT JOIN (SELECT "index", answer FROM @items WHERE category <> 'Brand#7') i ON p."index" = i."index" GROUP BY ALL""")
+    SELECT model, answer, count(*) AS n FROM @preds p LEFT JOIN (SELECT "index", answer FROM @items) i ON p."index" = i."index" GROUP BY ALL""")
 def _(t):
-    items = t.items.filter(F.col("category") != "Brand#7")
-    return jn.attach_optional(t.preds, items, "answer").groupBy("model", "answer").agg(F.count("*").alias("n"))
+    return jn.attach_optional(t.preds, t.items, "answer").groupBy("model", "answer").agg(F.count("*").alias("n"))
 
 
 def _corpus(t, side):
@@ -100,7 +101,7 @@ _SUBS = "subs AS (SELECT video, event_id AS rank, start_s AS start_, end_s AS en
 @query("f7_nearest_text_to_frames", f"""
     WITH {_FRAMES}, {_SUBS},
     w AS (SELECT video, text, (start_ + end_) / 2e0 AS mid, CASE WHEN end_ - start_ < 1 THEN (start_ + end_) / 2e0 - 0.5 ELSE start_ END AS f, CASE WHEN end_ - start_ < 1 THEN (start_ + end_) / 2e0 + 0.5 ELSE end_ END AS g FROM subs),
-    k AS (SELECT DISTINCT video, text, mid FROM w WHERE EXISTS (SELECT 1 FROM frames x WHERE x.video = w.video AND x.time > w.f AND x.time < w.g)),
+    k AS (SELECT video, text, mid FROM w WHERE EXISTS (SELECT 1 FROM frames x WHERE x.video = w.video AND x.time > w.f AND x.time < w.g)),
     e AS (SELECT video, CAST(time AS DOUBLE) AS seconds, 0 AS kind, CAST(NULL AS VARCHAR) AS text FROM frames UNION ALL SELECT video, mid, 1, text FROM k)
     SELECT video, seconds, kind, text, row_number() OVER (PARTITION BY video ORDER BY seconds, kind, text) - 1 AS position FROM e""")
 def _(t):
@@ -127,11 +128,11 @@ def _(t):
 
 
 @query("f10_taxonomy_join", """
-    WITH m AS (SELECT pid AS leaf, avg(hit) AS m FROM (SELECT "index" AS pid, hit FROM @scored WHERE line > 2) GROUP BY 1)
+    WITH m AS (SELECT pid AS leaf, avg(hit) AS m FROM (SELECT "index" AS pid, hit FROM @scored) GROUP BY 1)
     SELECT p_brand AS root, round(avg(m), 6) AS value, count(m) AS leaves FROM part LEFT JOIN m ON leaf = p_partkey GROUP BY p_brand""")
 def _(t):
     nodes = t.part.select(F.col("p_partkey").alias("leaf"), F.col("p_brand").alias("root"))
-    scores = t.scored.filter(F.col("line") > 2).select(F.col("index").alias("leaf"), "hit")
+    scores = t.scored.select(F.col("index").alias("leaf"), "hit")
     return jn.taxonomy_join(scores, nodes, "leaf", "root", "hit")
 
 
@@ -163,12 +164,13 @@ MODELS, DATASETS = [f"M{i}" for i in range(8)], [f"D{i}" for i in range(10)]
 
 
 @query("f14_missing_matrix", """
-    WITH done AS (SELECT DISTINCT model, dataset FROM @runs WHERE status = 'P'),
-    whole AS (SELECT model, dataset FROM done UNION ALL SELECT model, 'D9' FROM done WHERE dataset IN ('D1', 'D2') GROUP BY model HAVING count(*) = 2)
-    SELECT m.model, d.dataset FROM (SELECT 'M' || i AS model FROM range(8) r(i)) m CROSS JOIN (SELECT 'D' || i AS dataset FROM range(10) r(i)) d
-    WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.model = m.model AND w.dataset = d.dataset)""")
+    WITH done AS (SELECT DISTINCT status, model, dataset FROM @runs),
+    whole AS (SELECT status, model, dataset FROM done UNION ALL SELECT status, model, 'D9' FROM done WHERE dataset IN ('D1', 'D2') GROUP BY status, model HAVING count(*) = 2)
+    SELECT s.status, m.model, d.dataset FROM (VALUES ('F'), ('O'), ('P')) s(status) CROSS JOIN (SELECT 'M' || i AS model FROM range(8) r(i)) m CROSS JOIN (SELECT 'D' || i AS dataset FROM range(10) r(i)) d
+    WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.status = s.status AND w.model = m.model AND w.dataset = d.dataset)""")
 def _(t):
-    return jn.missing_matrix(t.runs.filter(F.col("status") == "P"), MODELS, DATASETS, {"D9": ["D1", "D2"]})
+    of = lambda status: jn.missing_matrix(t.runs.filter(F.col("status") == status), MODELS, DATASETS, {"D9": ["D1", "D2"]}).select(F.lit(status).alias("status"), "model", "dataset")
+    return of("F").unionByName(of("O")).unionByName(of("P"))
 
 
 @query("w1_hms_to_seconds", """

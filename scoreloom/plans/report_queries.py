@@ -52,14 +52,14 @@ def _(t):
 
 
 def _cross(row):
-    cells = ", ".join(f"round(coalesce(CAST(sum(hit) FILTER (WHERE model = 'M{i}') AS DOUBLE) / nullif(count(*) FILTER (WHERE model = 'M{i}'), 0), 0e0), 6) AS M{i}" for i in range(3))
-    avg = " + ".join(f"coalesce(CAST(sum(hit) FILTER (WHERE model = 'M{i}') AS DOUBLE) / nullif(count(*) FILTER (WHERE model = 'M{i}'), 0), 0e0)" for i in range(3))
-    return f"SELECT {row} AS \"row\", {cells}, round(({avg}) / 3, 6) AS Avg FROM @scored GROUP BY {row}"
+    cells = ", ".join(f"round(coalesce(CAST(sum(hit) FILTER (WHERE model = 'M{i}') AS DOUBLE) / nullif(count(*) FILTER (WHERE model = 'M{i}'), 0), 0e0), 6) AS M{i}" for i in range(8))
+    avg = " + ".join(f"coalesce(CAST(sum(hit) FILTER (WHERE model = 'M{i}') AS DOUBLE) / nullif(count(*) FILTER (WHERE model = 'M{i}'), 0), 0e0)" for i in range(8))
+    return f"SELECT {row} AS \"row\", {cells}, round(({avg}) / 8, 6) AS Avg FROM @scored GROUP BY {row}"
 
 
 @query("g3_report_acc_crosstab", " UNION ALL ".join(_cross(r) for r in ("category", "'CATEGORY_' || task", "'Overall'")))
 def _(t):
-    return rp.report_acc_crosstab(t.scored, "category", "task", "model", ["M0", "M1", "M2"])
+    return rp.report_acc_crosstab(t.scored, "category", "task", "model", [f"M{i}" for i in range(8)])
 
 
 @query("g4_report_acc_by", scopes_sql("@scored", {"overall": None, "subtask": "subtask", "model": "model"}, HIT, "split"))

@@ -172,12 +172,11 @@ def _(t):
 
 @query("a17_organise_tasks", """
     WITH r AS (SELECT category, "index", question, l2_category, row_number() OVER (PARTITION BY category ORDER BY "index") - 1 AS pos FROM @items)
-    SELECT category, pos // 32 AS part, string_agg("index" || ':' || question, '|' ORDER BY pos) AS queries, any_value(d) AS description
-    FROM r JOIN (SELECT category AS c, min(l2_category) AS d FROM r GROUP BY 1) ON category = c GROUP BY category, pos // 32""")
+    SELECT category, pos AS position, "index" || ':' || question AS query, d AS description
+    FROM r JOIN (SELECT category AS c, min(l2_category) AS d FROM r GROUP BY 1) ON category = c""")
 def _(t):
     text = F.concat_ws(":", F.col("index").cast("string"), "question")
-    out = it.organise_tasks(t.items, "category", "index", "l2_category", text, size=32)
-    return out.select("category", "part", F.array_join(F.transform("queries", lambda x: x["query"]), "|").alias("queries"), "description")
+    return it.organise_tasks(t.items, "category", "index", "l2_category", text)
 
 
 @query("a18_expand_qa_pairs", """

@@ -156,12 +156,12 @@ def _(t):
 
 
 @query("b14_prompt_judge", """
-    SELECT conv_id, turn, md5('Question: ' || ref || chr(10) || 'Ground truth: ' || hyp || chr(10) || 'Prediction: ' || hyp
-      || chr(10) || 'Is the prediction right? Reply yes or no.') AS digest
-    FROM @pairs WHERE NOT regexp_matches(ref, '[一-鿿]')""")
+    SELECT conv_id, turn, md5(CASE WHEN regexp_matches(ref, '[一-鿿]') THEN '问题：' || ref || chr(10) || '标准答案：' || hyp || chr(10) || '预测：' || hyp || chr(10) || '预测正确吗？请回答 yes 或 no。'
+      ELSE 'Question: ' || ref || chr(10) || 'Ground truth: ' || hyp || chr(10) || 'Prediction: ' || hyp || chr(10) || 'Is the prediction right? Reply yes or no.' END) AS digest
+    FROM @pairs""")
 def _(t):
     prompt = tx.prompt_judge(F.col("ref"), F.col("hyp"), F.col("hyp"))
-    return t.pairs.filter(~tx.has_cjk(F.col("ref"))).select("conv_id", "turn", F.md5(prompt).alias("digest"))
+    return t.pairs.select("conv_id", "turn", F.md5(prompt).alias("digest"))
 
 
 @query("b15_split_on_image_tags", """
