@@ -65,29 +65,45 @@ def number_digits(text: Column) -> Column:
     return F.transform(all_found(text, pattern), lambda n: F.length(F.split_part(mantissa(F.lower(n)), F.lit("."), F.lit(2))))
 
 
-def check_rule(text: Column, spaced: Column, paras: Column, sents: Column, c: Column) -> Column:
+def facts(text: Column, tidied: Column, constraints: Column) -> dict[str, Column]:
+    """What checks compare with, each computed once per text and only where some check asks for it."""
+    asked = lambda *rules: F.exists(constraints, lambda k: F.exists(k["checks"], lambda c: c["rule"].isin(*rules)))
+    paras = paragraphs(tidied)
+    return {
+        "_paras": paras, "_sents": sentences(tidied), "_spaced": spaced_words(tidied),
+        "_words": F.when(asked("word_count"), word_count(text)),
+        "_para_words": F.when(asked("paragraph_words"), F.transform(paras, word_count)),
+        "_para_sents": F.when(asked("paragraph_sentences", "paragraph_sentences_list"), F.transform(paras, lambda p: F.size(sentences(p)))),
+        "_percents": F.when(asked("percent_precision"), percent_digits(text)),
+        "_numbers": F.when(asked("number_precision"), number_digits(text)),
+        "_trimmed": F.btrim(text, F.lit(" \t\n")),
+    }
+
+
+def check_rule(text: Column, c: Column) -> Column:
+    """One check against the text and the columns of ``facts``."""
     first = F.get(c["texts"], F.lit(0))
-    counts = lambda of: F.transform(paras, of)
+    spaced, paras, sents = F.col("_spaced"), F.col("_paras"), F.col("_sents")
     rules = {
         "paragraph_count": _within(F.size(paras), c),
         "sentence_count": _within(F.size(sents), c),
-        "paragraph_sentences": F.forall(counts(lambda p: F.size(sentences(p))), lambda n: _within(n, c)),
+        "paragraph_sentences": F.forall("_para_sents", lambda n: _within(n, c)),
         "paragraph_sentences_list": (F.size(paras) == F.size(c["ranges"])) & F.forall(
-            F.zip_with(paras, c["ranges"], lambda p, r: F.size(sentences(p)).between(r["low"], r["high"])), lambda x: x),
-        "word_count": _within(word_count(text), c),
-        "paragraph_words": F.forall(counts(word_count), lambda n: _within(n, c)),
+            F.zip_with("_para_sents", c["ranges"], lambda n, r: n.between(r["low"], r["high"])), lambda x: x),
+        "word_count": _within(F.col("_words"), c),
+        "paragraph_words": F.forall("_para_words", lambda n: _within(n, c)),
         "without": ~F.exists(c["texts"], lambda x: F.contains(text, x)),
         "sentences_begin": F.forall(sents, lambda s: F.startswith(s, first)),
         "sentences_end": F.forall(sents, lambda s: F.endswith(s, first)),
         "paragraphs_begin": F.forall(paras, lambda p: F.startswith(p, first)),
         "paragraphs_end": F.forall(paras, lambda p: F.endswith(p, first)),
-        "begins": F.startswith(F.btrim(text, F.lit(" \t\n")), first),
-        "ends": F.endswith(F.btrim(text, F.lit(" \t\n")), first),
+        "begins": F.startswith("_trimmed", first),
+        "ends": F.endswith("_trimmed", first),
         "each_keyword": F.forall(F.transform(c["texts"], lambda k: keyword_count(spaced, k)), lambda n: _within(n, c)),
         "total_keywords": _within(
             F.aggregate(c["texts"], F.lit(0), lambda a, k: a + keyword_count(spaced, k)), c),
-        "percent_precision": F.forall(percent_digits(text), lambda d: d == c["low"]),
-        "number_precision": F.forall(number_digits(text), lambda d: d == c["low"]),
+        "percent_precision": F.forall("_percents", lambda d: d == c["low"]),
+        "number_precision": F.forall("_numbers", lambda d: d == c["low"]),
         "no_arabic_numbers": ~text.rlike(r"(?<![.\w])\d[\d,]*(\.\d+)?([eE][+-]?\d+)?%?(?![.\w])"),
     }
     chain = reduce(lambda acc, kv: acc.when(c["rule"] == kv[0], kv[1]), rules.items(), F)
@@ -97,16 +113,15 @@ def check_rule(text: Column, spaced: Column, paras: Column, sents: Column, c: Co
 def constraint_scores(df: DataFrame, text: str, constraints: str) -> DataFrame:
     """Add ``passed`` (key -> boolean pairs) and ``score`` (share of constraints that hold)."""
     parts = df.withColumn("_tidy", tidy(F.col(text)))
-    parts = parts.withColumn("_paras", paragraphs(F.col("_tidy"))).withColumn("_sents", sentences(F.col("_tidy")))
-    parts = parts.withColumn("_spaced", spaced_words(F.col("_tidy")))
+    known = facts(F.col(text), F.col("_tidy"), F.col(constraints))
+    parts = parts.withColumns(known)
 
     def holds(constraint: Column) -> Column:
-        return F.forall(constraint["checks"], lambda c: check_rule(
-            F.col(text), F.col("_spaced"), F.col("_paras"), F.col("_sents"), c))
+        return F.forall(constraint["checks"], lambda c: check_rule(F.col(text), c))
 
     passed = F.transform(F.col(constraints), lambda k: F.struct(k["key"].alias("key"), holds(k).alias("ok")))
     scored = parts.withColumn("passed", passed)
-    return scored.withColumn("score", mean_of(F.transform("passed", lambda p: flag(p["ok"])))).drop("_tidy", "_paras", "_sents", "_spaced")
+    return scored.withColumn("score", mean_of(F.transform("passed", lambda p: flag(p["ok"])))).drop("_tidy", *known)
 
 
 def text_features(text: Column, phrase: str, start: str, end: str) -> Column:

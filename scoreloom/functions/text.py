@@ -40,18 +40,16 @@ def words(s: Column) -> Column:
 
 
 def strip_punctuation(s: Column) -> Column:
-    """Drop or blank each mark by looking at the *input*, then drop periods outside numbers."""
-    grouped_digits = s.rlike(r"\d,\d")
-
-    def one(out: Column, mark: str) -> Column:
-        touches = s.contains(mark + " ") | s.contains(" " + mark)
-        # the first branch skips the digit test for marks that do not occur
-        put = F.when(~s.contains(mark), " ").when(touches | grouped_digits, "").otherwise(" ")
-        return F.replace(out, F.lit(mark), put)
-
-    out = reduce(one, fixed.PUNCTUATION, s)
-    marked = F.when(s.rlike("[" + "".join("\\" + m for m in fixed.PUNCTUATION) + "]"), out).otherwise(s)
-    return F.regexp_replace(marked, r"(?<!\d)\.(?!\d)", "")
+    """Drop or blank each mark by looking at the *input*, then drop periods outside numbers.
+
+    A mark that stands beside a blank anywhere is dropped everywhere, and all marks are where a comma
+    stands between digits; the others become blanks.
+    """
+    marks = "[" + "".join("\\" + m for m in fixed.PUNCTUATION) + "]"
+    beside = F.array_join(F.array_distinct(F.regexp_extract_all(s, F.lit(rf"((?<= ){marks}|{marks}(?= ))"), F.lit(1))), "")
+    some = F.regexp_replace(F.call_function("translate", s, beside, F.lit("")), marks, " ")
+    out = F.when(s.rlike(r"\d,\d"), F.regexp_replace(s, marks, "")).otherwise(some)
+    return F.regexp_replace(F.when(s.rlike(marks), out).otherwise(s), r"(?<!\d)\.(?!\d)", "")
 
 
 def normalise_words(s: Column) -> Column:

@@ -390,9 +390,30 @@ def reading_order_distance(matches: Column) -> Column:
     return bound(matches, distance)
 
 
-def mt_summary(rows: DataFrame, corpus: DataFrame, scores: Sequence[str]) -> DataFrame:
-    """Number of pairs, mean sentence scores (2 decimals) and corpus scores, one line each."""
-    means = rows.agg(F.count("*").cast("double").alias("n_pairs"), *[F.round(F.avg(s), 2).alias(f"mean_{s}") for s in scores])
-    names = ["n_pairs", *[f"mean_{s}" for s in scores]]
-    lines = means.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])))
-    return lines.unionByName(corpus.select(F.concat(F.lit("corpus_chrf_"), "view").alias("name"), F.round("chrf", 2).alias("value")))
+def _chrf_of(counts: Sequence[tuple[Column, Column, Column]], beta: float) -> Column:
+    """chrF of one row's (h, r, m) per order."""
+    used = [(h > 0) & (r > 0) for h, r, _ in counts]
+    n = sum((u.cast("int") for u in used), F.lit(0))
+    ratio = lambda of: sum((F.coalesce(F.when(u, m / of(h, r)), F.lit(0.0)) for u, (h, r, m) in zip(used, counts, strict=True)), F.lit(0.0)) / n
+    p, r, b = F.when(n > 0, ratio(lambda h, r: h)), F.when(n > 0, ratio(lambda h, r: r)), beta * beta
+    return F.round(F.coalesce(F.try_divide(100.0 * (1 + b) * p * r, b * p + r), F.lit(0.0)), 6)
+
+
+def mt_summary(pairs: DataFrame, ids: Sequence[str], views: Mapping[str, tuple[Column, Column]], order: int = 6, beta: float = 2.0) -> DataFrame:
+    """Number of pairs, mean sentence scores (2 decimals) and corpus scores, one line each.
+
+    Grams are counted once: a pair's counts give its sentence score, and added up the corpus score.
+    """
+    rows = F.array(*[F.struct(F.lit(k).alias("view"), h.alias("hyp"), r.alias("ref")) for k, (h, r) in views.items()])
+    keys = [*ids, "view"]
+    counts = gram_counts(pairs.select(*ids, F.inline(rows)), keys, characters(F.col("hyp")), characters(F.col("ref")), order, "")
+    parts = {"h": F.col("h"), "r": F.col("r"), "m": F.least("h", "r")}
+    spots = [(f"h{n}", f"r{n}", f"m{n}") for n in range(1, order + 1)]
+    per_pair = counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, parts[c]).otherwise(0)).alias(f"{c}{n}") for n in range(1, order + 1) for c in parts])
+    scored = per_pair.withColumn("chrf", _chrf_of([tuple(map(F.col, s)) for s in spots], beta))
+    summed = scored.groupBy("view").agg(F.round(F.avg("chrf"), 2).alias("mean"), *[F.sum(c).alias(c) for s in spots for c in s])
+    corpus = F.round(_chrf_of([tuple(map(F.col, s)) for s in spots], beta), 2)
+    name = lambda kind: F.concat(F.lit(kind), "view")
+    lines = summed.select(F.inline(F.array(
+        F.struct(name("mean_chrf_").alias("name"), F.col("mean").alias("value")), F.struct(name("corpus_chrf_").alias("name"), corpus.alias("value")))))
+    return pairs.agg(F.lit("n_pairs").alias("name"), F.count("*").cast("double").alias("value")).unionByName(lines)

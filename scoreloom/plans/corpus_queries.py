@@ -68,12 +68,7 @@ def _(t):
     sent AS ({f_beta('conv_id, turn, view', 'per')}), corp AS ({f_beta('view', 's')})
     SELECT 'n_pairs' AS name, CAST(count(*) AS DOUBLE) AS value FROM mt UNION ALL SELECT 'mean_chrf_' || view, round(avg(chrf), 2) FROM sent GROUP BY view UNION ALL SELECT 'corpus_chrf_' || view, round(chrf, 2) FROM corp""")
 def _(t):
-    mt = _mt(t)
-    rows = mt.select(*IDS)
-    for name, (hyp, ref) in _views().items():
-        scored = cp.chrf_sentence(mt.select(*IDS, hyp.alias("hyp"), ref.alias("ref")), IDS, "hyp", "ref")
-        rows = rows.join(scored.withColumnRenamed("chrf", f"chrf_{name}"), IDS, "left")
-    return cp.mt_summary(rows, cp.chrf_corpus(mt, IDS, _views()), [f"chrf_{n}" for n in _views()])
+    return cp.mt_summary(_mt(t), IDS, _views())
 
 
 @query("e3_bleu", f"""
