@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +34,12 @@ def apply_rows(items: DataFrame, fn: Callable[[dict], str], key: str, output: st
 def resumable_apply(
     items: DataFrame, results: DataFrame, fn: Callable[[dict], str], key: str, output: str = "prediction", retry_failed: bool = True
 ) -> DataFrame:
-    """Accepted results plus fresh ones for the items that lack one."""
+    """Accepted results plus fresh ones for the items that lack one; of repeated results the greatest counts."""
     failed = F.col(output).contains(fixed.FAILURE_TEXT)
     fresh = apply_rows(undone(items, results, key, failed if retry_failed else None), fn, key, output)
     wanted = results.join(items.select(key), key, "left_semi").select(key, output)
-    return (wanted.filter(~failed) if retry_failed else wanted).unionByName(fresh)
+    accepted = (wanted.filter(~failed) if retry_failed else wanted).groupBy(key).agg(F.max(output).alias(output))
+    return accepted.unionByName(fresh)
 
 
 def resumable_run(items: DataFrame, path: str, fn: Callable[[dict], str], key: str, output: str = "prediction", retry_failed: bool = True) -> DataFrame:
@@ -81,14 +83,17 @@ def rule_then_judge(
     columns = [c for c in df.columns]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [_call(ask, r) for r in frame.to_dict("records")]
-            yield frame.assign(**{output: [fallback if fixed.FAILURE_TEXT in a else a for a in answers], "solved_by": "judge"})
-
-    solved = ruled.filter(F.col(output).isNotNull()).withColumn("solved_by", F.lit("rule"))
-    judged = ruled.filter(F.col(output).isNull()).select(*columns).mapInPandas(batches, f"{names}, `{output}` string, `solved_by` string")
-    return solved.unionByName(judged)
+    def batches(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            answers = table.column(len(columns)).to_pylist()
+            by = ["judge" if a is None else "rule" for a in answers]
+            for i in [i for i, a in enumerate(answers) if a is None]:
+                said = _call(ask, {c: table.column(k)[i].as_py() for k, c in enumerate(columns)})
+                answers[i] = fallback if fixed.FAILURE_TEXT in said else said
+            yield pa.RecordBatch.from_arrays([*table.columns[: len(columns)], pa.array(answers, pa.string()), pa.array(by, pa.string())], names=[*columns, output, "solved_by"])
+
+    # rules are evaluated once: solved rows pass through
+    return ruled.select(*columns, output).mapInArrow(batches, f"{names}, `{output}` string, `solved_by` string")
 
 
 def multi_turn_apply(dialogs: DataFrame, fn: Callable[[list[dict], str], str], key: str, questions: str) -> DataFrame:

@@ -85,6 +85,34 @@ def chrf_corpus(pairs: DataFrame, ids: Sequence[str], views: Mapping[str, tuple[
     return _f_beta(sums, ["view"], beta)
 
 
+def bleu_references(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int = 4) -> DataFrame:
+    """Corpus BLEU-1 to BLEU-``max_n`` with any number of references per pair (an array of texts).
+
+    A gram counts at most as often as in the reference that has it most; the reference length of a
+    pair is the one closest to the hypothesis, the shorter of two.
+    """
+    sides = F.concat(F.array(F.struct(F.lit(-1).alias("side"), F.col(hyp).alias("text"))), F.transform(refs, lambda t, i: F.struct(i.alias("side"), t.alias("text"))))
+    texts = spread(pairs, ids).select(*ids, F.inline(sides)).withColumn("w", words(F.coalesce("text", F.lit(""))))
+    lengths = texts.groupBy(*ids).agg(
+        F.max(F.when(F.col("side") == -1, F.size("w"))).alias("h"), F.collect_list(F.when(F.col("side") >= 0, F.size("w"))).alias("refs"))
+    closest = F.array_min(F.transform("refs", lambda r: F.struct(F.abs(r - F.col("h")).alias("d"), r.alias("r"))))["r"]
+    sizes = lengths.agg(F.sum("h").alias("hl"), F.sum(closest).alias("rl")).select(F.lit(0).alias("n"), F.col("hl").alias("h"), F.col("rl").alias("m"))
+    spots = texts.select(*ids, "side", F.explode(_windows(F.col("w"), max_n, " ")).alias("w"))
+    held = F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit(""))) + 1
+    grams = spots.select(*ids, "side", "w", F.explode(F.sequence(F.lit(1), held)).alias("n")).select(*ids, "side", "n", F.call_function("substring_index", F.col("w"), F.lit(" "), F.col("n")).alias("gram"))
+    counts = grams.groupBy(*ids, "n", "gram", "side").agg(F.count("*").alias("c"))
+    best = counts.groupBy(*ids, "n", "gram").agg(F.coalesce(F.max(F.when(F.col("side") == -1, F.col("c"))), F.lit(0)).alias("h"), F.coalesce(F.max(F.when(F.col("side") >= 0, F.col("c"))), F.lit(0)).alias("r"))
+    sums = best.groupBy("n").agg(F.sum("h").alias("h"), F.sum(F.least("h", "r")).alias("m"))
+    # the lengths go along as order 0
+    parts = sums.unionByName(sizes).select(F.explode(F.sequence(F.greatest("n", F.lit(1)), F.lit(max_n))).alias("order"), "n", "h", "m")
+    matched, whole = (F.col("n") > 0) & (F.col("m") > 0), lambda c: F.max(F.when(F.col("n") == 0, F.col(c)))
+    orders = parts.groupBy("order").agg(
+        F.avg(F.when(matched, F.log(F.col("m") / F.col("h")))).alias("p"), F.count(F.when(matched, 1)).alias("seen"), whole("h").alias("hl"), whole("m").alias("rl"))
+    brevity = F.when(F.col("hl") >= F.col("rl"), 1.0).otherwise(F.exp(1.0 - F.col("rl") / F.col("hl")))
+    return orders.select(
+        F.concat(F.lit("bleu_"), F.col("order").cast("string")).alias("metric"), F.round(F.when(F.col("seen") == F.col("order"), brevity * F.exp("p")).otherwise(0.0), 6).alias("value"))
+
+
 def bleu(pairs: DataFrame, ids: Sequence[str], hyp: str, ref: str, group: Sequence[str], max_n: int = 4) -> DataFrame:
     """Corpus BLEU per group and over all: clipped precisions, brevity penalty, no smoothing."""
     keys = [*ids, *[g for g in group if g not in ids]]
@@ -197,11 +225,24 @@ def ocr_token_prf(files: DataFrame, name: str, gt: str, pred: str, **tokens) ->
     return sums.select(*[F.round(v, 6).alias(k) for k, v in out.items()])
 
 
-def field_values(json_text: Column, schema: str) -> Column:
-    """(field, value) pairs of a flat JSON object of scalars or lists, blanks dropped."""
-    parsed = F.from_json(json_text, schema)
-    pairs = F.transform(F.map_entries(parsed), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("field"), F.trim(v).alias("value"))))
-    return F.filter(F.flatten(pairs), lambda p: p["value"] != "")
+def field_values(json_text: Column, depth: int = 6) -> Column:
+    """(field, value) pairs of a JSON object of objects, lists and scalars, blanks dropped; null if unreadable.
+
+    A nested field is named by its path (``a.b``), a list's items by the list. What is nested deeper
+    than ``depth`` stays JSON text.
+    """
+    pair = lambda field, value: F.struct(field.alias("field"), value.alias("value"))
+
+    def opened(p: Column) -> Column:
+        entries = F.map_entries(F.from_json(p["value"], "map<string,string>"))
+        inner = F.transform(entries, lambda e: pair(F.concat_ws(".", p["field"], e["key"]), e["value"]))
+        listed = F.transform(F.from_json(p["value"], "array<string>"), lambda v: pair(p["field"], v))
+        return F.coalesce(F.when(p["value"].startswith("{"), inner).when(p["value"].startswith("["), listed), F.array(p))
+
+    top = F.transform(F.map_entries(F.from_json(json_text, "map<string,string>")), lambda e: pair(e["key"], e["value"]))
+    for _ in range(depth - 1):
+        top = F.flatten(F.transform(top, opened))
+    return F.filter(F.transform(top, lambda p: pair(p["field"], F.trim(p["value"]))), lambda p: p["value"] != "")
 
 
 def kie_counts(files: DataFrame, name: str, pred: str, truth: str) -> DataFrame:

@@ -127,7 +127,7 @@ def _(t):
     return cp.ocr_token_prf(t.pairs.select((F.col("conv_id") * 100 + F.col("turn")).alias("file"), "ref", "hyp"), "file", "ref", "hyp")
 
 
-_KIE = """rows_ AS (SELECT o_orderkey AS file, 'status' AS field, o_orderstatus AS value, 1 AS p, 0 AS t FROM orders UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_custkey % 4 = 0 THEN 'X' ELSE o_orderstatus END, 0, 1 FROM orders
+_KIE = """rows_ AS (SELECT o_orderkey AS file, 'head.status' AS field, o_orderstatus AS value, 1 AS p, 0 AS t FROM orders UNION ALL SELECT o_orderkey, 'head.status', CASE WHEN o_custkey % 4 = 0 THEN 'X' ELSE o_orderstatus END, 0, 1 FROM orders
       UNION ALL SELECT o_orderkey, 'items', 'i' || o_orderkey % 3, 1, 0 FROM orders UNION ALL SELECT o_orderkey, 'items', 'i' || o_custkey % 3, 1, 0 FROM orders
       UNION ALL SELECT o_orderkey, 'items', 'i' || o_orderkey % 3, 0, 1 FROM orders UNION ALL SELECT o_orderkey, 'items', 'i1', 0, 1 FROM orders
       UNION ALL SELECT o_orderkey, 'note', o_orderpriority, 0, 1 FROM orders WHERE o_orderkey % 5 = 0),
@@ -137,13 +137,12 @@ _KIE = """rows_ AS (SELECT o_orderkey AS file, 'status' AS field, o_orderstatus
 def _kie(t):
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     num = lambda c: F.concat(F.lit("i"), (F.col(c) % 3).cast("string"))
-    shape = lambda status, items, note: F.concat(F.lit('{"status": ['), quote(status), F.lit('], "items": ['), F.concat_ws(", ", *map(quote, items)), F.lit("]"), note, F.lit("}"))
+    shape = lambda status, items, note: F.concat(F.lit('{"head": {"status": '), quote(status), F.lit('}, "items": ['), F.concat_ws(", ", *map(quote, items)), F.lit("]"), note, F.lit("}"))
     pred = shape(F.col("o_orderstatus"), [num("o_orderkey"), num("o_custkey")], F.lit(""))
     status = F.when(F.col("o_custkey") % 4 == 0, "X").otherwise(F.col("o_orderstatus"))
-    note = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(', "note": ['), quote(F.col("o_orderpriority")), F.lit("]"))).otherwise("")
+    note = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(', "note": '), quote(F.col("o_orderpriority")))).otherwise("")
     truth = shape(status, [num("o_orderkey"), F.lit("i1")], note)
-    schema = "map<string,array<string>>"
-    files = t.orders.select(F.col("o_orderkey").alias("file"), cp.field_values(pred, schema).alias("p"), cp.field_values(truth, schema).alias("t"))
+    files = t.orders.select(F.col("o_orderkey").alias("file"), cp.field_values(pred).alias("p"), cp.field_values(truth).alias("t"))
     return cp.kie_counts(files, "file", "p", "t")
 
 
@@ -281,3 +280,20 @@ def _(t):
     spot = lambda x, i: F.struct(i.cast("bigint").alias("gt_position"), F.when((i + F.col("page_id")) % 5 > 0, (i * 3 + F.col("page_id")) % 7).alias("pred_position"))
     rows = _blocks(t).select("page_id", F.transform("p", spot).alias("m")).filter(F.size("m") > 0)
     return rows.select("page_id", F.round(cp.reading_order_distance(F.col("m")), 6).alias("distance"))
+
+
+_REFS = f"""r AS (SELECT conv_id, turn, -1 AS side, hyp AS text FROM @pairs UNION ALL SELECT conv_id, turn, 0, ref FROM @pairs UNION ALL SELECT conv_id, turn, 1, upper(left(ref, 1)) || substr(hyp, 2) FROM @pairs),
+    w AS (SELECT conv_id, turn, side, {q.words('text')} AS w FROM r),
+    l AS (SELECT conv_id, turn, max(len(w)) FILTER (WHERE side = -1) AS h, list(len(w)) FILTER (WHERE side >= 0) AS refs FROM w GROUP BY ALL),
+    z AS (SELECT sum(h) AS hl, sum(list_sort(list_transform(refs, lambda x: [abs(x - h), x]))[1][2]) AS rl FROM l),
+    c AS (SELECT conv_id, turn, side, n, gram, count(*) AS c FROM (SELECT conv_id, turn, side, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS gram FROM w, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL),
+    b AS (SELECT n, coalesce(max(c) FILTER (WHERE side = -1), 0) AS h, coalesce(max(c) FILTER (WHERE side >= 0), 0) AS r FROM c GROUP BY conv_id, turn, n, gram),
+    s AS (SELECT n, sum(h) AS h, sum(least(h, r)) AS m FROM b GROUP BY n),
+    o AS (SELECT k.k, avg(ln(m / CAST(h AS DOUBLE))) FILTER (WHERE m > 0) AS p, count(*) FILTER (WHERE m > 0) AS seen FROM s JOIN (SELECT unnest([1, 2, 3, 4]) AS k) k ON s.n <= k.k GROUP BY k.k)"""
+
+
+@query("e3_bleu_references", f"""WITH {_REFS}
+    SELECT 'bleu_' || k AS metric, round(CASE WHEN seen = k THEN CASE WHEN hl >= rl THEN 1e0 ELSE exp(1e0 - rl / CAST(hl AS DOUBLE)) END * exp(p) ELSE 0e0 END, 6) AS value FROM o, z""")
+def _(t):
+    second = F.concat(F.upper(F.substring("ref", 1, 1)), F.substring("hyp", 2, 2147483647))
+    return cp.bleu_references(t.pairs.select(*IDS, "hyp", F.array(F.col("ref"), second).alias("refs")), IDS, "hyp", "refs")

@@ -136,7 +136,9 @@ def _(t):
     nav = F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1)
     third = pg.inner_text(F.get(pg.elements(nav, "li"), F.lit(2)))
     said = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("ans: "), third)).when(F.col("page_id") % 3 == 1, "C.").otherwise("zzz")
-    rows = t.pages.select("page_id", F.concat(F.lit("<table><tr><td>"), nav, F.lit("</td><td>x</td><td>"), said, F.lit("</td></tr></table>")).alias("html"))
+    # the whole page, with its list as a table row
+    listed = F.concat(F.lit("<table><tr><td>"), nav, F.lit("</td><td>x</td><td>"), said, F.lit("</td></tr></table>"))
+    rows = t.pages.select("page_id", F.when(nav == "", F.col("html")).otherwise(F.replace("html", F.concat(F.lit("<nav>"), nav, F.lit("</nav>")), listed)).alias("html"))
     return pg.pages_to_items(rows, "page_id", "html")
 
 

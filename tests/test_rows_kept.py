@@ -73,3 +73,19 @@ def test_all_queries_of_a_task_are_rows(spark):
     df = spark.range(1000).select(F.lit("t").alias("task"), "id", F.lit("d").alias("d"))
     got = it.organise_tasks(df, "task", "id", "d", F.col("id").cast("string"))
     assert got.count() == 1000 and got.agg(F.max("position")).first()[0] == 999
+
+
+def test_nested_and_plain_fields(value):
+    read = lambda s: sorted((x["field"], x["value"]) for x in value(cp.field_values, s) or [])
+    assert read('{"menu": [{"name": ["cake"], "count": ["2"]}, {"name": "juice", "count": 1}], "b": "y", "c": ["x", " "], "d": null}') == [
+        ("b", "y"), ("c", "x"), ("menu.count", "1"), ("menu.count", "2"), ("menu.name", "cake"), ("menu.name", "juice")]
+    assert read('{"a": "[not json", "b": {"c": {"d": "z"}}}') == [("a", "[not json"), ("b.c.d", "z")]
+    assert read("no json") == []
+
+
+def test_repeated_results_count_once(spark):
+    from scoreloom.operators import apply as ap
+
+    items = spark.createDataFrame([(1,), (2,)], "index long")
+    results = spark.createDataFrame([(1, "a"), (1, "b")], "index long, prediction string")
+    assert sorted((r["index"], r["prediction"]) for r in ap.resumable_apply(items, results, lambda row: "new", "index").collect()) == [(1, "b"), (2, "new")]
