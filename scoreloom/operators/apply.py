@@ -118,6 +118,15 @@ def multi_turn_apply(dialogs: DataFrame, fn: Callable[[list[dict], str], str], k
     return dialogs.select(key, questions).mapInPandas(batches, f"`{key}` {dialogs.schema[key].dataType.simpleString()}, answers array<string>")
 
 
+def _items(s: Column, mark: str = ",") -> Column:
+    """A list written with ``mark`` between its items."""
+    return F.transform(F.split(s, mark), lambda x: F.trim(x))
+
+
+def _map(s: Column) -> Column:
+    return F.from_json(s, "map<string,string>")
+
+
 # metric name -> builder of the score column from (prediction, truth)
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "exact_str_match": sc.string_exact,
@@ -133,6 +142,19 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "sequence_equality": lambda p, t: sc.sequence_equal(F.split(p, ","), F.split(t, ",")),
     "longest_common_list_prefix_ratio": lambda p, t: sc.common_prefix_ratio(F.split(p, ","), F.split(t, ",")),
     "denotation": sc.denotation_match,
+    "jaccard_index": lambda p, t: sc.jaccard(_items(p), _items(t)),
+    "jaccard_index_case_insensitive": lambda p, t: sc.jaccard(_items(F.lower(p)), _items(F.lower(t))),
+    "set_recall": lambda p, t: sc.set_recall(_items(p), _items(t)),
+    "set_equality_case_insensitive": lambda p, t: sc.set_equal(_items(p), _items(t), ignore_case=True),
+    "str_set_equality_comma": lambda p, t: sc.set_equal(_items(p), _items(t)),
+    "str_set_equality_line_break": lambda p, t: sc.set_equal(_items(p, "\n"), _items(t, "\n")),
+    "sequence_equality_case_insensitive": lambda p, t: sc.sequence_equal(_items(p), _items(t), ignore_case=True),
+    "sequence_accuracy_case_insensitive": lambda p, t: sc.sequence_accuracy(_items(F.lower(p)), _items(F.lower(t))),
+    "dict_equality": lambda p, t: sc.map_equal(_map(p), _map(t)),
+    "dict_precision": lambda p, t: sc.map_precision(_map(p), _map(t)),
+    "dict_recall": lambda p, t: sc.map_recall(_map(p), _map(t)),
+    "multi_ref_phrase": lambda p, t: sc.string_any_reference(p, _items(t, r"\|")),
+    "general_single_numerical_match": lambda p, t: sc.numbers_equal(p, t),
 }
 
 

@@ -148,7 +148,7 @@ def read_answer_map(reply: Column) -> Column:
     text = F.trim(reply)
     whole = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), "map<string,string>")
     body = F.substring_index(text, "{", -1)
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x.contains(": "))
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x.contains(": "))
     side = lambda x: F.regexp_replace(F.trim(x), "^[\"',]+|[\"',]+$", "")
     pairs = F.transform(lines, lambda x: F.struct(side(F.split_part(x, F.lit(": "), F.lit(1))).alias("key"), side(F.split_part(x, F.lit(": "), F.lit(2))).alias("value")))
     one_brace = (F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))) == 1

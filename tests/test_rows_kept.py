@@ -89,3 +89,18 @@ def test_repeated_results_count_once(spark):
     items = spark.createDataFrame([(1,), (2,)], "index long")
     results = spark.createDataFrame([(1, "a"), (1, "b")], "index long, prediction string")
     assert sorted((r["index"], r["prediction"]) for r in ap.resumable_apply(items, results, lambda row: "new", "index").collect()) == [(1, "b"), (2, "new")]
+
+
+def test_registry_names(spark):
+    from scoreloom.operators import apply as ap
+
+    rows = [
+        ("jaccard_index", "a, b", "b,c", 1 / 3), ("jaccard_index_case_insensitive", "A", "a", 1.0), ("set_recall", "a", "a,b", 0.5),
+        ("set_equality_case_insensitive", "A,b", "B,a", 1.0), ("str_set_equality_comma", "a,b", "b, a", 1.0), ("str_set_equality_line_break", "a\nb", "b\na", 1.0),
+        ("sequence_equality_case_insensitive", "A,b", "a,B", 1.0), ("dict_equality", '{"a": 1}', '{"a": 1}', 1.0), ("dict_recall", '{"a": 1}', '{"a": 1, "b": 2}', 0.5),
+        ("multi_ref_phrase", "b", "a|b", 1.0), ("nothing", "a", "a", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "metric string, p string, t string")
+    got = {r["metric"]: r["score"] for r in ap.metric_scores(df, "metric", "p", "t").collect()}
+    for name, _, _, score in rows:
+        assert got[name] == (None if score is None else pytest.approx(score)), name
