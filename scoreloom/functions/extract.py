@@ -103,7 +103,7 @@ def extract_letter(s: Column) -> Column:
 
 def extract_cot_answer(s: Column) -> Column:
     """From the only line starting with ``Answer:``: its one capital, else the rest of the line."""
-    lines = F.filter(F.transform(F.split(F.trim(s), "\n"), F.trim), lambda x: x.startswith("Answer:"))
+    lines = F.filter(F.transform(F.split(F.trim(s), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("Answer:"))
     line = only(lines)
     rest = F.substring(line, 8, 2147483647)
     capitals = F.array_distinct(all_found(rest, "([A-Z])"))

@@ -104,3 +104,8 @@ def test_registry_names(spark):
     got = {r["metric"]: r["score"] for r in ap.metric_scores(df, "metric", "p", "t").collect()}
     for name, _, _, score in rows:
         assert got[name] == (None if score is None else pytest.approx(score)), name
+
+
+def test_lines_are_trimmed_of_blanks(value):
+    assert value(ex.extract_cot_answer, "so\n  Answer: Big cat  ").strip() == "Big cat"
+    assert value(it.read_answer_map, '{\n  "3": "x 1"\n "4": "y 2"') == {"3": "x 1", "4": "y 2"}
