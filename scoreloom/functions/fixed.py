@@ -67,7 +67,7 @@ ANSWER_PREFIXES = [
     "The best option is", "The correct option is", "Best answer:", "Best option:",
 ]
 
-# Phrases after which a final answer stands, longest form first.
+# Phrases after which a final answer stands.
 ANSWER_PHRASES = [
     "answer:", "the final answer is:", "the answer is option:", "the answer is:",
     "the correct answer is option:", "the correct answer is:", "the answer should be:",

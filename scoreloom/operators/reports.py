@@ -127,12 +127,13 @@ def macro_over_sources(df: DataFrame, source: str, value: str = "hit") -> DataFr
 
 def cycle_report(df: DataFrame, cycle: str, category: str, value: str = "hit") -> DataFrame:
     """Accuracy per cycle and type; the Average row divides the sum over cycles by their number."""
-    per = accuracy(df, {"type": category, "all": None}, value, [cycle]).select(
-        F.col(cycle).cast("string").alias("cycle"), F.col("group").alias("type"), F.col("value").alias("accuracy"))
-    average = per.groupBy("type").agg(F.sum("accuracy").alias("s"))
-    # the number of cycles is the number of 'all' rows
-    n = per.filter(F.col("type") == ALL).agg(F.count("*").alias("n")).scalar()
-    return per.unionByName(average.select(F.lit("Average").alias("cycle"), "type", F.round(F.col("s") / n, 6).alias("accuracy")))
+    sums = scoped_sums(df, {"type": category, "all": None}, {"_s": F.sum(value), "_n": F.count(value)}, [cycle])
+    exact = sums.select(F.col(cycle).cast("string").alias("cycle"), F.col("group").alias("type"), (F.col("_s") / F.col("_n")).alias("accuracy"))
+    average = exact.groupBy("type").agg(F.sum("accuracy").alias("s"))
+    # the number of cycles is the number of 'all' rows; only what is returned is rounded
+    n = exact.filter(F.col("type") == ALL).agg(F.count("*").alias("n")).scalar()
+    rows = exact.unionByName(average.select(F.lit("Average").alias("cycle"), "type", (F.col("s") / n).alias("accuracy")))
+    return rows.withColumn("accuracy", F.round("accuracy", 6))
 
 
 def nested_rating(df: DataFrame, task: str, subtask: str, category: str, score: str = "score") -> DataFrame:

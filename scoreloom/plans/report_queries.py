@@ -76,9 +76,9 @@ def _(t):
 
 
 @query("g6_cycle_report", """
-    WITH m AS (SELECT CAST(line AS VARCHAR) AS cycle, task AS type, round(CAST(sum(hit) AS DOUBLE) / count(hit), 6) AS accuracy FROM @scored GROUP BY line, task
-               UNION ALL SELECT CAST(line AS VARCHAR), 'all', round(CAST(sum(hit) AS DOUBLE) / count(hit), 6) FROM scored GROUP BY line)
-    SELECT * FROM m UNION ALL SELECT 'Average', type, round(sum(accuracy) / (SELECT count(DISTINCT cycle) FROM m), 6) FROM m GROUP BY type""")
+    WITH m AS (SELECT CAST(line AS VARCHAR) AS cycle, task AS type, CAST(sum(hit) AS DOUBLE) / count(hit) AS accuracy FROM @scored GROUP BY line, task
+               UNION ALL SELECT CAST(line AS VARCHAR), 'all', CAST(sum(hit) AS DOUBLE) / count(hit) FROM scored GROUP BY line)
+    SELECT cycle, type, round(accuracy, 6) AS accuracy FROM m UNION ALL SELECT 'Average', type, round(sum(accuracy) / (SELECT count(DISTINCT cycle) FROM m), 6) FROM m GROUP BY type""")
 def _(t):
     return rp.cycle_report(t.scored, "line", "task")
 
