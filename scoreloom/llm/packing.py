@@ -2,10 +2,11 @@
 
 Documents become pieces of at most ``capacity`` tokens; only longer documents are cut, the first
 piece taking the rest. Pieces are dealt to shards of bounded size by a hash. Each shard is packed by
-best fit, longest first, and then improved: the emptiest sequence gives its pieces away by exchanges
-with other underfull sequences (one piece moved, one for one, two for one, one for two), each of which
-raises the sum of squared fills, until sequences become empty or no exchange is left. Full pieces are
-sequences of their own.
+best fit, longest first, and then improved: the underfull sequences, the emptiest first, give pieces
+away by exchanges with others (up to two pieces for up to two, of any lengths), each of which raises
+the sum of squared fills, until a whole pass finds no exchange or the volume allows no fewer sequences.
+What a sequence could take in is indexed by length, so an attempt costs a look-up for each length given.
+Full pieces are sequences of their own.
 
 Null and empty texts are one end id long. Rows with equal or null ids are packed one by one, as rows
 of their own; an empty table gives an empty result. Extra columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,6 @@ from scoreloom.llm.tokens import END_ID, default_path, encoder
 CAPACITY = 2048
 #: pieces of a shard, about
 SHARD_PIECES = 12_000
-#: exchanges tried in a shard; the search may stop anywhere, a packing stays a packing
-SHARD_MOVES = 1_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = PIECES + ", sequence_id bigint, offset bigint"
 
@@ -88,75 +88,118 @@ class Bins:
                 by_room[room].append(b)
                 rooms |= 1 << room
 
-    def improve(self, moves: int = SHARD_MOVES) -> int:
-        """Exchanges until none raises the sum of squared fills, or ``moves`` were tried; returns how many were made."""
-        free, made = np.array(self.free, np.int64), 0
-        stuck: set[int] = set()
-        for _ in range(moves):
-            open_ = np.flatnonzero((free > 0) & (free < self.capacity))
-            if free[open_].sum() < self.capacity:
-                break  # no sequence can be saved any more
-            open_ = open_[np.argsort(-free[open_], kind="stable")]
-            source = next((int(b) for b in open_ if int(b) not in stuck), None)
-            if source is None:
+    def improve(self) -> int:
+        """Exchanges until a whole pass over the open sequences finds none that raises the sum of squared fills.
+
+        Returns how many were made. It also ends where no sequence can be saved any more.
+        """
+        made, spare = 0, sum(self.free)
+        self._index()
+        while spare >= self.capacity:
+            before = made
+            queue = [(-room, b) for b, room in enumerate(self.free) if 0 < room < self.capacity]
+            heapify(queue)
+            while queue and spare >= self.capacity:
+                room, source = heappop(queue)
+                if -room != self.free[source]:  # it was a target meanwhile
+                    if self.free[source]:
+                        heappush(queue, (-self.free[source], source))
+                    continue
+                self._leave(source)
+                while self.free[source] < self.capacity and self._exchange(source):
+                    made += 1
+                if self.free[source] == self.capacity:
+                    spare -= self.capacity
+                self._enter(source)
+            if made == before:
                 break
-            if self._exchange(source, open_, free):
-                made += 1
-                stuck.clear()
-            else:
-                stuck.add(source)
-        self.free = free.tolist()
         return made
 
-    def _exchange(self, source: int, open_: np.ndarray, free: np.ndarray) -> bool:
-        """One exchange between ``source`` and a sequence at least as full, the one that fills it best."""
-        own = np.flatnonzero(self.bin == source)
-        is_target = np.zeros(len(free), bool)
-        is_target[open_] = True
-        is_target[source] = False
-        is_target &= free <= free[source]
-        others = np.flatnonzero(is_target[self.bin])
-        targets = np.flatnonzero(is_target)
-        if not len(own) or not len(targets):
-            return False
-        best: tuple[int, list[int], list[int], int] | None = None
-
-        def offer(gains: np.ndarray, rooms: np.ndarray, give, take, to) -> None:
-            """Of the gains that fit, the one that leaves the least room."""
-            nonlocal best
-            left = np.where((gains > 0) & (gains <= rooms), rooms - gains, self.capacity + 1)
-            k = int(np.argmin(left)) if left.size else 0
-            if left.size and left.flat[k] <= self.capacity and (best is None or left.flat[k] < best[0]):
-                best = (int(left.flat[k]), give(k), take(k), to(k))
-
-        n, room_of = self.lengths, free[self.bin[others]]
-        singles = own[np.unique(n[own], return_index=True)[1]]
-        for x in singles.tolist():
-            offer(np.full(len(targets), n[x]), free[targets], lambda k, x=x: [x], lambda k: [], lambda k: int(targets[k]))
-            offer(n[x] - n[others], room_of, lambda k, x=x: [x], lambda k: [int(others[k])], lambda k: int(self.bin[others[k]]))
-        few = singles[np.argsort(-n[singles], kind="stable")]
-        if len(own) > 1:  # two of ours for one of theirs
-            for i, x in enumerate(few.tolist()):
-                for y in few[i + 1 :].tolist():
-                    offer(n[x] + n[y] - n[others], room_of, lambda k, x=x, y=y: [x, y], lambda k: [int(others[k])], lambda k: int(self.bin[others[k]]))
-        if best is None or best[0]:  # one of ours for two neighbours of theirs
-            order = others[np.lexsort((n[others], self.bin[others]))]
-            for step in (1, 2, 3):
-                a, b = order[:-step], order[step:]
-                same = self.bin[a] == self.bin[b]
-                a, b = a[same], b[same]
-                if len(a):
-                    for x in few.tolist():
-                        offer(n[x] - n[a] - n[b], free[self.bin[a]], lambda k, x=x: [x], lambda k, a=a, b=b: [int(a[k]), int(b[k])], lambda k, a=a: int(self.bin[a[k]]))
+    def _index(self) -> None:
+        """What the open sequences can give, by the length they could take in for it."""
+        self._inside: dict[int, dict[int, list[int]]] = {}  # sequence: length: its pieces
+        self._reach: dict[int, dict[int, dict[int, None]]] = {}  # length taken in at most: room: sequences
+        self._rooms = [0] * (self.capacity + 1)  # for such a length, bit r is set when a sequence of room r has it
+        self._reaches = 0  # bit k is set when there is such a length k
+        for i, (b, n) in enumerate(zip(self.bin.tolist(), self.lengths.tolist(), strict=True)):
+            if self.free[b]:
+                self._inside.setdefault(b, {}).setdefault(n, []).append(i)
+        for b in self._inside:
+            self._enter(b)
+
+    def _sums(self, b: int) -> set[int]:
+        """The lengths of one piece of a sequence and of two."""
+        own = sorted(self._inside[b])
+        sums = set(own)
+        sums.update(2 * n for n in own if len(self._inside[b][n]) > 1)
+        for i, n in enumerate(own):
+            sums.update([n + m for m in own[i + 1 :]])
+        return sums
+
+    def _enter(self, b: int) -> None:
+        room = self.free[b]
+        if 0 < room < self.capacity:
+            for k in (room, *[room + s for s in self._sums(b)]):
+                self._reach.setdefault(k, {}).setdefault(room, {})[b] = None
+                self._rooms[k] |= 1 << room
+                self._reaches |= 1 << k
+
+    def _leave(self, b: int) -> None:
+        room = self.free[b]
+        for k in (room, *[room + s for s in self._sums(b)]):
+            same = self._reach[k][room]
+            del same[b]
+            if not same:
+                self._rooms[k] &= ~(1 << room)
+                if not self._rooms[k]:
+                    self._reaches &= ~(1 << k)
+
+    def _pieces(self, b: int, total: int) -> list[int]:
+        """At most two lengths in a sequence that make up ``total``."""
+        own = self._inside[b]
+        if not total or total in own:
+            return [total] * (total > 0)
+        return next([n, total - n] for n in own if total - n in own and (2 * n != total or len(own[n]) > 1))
+
+    def _exchange(self, source: int) -> bool:
+        """One exchange of up to two pieces of ``source`` for up to two of another, the one that fills the other best.
+
+        It raises the sum of squares when the other is left with less room than either had. ``source`` is not in the index.
+        """
+        least, best = self.free[source], None
+        for given in sorted(self._sums(source), reverse=True):
+            near = self._reaches >> given & ((1 << least) - 1)
+            while near:
+                left = (near & -near).bit_length() - 1
+                rooms = self._rooms[given + left] >> (left + 1)
+                if rooms:
+                    least, best = left, (given, left + rooms.bit_length())
+                    break
+                near &= near - 1
+            if not least:
+                break
         if best is None:
             return False
-        _, give, take, to = best
-        gain = int(n[give].sum() - n[take].sum())
-        self.bin[give], self.bin[take] = to, source
-        free[to] -= gain
-        free[source] += gain
+        given, room = best
+        target = next(iter(self._reach[given + least][room]))
+        self._leave(target)
+        give, take = self._pieces(source, given), self._pieces(target, given + least - room)
+        for lengths, a, b in ((give, source, target), (take, target, source)):
+            moved = [self._inside[a][n].pop() for n in lengths]
+            for n in lengths:
+                if n in self._inside[a] and not self._inside[a][n]:
+                    del self._inside[a][n]
+            self._arrive(moved, b)
+        self.free[source] += room - least
+        self.free[target] = least
+        self._enter(target)
         return True
 
+    def _arrive(self, pieces: list[int], b: int) -> None:
+        for i in pieces:
+            self.bin[i] = b
+            self._inside[b].setdefault(int(self.lengths[i]), []).append(i)
+
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """The sequence of each piece."""

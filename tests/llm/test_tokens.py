@@ -1,4 +1,5 @@
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,41 @@ def test_exchanges_save_sequences(rng):
     assert packing.pack_lengths(np.array([], int)).tolist() == []
 
 
+def improving(lengths, bins, capacity):
+    """An exchange of up to two pieces for up to two that raises the sum of squared fills, by trying all."""
+    fill = np.bincount(bins, lengths).astype(int)
+    inside = [[int(n) for n in lengths[bins == b]] for b in range(len(fill))]
+    some = lambda own: {0, *own, *[x + y for x, y in combinations(own, 2)]}
+    open_ = [b for b in range(len(fill)) if 0 < fill[b] < capacity]
+    for a, b in combinations(open_, 2):
+        for x in some(inside[a]):
+            for y in some(inside[b]):
+                after = (fill[a] - x + y, fill[b] + x - y)
+                if max(after) <= capacity and after[0] ** 2 + after[1] ** 2 > fill[a] ** 2 + fill[b] ** 2:
+                    return a, b, x, y
+    return None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_ends_without_an_exchange_left(seed):
+    rng = np.random.default_rng(seed)
+    for lengths in (rng.integers(600, 1100, 120), rng.choice([410, 640, 700, 900], 120), rng.integers(150, 400, 120)):
+        bins = packing.Bins(lengths.astype(np.int64), 2048)
+        bins.improve()
+        spare = sum(f for f in bins.free if f < 2048)
+        assert np.bincount(bins.bin, lengths).max() <= 2048
+        assert spare < 2048 or improving(lengths, bins.bin, 2048) is None
+
+
+@pytest.mark.parametrize(("low", "high", "most"), [(500, 900, 0.94), (600, 1100, 0.98)])
+def test_a_full_shard_needs_fewer_sequences(low, high, most):
+    lengths = np.sort(np.random.default_rng(7).integers(low, high, packing.SHARD_PIECES))[::-1].copy()
+    best_fit = len(packing.Bins(lengths, 2048).free)
+    placed = packing.pack_lengths(lengths)
+    assert np.bincount(placed, lengths).max() <= 2048
+    assert len(np.unique(placed)) <= most * best_fit
+
+
 def test_elias_fano(rng):
     for values in (np.cumsum(rng.integers(1, 900, 3000)), np.array([5]), np.array([0, 0, 3, 1_000_000, 1_000_001]), np.cumsum(rng.integers(0, 2, 2000)), np.array([], int)):
         code = token_files.EliasFano.encode(values)
