@@ -6,10 +6,11 @@ a later model never learns from a probability its own label helped to make.
 
 The chain is fitted on at most ``max_labelled`` labelled documents, those with the smallest hash of
 their id; only their words' hashes reach the driver. Words are lowered runs of letters and digits; a
-word becomes a feature of a category when the shares of the two classes that have it differ by
-``MIN_DIFFERENCE`` and by more than chance (``MIN_Z``), and ``MIN_DOCUMENTS`` labelled documents have
-it: words of a few copies with a wrong label are no evidence. Scoring reads every whole text in
-place, without a shuffle; the fitted chain is at most ``MAX_FEATURES`` weights a category.
+word becomes a feature of a category when the shares of the two classes that have it differ by more
+than chance (``MIN_Z``, however small the shares), and ``MIN_DOCUMENTS`` votes have it. Equal and
+near-equal texts share one vote: words of a few copies with a wrong label are no evidence. Scoring
+reads every whole text in place, without a shuffle; the fitted chain is at most ``MAX_FEATURES``
+weights a category.
 
 Null and empty texts have no words: they get the chain's base rates. Documents without a label, with
 several (the largest counts) or with a null one are scored all the same. Without any labelled document
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import LETTERS, free_name, word_hashes
+from scoreloom.llm.common import LETTERS, free_name, mix, word_hashes
 
 MAX_LABELLED = 8_000
 MAX_FEATURES = 4096
 MIN_DOCUMENTS = 5
 MIN_Z = 4.5
-MIN_DIFFERENCE = 0.05
+#: texts whose sets of words are so alike (Jaccard) are near-equal; found by bands of smallest hashes
+NEAR_EQUAL = 0.8
+NEAR_BANDS, BAND_HASHES = 16, 4
 FOLDS = 5
 THRESHOLD = 0.5
 #: a text counts a word this often at most
@@ -98,29 +101,73 @@ class Chain:
         return out
 
 
-def _choose_words(x: Words, y: np.ndarray) -> np.ndarray:
-    """Words whose document shares in the two classes differ most, beyond chance."""
+def near_equal(x: Words) -> np.ndarray:
+    """A group number for every text; texts linked by near-equal sets of words have the same.
+
+    Texts that share a band are compared with the first of them, those unlike it with the next that is left, until none is.
+    """
+    root = np.arange(x.n)
+    order = np.argsort(x.rows, kind="stable")
+    hashes, sizes = x.hashes[order], np.bincount(x.rows, minlength=x.n)
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(sizes)
+    root[sizes == 0] = np.argmin(sizes) if x.n else 0
+    if not len(some):
+        return root
+    sets = lambda i: hashes[ends[i] - sizes[i] : ends[i]]
+    for band in range(NEAR_BANDS):
+        key = np.zeros(len(some), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(band * BAND_HASHES, (band + 1) * BAND_HASHES):
+                key = mix(key + np.minimum.reduceat(mix(hashes ^ mix(np.uint64(k + 1))), (ends - sizes)[some]))
+        placed = np.argsort(key, kind="stable")
+        for members in np.split(some[placed], np.flatnonzero(np.diff(key[placed])) + 1):
+            while len(members) > 1:
+                first, members = members[0], members[1:]
+                members = members[root[members] != root[first]]
+                if not len(members):
+                    break
+                own = np.sort(sets(first))
+                theirs = np.concatenate([sets(i) for i in members])
+                both = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                shared = np.add.reduceat(both.astype(np.int64), np.cumsum(sizes[members]) - sizes[members])
+                alike = shared >= NEAR_EQUAL * (sizes[members] + len(own) - shared)
+                root[np.isin(root, root[members[alike]])] = root[first]
+                members = members[~alike]
+    return root
+
+
+def _choose_words(x: Words, y: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Words whose document shares in the two classes differ most, beyond chance; a group of texts has one vote.
+
+    z is the root of the likelihood ratio, which holds for rare words too.
+    """
     if not len(x.hashes):
         return np.zeros(0, np.uint64)
     words, back = np.unique(x.hashes, return_inverse=True)
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    d1 = np.bincount(back, y[x.rows], len(words))
-    d = np.bincount(back, minlength=len(words)).astype(float)
-    p = d / (n1 + n0)
-    apart = np.abs(d1 / n1 - (d - d1) / n0)
-    z = apart / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    keep = np.flatnonzero((z > MIN_Z) & (apart >= MIN_DIFFERENCE) & (d >= MIN_DOCUMENTS))
-    return words[np.sort(keep[np.argsort(-z[keep], kind="stable")][:MAX_FEATURES])]
-
-
-def fit_linear(x: Words, y: np.ndarray, earlier: np.ndarray, rounds: int = 300, ridge: float = 1.0) -> Linear:
+    _, group, members = np.unique(groups, return_inverse=True, return_counts=True)
+    vote = 1.0 / members[group]
+    n1, n0 = float((vote * y).sum()), float((vote * (1 - y)).sum())
+    d1 = np.bincount(back, (vote * y)[x.rows], len(words))
+    d = np.bincount(back, vote[x.rows], len(words))
+    p = np.clip(d / (n1 + n0), 0.0, 1.0)
+    z2 = np.zeros(len(words))
+    for have, n in ((d1, n1), (d - d1, n0)):
+        for seen, expected in ((have, n * p), (n - have, n * (1 - p))):
+            seen = np.maximum(seen, 0.0)
+            z2 += 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+    keep = np.flatnonzero((z2 > MIN_Z**2) & (d >= MIN_DOCUMENTS - 1e-9))
+    return words[np.sort(keep[np.argsort(-z2[keep], kind="stable")][:MAX_FEATURES])]
+
+
+def fit_linear(x: Words, y: np.ndarray, earlier: np.ndarray, groups: np.ndarray, rounds: int = 300, ridge: float = 1.0) -> Linear:
     """Penalised logistic regression, by gradient descent with momentum on scaled columns."""
     y = y.astype(float)
     rate = (y.sum() + 0.5) / (len(y) + 1.0) if len(y) else 0.0
     constant = Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(_logit(np.array(rate))))
     if not len(y) or y.min() == y.max():
         return constant
-    words = _choose_words(x, y)
+    words = _choose_words(x, y, groups)
     at = np.minimum(np.searchsorted(words, x.hashes), max(0, len(words) - 1))
     hit = words[at] == x.hashes if len(words) else np.zeros(len(x.hashes), bool)
     rows, cols, vals = x.rows[hit], at[hit], np.minimum(x.counts[hit], MOST_COUNTS)
@@ -157,9 +204,10 @@ def fit_chain(x: Words, labels: np.ndarray, folds: np.ndarray, categories: Seque
     """A model per category; the probabilities that later models learn from are out of fold. NaN labels are left out."""
     chain = Chain(list(categories))
     earlier = np.zeros((x.n, 0))
+    groups = near_equal(x)
     for i in range(len(categories)):
         known = ~np.isnan(labels[:, i])
-        fit = lambda rows, i=i, earlier=earlier: fit_linear(x.take(rows), labels[rows, i], earlier[rows])
+        fit = lambda rows, i=i, earlier=earlier: fit_linear(x.take(rows), labels[rows, i], earlier[rows], groups[rows])
         chain.models.append(fit(known))
         out = np.zeros(x.n)
         for f in range(FOLDS):

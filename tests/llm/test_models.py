@@ -2,8 +2,10 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,64 @@ def test_later_models_use_earlier_probabilities():
     assert ((p[:, 0] > 0.5) == a).mean() > 0.99 and ((p[:, 1] > 0.5) == b).mean() > 0.85
 
 
+def test_many_rare_toxic_words(spark):
+    """A hundred toxic words, three in a toxic text: none of them is in 5 % of the toxic texts."""
+    rng = np.random.default_rng(11)
+    docs, labels, bad = [], [], set()
+    for i in range(8000):
+        words = [f"w{x}" for x in rng.zipf(1.3, int(rng.integers(20, 60))) % 5000]
+        if i % 8 == 0:
+            bad.add(i)
+            words += [f"slur{x}" for x in rng.choice(100, 3, replace=False)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 8 == 0)))
+    found = {r["doc_id"]: r["rejected"] for r in toxicity.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(found[i] for i in bad) >= 0.95 * len(bad)
+    assert sum(found[i] for i in found if i not in bad) <= 0.001 * len(found)
+
+
+def as_words(texts):
+    parts = list(toxicity.text_words(pa.array(texts)))
+    assert len(parts) == 1
+    return parts[0]
+
+
+def test_copies_have_one_vote():
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 40) % 5000) + (f" slur{i % 7}" if i % 8 == 0 else "") for i in range(1500)]
+    y = [float(i % 8 == 0) for i in range(1500)]
+    passage = [f"copied{k}" for k in range(60)]
+    for i in range(30):  # wrongly labelled near copies, a word or two of each changed
+        own = list(passage)
+        own[int(rng.integers(0, 60))] = f"edit{i}"
+        texts.append(" ".join(own))
+        y.append(1.0)
+    texts += ["exact copied passage of five"] * 20
+    y += [1.0] * 20
+    x = as_words(texts)
+    groups = toxicity.near_equal(x)
+    assert len(set(groups[1500:1530])) == 1 and len(set(groups[1530:])) == 1 and len(set(groups)) == 1502
+    chosen = set(toxicity._choose_words(x, np.array(y), groups).tolist())
+    hashed = lambda words: set(as_words([" ".join(words)]).hashes.tolist())
+    assert hashed([f"slur{k}" for k in range(7)]) <= chosen
+    assert not chosen & hashed([*passage, *"exact copied passage of five".split()])
+
+
+def test_near_equal_compares_past_the_first_of_a_band():
+    """Two groups of copies with a template in common, which fills most bands, and all pairs by brute force."""
+    rng = np.random.default_rng(13)
+    template = [f"t{k}" for k in range(60)]
+    texts = [""]
+    for g in range(6):
+        own = template + [f"g{g}x{k}" for k in range(30)]
+        texts += [" ".join(np.delete(own, rng.integers(0, 90, 2))) for _ in range(8)]
+    groups = toxicity.near_equal(as_words(texts))
+    sets = [set(t.split()) for t in texts]
+    for i, j in combinations(range(1, len(texts)), 2):
+        alike = len(sets[i] & sets[j]) >= toxicity.NEAR_EQUAL * len(sets[i] | sets[j])
+        assert (groups[i] == groups[j]) == alike
+
+
 def test_chain_edge_rows(spark, edge, empty, judged):
     _, labels, _ = judged
     found = toxicity.judge(edge, labels).collect()
