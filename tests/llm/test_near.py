@@ -161,6 +161,26 @@ def test_fingerprint_edge_rows(edge, empty):
     assert fingerprints.fingerprint_documents(empty).collect() == []
 
 
+def test_classes_of_documents_that_share_a_template(spark):
+    """Pairs of alike texts, all with one template in three fifths of the text, against all pairs."""
+    rng = np.random.default_rng(21)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    template, texts = letters(600), []
+    for _ in range(200):
+        own = template + letters(200)
+        texts += [own + letters(200) for _ in range(2)]
+    marks = [fingerprints.embed(fingerprints._codes(t), fingerprints._walk(fingerprints._codes(t), 0)) for t in texts]
+    written = [fingerprints.write(m) for m in marks]
+    alike = [(i, j) for i in range(400) for j in range(i) if fingerprints.likeness(marks[i], marks[j]) >= fingerprints.ALIKE]
+    plain = list(range(400))
+    for i, j in alike:
+        plain = [plain[j] if x == plain[i] else x for x in plain]
+    found = fingerprints.with_classes(spark.createDataFrame(list(enumerate(written)), "doc_id long, fingerprint string"))
+    classes = {r["doc_id"]: r["class_id"] for r in found.collect()}
+    assert len(set(plain)) > 100 and len(alike) >= 100
+    assert [classes[i] for i in range(400)] == [plain.index(x) for x in plain]
+
+
 def test_edits_lower_likeness_slowly(rng):
     base = "".join(rng.choice(list("abcdefgh ijkl mno"), 4000))
     mark = lambda t: fingerprints.embed(fingerprints._codes(t), fingerprints._walk(fingerprints._codes(t), 0))
