@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import fingerprints, jaccard_join, language_model, mixing, neighbours, packing, pii, sharding, token_files, toxicity
+from scoreloom.llm import (
+    collocations, decontamination, divergence, fingerprints, jaccard_join, language_model, mixing, neighbours, oracles, packing, pii, sharding, token_files,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +60,19 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_stripe_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("spans")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_fingerprints": op1_edit_fingerprints,
     "op2_mix_sources": op2_mix_sources,
@@ -68,6 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_kd_shards": op9_kd_shards,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op11_stripe_collocations": op11_stripe_collocations,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_stripe_collocations": oracles.COLLOCATIONS,
+    "op12_decontaminate": oracles.DECONTAMINATION,
+    "op13_source_divergence": oracles.DIVERGENCE,
+}
