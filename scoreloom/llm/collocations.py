@@ -2,20 +2,20 @@
 
 Words are cut from whole texts per language. In a task every prefix of two words keys a stripe: an
 associative counter of the words that follow it, with an entry of its own (``END``) for occurrences that
-end their piece, so that each occurrence of a prefix is in its stripe once. Stripes of one prefix are
-merged elementwise. A merged stripe then gives all that is asked of the prefix: its entries are the
-counts of the extensions (three words), its total is the count of the prefix (two words), its largest
-entry says by how much one extension subsumes the prefix, and the totals of the stripes with the same
-first word add up to the count of that word. Nothing else is counted.
+end their piece, so that each occurrence of a prefix is in its stripe once. The empty prefix has a stripe
+as well, the counter of all words. Stripes of one prefix are merged elementwise. A merged stripe then gives
+all that is asked of the prefix: its entries are the counts of the extensions, its total is the count of
+the prefix, and its largest entry says by how much one extension subsumes it. Nothing else is counted.
 
-Stripes go to buckets by prefix *and* by a part of the following word, so the stripe of a very common
-prefix is merged in up to ``PARTS`` pieces, whose totals and maxima Spark adds up; tasks combine before
-they send, so a prefix costs one row of entries a task and bucket however often it occurs. A bucket holds
-what about ``BUCKET_BYTES`` of text give.
+A prefix is merged in one task, where what is too rare is dropped at once, unless it has more following
+words in some task's stripe than ``_limits`` allows. Such a stripe is dealt to parts by following word, each with a mark
+(an entry of no occurrences) that says so; its merged parts are kept whole and added up by Spark. Tasks
+combine before they send, so a prefix costs its distinct entries a task however often it occurs. A
+bucket holds what about ``BUCKET_BYTES`` of text give.
 
 Counts are exact; scores are computed in decimals, as products may pass 64 bits. Null languages are
 ``und``, null and empty texts have no words, repeated rows count again, an empty table gives no rows.
-Extra columns are not read. A word with a text of its own only may be of any length.
+Extra columns are not read. Words may be of any length.
 """
 
 from __future__ import annotations
@@ -36,13 +36,15 @@ _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
 #: words counted before a task sends its stripes on
-FLUSH_WORDS = 3_000_000
+FLUSH_WORDS = 1_000_000
 BUCKET_BYTES = 6 << 20
 LEAST_BUCKETS = 16
-#: pieces that a prefix's stripe is merged in
-PARTS = 64
-STRIPES = "lang string, bucket int, first array<string>, second array<string>, width array<int>, following array<string>, count array<bigint>"
-MERGED = "lang string, first string, second string, third string, count bigint, most bigint"
+#: entries of one prefix that a bucket may get
+ENTRIES = 2_000_000
+#: most following words of a stripe that is sent in one piece, and least parts of one that is not
+WIDE, PARTS = 256, 64
+STRIPES = "lang string, bucket int, first array<string>, second array<string>, width array<int>, following array<string>, count array<int>"
+MERGED = "lang string, first string, second string, third string, count bigint, most bigint, whole boolean"
 #: the score of a cut, as a whole number
 SCALE = 1_000_000
 
@@ -58,32 +60,57 @@ def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
 
-def _stripes(langs: list[pa.Array], lang_of: list[np.ndarray], words: list[pa.Array], left: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+def _limits(total_bytes: int) -> tuple[int, int, int]:
+    """Buckets, most entries of a stripe sent in one piece, and parts of a larger one, for a text of so many bytes.
+
+    No bucket gets more than about ``ENTRIES`` entries of one prefix, whatever its share of the text.
+    """
+    flushes = 1 + total_bytes // (4 * FLUSH_WORDS)
+    return max(LEAST_BUCKETS, -(-total_bytes // BUCKET_BYTES)), max(1, min(WIDE, ENTRIES // flushes)), max(PARTS, flushes * FLUSH_WORDS // (2 * ENTRIES))
+
+
+def _stripes(langs: list[pa.Array], lang_of: list[np.ndarray], words: list[pa.Array], left: list[np.ndarray], buckets: int, wide: int, parts: int) -> pa.RecordBatch:
     """The stripes of the words of some texts, by language and bucket; ``left``: words after a word in its piece, 2 for more."""
     codes, known = numbered_words(words)
     tongues, names = numbered_words(langs)
     lang, left = tongues[np.concatenate(lang_of)], np.concatenate(left)
     size = len(known)
     after = np.append(codes[1:], size)
-    # the end of a piece has the number after the last word's
-    second = np.where(left > 0, after, size)
+    # no word has the number after the last word's
     third = np.where(left > 1, np.append(after[1:], size), size)
-    prefix = (lang * size + codes) * (size + 1) + second
+    prefix = (lang * (size + 1) + codes) * (size + 1) + np.where(left > 0, after, size)
     distinct, back = np.unique(prefix, return_inverse=True)
     entry, count = np.unique(back * (size + 1) + third, return_counts=True)
-    stripe, third = entry // (size + 1), entry % (size + 1)
-    second = distinct % (size + 1)
-    lang, first = np.divmod(distinct // (size + 1), size)
+    stripe, third = np.divmod(entry, size + 1)
+    del prefix, back, entry, after, left
+    single, often = np.unique(lang * (size + 1) + codes, return_counts=True)
+    empty = np.unique(single // (size + 1))
+    # stripes of empty prefixes have numbers after the others'
+    lang_at, first = np.divmod(np.concatenate([distinct // (size + 1), empty * (size + 1) + size]), size + 1)
+    second = np.concatenate([distinct % (size + 1), np.full(len(empty), size)])
+    names_of = names.cast(pa.string()).take(pa.array(lang_at, pa.int64()))
     hashes = np.append(string_hashes(known), np.uint64(0))
+    spread = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        at = mix(mix(string_hashes(names)[lang] + hashes[first]) + hashes[second])[stripe]
-        at = mix(at + (hashes[third] % np.uint64(PARTS)) * np.uint64(0x9E3779B97F4A7C15))
-    bucket = (at % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(lang[stripe] * buckets + bucket, kind="stable")
-    stripe, third, count, bucket = stripe[order], third[order], count[order], bucket[order]
+        base = mix(mix(string_hashes(names)[lang_at] + hashes[first]) + hashes[second])
+        split = np.bincount(stripe, minlength=len(distinct)) > wide
+        large = split[stripe]
+        part = np.where(large, 1 + (mix(hashes[third]) % np.uint64(parts)), 0).astype(np.uint64)
+        # a mark in every part of a split stripe, and where it would be in one piece
+        marks = np.unique(np.stack([stripe[large], part[large].astype(np.int64)], axis=1), axis=0)
+        marks = np.concatenate([marks, np.stack([np.flatnonzero(split), np.zeros(int(split.sum()), np.int64)], axis=1)])
+        alone = len(distinct) + np.searchsorted(empty, single // (size + 1))
+        word = single % (size + 1)
+        at = mix(np.concatenate([base[stripe] + part * spread, base[marks[:, 0]] + marks[:, 1].astype(np.uint64) * spread, base[alone] + hashes[word]]))
+    stripe = np.concatenate([stripe, marks[:, 0], alone])
+    third = np.concatenate([third, np.full(len(marks), size), word])
+    count = np.concatenate([count, np.zeros(len(marks), np.int64), often])
+    row = lang_at[stripe] * buckets + (at % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((third, stripe, row))
+    stripe, third, count, row = stripe[order], third[order], count[order], row[order]
     # a row a language and bucket, in it a stripe a prefix
-    heads = _runs((lang[stripe] * buckets + bucket) * len(distinct) + stripe)
-    row_heads = _runs(lang[stripe] * buckets + bucket)
+    row_heads = _runs(row)
+    heads = np.union1d(_runs(stripe), row_heads)
     owner = stripe[heads]
     spelt = pa.concat_arrays([known.cast(pa.string()), pa.array([None], pa.string())])
     stripe_ends = np.append(np.searchsorted(heads, row_heads[1:]), len(heads))
@@ -91,62 +118,67 @@ def _stripes(langs: list[pa.Array], lang_of: list[np.ndarray], words: list[pa.Ar
     take = lambda numbers: spelt.take(pa.array(numbers, pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
-            names.cast(pa.string()).take(pa.array(lang[stripe[row_heads]], pa.int64())), pa.array(bucket[row_heads], pa.int32()),
+            names_of.take(pa.array(stripe[row_heads], pa.int64())), pa.array(row[row_heads] % buckets, pa.int32()),
             _lists(take(first[owner]), stripe_ends), _lists(take(second[owner]), stripe_ends),
             _lists(pa.array(np.diff(np.append(heads, len(stripe))), pa.int32()), stripe_ends),
-            _lists(take(third), entry_ends), _lists(pa.array(count, pa.int64()), entry_ends),
+            _lists(take(third), entry_ends), _lists(pa.array(count, pa.int32()), entry_ends),
         ],
         names=["lang", "bucket", "first", "second", "width", "following", "count"],
     )
 
 
 def _merge(lang: str, table: pa.Table, least: int) -> pa.Table:
-    """The stripes of a bucket merged elementwise, as rows of ``MERGED``."""
+    """The stripes of a bucket merged elementwise, as rows of ``MERGED``; rare words, prefixes and entries are left out where all of them is here."""
     flat = lambda name: table.column(name).combine_chunks().flatten()
-    codes, known = numbered_words([flat("first"), flat("second").fill_null(""), flat("following").fill_null("")])
-    n, width = len(flat("first")), flat("width").to_numpy()
+    lists = [flat(name) for name in ("first", "second", "following")]
+    codes, known = numbered_words([x.fill_null("") for x in lists])
     size = len(known)
-    first, second, third = codes[:n], codes[n : 2 * n], codes[2 * n :]
-    second = np.where(flat("second").is_null().to_numpy(zero_copy_only=False), size, second)
-    third = np.where(flat("following").is_null().to_numpy(zero_copy_only=False), size, third)
-    prefixes, back = np.unique(first * (size + 1) + second, return_inverse=True)
-    key = np.repeat(back, width) * (size + 1) + third
+    codes[np.concatenate([x.is_null().to_numpy(zero_copy_only=False) for x in lists])] = size
+    n = len(lists[0])
+    prefixes, back = np.unique(codes[:n] * (size + 1) + codes[n : 2 * n], return_inverse=True)
+    key = np.repeat(back, flat("width").to_numpy()) * (size + 1) + codes[2 * n :]
+    sent = flat("count").to_numpy()
+    split = np.zeros(len(prefixes), bool)
+    split[key[sent == 0] // (size + 1)] = True
     order = np.argsort(key, kind="stable")
     heads = _runs(key[order])
-    count = np.add.reduceat(flat("count").to_numpy()[order], heads)
-    key = key[order][heads]
-    stripe, third = key // (size + 1), key % (size + 1)
+    count = np.add.reduceat(sent[order].astype(np.int64), heads)
+    stripe, third = np.divmod(key[order][heads], size + 1)
     stripes = _runs(stripe)
     total = np.add.reduceat(count, stripes)
     most = np.maximum.reduceat(np.where(third < size, count, 0), stripes)
-    first, second = prefixes // (size + 1), prefixes % (size + 1)
-    by_first = _runs(first)
-    often = (third < size) & (count >= least)
-    two = second < size
-    # words, prefixes and extensions, one below the other; a word that ends its piece is a word only
-    blank = lambda k: np.full(k, size)
+    first, second = np.divmod(prefixes, size + 1)
+    whole = ~split
+    # all words together, words, prefixes, extensions
+    empty, alone = first == size, (first == size)[stripe] & (count >= least)
+    two = (second < size) & (split | (total >= least))
+    three = ~empty[stripe] & (third < size) & (split[stripe] | (count >= least))
+    blank = lambda mask: np.full(int(mask.sum()), size)
+    none = lambda mask: np.zeros(int(mask.sum()), np.int64)
     columns = [
-        np.concatenate([first[by_first], first[two], first[stripe[often]]]),
-        np.concatenate([blank(len(by_first)), second[two], second[stripe[often]]]),
-        np.concatenate([blank(len(by_first) + int(two.sum())), third[often]]),
+        np.concatenate([blank(empty), third[alone], first[two], first[stripe[three]]]),
+        np.concatenate([blank(empty), blank(alone), second[two], second[stripe[three]]]),
+        np.concatenate([blank(empty), blank(alone), blank(two), third[three]]),
     ]
+    counts = np.concatenate([total[empty], count[alone], total[two], count[three]])
     spelt = pa.concat_arrays([known.cast(pa.string()), pa.array([None], pa.string())])
-    counts = np.concatenate([np.add.reduceat(total, by_first), total[two], count[often]])
-    most = np.concatenate([np.zeros(len(by_first), np.int64), most[two], np.zeros(int(often.sum()), np.int64)])
     return pa.table(
-        [pa.array([lang] * len(counts), pa.string()), *[spelt.take(pa.array(c, pa.int64())) for c in columns], pa.array(counts, pa.int64()), pa.array(most, pa.int64())],
-        names=["lang", "first", "second", "third", "count", "most"],
+        [pa.array([lang] * len(counts), pa.string()), *[spelt.take(pa.array(c, pa.int64())) for c in columns], pa.array(counts, pa.int64()),
+         pa.array(np.concatenate([none(empty), none(alone), most[two], none(three)]), pa.int64()),
+         pa.array(np.concatenate([none(empty) == 0, none(alone) == 0, whole[two], whole[stripe[three]]]), pa.bool_())],
+        names=["lang", "first", "second", "third", "count", "most", "whole"],
     )
 
 
 def merged_stripes(docs: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, first, second, third, count, most): counts of words, prefixes (with their largest extension) and frequent extensions.
+    """Rows (lang, first, second, third, count, most, whole): words, prefixes with their largest extension, extensions, and all words (no ``first``).
 
-    A word or prefix may have several rows, of the pieces of its stripes; they add up.
+    Rows that are ``whole`` are final and hold no count below ``least``; others are of the parts of a prefix and add up.
     """
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text")
     total = docs.agg(F.sum(F.octet_length(whole_text()))).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
+    limits = _limits(total)
+    flush = FLUSH_WORDS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, lang_of, words, left, rows, held = [], [], [], [], 0, 0
@@ -155,17 +187,17 @@ def merged_stripes(docs: DataFrame, least: int) -> DataFrame:
                 n = len(part.first)
                 piece = np.cumsum(_ENDS[part.data])[part.first] if n else np.zeros(0, np.int64)
                 linked = np.zeros(n + 1, bool)
-                linked[:-2] = (piece[1:] == piece[:-1]) & (np.diff(part.rows) == 0) if n else linked[:-2]
+                linked[: max(0, n - 1)] = (piece[1:] == piece[:-1]) & (np.diff(part.rows) == 0)
                 langs.append(batch.column(0).slice(part.row, len(part.counts)))
                 lang_of.append(part.rows + rows)
                 words.append(part.words)
                 left.append(linked[:-1].astype(np.int8) + (linked[:-1] & linked[1:]))
                 rows, held = rows + len(part.counts), held + n
-                if held >= FLUSH_WORDS:
-                    yield _stripes(langs, lang_of, words, left, buckets)
+                if held >= flush:
+                    yield _stripes(langs, lang_of, words, left, *limits)
                     langs, lang_of, words, left, rows, held = [], [], [], [], 0, 0
         if held:
-            yield _stripes(langs, lang_of, words, left, buckets)
+            yield _stripes(langs, lang_of, words, left, *limits)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         return _merge(key[0].as_py(), table, least)
@@ -187,12 +219,17 @@ def collocations(docs: DataFrame, least: int = 10, share: tuple[int, int] = (50,
     frequent phrase with ``share`` of its occurrences is dropped.
     """
     merged = merged_stripes(docs, least)
-    words = stored(merged.filter("second IS NULL").groupBy("lang", "first").agg(F.sum("count").alias("n")), "collocation-words")
-    n = words.groupBy("lang").agg(F.sum("n").alias("all"))
-    words = words.filter(F.col("n") >= least)
-    prefixes = merged.filter("second IS NOT NULL AND third IS NULL").groupBy("lang", "first", "second").agg(F.sum("count").alias("a"), F.max("most").alias("most"))
-    pairs = stored(prefixes.filter(F.col("a") >= least), "collocation-pairs")
-    triples = merged.filter("third IS NOT NULL").select("lang", "first", "second", "third", F.col("count").alias("a"))
+    n = merged.filter("first IS NULL").groupBy("lang").agg(F.sum("count").alias("all"))
+    words = merged.filter("first IS NOT NULL AND second IS NULL").select("lang", "first", F.col("count").alias("n"))
+    # parts of split stripes add up; whole rows stay as they are
+    parts = merged.filter(~F.col("whole"))
+    three_of = parts.filter("third IS NOT NULL").groupBy("lang", "first", "second", "third").agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
+    triples = merged.filter("whole AND third IS NOT NULL").select("lang", "first", "second", "third", F.col("count").alias("a")).unionByName(three_of)
+    most = triples.groupBy("lang", "first", "second").agg(F.max("a").alias("most"))
+    two_of = parts.filter("third IS NULL").groupBy("lang", "first", "second").agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
+    two_of = two_of.join(most, ["lang", "first", "second"], "left").withColumn("most", F.coalesce("most", F.lit(0).cast("bigint")))
+    pairs = merged.filter("whole AND second IS NOT NULL AND third IS NULL").select("lang", "first", "second", F.col("count").alias("a"), "most").unionByName(two_of)
+    pairs = stored(pairs, "collocation-pairs")
     word = lambda place, out: words.select(F.col("lang"), F.col("first").alias(place), F.col("n").alias(out))
     pair = lambda one, two, out: pairs.select("lang", F.col("first").alias(one), F.col("second").alias(two), F.col("a").alias(out))
 

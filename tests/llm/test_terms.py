@@ -65,16 +65,26 @@ def test_collocations_of_awkward_rows(edge):
         assert sorted(found) == plain_collocations(rows, least, share, top)
 
 
-def test_collocations_over_flushes_and_parts(spark, rng, monkeypatch):
+@pytest.mark.parametrize("wide", [1, 3, 256])
+def test_collocations_over_flushes_and_parts(spark, rng, monkeypatch, wide):
     words = ["a", "b", "c", "dd", "e,", "f.", "É", "A", "\x00", "b\x1fc"]
     rows = [(str(rng.choice(["x", "y"])), " ".join(rng.choice(words, int(rng.integers(0, 60))))) for _ in range(150)] + [(None, "a b a b a b a b")]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     monkeypatch.setattr(collocations, "FLUSH_WORDS", 100)
     monkeypatch.setattr(collocations, "PARTS", 3)
+    monkeypatch.setattr(collocations, "WIDE", wide)
     found = [tuple(r) for r in collocations.collocations(df, 4, (50, 100), 40).collect()]
     assert sorted(found) == plain_collocations(rows, 4, 50, 40)
 
 
+def test_a_prefix_stays_small_in_every_bucket():
+    for total in (0, 10**8, 10**11, 10**14):
+        buckets, wide, parts = collocations._limits(total)
+        flushes = 1 + total // (4 * collocations.FLUSH_WORDS)
+        assert wide * flushes <= max(collocations.ENTRIES, flushes) and flushes * collocations.FLUSH_WORDS / 3 / parts <= 2 * collocations.ENTRIES
+        assert buckets * collocations.BUCKET_BYTES >= total
+
+
 def test_scores_beyond_64_bits(spark):
     from pyspark.sql import functions as F
 
