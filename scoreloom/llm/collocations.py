@@ -24,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.arrow_words import numbered_words, split_words, string_hashes
-from scoreloom.llm.common import mix, stored, whole_text
+from scoreloom.llm.common import mix, stored, text_buffers, whole_text
 
 #: bytes that end a piece, and with them blanks the bytes that end a word
 _ENDS = np.zeros(256, bool)
@@ -36,14 +38,15 @@ _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
 #: words counted before a task sends its stripes on
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 750_000
 BUCKET_BYTES = 6 << 20
 LEAST_BUCKETS = 16
 #: entries of one prefix that a bucket may get
 ENTRIES = 2_000_000
 #: most following words of a stripe that is sent in one piece, and least parts of one that is not
 WIDE, PARTS = 256, 64
-STRIPES = "lang string, bucket int, first array<string>, second array<string>, width array<int>, following array<string>, count array<int>"
+#: lists of words are one text each, a line a word and an empty line for none; lists of numbers are their bytes; all compressed
+STRIPES = "lang string, bucket int, first binary, second binary, width binary, following binary, count binary"
 MERGED = "lang string, first string, second string, third string, count bigint, most bigint, whole boolean"
 #: the score of a cut, as a whole number
 SCALE = 1_000_000
@@ -56,8 +59,30 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+def _packed(lines: pa.Array, numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Lists of words as compressed texts; ``lines``: the words by number, each with the end of its line."""
+    data, at = text_buffers(lines.take(pa.array(numbers, pa.int64())))
+    squeeze = zstandard.ZstdCompressor(1).compress
+    cuts = at[np.concatenate([[0], ends])].tolist()
+    return pa.array([squeeze(data[a : b - 1].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.binary())
+
+
+def _packed_numbers(numbers: np.ndarray, ends: np.ndarray) -> pa.Array:
+    raw = numbers.astype("<i4")
+    squeeze = zstandard.ZstdCompressor(1).compress
+    return pa.array([squeeze(raw[a:b].tobytes()) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], pa.binary())
+
+
+def _lines(column: pa.ChunkedArray) -> pa.Array:
+    """The words of all rows of ``_packed``."""
+    spread = zstandard.ZstdDecompressor().decompress
+    texts = pa.array([spread(x.as_buffer()) for x in column], pa.large_binary()).cast(pa.large_string())
+    return pc.split_pattern(texts, "\n").flatten()
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    spread = zstandard.ZstdDecompressor().decompress
+    return np.concatenate([np.frombuffer(spread(x.as_buffer()), "<i4") for x in column])
 
 
 def _limits(total_bytes: int) -> tuple[int, int, int]:
@@ -112,16 +137,15 @@ def _stripes(langs: list[pa.Array], lang_of: list[np.ndarray], words: list[pa.Ar
     row_heads = _runs(row)
     heads = np.union1d(_runs(stripe), row_heads)
     owner = stripe[heads]
-    spelt = pa.concat_arrays([known.cast(pa.string()), pa.array([None], pa.string())])
+    lines = pc.binary_join_element_wise(pa.concat_arrays([known, pa.array([""], pa.large_string())]), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     stripe_ends = np.append(np.searchsorted(heads, row_heads[1:]), len(heads))
     entry_ends = np.append(row_heads[1:], len(stripe))
-    take = lambda numbers: spelt.take(pa.array(numbers, pa.int64()))
     return pa.RecordBatch.from_arrays(
         [
             names_of.take(pa.array(stripe[row_heads], pa.int64())), pa.array(row[row_heads] % buckets, pa.int32()),
-            _lists(take(first[owner]), stripe_ends), _lists(take(second[owner]), stripe_ends),
-            _lists(pa.array(np.diff(np.append(heads, len(stripe))), pa.int32()), stripe_ends),
-            _lists(take(third), entry_ends), _lists(pa.array(count, pa.int32()), entry_ends),
+            _packed(lines, first[owner], stripe_ends), _packed(lines, second[owner], stripe_ends),
+            _packed_numbers(np.diff(np.append(heads, len(stripe))), stripe_ends),
+            _packed(lines, third, entry_ends), _packed_numbers(count, entry_ends),
         ],
         names=["lang", "bucket", "first", "second", "width", "following", "count"],
     )
@@ -129,15 +153,15 @@ def _stripes(langs: list[pa.Array], lang_of: list[np.ndarray], words: list[pa.Ar
 
 def _merge(lang: str, table: pa.Table, least: int) -> pa.Table:
     """The stripes of a bucket merged elementwise, as rows of ``MERGED``; rare words, prefixes and entries are left out where all of them is here."""
-    flat = lambda name: table.column(name).combine_chunks().flatten()
-    lists = [flat(name) for name in ("first", "second", "following")]
-    codes, known = numbered_words([x.fill_null("") for x in lists])
+    lists = [_lines(table.column(name)) for name in ("first", "second", "following")]
+    codes, known = numbered_words(lists)
     size = len(known)
-    codes[np.concatenate([x.is_null().to_numpy(zero_copy_only=False) for x in lists])] = size
+    none = pc.index(known, "").as_py()
+    codes[codes == none] = size
     n = len(lists[0])
     prefixes, back = np.unique(codes[:n] * (size + 1) + codes[n : 2 * n], return_inverse=True)
-    key = np.repeat(back, flat("width").to_numpy()) * (size + 1) + codes[2 * n :]
-    sent = flat("count").to_numpy()
+    key = np.repeat(back, _numbers(table.column("width"))) * (size + 1) + codes[2 * n :]
+    sent = _numbers(table.column("count"))
     split = np.zeros(len(prefixes), bool)
     split[key[sent == 0] // (size + 1)] = True
     order = np.argsort(key, kind="stable")
@@ -154,7 +178,7 @@ def _merge(lang: str, table: pa.Table, least: int) -> pa.Table:
     two = (second < size) & (split | (total >= least))
     three = ~empty[stripe] & (third < size) & (split[stripe] | (count >= least))
     blank = lambda mask: np.full(int(mask.sum()), size)
-    none = lambda mask: np.zeros(int(mask.sum()), np.int64)
+    zero = lambda mask: np.zeros(int(mask.sum()), np.int64)
     columns = [
         np.concatenate([blank(empty), third[alone], first[two], first[stripe[three]]]),
         np.concatenate([blank(empty), blank(alone), second[two], second[stripe[three]]]),
@@ -164,8 +188,8 @@ def _merge(lang: str, table: pa.Table, least: int) -> pa.Table:
     spelt = pa.concat_arrays([known.cast(pa.string()), pa.array([None], pa.string())])
     return pa.table(
         [pa.array([lang] * len(counts), pa.string()), *[spelt.take(pa.array(c, pa.int64())) for c in columns], pa.array(counts, pa.int64()),
-         pa.array(np.concatenate([none(empty), none(alone), most[two], none(three)]), pa.int64()),
-         pa.array(np.concatenate([none(empty) == 0, none(alone) == 0, whole[two], whole[stripe[three]]]), pa.bool_())],
+         pa.array(np.concatenate([zero(empty), zero(alone), most[two], zero(three)]), pa.int64()),
+         pa.array(np.concatenate([zero(empty) == 0, zero(alone) == 0, whole[two], whole[stripe[three]]]), pa.bool_())],
         names=["lang", "first", "second", "third", "count", "most", "whole"],
     )
 
