@@ -107,3 +107,46 @@ def test_shard_edge_rows(edge, empty):
     assert sharding.shard_documents(empty).collect() == []
     by_bytes = sharding.shard_documents(edge, shards=None, target_bytes=300_000).collect()
     check_shards(by_bytes, [(r[0], r[1]) for r in EDGE], 8)
+
+
+def test_equal_texts_stay_together(spark):
+    """Whatever their metadata, unless they exceed a shard."""
+    rows = [(i, f"text {i % 150:03d} " + "z" * (i % 150), ["en", "de"][i % 2], f"s{i % 7}", 0) for i in range(900)] + [(None, "text 003 zzz", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = sharding.shard_documents(df, shards=9).collect()
+    places, loads = defaultdict(set), defaultdict(int)
+    for r in found:
+        places[r["text_crc32"]].add(r["shard"])
+        loads[r["shard"]] += r["size"]
+    assert len(found) == 901 and all(len(p) == 1 for p in places.values())
+    assert len(loads) == 9 and max(loads.values()) - min(loads.values()) < 0.25 * sum(loads.values()) / 9
+
+
+def plain_tree(rows, shards, spans):
+    """A k-d tree row by row: rows are (dims, tie, last, size); returns the shards' rows from left to right."""
+    if shards == 1:
+        return [rows]
+    wide = max(range(len(spans)), key=lambda i: ((max(r[0][i] for r in rows) - min(r[0][i] for r in rows)) / (spans[i] or 1.0), -i))
+    ordered = sorted(rows, key=lambda r: (r[0][wide], r[1], r[2]))
+    goal, run, cut = sum(r[3] for r in rows) * (shards // 2) / shards, 0, 0
+    while run + ordered[cut][3] < goal:
+        run += ordered[cut][3]
+        cut += 1
+    cut += run + ordered[cut][3] - goal < goal - run
+    return plain_tree(ordered[:cut], shards // 2, spans) + plain_tree(ordered[cut:], shards - shards // 2, spans)
+
+
+def test_shards_are_those_of_a_plain_tree(spark, rng, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    monkeypatch.setattr(sharding, "BINS", 7)
+    sizes = rng.integers(1, 400, 300)
+    df = spark.createDataFrame([(int(i), f"{i:03d}" + "q" * int(n), int(n) % 5) for i, n in enumerate(sizes)], "doc_id long, text string, kind int")
+    dimensions = {"kind": F.col("kind"), "length": F.length("text")}
+    units, _ = sharding.described(df, dimensions, 6, None)
+    kept = units.collect()
+    plain = plain_tree([((r["d0"], r["d1"]), r["tie"], r["last"], r["size"], r["doc_id"]) for r in kept], 6, [4.0, float(max(sizes) - min(sizes))])
+    wanted = {r[4]: i for i, part in enumerate(plain) for r in part}
+    found = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(df, 6, dimensions=dimensions).collect()}
+    assert found == wanted
