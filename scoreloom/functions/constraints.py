@@ -6,6 +6,7 @@ checks hold, and a text's score is the mean over its constraints. Everything hap
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,45 +66,45 @@ def number_digits(text: Column) -> Column:
     return F.transform(all_found(text, pattern), lambda n: F.length(F.split_part(mantissa(F.lower(n)), F.lit("."), F.lit(2))))
 
 
-def facts(text: Column, tidied: Column, constraints: Column) -> dict[str, Column]:
-    """What checks compare with, each computed once per text and only where some check asks for it."""
-    asked = lambda *rules: F.exists(constraints, lambda k: F.exists(k["checks"], lambda c: c["rule"].isin(*rules)))
-    paras = paragraphs(tidied)
+def counted(text: Column, paras: Column, asked=lambda *rules: F.lit(True)) -> dict[str, Column]:
+    """What only some rules compare with; ``asked`` tells whether some check is of the named rules."""
     return {
-        "_paras": paras, "_sents": sentences(tidied), "_spaced": spaced_words(tidied),
-        "_words": F.when(asked("word_count"), word_count(text)),
-        "_para_words": F.when(asked("paragraph_words"), F.transform(paras, word_count)),
-        "_para_sents": F.when(asked("paragraph_sentences", "paragraph_sentences_list"), F.transform(paras, lambda p: F.size(sentences(p)))),
-        "_percents": F.when(asked("percent_precision"), percent_digits(text)),
-        "_numbers": F.when(asked("number_precision"), number_digits(text)),
-        "_trimmed": F.btrim(text, F.lit(" \t\n")),
+        "words": F.when(asked("word_count"), word_count(text)),
+        "para_words": F.when(asked("paragraph_words"), F.transform(paras, word_count)),
+        "para_sents": F.when(asked("paragraph_sentences", "paragraph_sentences_list"), F.transform(paras, lambda p: F.size(sentences(p)))),
+        "percents": F.when(asked("percent_precision"), percent_digits(text)),
+        "numbers": F.when(asked("number_precision"), number_digits(text)),
+        "trimmed": F.btrim(text, F.lit(" \t\n")),
     }
 
 
-def check_rule(text: Column, c: Column) -> Column:
-    """One check against the text and the columns of ``facts``."""
+def check_rule(text: Column, spaced: Column, paras: Column, sents: Column, c: Column, known: Mapping[str, Column] | Column | None = None) -> Column:
+    """One check against the text, its spaced words, paragraphs and sentences.
+
+    ``known``: the values of ``counted`` where they are computed already, as a struct column for instance.
+    """
     first = F.get(c["texts"], F.lit(0))
-    spaced, paras, sents = F.col("_spaced"), F.col("_paras"), F.col("_sents")
+    known = counted(text, paras) if known is None else known
     rules = {
         "paragraph_count": _within(F.size(paras), c),
         "sentence_count": _within(F.size(sents), c),
-        "paragraph_sentences": F.forall("_para_sents", lambda n: _within(n, c)),
+        "paragraph_sentences": F.forall(known["para_sents"], lambda n: _within(n, c)),
         "paragraph_sentences_list": (F.size(paras) == F.size(c["ranges"])) & F.forall(
-            F.zip_with("_para_sents", c["ranges"], lambda n, r: n.between(r["low"], r["high"])), lambda x: x),
-        "word_count": _within(F.col("_words"), c),
-        "paragraph_words": F.forall("_para_words", lambda n: _within(n, c)),
+            F.zip_with(known["para_sents"], c["ranges"], lambda n, r: n.between(r["low"], r["high"])), lambda x: x),
+        "word_count": _within(known["words"], c),
+        "paragraph_words": F.forall(known["para_words"], lambda n: _within(n, c)),
         "without": ~F.exists(c["texts"], lambda x: F.contains(text, x)),
         "sentences_begin": F.forall(sents, lambda s: F.startswith(s, first)),
         "sentences_end": F.forall(sents, lambda s: F.endswith(s, first)),
         "paragraphs_begin": F.forall(paras, lambda p: F.startswith(p, first)),
         "paragraphs_end": F.forall(paras, lambda p: F.endswith(p, first)),
-        "begins": F.startswith("_trimmed", first),
-        "ends": F.endswith("_trimmed", first),
+        "begins": F.startswith(known["trimmed"], first),
+        "ends": F.endswith(known["trimmed"], first),
         "each_keyword": F.forall(F.transform(c["texts"], lambda k: keyword_count(spaced, k)), lambda n: _within(n, c)),
         "total_keywords": _within(
             F.aggregate(c["texts"], F.lit(0), lambda a, k: a + keyword_count(spaced, k)), c),
-        "percent_precision": F.forall("_percents", lambda d: d == c["low"]),
-        "number_precision": F.forall("_numbers", lambda d: d == c["low"]),
+        "percent_precision": F.forall(known["percents"], lambda d: d == c["low"]),
+        "number_precision": F.forall(known["numbers"], lambda d: d == c["low"]),
         "no_arabic_numbers": ~text.rlike(r"(?<![.\w])\d[\d,]*(\.\d+)?([eE][+-]?\d+)?%?(?![.\w])"),
     }
     chain = reduce(lambda acc, kv: acc.when(c["rule"] == kv[0], kv[1]), rules.items(), F)
@@ -112,16 +113,24 @@ def check_rule(text: Column, c: Column) -> Column:
 
 def constraint_scores(df: DataFrame, text: str, constraints: str) -> DataFrame:
     """Add ``passed`` (key -> boolean pairs) and ``score`` (share of constraints that hold)."""
-    parts = df.withColumn("_tidy", tidy(F.col(text)))
-    known = facts(F.col(text), F.col("_tidy"), F.col(constraints))
-    parts = parts.withColumns(known)
+    facts = "_facts"
+    while facts in df.columns:
+        facts = f"_{facts}"
+    asked = lambda *rules: F.exists(constraints, lambda k: F.exists(k["checks"], lambda c: c["rule"].isin(*rules)))
+    # each fact once per text, in columns that later steps of the plan read
+    tidied = df.withColumn(facts, F.struct(tidy(F.col(text)).alias("tidy")))
+    cut = tidied.withColumn(facts, F.struct(
+        paragraphs(F.col(facts)["tidy"]).alias("paras"), sentences(F.col(facts)["tidy"]).alias("sents"), spaced_words(F.col(text)).alias("spaced")))
+    known = F.col(facts)
+    counts = counted(F.col(text), known["paras"], asked)
+    parts = cut.withColumn(facts, F.struct(known["paras"].alias("paras"), known["sents"].alias("sents"), known["spaced"].alias("spaced"), *[v.alias(k) for k, v in counts.items()]))
 
     def holds(constraint: Column) -> Column:
-        return F.forall(constraint["checks"], lambda c: check_rule(F.col(text), c))
+        return F.forall(constraint["checks"], lambda c: check_rule(F.col(text), known["spaced"], known["paras"], known["sents"], c, known))
 
     passed = F.transform(F.col(constraints), lambda k: F.struct(k["key"].alias("key"), holds(k).alias("ok")))
     scored = parts.withColumn("passed", passed)
-    return scored.withColumn("score", mean_of(F.transform("passed", lambda p: flag(p["ok"])))).drop("_tidy", *known)
+    return scored.withColumn("score", mean_of(F.transform("passed", lambda p: flag(p["ok"])))).drop(facts)
 
 
 def text_features(text: Column, phrase: str, start: str, end: str) -> Column:
