@@ -7,14 +7,17 @@ inside the row that holds a page's blocks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from scoreloom.functions.bitwise import common_subsequence as _lcs
+from scoreloom.functions.bitwise import mutual_best
 from scoreloom.functions.text import bound, has_cjk, ocr_tokens, words
 
 
@@ -148,17 +151,6 @@ def rouge_1(pairs: DataFrame, ids: Sequence[str], hyp: str, ref: str, tokens=_ro
     return pairs.select(*ids).join(scored, list(ids), "left").fillna(0.0, ["rouge1"])
 
 
-def _lcs(a, b) -> int:
-    """Longest common subsequence, one vectorised row at a time."""
-    names = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    left, right = [names[w] for w in a], np.array([names[w] for w in b], dtype=np.int64)
-    row = np.zeros(len(right) + 1, dtype=np.int64)
-    for w in left:
-        grown = np.maximum(row[1:], row[:-1] + (right == w))
-        row[1:] = np.maximum.accumulate(grown)
-    return int(row[-1])
-
-
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two token arrays, in Arrow batches."""
 
@@ -170,11 +162,26 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 def rouge_l(pairs: DataFrame, ids: Sequence[str], hyp: str, ref: str, beta: float = 1.2) -> DataFrame:
     """LCS-based F-score of the words; a long-text helper runs in Arrow batches."""
-    tokens = spread(pairs, ids).select(*ids, words(F.col(hyp)).alias("_h"), words(F.col(ref)).alias("_r"))
-    scored = tokens.withColumn("_l", lcs_length(F.col("_h"), F.col("_r")))
-    p, r = F.try_divide(F.col("_l"), F.size("_h")), F.try_divide(F.col("_l"), F.size("_r"))
+    return rouge_l_references(pairs.withColumn(ref, F.array(F.coalesce(ref, F.lit("")))), ids, hyp, ref, beta)
+
+
+def rouge_l_references(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, beta: float = 1.2) -> DataFrame:
+    """ROUGE-L with any number of references (an array of texts): the best precision and the best recall over them make the F-score.
+
+    An item without references, or whose words none of them shares, scores 0. The corpus value is the mean (``corpus_mean``).
+    """
+    tokens = spread(pairs, ids).select(*ids, words(F.coalesce(hyp, F.lit(""))).alias("_h"), F.posexplode_outer(refs).alias("_n", "_ref"))
+    scored = tokens.withColumn("_r", words(F.coalesce("_ref", F.lit("")))).withColumn("_l", lcs_length(F.col("_h"), F.col("_r")))
+    sides = scored.select(*ids, F.try_divide(F.col("_l"), F.size("_h")).alias("_p"), F.try_divide(F.col("_l"), F.size("_r")).alias("_q"))
+    best = sides.groupBy(*ids).agg(F.max("_p").alias("p"), F.max("_q").alias("r"))
+    p, r = F.col("p"), F.col("r")
     value = F.try_divide((1 + beta * beta) * p * r, r + beta * beta * p)
-    return scored.select(*ids, F.round(F.coalesce(value, F.lit(0.0)), 6).alias("rouge_l"))
+    return best.select(*ids, F.round(F.coalesce(value, F.lit(0.0)), 6).alias("rouge_l"))
+
+
+def corpus_mean(scores: DataFrame, score: str) -> DataFrame:
+    """The corpus value of a sentence score: its mean over all items, and their number."""
+    return scores.agg(F.round(F.avg(score), 6).alias(score), F.count("*").alias("items"))
 
 
 def cider(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int = 4, sigma: float = 6.0) -> DataFrame:
@@ -359,37 +366,37 @@ def best_windows(df: DataFrame, ids: Sequence[str], needle: str, hay: str) -> Da
     return spread(df, ids).select(*ids, best_ngram_window(F.col(needle), F.col(hay)).alias("b")).select(*ids, "b.*")
 
 
-def align_blocks(pages: DataFrame, gts: str, preds: str, rounds: int = 1) -> DataFrame:
+def align_blocks(pages: DataFrame, gts: str, preds: str, rounds: int | None = 1) -> DataFrame:
     """Match a page's blocks by lowest normalised edit distance, each used once.
 
-    In every round the pairs that are each other's best are taken; blocks left over become pairs
-    with an empty side. Both block lists are arrays of the page row, so nothing is shuffled.
-    Output: one row per pair with positions (null for none), texts and distance.
+    In every round the pairs that are each other's best are taken (the first of equally good ones);
+    ``rounds``: None goes on until a side is used up. Blocks left over become pairs with an empty side.
+    Both block lists are arrays of the page row, so nothing is shuffled; a block is compared with all
+    blocks of the other side at once, and only the best partners are kept, so that a page of many
+    thousand blocks takes memory for its texts alone. Null lists and texts are empty.
+    Output: one row per pair with positions (null for none), texts and distance, beside the other columns.
     """
     others = [c for c in pages.columns if c not in (gts, preds)]
-    cost = F.transform(gts, lambda g: F.transform(preds, lambda p: F.coalesce(
-        F.try_divide(F.levenshtein(g, p), F.greatest(F.length(g), F.length(p))), F.lit(0.0))))
-    state = pages.withColumn("_cost", cost).withColumn("_pairs", F.array().cast("array<struct<i:int,j:int>>"))
-    for _ in range(rounds):
-        used_i, used_j = F.transform("_pairs", lambda x: x["i"]), F.transform("_pairs", lambda x: x["j"])
-        free = state.withColumn("_ui", used_i).withColumn("_uj", used_j)
-        # the best free partner of every row and column: smallest (cost, position)
-        rows = F.transform("_cost", lambda row, i: F.when(~F.array_contains("_ui", i), F.array_min(F.filter(
-            F.transform(row, lambda c, j: F.struct(c.alias("c"), j.alias("k"))), lambda x: ~F.array_contains(F.col("_uj"), x["k"])))["k"]))
-        columns = F.transform(preds, lambda _, j: F.when(~F.array_contains("_uj", j), F.array_min(F.filter(
-            F.transform("_cost", lambda row, i: F.struct(F.get(row, j).alias("c"), i.alias("k"))), lambda x: ~F.array_contains(F.col("_ui"), x["k"])))["k"]))
-        best = free.withColumn("_row", rows).withColumn("_col", columns)
-        mutual = F.filter(F.transform("_row", lambda j, i: F.struct(i.alias("i"), j.alias("j"))), lambda x: F.get(F.col("_col"), x["j"]) == x["i"])
-        state = best.withColumn("_pairs", F.concat("_pairs", mutual.cast("array<struct<i:int,j:int>>"))).drop("_row", "_col", "_ui", "_uj")
-    done = state.withColumn("_ui", F.transform("_pairs", lambda x: x["i"])).withColumn("_uj", F.transform("_pairs", lambda x: x["j"]))
-    lone = "struct<i:int,j:int>"
-    left = F.filter(F.transform(gts, lambda _, i: F.struct(i.alias("i"), F.lit(None).cast("int").alias("j")).cast(lone)), lambda x: ~F.array_contains(F.col("_ui"), x["i"]))
-    right = F.filter(F.transform(preds, lambda _, j: F.struct(F.lit(None).cast("int").alias("i"), j.alias("j")).cast(lone)), lambda x: ~F.array_contains(F.col("_uj"), x["j"]))
-    every = F.transform(F.concat("_pairs", left, right), lambda x: F.struct(
-        x["i"].alias("gt_position"), x["j"].alias("pred_position"), F.coalesce(F.get(F.col(gts), x["i"]), F.lit("")).alias("gt"),
-        F.coalesce(F.get(F.col(preds), x["j"]), F.lit("")).alias("pred"),
-        F.coalesce(F.get(F.get(F.col("_cost"), x["i"]), x["j"]), F.lit(1.0)).alias("distance")))
-    return done.select(*others, F.inline(every))
+    pairs = pages.select(*others, gts, preds)
+    added = StructType.fromDDL("gt_position int, pred_position int, gt string, pred string, distance double")
+    schema = StructType([*pairs.schema.fields[: len(others)], *added.fields])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right = ([x or "" for x in batch.column(len(others) + k)[row].as_py() or []] for k in (0, 1))
+                found = mutual_best(left, right, rounds)
+                lone_left, lone_right = set(range(len(left))) - {i for i, _, _ in found}, set(range(len(right))) - {j for _, j, _ in found}
+                every = [*found, *((i, None, 1.0) for i in sorted(lone_left)), *((None, j, 1.0) for j in sorted(lone_right))]
+                for at in range(0, len(every), 1000):
+                    part = every[at : at + 1000]
+                    text = lambda side, k: "" if k is None else side[k]
+                    columns = [batch.column(c).take(pa.array([row] * len(part), pa.int64())) for c in range(len(others))]
+                    columns += [pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()),
+                                pa.array([text(left, x[0]) for x in part], pa.string()), pa.array([text(right, x[1]) for x in part], pa.string()), pa.array([x[2] for x in part], pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return pairs.mapInArrow(match, schema)
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
