@@ -55,18 +55,26 @@ def join_variants(df: DataFrame, on: Sequence[str], variant: str, variants: Sequ
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int = 1 << 16) -> DataFrame:
     """Overlapping or touching intervals of a key merged.
 
-    Equal starts are reduced to their latest end, so the order by start is total and a chunk holds
-    at most ``width`` rows of a key. Then gaps and islands on the latest end seen before each row;
-    both running folds work by chunks, so a hot key is spread over many tasks. Starts are integers.
+    Starts are integers, cut into chunks of ``width``. A chunk merges its own intervals and is then known by
+    two numbers, the start of its last island and how far it reaches. Such pairs combine in order: an
+    island that begins within the reach of all before it belongs to the last island before. One scan over
+    a key's pairs so tells every chunk what it continues; a hot key is spread over its chunks.
     """
-    longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    seen = prefix_fold(longest, F.col(end), start, "_reach", keys, (), F.max, width)
-    fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
-    marked = seen.withColumn("_first", F.when(fresh, F.col(start)))
-    # the island of a row is the last fresh start up to and including it
-    carried = prefix_fold(marked, F.col("_first"), start, "_before", keys, (), F.max, width)
-    island = F.coalesce("_first", "_before")
-    return carried.groupBy(*keys, island.alias(start)).agg(F.max(end).alias(end))
+    chunk, island = "_chunk", "_island"
+    longest = df.groupBy(*keys, F.coalesce(F.floor(F.col(start) / width), F.lit(0)).alias(chunk), start).agg(F.max(end).alias(end))
+    inside = Window.partitionBy(*keys, chunk).orderBy(start)
+    reach = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    marked = longest.withColumn("_reach", reach).withColumn(island, F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start)))
+    own = marked.withColumn(island, F.max(island).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = own.groupBy(*keys, chunk, island).agg(F.max(end).alias(end))
+    pairs = islands.groupBy(*keys, chunk).agg(F.max(island).alias("_last"), F.max(end).alias("_far"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    known = pairs.withColumn("_reach", F.max("_far").over(before))
+    fresh = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    carried = known.withColumn("_open", F.max(fresh).over(before)).select(*keys, chunk, "_reach", "_open")
+    joined = same_keys_join(islands, carried, keys, [chunk])
+    begin = F.when(F.col(island) <= F.col("_reach"), F.col("_open")).otherwise(F.col(island))
+    return joined.groupBy(*keys, begin.alias(start)).agg(F.max(end).alias(end))
 
 
 def _slices(start: Column, end: Column, width: int) -> Column:
@@ -95,35 +103,97 @@ def interval_overlap_join(
 
 
 def interval_iou_by_key(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, width: int = 1 << 16) -> DataFrame:
-    """Merged overlap over union length per key, 0 without overlap."""
-    a, b = merge_intervals(a, keys, start, end), merge_intervals(b, keys, start, end)
-    length = lambda df, name: df.groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).alias(name))
-    none = F.lit(0).cast("bigint")
-    lengths = length(a, "a").withColumn("b", none).unionByName(length(b, "b").withColumn("a", none)).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    both = same_keys_join(lengths, interval_overlap_join(a, b, keys, start, end, width), keys, how="left")
-    shared = F.coalesce("overlap", F.lit(0))
-    union = F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0)) - shared
-    return both.select(*keys, shared.alias("overlap"), union.alias("union_length"),
-                       F.round(F.coalesce(F.try_divide(shared, union), F.lit(0.0)), 6).alias("iou"))
+    """Merged overlap over union length per key, 0 without overlap.
 
+    Both sides and their union are merged in one pass; the overlap is what the sides' lengths exceed the union's by.
+    """
+    side = lambda df, name: df.select(*keys, start, end, F.explode(F.array(F.lit(name), F.lit("u"))).alias("_side"))
+    merged = merge_intervals(side(a, "a").unionByName(side(b, "b")), [*keys, "_side"], start, end, width)
+    length = lambda name: F.coalesce(F.sum(F.when(F.col("_side") == name, F.col(end) - F.col(start))), F.lit(0).cast("bigint"))
+    sums = merged.groupBy(*keys).agg(length("a").alias("a"), length("b").alias("b"), length("u").alias("union_length"))
+    shared = F.col("a") + F.col("b") - F.col("union_length")
+    return sums.select(*keys, shared.alias("overlap"), "union_length", F.round(F.coalesce(F.try_divide(shared, F.col("union_length")), F.lit(0.0)), 6).alias("iou"))
+
+
+def _stretches(spans: DataFrame, start: str, end: str, width: float) -> DataFrame:
+    """``spans`` once per stretch of time: (_level, _node).
 
-def spans_covering(frames: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, width: int) -> DataFrame:
-    """Pairs of a frame and a span of the same key with start < time < end, joined per time slice."""
-    sliced = spans.withColumn("_slice", F.explode(_slices(F.col(start), F.col(end), width)))
-    marked = frames.withColumn("_slice", F.floor(F.col(time) / width))
-    return marked.join(sliced, [key, "_slice"]).filter((F.col(start) < F.col(time)) & (F.col(time) < F.col(end))).drop("_slice")
+    Time is cut into cells of ``width``. The cells that lie wholly in a span are the fewest nodes of a binary
+    tree over all cells (two a level at most); the cells of its two ends are at level -1.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    node = lambda level, n: F.struct(level.cast("int").alias("level"), n.cast("bigint").alias("node"))
+    kind = "struct<lo:bigint,hi:bigint,out:array<struct<level:int,node:bigint>>>"
+    state = lambda lo, hi, out: F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"), out.alias("out")).cast(kind)
+    odd = lambda n: F.pmod(n, F.lit(2)) == 1
+
+    def step(s: Column, level: Column) -> Column:
+        first = (s["lo"] < s["hi"]) & odd(s["lo"])
+        lo = s["lo"] + first.cast("bigint")
+        last = (lo < s["hi"]) & odd(s["hi"])
+        hi = s["hi"] - last.cast("bigint")
+        out = F.concat(s["out"], F.array_compact(F.array(F.when(first, node(level, s["lo"])), F.when(last, node(level, hi)))))
+        return state(F.shiftright(lo, 1), F.shiftright(hi, 1), out)
+
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    whole = F.greatest(F.lit(0), cell(end) - cell(start) - 1)
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(whole + 1.0)).cast("int"))
+    inner = F.aggregate(levels, state(cell(start) + 1, cell(start) + 1 + whole, none), step, lambda s: s["out"])
+    ends = F.array_distinct(F.array(node(F.lit(-1), cell(start)), node(F.lit(-1), cell(end))))
+    kept = spans.filter(F.col(start) < F.col(end))
+    return kept.withColumn("_s", F.explode(F.concat(ends, inner))).withColumns({"_level": F.col("_s.level"), "_node": F.col("_s.node")}).drop("_s")
+
+
+def _climb(frames: DataFrame, stretches: DataFrame, key: str, time: str, width: float) -> DataFrame:
+    """``frames`` once per level that spans of their key have: (_level, _node) of the stretch they lie in."""
+    top = stretches.groupBy(key).agg(F.max("_level").alias("_top"))
+    marked = same_keys_join(frames, top, [key]).withColumn("_level", F.explode(F.sequence(F.lit(-1), F.col("_top"))))
+    cell = F.floor(F.col(time) / width).cast("bigint")
+    return marked.withColumn("_node", F.call_function("shiftright", cell, F.greatest("_level", F.lit(0)))).drop("_top")
+
+
+def _within(time: str, start: str, end: str) -> Column:
+    return (F.col(start) < F.col(time)) & (F.col(time) < F.col(end))
+
+
+def spans_covering(frames: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, width: float) -> DataFrame:
+    """Pairs of a frame and a span of the same key (null is one) with start < time < end.
+
+    A frame meets a span in the one stretch of the span it lies in, so the cost follows the rows, times
+    the logarithm of the spans' length in cells of ``width``, and the result.
+    """
+    cut = _stretches(spans, start, end, width)
+    met = same_keys_join(_climb(frames, cut, key, time, width), cut, [key], ["_level", "_node"])
+    return met.filter(_within(time, start, end)).drop("_level", "_node")
+
+
+def first_span_per_frame(frames: DataFrame, spans: DataFrame, key: str, frame: str, time: str, start: str, end: str, rank: str, text: str, width: float) -> DataFrame:
+    """Form one: per frame the first covering span by ``rank`` (then by text).
+
+    Of the spans that cover a stretch only the first is kept, so any number of long spans costs a row a stretch.
+    """
+    cut = _stretches(spans.select(key, start, end, F.struct(F.col(rank).alias("rank"), F.col(text).alias("text")).alias("_first")), start, end, width)
+    climbed = _climb(frames.select(key, frame, time), cut, key, time, width)
+    whole = cut.filter("_level >= 0").groupBy(key, "_level", "_node").agg(F.min("_first").alias("_first"))
+    inner = same_keys_join(climbed, whole, [key], ["_level", "_node"])
+    edges = same_keys_join(climbed.filter("_level < 0"), cut.filter("_level < 0"), [key], ["_level", "_node"]).filter(_within(time, start, end))
+    columns = [key, frame, time, "_first"]
+    return inner.select(*columns).unionByName(edges.select(*columns)).groupBy(key, frame, time).agg(F.min("_first")["text"].alias(text))
 
 
-def first_span_per_frame(frames: DataFrame, spans: DataFrame, key: str, frame: str, time: str, start: str, end: str, rank: str, text: str, width: int) -> DataFrame:
-    """Form one: per frame the first covering span by ``rank``."""
-    hits = spans_covering(frames, spans, key, time, start, end, width)
-    return hits.groupBy(key, frame, time).agg(F.min_by(text, rank).alias(text))
+def next_frame(spans: DataFrame, frames: DataFrame, key: str, time: str, after: str, out: str, width: int) -> DataFrame:
+    """``spans`` with the time of the first frame of their key later than ``after`` (null for none): one sweep from the last event to the first."""
+    seconds = lambda c: F.col(c).cast("double")
+    events = spans.withColumns({"_t": seconds(after), "_frame": F.lit(None).cast("double"), "_span": F.lit(True)}).unionByName(
+        frames.select(key, seconds(time).alias("_t"), seconds(time).alias("_frame"), F.lit(False).alias("_span")).distinct(), allowMissingColumns=True)
+    swept = prefix_fold(events.withColumn("_o", -F.floor("_t")), F.col("_frame"), "_o", out, [key], [F.desc("_t"), F.desc("_span")], F.min, width)
+    return swept.filter("_span").drop("_t", "_frame", "_span", "_o")
 
 
 def distinct_spans(frames: DataFrame, spans: DataFrame, key: str, time: str, start: str, end: str, text: str, width: int) -> DataFrame:
     """Form two: every distinct text that covers some frame, with the first frame time it is seen at."""
-    hits = spans_covering(frames, spans, key, time, start, end, width)
-    return hits.groupBy(key, text).agg(F.min(time).alias("first_seen"))
+    met = next_frame(spans.select(key, start, end, text).filter(F.col(start) < F.col(end)), frames, key, time, start, "_seen", width).filter(F.col("_seen") < F.col(end))
+    return met.groupBy(key, text).agg(F.min("_seen").cast(frames.schema[time].dataType).alias("first_seen"))
 
 
 def place_spans_among_frames(
@@ -146,11 +216,7 @@ def place_spans_among_frames(
     widened = counted.select(
         key, text, start, end, "_times", middle.alias("_at"),
         F.when(short, middle - 0.5).otherwise(F.col(start)).alias("_from"), F.when(short, middle + 0.5).otherwise(F.col(end)).alias("_to"))
-    cut = widened.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
-    at = frames.select(key, F.col(time).alias("_time"), F.floor(F.col(time) / width).alias("_slice")).distinct()
-    frame = at.select(F.col(key).alias("_key"), F.col("_slice").alias("_frame_slice"), "_time")
-    inside = (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_frame_slice")) & (F.col("_from") < F.col("_time")) & (F.col("_time") < F.col("_to"))
-    met = cut.join(frame, inside, "left_semi").select(key, text, start, end, "_at", "_times").distinct()
+    met = next_frame(widened, frames, key, time, "_from", "_seen", width).filter(F.col("_seen") < F.col("_to")).select(key, text, start, end, "_at", "_times")
     kept = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     events = frames.select(key, F.col(time).cast("double").alias("seconds"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias(text)).unionByName(
         kept.select(key, F.col("_at").alias("seconds"), F.lit(1).alias("kind"), text))

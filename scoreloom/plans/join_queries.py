@@ -113,7 +113,7 @@ _HITS = "hits AS (SELECT f.video, f.frame, f.time, s.rank, s.text FROM frames f
 
 @query("f8_first_subtitle_per_frame", f"WITH {_FRAMES}, {_SUBS}, {_HITS} SELECT video, frame, time, min_by(text, rank) AS text FROM hits GROUP BY video, frame, time")
 def _(t):
-    return jn.first_span_per_frame(_frames(t), _subs(t), "video", "frame", "time", "start", "end", "rank", "text", 3600)
+    return jn.first_span_per_frame(_frames(t), _subs(t), "video", "frame", "time", "start", "end", "rank", "text", 60)
 
 
 @query("f8_distinct_subtitles", f"WITH {_FRAMES}, {_SUBS}, {_HITS} SELECT video, text, min(time) AS first_seen FROM hits GROUP BY video, text")

@@ -222,3 +222,44 @@ def test_pages(spark):
     got = pg.pages_to_items(spark.createDataFrame([(1, html)], "id int, html string"), "id", "html").orderBy("row").collect()
     assert [(r["question"], r["A"], r["B"], r["answer"], r["correct_option"], r["question_type"]) for r in got] == [
         ("What?", "red", "blue", "blue", "B", "MCQ"), ("Open?", "", "", "because", "", "SAQ")]
+
+
+@pytest.mark.parametrize("width", [1, 3.5, 100])
+def test_spans_and_frames_against_all_pairs(spark, width):
+    rng = random.Random(9)
+    key = lambda: rng.choice(["hot", "hot", "cold", None])
+    frames = [(key(), i, rng.choice([rng.randrange(-40, 300), rng.random() * 300])) for i in range(150)]
+    spans = []
+    for i in range(120):
+        begin = rng.choice([float(rng.randrange(-50, 300)), rng.random() * 300])
+        spans.append((key(), i % 40, begin, begin + rng.choice([0.0, 0.4, 7.0, 160.0, 333.3]), f"line {i % 11}"))
+    frames = [(k, i, float(t)) for k, i, t in frames]
+    spans += [("hot", 1, 5.0, None, "open"), ("hot", 2, None, 5.0, "open")]
+    f = spark.createDataFrame(frames, "k string, frame int, t double")
+    sp = spark.createDataFrame(spans, "k string, rank int, s double, e double, text string")
+    pairs = [(k, i, t, r, s, e, x) for k, i, t in frames for q, r, s, e, x in spans if k == q and s is not None and e is not None and s < t < e]
+    got = [(r["k"], r["frame"], r["t"], r["rank"], r["s"], r["e"], r["text"]) for r in jn.spans_covering(f, sp, "k", "t", "s", "e", width).collect()]
+    assert sorted(got, key=str) == sorted(pairs, key=str)
+    first = {r["frame"]: r["text"] for r in jn.first_span_per_frame(f, sp, "k", "frame", "t", "s", "e", "rank", "text", width).collect()}
+    assert first == {i: min((p[3], p[6]) for p in pairs if p[1] == i)[1] for i in {p[1] for p in pairs}}
+    seen = {(r["k"], r["text"]): r["first_seen"] for r in jn.distinct_spans(f, sp, "k", "t", "s", "e", "text", max(1, int(width))).collect()}
+    assert seen == {(k, x): min(p[2] for p in pairs if (p[0], p[6]) == (k, x)) for k, x in {(p[0], p[6]) for p in pairs}}
+
+
+def test_one_key_with_many_long_spans(spark):
+    """100,000 spans that cover most of 20,000 frames: two thousand million pairs, none of which are made."""
+    frames = spark.range(20_000).select(F.lit("v").alias("k"), "id", F.col("id").alias("t"))
+    spans = spark.range(100_000).select(F.lit("v").alias("k"), "id", (F.col("id") % 100).alias("s"), (20_000 - F.col("id") % 70).alias("e"), F.concat(F.lit("x"), F.col("id") % 1000).alias("text"))
+    first = jn.first_span_per_frame(frames, spans, "k", "id", "t", "s", "e", "id", "text", 16).agg(F.count("*"), F.min("id"), F.max("id"), F.max("text")).first()
+    assert tuple(first) == (19_999, 1, 19_999, "x0")
+    seen = jn.distinct_spans(frames, spans, "k", "t", "s", "e", "text", 64)
+    assert seen.count() == 1000 and seen.filter("text = 'x0'").first()["first_seen"] == 1
+
+
+def test_intervals_merge_in_few_exchanges(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 3, 9), (1, 100_000, 100_001), (1, 9, 70_000)], "k int, s bigint, e bigint")
+    out = jn.interval_iou_by_key(df, df, ["k"], "s", "e")
+    assert [tuple(r) for r in out.collect()] == [(1, 70_001, 70_001, 1.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange")
+    assert shuffles <= 8
