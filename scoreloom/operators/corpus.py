@@ -1,8 +1,8 @@
 """Corpus and alignment metrics.
 
 n-gram metrics put the texts of a pair on one partition once (``repartition`` by the pair id) and
-count grams there: the gram rows, many times the text, are never shuffled. Block alignment works
-inside the row that holds a page's blocks.
+count grams there: the gram rows, many times the text, are never shuffled, and character grams are no
+rows at all. Block alignment works inside the row that holds a page's blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,60 @@ def gram_overlap(counts: DataFrame, ids: Sequence[str]) -> DataFrame:
     return counts.groupBy(*ids, "n").agg(F.sum("h").alias("h"), F.sum("r").alias("r"), F.sum(F.least("h", "r")).alias("m"))
 
 
+def _gram_stats(hyps: pa.Array, refs: pa.Array, order: int) -> np.ndarray:
+    """(order, pair, 3): character n-grams of both sides of every pair and those they share, as multisets.
+
+    A gram is a number: that of the gram without its last character, times the alphabet, plus the last.
+    """
+    pairs = len(hyps)
+    texts = [*hyps.to_pylist(), *refs.to_pylist()]
+    _, chars = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    text_of = np.repeat(np.arange(2 * pairs), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
+    base = int(chars.max()) + 1 if len(chars) else 1
+    at, grams, bound = np.arange(len(chars)), chars.astype(np.int64), base
+    out = np.zeros((order, pairs, 3), np.int64)
+    for n in range(1, order + 1):
+        if n > 1:
+            stays = left[at] >= n
+            at = at[stays]
+            if bound > (1 << 62) // (base * max(1, pairs)):
+                known, grams = np.unique(grams, return_inverse=True)
+                bound = len(known)
+            grams, bound = grams[stays] * base + chars[at + n - 1], bound * base
+        side = text_of[at] >= pairs
+        pair = text_of[at] % max(1, pairs)
+        keys = grams * pairs + pair
+        (ours, many), (theirs, others) = (np.unique(keys[s], return_counts=True) for s in (~side, side))
+        _, i, j = np.intersect1d(ours, theirs, assume_unique=True, return_indices=True)
+        out[n - 1, :, 0], out[n - 1, :, 1] = np.bincount(pair[~side], minlength=pairs), np.bincount(pair[side], minlength=pairs)
+        out[n - 1, :, 2] = np.bincount(ours[i] % max(1, pairs), np.minimum(many[i], others[j]), minlength=pairs)
+    return out
+
+
+def character_overlap(pairs: DataFrame, ids: Sequence[str], hyp: Column, ref: Column, order: int) -> DataFrame:
+    """Per pair and order up to ``order``: character grams of the hypothesis (h), the reference (r) and shared (m); white space left out.
+
+    Grams stay inside the task, as sorted arrays of numbers over some pairs at a time. Orders that neither side has give no row.
+    """
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    sides = spread(pairs, ids).select(*ids, bare(hyp).alias("_hyp"), bare(ref).alias("_ref"))
+    schema = StructType([*sides.schema.fields[: len(ids)], *StructType.fromDDL("n int, h bigint, r bigint, m bigint").fields])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                stats = _gram_stats(part.column(len(ids)), part.column(len(ids) + 1), order)
+                n, row = np.nonzero(stats[:, :, 0] + stats[:, :, 1])
+                columns = [part.column(c).take(pa.array(row, pa.int64())) for c in range(len(ids))]
+                columns += [pa.array(n + 1, pa.int32()), *[pa.array(stats[n, row, k], pa.int64()) for k in range(3)]]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return sides.mapInArrow(count, schema)
+
+
 def _f_beta(stats: DataFrame, keys: Sequence[str], beta: float) -> DataFrame:
     """chrF of summed (h, r, m) per order: averages over the orders both sides have."""
     used = (F.col("h") > 0) & (F.col("r") > 0)
@@ -74,8 +129,7 @@ def _f_beta(stats: DataFrame, keys: Sequence[str], beta: float) -> DataFrame:
 
 
 def chrf_sentence(pairs: DataFrame, ids: Sequence[str], hyp: str, ref: str, order: int = 6, beta: float = 2.0) -> DataFrame:
-    counts = gram_counts(pairs, ids, characters(F.col(hyp)), characters(F.col(ref)), order, "")
-    return _f_beta(gram_overlap(counts, ids), ids, beta)
+    return _f_beta(character_overlap(pairs, ids, F.col(hyp), F.col(ref), order), ids, beta)
 
 
 def chrf_corpus(pairs: DataFrame, ids: Sequence[str], views: Mapping[str, tuple[Column, Column]], order: int = 6, beta: float = 2.0) -> DataFrame:
@@ -83,7 +137,7 @@ def chrf_corpus(pairs: DataFrame, ids: Sequence[str], views: Mapping[str, tuple[
     rows = F.array(*[F.struct(F.lit(k).alias("view"), h.alias("hyp"), r.alias("ref")) for k, (h, r) in views.items()])
     flat = pairs.select(*ids, F.inline(rows))
     keys = [*ids, "view"]
-    overlap = gram_overlap(gram_counts(flat, keys, characters(F.col("hyp")), characters(F.col("ref")), order, ""), keys)
+    overlap = character_overlap(flat, keys, F.col("hyp"), F.col("ref"), order)
     sums = overlap.groupBy("view", "n").agg(*[F.sum(c).alias(c) for c in ("h", "r", "m")])
     return _f_beta(sums, ["view"], beta)
 
@@ -236,7 +290,7 @@ def field_values(json_text: Column, depth: int = 6) -> Column:
     """(field, value) pairs of a JSON object of objects, lists and scalars, blanks dropped; null if unreadable.
 
     A nested field is named by its path (``a.b``), a list's items by the list. What is nested deeper
-    than ``depth`` stays JSON text.
+    than ``depth`` stays JSON text; ``with_field_values`` finds the depth that a table needs.
     """
     pair = lambda field, value: F.struct(field.alias("field"), value.alias("value"))
 
@@ -252,6 +306,27 @@ def field_values(json_text: Column, depth: int = 6) -> Column:
     return F.filter(F.transform(top, lambda p: pair(p["field"], F.trim(p["value"]))), lambda p: p["value"] != "")
 
 
+def nesting(json_text: Column) -> Column:
+    """How deep objects and lists are nested in a JSON text."""
+    bare = F.regexp_replace(F.regexp_replace(json_text, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
+    state = lambda now, most: F.struct(now.alias("now"), most.alias("most"))
+
+    def step(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return state(now, F.greatest(s["most"], now))
+
+    return F.aggregate(F.split(bare, ""), state(F.lit(0), F.lit(0)), step, lambda s: s["most"])
+
+
+def with_field_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with each JSON column as its (field, value) pairs, opened until nothing is nested.
+
+    One pass over the texts finds how deep they are nested.
+    """
+    deep = df.agg(F.max(F.greatest(F.lit(1), *[nesting(F.col(c)) for c in columns]))).first()[0] or 1
+    return df.withColumns({c: field_values(F.col(c), deep) for c in columns})
+
+
 def kie_counts(files: DataFrame, name: str, pred: str, truth: str) -> DataFrame:
     """Counted full comparison per (file, field, value); inputs are arrays of (field, value)."""
     tag = lambda c, p, t: F.transform(c, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.lit(p).alias("p"), F.lit(t).alias("t")))
@@ -454,8 +529,8 @@ def mt_summary(pairs: DataFrame, ids: Sequence[str], views: Mapping[str, tuple[C
     """
     rows = F.array(*[F.struct(F.lit(k).alias("view"), h.alias("hyp"), r.alias("ref")) for k, (h, r) in views.items()])
     keys = [*ids, "view"]
-    counts = gram_counts(pairs.select(*ids, F.inline(rows)), keys, characters(F.col("hyp")), characters(F.col("ref")), order, "")
-    parts = {"h": F.col("h"), "r": F.col("r"), "m": F.least("h", "r")}
+    counts = character_overlap(pairs.select(*ids, F.inline(rows)), keys, F.col("hyp"), F.col("ref"), order)
+    parts = {c: F.col(c) for c in ("h", "r", "m")}
     spots = [(f"h{n}", f"r{n}", f"m{n}") for n in range(1, order + 1)]
     per_pair = counts.groupBy(*keys).agg(*[F.sum(F.when(F.col("n") == n, parts[c]).otherwise(0)).alias(f"{c}{n}") for n in range(1, order + 1) for c in parts])
     scored = per_pair.withColumn("chrf", _chrf_of([tuple(map(F.col, s)) for s in spots], beta))

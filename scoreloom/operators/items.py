@@ -134,13 +134,18 @@ def expand_qa_pairs(df: DataFrame, question: str = "question") -> tuple[DataFram
     return pairs, parsed.filter(~F.coalesce(good, F.lit(False))).drop("_pairs")
 
 
-def pack_questions(df: DataFrame, video: str, index: str, question: str, size: int = 64) -> DataFrame:
-    """Questions of a video as JSON maps of at most ``size`` entries, numbered by ``pack``."""
-    placed = with_position(df.select(video, index, question), index, "_pos", [video])
-    entry = F.struct(F.col("_pos").alias("p"), F.col(index).cast("string").alias("key"), F.col(question).alias("value"))
-    lists = placed.groupBy(video, F.floor(F.col("_pos") / size).alias("pack")).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
+def question_rows(df: DataFrame, video: str, index: str, question: str) -> DataFrame:
+    """A video's questions as rows (video, position, key, question), for sinks that stream them."""
+    placed = with_position(df.select(video, index, question), index, "position", [video])
+    return placed.select(video, "position", F.col(index).cast("string").alias("key"), question)
+
+
+def pack_questions(df: DataFrame, video: str, index: str, question: str) -> DataFrame:
+    """All questions of a video as one JSON map in order of their index: a prompt each video."""
+    entry = F.struct(F.col(index).alias("i"), F.col(index).cast("string").alias("key"), F.col(question).alias("value"))
+    lists = df.groupBy(video).agg(F.sort_array(F.collect_list(entry)).alias("_l"))
     as_map = F.map_from_entries(F.transform("_l", lambda e: F.struct(e["key"], e["value"])))
-    return lists.select(video, "pack", F.to_json(as_map).alias("questions"))
+    return lists.select(video, F.to_json(as_map).alias("questions"))
 
 
 def read_answer_map(reply: Column) -> Column:
@@ -161,7 +166,7 @@ def unpack_answers(packs: DataFrame, items: DataFrame, video: str, index: str, r
     failed = tx.is_failure(F.col(reply))
     opened = packs.select(video, failed.alias("_failed"), F.when(~failed, read_answer_map(F.col(reply))).alias("_m"))
     answers = opened.select(video, F.explode("_m").alias("_key", "prediction")).groupBy(video, "_key").agg(F.max("prediction").alias("prediction"))
-    joined = items.withColumn("_key", F.col(index).cast("string")).join(answers, [video, "_key"], "left").drop("_key")
+    joined = same_keys_join(items.withColumn("_key", F.col(index).cast("string")), answers, [video, "_key"], how="left").drop("_key")
     replies = opened.agg(F.count_if("_failed").alias("GEN_FAIL"), F.count_if(~F.col("_failed") & F.col("_m").isNotNull()).alias("PARSE_OK"),
                          F.count_if(~F.col("_failed") & F.col("_m").isNull()).alias("PARSE_FAIL"))
     valid = joined.agg(F.count("prediction").alias("VALIDQ"), F.count_if(F.col("prediction").isNull()).alias("INVALIDQ"))

@@ -3,8 +3,8 @@
 A plain window over a group runs in one task. Here rows are cut into chunks of the integer order
 column, each chunk is folded to one row, the folds are scanned, and only then does a window run
 inside each (keys, chunk). No task sees more than one chunk of a group plus the folds of one scan.
-Without keys the folds are cut into chunks of chunks again until a scan holds at most 2^16 of them,
-however sparse the order column is. Null keys are a key like any other.
+The folds are cut into chunks of chunks again until a scan holds at most 2^16 of them, however sparse
+the order column is, with keys as without. Null keys are a key like any other.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ def prefix_fold(
     ``order`` is an integer column, or several in order of weight; rows equal in all of them are
     placed by ``tie``. A chunk holds the rows of ``width`` consecutive values of the last order
     column, so name enough of them to make rows (nearly) unique. ``levels``: how often folds are
-    folded in turn; without keys three times by default, which 64-bit orders need at most.
+    folded in turn; three times by default, which 64-bit orders need at most.
     """
-    levels = levels or (1 if keys else 3)
+    levels = levels or 3
     if not isinstance(order, str) and len(order) > 1:
         return _by_groups(df, value, list(order), out, keys, tie, fold, width, levels)
     order = order if isinstance(order, str) else order[0]

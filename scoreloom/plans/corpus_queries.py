@@ -142,7 +142,7 @@ def _kie(t):
     status = F.when(F.col("o_custkey") % 4 == 0, "X").otherwise(F.col("o_orderstatus"))
     note = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(', "note": '), quote(F.col("o_orderpriority")))).otherwise("")
     truth = shape(status, [num("o_orderkey"), F.lit("i1")], note)
-    files = t.orders.select(F.col("o_orderkey").alias("file"), cp.field_values(pred).alias("p"), cp.field_values(truth).alias("t"))
+    files = cp.with_field_values(t.orders.select(F.col("o_orderkey").alias("file"), pred.alias("p"), truth.alias("t")), ["p", "t"])
     return cp.kie_counts(files, "file", "p", "t")
 
 

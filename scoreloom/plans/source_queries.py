@@ -191,15 +191,19 @@ def _(t):
 
 
 @query("a19_pack_questions", """
-    WITH r AS (SELECT video, event_id, kind, row_number() OVER (PARTITION BY video ORDER BY event_id) - 1 AS pos FROM @spans)
-    SELECT video, pos // 16 AS pack, '{' || string_agg('"' || event_id || '":"' || kind || '"', ',' ORDER BY pos) || '}' AS questions FROM r GROUP BY video, pos // 16""")
+    SELECT video, '{' || string_agg('"' || event_id || '":"' || kind || '"', ',' ORDER BY event_id) || '}' AS questions FROM @spans GROUP BY video""")
 def _(t):
-    return it.pack_questions(t.spans.select("video", "event_id", "kind"), "video", "event_id", "kind", size=16)
+    return it.pack_questions(t.spans.select("video", "event_id", "kind"), "video", "event_id", "kind")
+
+
+@query("a19_question_rows", 'SELECT video, row_number() OVER (PARTITION BY video ORDER BY event_id) - 1 AS position, CAST(event_id AS VARCHAR) AS "key", kind FROM @spans')
+def _(t):
+    return it.question_rows(t.spans.select("video", "event_id", "kind"), "video", "event_id", "kind")
 
 
 def _packs(t):
     """Replies to the packs: some failed, some unreadable, some as loose lines."""
-    packs = it.pack_questions(t.spans.select("video", "event_id", "kind"), "video", "event_id", "kind", size=16)
+    packs = it.pack_questions(t.spans.select("video", "event_id", "kind"), "video", "event_id", "kind")
     loose = F.regexp_replace(F.regexp_replace("questions", ",", "\n"), '":"', '": "')
     reply = F.when(F.col("video") % 7 == 0, "Failed to obtain answer via API.").when(F.col("video") % 7 == 1, "no json").when(
         F.col("video") % 7 == 2, F.regexp_replace(loose, r"\}$", "")).otherwise(F.concat(F.lit("Answers: "), "questions"))
@@ -212,7 +216,7 @@ def _(t):
 
 
 @query("a19_unpack_counters", """
-    WITH p AS (SELECT video, CAST(ceil(count(*) / 16e0) AS BIGINT) AS packs, count(*) AS n FROM @spans GROUP BY video)
+    WITH p AS (SELECT video, 1 AS packs, count(*) AS n FROM @spans GROUP BY video)
     SELECT 'GEN_FAIL' AS counter, CAST(sum(packs) FILTER (WHERE video % 7 = 0) AS BIGINT) AS n FROM p UNION ALL SELECT 'PARSE_OK', CAST(sum(packs) FILTER (WHERE video % 7 > 1) AS BIGINT) FROM p
     UNION ALL SELECT 'PARSE_FAIL', CAST(sum(packs) FILTER (WHERE video % 7 = 1) AS BIGINT) FROM p UNION ALL SELECT 'VALIDQ', CAST(sum(n) FILTER (WHERE video % 7 > 1) AS BIGINT) FROM p UNION ALL SELECT 'INVALIDQ', CAST(sum(n) FILTER (WHERE video % 7 < 2) AS BIGINT) FROM p""")
 def _(t):

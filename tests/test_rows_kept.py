@@ -109,3 +109,44 @@ def test_registry_names(spark):
 def test_lines_are_trimmed_of_blanks(value):
     assert value(ex.extract_cot_answer, "so\n  Answer: Big cat  ").strip() == "Big cat"
     assert value(it.read_answer_map, '{\n  "3": "x 1"\n "4": "y 2"') == {"3": "x 1", "4": "y 2"}
+
+
+def test_fields_of_any_depth(spark):
+    from functools import reduce
+
+    deep = lambda n, leaf: reduce(lambda inner, k: f'{{"f{k}": {inner}, "x{k}": ["a", "}}{{"]}}', range(n), leaf)
+    df = spark.createDataFrame([(1, deep(20, '"end"')), (2, '[[["no object"]]]'), (3, None), (4, "}}{{ no"), (5, "")], "id int, j string")
+    got = {r["id"]: r["j"] for r in cp.with_field_values(df, ["j"]).collect()}
+    found = sorted((x["field"], x["value"]) for x in got[1])
+    path = lambda k: ".".join(f"f{i}" for i in range(19, k, -1))
+    wanted = [(path(-1), "end")] + [(".".join(filter(None, [path(k), f"x{k}"])), v) for k in range(20) for v in ("a", "}{")]
+    assert found == sorted(wanted) and not any(got[k] for k in (2, 3, 4, 5))
+
+
+def test_sparse_order_of_one_key(spark):
+    """No fold of a hot key is scanned in one task, however far its rows lie apart."""
+    from scoreloom.operators import ordered as od
+
+    df = spark.range(3000).select(F.lit("k").alias("k"), (F.col("id") * 3_000_000_000_000 - 4_000_000_000_000_000).alias("o"))
+    got = od.with_position(df, "o", keys=["k"]).orderBy("o").collect()
+    assert [r["position"] for r in got] == list(range(3000))
+
+
+def test_character_overlap_against_counters(spark):
+    from collections import Counter
+    import random
+
+    rng = random.Random(4)
+    say = lambda: "".join(rng.choice("aab é日 ") for _ in range(rng.randrange(0, 14)))
+    rows = [(i, say(), say()) for i in range(60)] + [(60, None, "abc"), (61, "", None), (62, "x" * 5000, "x" * 4999)]
+    wide = [(100 + i, "".join(map(chr, rng.sample(range(0x4E00, 0x9000), 900))), "".join(map(chr, rng.sample(range(0x4E00, 0x9000), 900)))) for i in range(5)]
+    got = {(r["id"], r["n"]): (r["h"], r["r"], r["m"]) for r in cp.character_overlap(
+        spark.createDataFrame(rows + wide, "id int, hyp string, ref string"), ["id"], F.col("hyp"), F.col("ref"), 6).collect()}
+    want = {}
+    for i, a, b in rows + wide:
+        a, b = ("".join((x or "").split()) for x in (a, b))
+        for n in range(1, 7):
+            h, r = (Counter(x[k : k + n] for k in range(len(x) - n + 1)) for x in (a, b))
+            if h or r:
+                want[i, n] = (h.total(), r.total(), (h & r).total())
+    assert got == want
