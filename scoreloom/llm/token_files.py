@@ -111,9 +111,13 @@ class TokenFile:
     def __len__(self) -> int:
         return self.bounds.n
 
+    def start(self, i: int) -> int:
+        """Where a document begins in the file's ids, found by select."""
+        return self.bounds[i - 1] if i else 0
+
     def document(self, i: int) -> np.ndarray:
         """The ids of one document, found by select."""
-        return self.ids[self.bounds[i - 1] if i else 0 : self.bounds[i]]
+        return self.ids[self.start(i) : self.bounds[i]]
 
 
 def file_bytes(keys: list[int | None], parts: list[np.ndarray], width: int) -> bytes:
@@ -173,11 +177,10 @@ def read_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for part, number, raw in zip(*[batch.column(i) for i in range(3)], strict=True):
                 file = TokenFile(raw.as_buffer())
-                ends = file.bounds.decode().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crcs = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
                 n = len(file)
-                columns = [[part.as_py()] * n, [number.as_py()] * n, file.keys, begins, ends - begins, crcs]
+                bounds = [(file.start(i), file.document(i)) for i in range(n)]
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in bounds]
+                columns = [[part.as_py()] * n, [number.as_py()] * n, file.keys, [at for at, _ in bounds], [len(ids) for _, ids in bounds], crcs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = files.select("part", "number", "file").mapInArrow(read, "part int, number int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")

@@ -44,6 +44,7 @@ def empty(edge):
     return edge.limit(0)
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def rng():
+    """The same numbers in every test, whatever ran before it."""
     return np.random.default_rng(7)
