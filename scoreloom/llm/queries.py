@@ -48,7 +48,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_held_out(_documents(spark, sf_dir), order=2)
+    return language_model.score_held_out(_documents(spark, sf_dir), order=3)
 
 
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
