@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions import extract as ex
 from scoreloom.functions import fixed
 from scoreloom.functions import score as sc
 from scoreloom.operators.joins import undone
+from scoreloom.operators.ordered import same_keys_join
+from scoreloom.sources.tables import scratch_folder
 
 
 def _call(fn: Callable[[dict], str], row: dict) -> str:
@@ -96,6 +99,42 @@ def rule_then_judge(
     return ruled.select(*columns, output).mapInArrow(batches, f"{names}, `{output}` string, `solved_by` string")
 
 
+def judge_groups(
+    df: DataFrame, group: str, order: str, key: str, truth: str, rule: Column, judge: Callable[[dict, int], str | None], fallback: str = "Z", retries: int = 3
+) -> DataFrame:
+    """(group, hit, judged): whether all rows of a group say their ``truth``, and how many of them the judge was asked about.
+
+    A group whose rules already read a wrong answer is lost without a judge. The others are judged in rounds,
+    a row of each open group at a time in ``order``; a group leaves at its first failure, so that no row after it
+    is asked about. Every round is written to the shared folder, so a lost task never asks a finished round again.
+    """
+    spark = df.sparkSession
+    folder = scratch_folder(spark, "judged-groups")
+
+    def kept(found: DataFrame, name: str) -> DataFrame:
+        found.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(found.schema).parquet(f"{folder}/{name}")
+
+    ruled = df.withColumn("_said", rule)
+    wrong = F.col("_said").isNotNull() & ~F.col("_said").eqNullSafe(F.col(truth))
+    state = kept(ruled.groupBy(group).agg(F.max(wrong).alias("lost")), "ruled")
+    left = same_keys_join(ruled.filter("_said IS NULL").drop("_said"), state.filter("NOT lost").drop("lost"), [group])
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order, key))
+    left = kept(left.withColumn("_round", place), "open")
+    rounds = left.agg(F.max("_round")).first()[0] or 0
+    answers = spark.createDataFrame([], ruled.select(group, F.lit(True).alias("right")).schema)
+    for n in range(1, rounds + 1):
+        lost = answers.filter("NOT right").select(group)
+        other = lost.withColumnRenamed(group, "_lost")
+        asked = left.filter(F.col("_round") == n).join(other, F.col(group).eqNullSafe(F.col("_lost")), "left_anti").drop("_round")
+        said = rule_then_judge(asked, F.lit(None).cast("string"), judge, key, fallback, retries, "_said")
+        answers = answers.unionByName(kept(said.select(group, F.col("_said").eqNullSafe(F.col(truth)).alias("right")), f"round-{n}"))
+    sums = answers.groupBy(group).agg(F.min("right").alias("right"), F.count(F.lit(1)).alias("judged"))
+    both = same_keys_join(state, sums, [group], how="left")
+    hit = ~F.col("lost") & F.coalesce("right", F.lit(True))
+    return both.select(group, hit.cast("int").alias("hit"), F.coalesce("judged", F.lit(0)).alias("judged"))
+
+
 def multi_turn_apply(dialogs: DataFrame, fn: Callable[[list[dict], str], str], key: str, questions: str) -> DataFrame:
     """Dialogs stored as one row with an array of questions: each turn sees the earlier ones.
 
@@ -127,6 +166,11 @@ def _map(s: Column) -> Column:
     return F.from_json(s, "map<string,string>")
 
 
+def _boxed(p: Column, t: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """A score of two written boxes; 0 where the prediction has none."""
+    return F.when(ex.parse_bbox(t).isNotNull(), F.coalesce(score(ex.parse_bbox(p), ex.parse_bbox(t)).cast("double"), F.lit(0.0)))
+
+
 # metric name -> builder of the score column from (prediction, truth)
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "exact_str_match": sc.string_exact,
@@ -154,6 +198,8 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "dict_precision": lambda p, t: sc.map_precision(_map(p), _map(t)),
     "dict_recall": lambda p, t: sc.map_recall(_map(p), _map(t)),
     "multi_ref_phrase": lambda p, t: sc.string_any_reference(p, _items(t, r"\|")),
+    "nbbox_iou_single": lambda p, t: _boxed(p, t, sc.box_iou),
+    "xml_norm_point_in_bbox": lambda p, t: _boxed(p, t, sc.center_in_box),
     "general_single_numerical_match": lambda p, t: sc.numbers_equal(p, t),
 }
 

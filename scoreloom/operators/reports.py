@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions import score as sc
 from scoreloom.functions.text import literal_map
 from scoreloom.operators.ordered import same_keys_join
 
@@ -453,6 +454,14 @@ def typed_accuracy(df: DataFrame, kind: str, scores: Mapping[str, str]) -> DataF
     return df.agg(*aggs)
 
 
+def delta_report(df: DataFrame, value: str | Column, truth: str | Column, kind: str, deltas: Mapping[str, float]) -> DataFrame:
+    """Share of values within each factor of the truth, over all and per ``kind``; one column per named factor."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    within = {name: F.sum(sc.ratio_within(column(value), column(truth), d)) for name, d in deltas.items()}
+    sums = scoped_sums(df, {"overall": None, "type": kind}, {**within, "_n": F.count("*")})
+    return sums.select("scope", "group", *[mean(name, "_n").alias(name) for name in deltas])
+
+
 def score_with_missing(df: DataFrame, prediction: str, score: str, keys: Sequence[str]) -> DataFrame:
     """Counts of missing predictions and unparsed scores next to the mean of the valid ones."""
     gone, s = F.col(prediction).isNull(), F.col(score)

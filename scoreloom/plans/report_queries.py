@@ -397,9 +397,7 @@ _WITHIN = "CASE WHEN greatest((amount + 1e-8) / (line * 8 + 1e-8), (line * 8 + 1
 @query("g33_delta_report", scopes_sql("@scored", {"overall": None, "type": "task"}, {
     "delta_2": f"round(CAST(sum({_WITHIN.format('2')}) AS DOUBLE) / count(*), 6)", "delta_1_5": f"round(CAST(sum({_WITHIN.format('1.5e0')}) AS DOUBLE) / count(*), 6)"}))
 def _(t):
-    within = lambda d: F.sum(sc.ratio_within(F.col("amount"), F.col("line") * 8, d))
-    sums = rp.scoped_sums(t.scored, {"overall": None, "type": "task"}, {"a": within(2.0), "b": within(1.5), "n": F.count("*")})
-    return sums.select("scope", "group", rp.mean("a", "n").alias("delta_2"), rp.mean("b", "n").alias("delta_1_5"))
+    return rp.delta_report(t.scored, "amount", F.col("line") * 8, "task", {"delta_2": 2.0, "delta_1_5": 1.5})
 
 
 @query("g34_score_with_missing", """

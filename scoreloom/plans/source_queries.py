@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from scoreloom.functions.score import flag
 from scoreloom.operators import apply as ap
 from scoreloom.operators import items as it
+from scoreloom.operators import statistics as stat
 from scoreloom.operators.ordered import prefix_fold
 from scoreloom.plans import sqltext as q
 from scoreloom.plans.catalog import query
+from scoreloom.plans.corpus_queries import word_counts
 from scoreloom.sources import pages as pg
 from scoreloom.sources import tables as tb
 
@@ -296,7 +298,37 @@ def _(t):
 @query("h5_corpus_metric", """
     SELECT l_returnflag AS "group", round(100e0 * sum(least(l_quantity, l_linenumber * 8)) / sum(l_quantity), 6) AS precision FROM lineitem GROUP BY l_returnflag""")
 def _(t):
-    # sums of sufficient statistics, then a closing formula
     match = F.least(F.col("l_quantity"), (F.col("l_linenumber") * 8).cast("double"))
-    sums = t.lineitem.groupBy(F.col("l_returnflag").alias("group")).agg(F.sum(match).alias("m"), F.sum("l_quantity").alias("h"))
-    return sums.select("group", F.round(100.0 * F.col("m") / F.col("h"), 6).alias("precision"))
+    rows = t.lineitem.withColumn("group", F.col("l_returnflag"))
+    return stat.share(match, F.col("l_quantity"), 100.0).value(rows, ["group"], "precision")
+
+
+@query("h5_corpus_bleu_by_turn", """
+    WITH p AS (SELECT *, turn % 2 AS half FROM @pairs), g AS (""" + word_counts("(SELECT conv_id, turn, half, " + q.words("hyp") + " AS hw, " + q.words("ref") + " AS rw FROM p)", "conv_id, turn, half", "hw", "rw", 4) + """),
+    s AS (SELECT half, n, sum(h) AS h, sum(r) AS r, sum(least(h, r)) AS m FROM g GROUP BY half, n),
+    f AS (SELECT half, avg(CASE WHEN m > 0 THEN ln(m / CAST(h AS DOUBLE)) END) AS p, count(*) FILTER (WHERE m > 0) AS k, max(h) FILTER (WHERE n = 1) AS h, max(r) FILTER (WHERE n = 1) AS r FROM s GROUP BY half)
+    SELECT half, round(CASE WHEN k = 4 THEN CASE WHEN h >= r THEN 1e0 ELSE exp(1e0 - r / CAST(h AS DOUBLE)) END * exp(p) ELSE 0e0 END, 6) AS bleu FROM f""")
+def _(t):
+    rows = t.pairs.withColumn("half", F.col("turn") % 2)
+    return stat.STATISTICS["bleu"](["conv_id", "turn"], "hyp", "ref").value(rows, ["half"], "bleu")
+
+
+@query("h4_field_aggregation", """
+    SELECT l_orderkey, l_linenumber, round((l_discount * 2e0 + l_tax + CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END * 0.5e0) / 3.5e0, 6) AS score FROM lineitem""")
+def _(t):
+    scores = F.create_map(F.lit("discount"), F.col("l_discount").cast("double"), F.lit("tax"), F.col("l_tax").cast("double"), F.lit("returned"), flag(F.col("l_returnflag") == "R"))
+    weights = F.create_map(F.lit("discount"), F.lit(2.0), F.lit("returned"), F.lit(0.5))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", scores.alias("s"), weights.alias("w"))
+    return stat.aggregate_fields(rows, "s", "w").select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
+
+
+@query("h2_judge_groups", """
+    WITH r AS (SELECT event_id // 4 AS quad, event_id, kind FROM @spans),
+    x AS (SELECT quad, bool_or(kind = 'purchase' AND event_id % 11 = 0) AS lost FROM r GROUP BY quad),
+    f AS (SELECT r.quad, event_id % 17 <> 0 AS ok, row_number() OVER (PARTITION BY r.quad ORDER BY event_id) AS n FROM r JOIN x ON x.quad = r.quad WHERE NOT lost AND kind <> 'purchase'),
+    m AS (SELECT quad, min(n) FILTER (WHERE NOT ok) AS bad, count(*) AS n FROM f GROUP BY quad)
+    SELECT x.quad, CASE WHEN lost OR bad IS NOT NULL THEN 0 ELSE 1 END AS hit, coalesce(bad, n, 0) AS judged FROM x LEFT JOIN m ON m.quad = x.quad""")
+def _(t):
+    rows = t.spans.select(F.floor(F.col("event_id") / 4).alias("quad"), "event_id", "kind", F.lit("A").alias("truth"))
+    rule = F.when(F.col("kind") == "purchase", F.when(F.col("event_id") % 11 == 0, "B").otherwise("A"))
+    return ap.judge_groups(rows, "quad", "event_id", "event_id", "truth", rule, lambda row, attempt: "A" if row["event_id"] % 17 else "C")
