@@ -238,17 +238,27 @@ def corpus_mean(scores: DataFrame, score: str) -> DataFrame:
     return scores.agg(F.round(F.avg(score), 6).alias(score), F.count("*").alias("items"))
 
 
+#: grams that are told apart as hot, at most
+HOT_GRAMS = 4096
+
+
 def cider(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int = 4, sigma: float = 6.0) -> DataFrame:
     """TF-IDF n-gram similarity (x 10), document frequency over the whole reference corpus.
 
-    ``refs`` is an array of references; the score of an item is the mean over them.
+    ``refs`` is an array of references; the score of an item is the mean over them. Grams with more than one in
+    ``HOT_GRAMS`` of all (item, gram) pairs, of which there are fewer than ``HOT_GRAMS``, are sent to the tasks;
+    their rows take part in the join of the others under keys of their own, so no gram fills a task.
     """
     each = pairs.select(*ids, hyp, F.posexplode(refs).alias("ref_no", "ref"))
     keys = [*ids, "ref_no"]
     counts = gram_counts(each, keys, words(F.lower(hyp)), words(F.lower("ref")), max_n)
     df = counts.filter(F.col("r") > 0).groupBy(*ids, "gram").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.sum("one").alias("df"))
     n_items = pairs.agg(F.log(F.count("*").cast("double")).alias("n")).scalar()
-    weighted = counts.join(df, "gram", "left").withColumn("idf", n_items - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double")))
+    hot = df.filter(F.col("df") * HOT_GRAMS > df.agg(F.sum("df")).scalar()).select("gram", F.col("df").alias("hot"))
+    marked = counts.join(F.broadcast(hot), "gram", "left")
+    spot = F.when(F.col("hot").isNull(), F.col("gram")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*keys).cast("string")))
+    known = marked.withColumn("_spot", spot).join(df.withColumnRenamed("gram", "_spot"), "_spot", "left")
+    weighted = known.withColumn("idf", n_items - F.log(F.coalesce("hot", "df", F.lit(1)).cast("double")))
     vh, vr = F.col("h") * F.col("idf"), F.col("r") * F.col("idf")
     per_order = weighted.groupBy(*keys, "n").agg(
         F.sum(F.least(vh, vr) * vr).alias("dot"), F.sqrt(F.sum(vh * vh)).alias("nh"), F.sqrt(F.sum(vr * vr)).alias("nr"),

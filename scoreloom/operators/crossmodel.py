@@ -71,7 +71,10 @@ def experiment_summary(scores: DataFrame, datasets: Sequence[str], weighted: boo
 
 
 def transpose_report(report: DataFrame, splits: Sequence[str], digits: int = 1) -> DataFrame:
-    """Categories down, splits across, x 100; input is long (split, group, value)."""
+    """Categories down, splits across, x 100; input is long (split, group, value).
+
+    Values should not be rounded yet (``rp.accuracy(.., digits=None)``): they are rounded here, once.
+    """
     return report.groupBy("group").pivot("split", list(splits)).agg(F.round(F.first("value") * 100, digits))
 
 

@@ -20,9 +20,10 @@ from scoreloom.operators.ordered import same_keys_join
 ALL = "all"
 
 
-def mean(total: str, n: str, scale: float = 1.0, digits: int = 6) -> Column:
-    """Rounded quotient of two summed columns; null when nothing was counted."""
-    return F.round(F.try_divide(F.col(total) * scale, F.col(n)), digits)
+def mean(total: str, n: str, scale: float = 1.0, digits: int | None = 6) -> Column:
+    """Quotient of two summed columns, rounded unless ``digits`` is None; null when nothing was counted."""
+    value = F.try_divide(F.col(total) * scale, F.col(n))
+    return value if digits is None else F.round(value, digits)
 
 
 def scoped_sums(
@@ -46,10 +47,10 @@ def scoped_sums(
     return spread.groupBy(*keys, "scope", "group").agg(*[F.sum(k).alias(k) for k in sums])
 
 
-def accuracy(df: DataFrame, scopes: Mapping[str, str | Sequence[str] | None], value: str = "hit", keys: Sequence[str] = (), scale: float = 1.0) -> DataFrame:
+def accuracy(df: DataFrame, scopes: Mapping[str, str | Sequence[str] | None], value: str = "hit", keys: Sequence[str] = (), scale: float = 1.0, digits: int | None = 6) -> DataFrame:
     """Mean of ``value`` and row count per scope and group."""
     sums = scoped_sums(df, scopes, {"_s": F.sum(value), "_n": F.count(value), "n": F.count("*")}, keys)
-    return sums.select(*keys, "scope", "group", mean("_s", "_n", scale).alias("value"), "n")
+    return sums.select(*keys, "scope", "group", mean("_s", "_n", scale, digits).alias("value"), "n")
 
 
 def with_split(df: DataFrame) -> DataFrame:

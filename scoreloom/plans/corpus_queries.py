@@ -114,6 +114,21 @@ def _(t):
     return cp.cider(t.pairs.withColumn("refs", F.array("ref")), IDS, "hyp", "refs")
 
 
+_REF_PAIRS = f"(SELECT conv_id, turn, k, {q.words('lower(hyp)')} AS hw, {q.words('lower(r)')} AS rw FROM (SELECT conv_id, turn, hyp, 0 AS k, ref AS r FROM @pairs UNION ALL SELECT conv_id, turn, hyp, 1, hyp || ' and ' || left(ref, 40) FROM @pairs))"
+
+
+@query("e6_cider_references", f"""
+    WITH p AS {_REF_PAIRS}, g AS ({word_counts('p', 'conv_id, turn, k', 'hw', 'rw', 4)}),
+    d AS (SELECT gram, count(*) AS df FROM (SELECT DISTINCT conv_id, turn, gram FROM g WHERE r > 0) GROUP BY gram), z AS (SELECT ln(CAST(count(*) AS DOUBLE) / 2) AS n FROM p),
+    w AS (SELECT conv_id, turn, k, g.n, h, r, h * (z.n - ln(CAST(coalesce(df, 1) AS DOUBLE))) AS vh, r * (z.n - ln(CAST(coalesce(df, 1) AS DOUBLE))) AS vr FROM g LEFT JOIN d ON g.gram = d.gram, z),
+    o AS (SELECT conv_id, turn, k, n, sum(least(vh, vr) * vr) AS dot, sqrt(sum(vh * vh)) AS nh, sqrt(sum(vr * vr)) AS nr, sum(h) AS lh, sum(r) AS lr FROM w GROUP BY ALL),
+    s AS (SELECT conv_id, turn, k, sum(CASE WHEN nh * nr > 0 THEN dot / (nh * nr) ELSE 0 END) / 4 AS c, coalesce(max(lh) FILTER (WHERE n = 2), 0) - coalesce(max(lr) FILTER (WHERE n = 2), 0) AS gap FROM o GROUP BY conv_id, turn, k)
+    SELECT conv_id, turn, round(avg(c * exp(-(gap * gap) / 72e0)) * 10, 6) AS cider FROM s GROUP BY conv_id, turn""")
+def _(t):
+    refs = F.array(F.col("ref"), F.concat(F.col("hyp"), F.lit(" and "), F.substring("ref", 1, 40)))
+    return cp.cider(t.pairs.withColumn("refs", refs), IDS, "hyp", "refs")
+
+
 _OCR = "list_filter(string_split(lower(trim(regexp_replace(regexp_replace(translate({}, chr(9) || chr(10), '  '), '###|\\*\\*\\*', '', 'g'), ' +', ' ', 'g'), ' ')), ' '), lambda w: w <> '')"
 
 

@@ -95,9 +95,9 @@ def _(t):
 
 
 @query("k7_transpose_report", """
-    SELECT category AS "group", round(round(avg(hit) FILTER (WHERE split = 'dev'), 6) * 100, 1) AS dev, round(round(avg(hit) FILTER (WHERE split = 'test'), 6) * 100, 1) AS test FROM @scored GROUP BY category""")
+    SELECT category AS "group", round(avg(hit) FILTER (WHERE split = 'dev') * 100, 1) AS dev, round(avg(hit) FILTER (WHERE split = 'test') * 100, 1) AS test FROM @scored GROUP BY category""")
 def _(t):
-    report = rp.accuracy(t.scored, {"category": "category"}, keys=["split"])
+    report = rp.accuracy(t.scored, {"category": "category"}, keys=["split"], digits=None)
     return cm.transpose_report(report, ["dev", "test"])
 
 

@@ -159,3 +159,14 @@ def test_reading_order(value):
     assert value(lambda _: cp.reading_order_distance(matches((1, 1), (2, 2))), 0) == 0.0
     assert value(lambda _: cp.reading_order_distance(matches((1, 2), (2, 1))), 0) == 1.0
     assert math.isclose(value(lambda _: cp.reading_order_distance(matches((1, 1), (2, None), (None, 3), (4, 2))), 0), 1 / 3)
+
+
+def test_hot_grams_score_like_the_others(spark, monkeypatch):
+    rng = random.Random(8)
+    say = lambda: "the cat " + " ".join(rng.choice(["sat", "ran", "on", "a", "mat", "the"]) for _ in range(rng.randrange(1, 9)))
+    df = spark.createDataFrame([(i, say(), [say() for _ in range(1 + i % 3)]) for i in range(40)], "id int, hyp string, refs array<string>")
+    scores = []
+    for hot in (1, 12, 4096):
+        monkeypatch.setattr(cp, "HOT_GRAMS", hot)
+        scores.append(sorted((r["id"], r["cider"]) for r in cp.cider(df, ["id"], "hyp", "refs").collect()))
+    assert scores[0] == scores[1] == scores[2] and max(s for _, s in scores[0]) > 0
