@@ -226,7 +226,9 @@ def merged_stripes(docs: DataFrame, least: int) -> DataFrame:
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         return _merge(key[0].as_py(), table, least)
 
-    sent = docs.select(lang, text).mapInArrow(send, STRIPES)
+    # a partition a few buckets, whatever the configured number, so that tasks do not grow with the input
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-limits[0] // 4))
+    sent = docs.select(lang, text).mapInArrow(send, STRIPES).repartition(partitions, "bucket")
     return stored(sent.groupBy("lang", "bucket").applyInArrow(merge, MERGED), "stripes")
 
 
