@@ -415,34 +415,40 @@ def filter_groups(samples: DataFrame, attributes: str, groups: Mapping[str, Mapp
 def best_ngram_window(needle: Column, hay: Column) -> Column:
     """struct of the hay's window most similar to the needle, and its scores against the needle.
 
-    Windows have as many words as the needle and share one with it; similarity is one minus the edit
-    distance over the longer length; the earliest best window wins.
+    Windows have as many words (characters, where the needle is Chinese) as the needle and share one with it;
+    similarity is one minus the edit distance over the longer length; the earliest best window wins.
+    ``rouge1`` is the F1 of the words with their repeats, the other scores are of sets of words.
     """
+    chinese = has_cjk(needle)
+    cut_up = lambda s: F.when(chinese, characters(s)).otherwise(words(s))
+    joined = lambda t, w: F.when(t["chinese"], F.array_join(w, "")).otherwise(F.array_join(w, " "))
 
     def windows(t: Column) -> Column:
         n = F.size(t["needle"])
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t["hay"]) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(t["hay"]))
         cut = F.filter(F.transform(starts, lambda i: F.slice(t["hay"], i, n)), lambda w: F.arrays_overlap(w, t["needle"]))
-        goal = F.array_join(t["needle"], " ")
+        goal = joined(t, t["needle"])
 
         def rate(w: Column, i: Column) -> Column:
-            text = F.array_join(w, " ")
+            text = joined(t, w)
             distance = F.levenshtein(text, goal) / F.greatest(F.length(text), F.length(goal))
             return F.struct((1.0 - distance).alias("similarity"), (-i).alias("order"), w.alias("window"))
 
-        return F.struct(t["needle"].alias("needle"), F.array_max(F.transform(cut, rate)).alias("best"))
+        return F.struct(t["chinese"].alias("chinese"), t["needle"].alias("needle"), F.array_max(F.transform(cut, rate)).alias("best"))
 
     def scores(x: Column) -> Column:
         window, goal = x["best"]["window"], x["needle"]
         shared = F.size(F.array_intersect(window, goal))
         p, r = shared / F.size(F.array_distinct(window)), shared / F.size(F.array_distinct(goal))
         zero = lambda c: F.when(window.isNotNull(), c).otherwise(0.0)
+        times = lambda tokens, x: F.size(F.filter(tokens, lambda y: y == x))
+        met = F.aggregate(F.array_distinct(goal), F.lit(0), lambda n, x: n + F.least(times(window, x), times(goal, x)))
         return F.struct(
-            F.coalesce(F.array_join(window, " "), F.lit("")).alias("window"), zero(x["best"]["similarity"]).alias("similarity"),
+            F.coalesce(joined(x, window), F.lit("")).alias("window"), zero(x["best"]["similarity"]).alias("similarity"),
             zero(p).alias("precision"), zero(r).alias("recall"), zero(2 * p * r / (p + r)).alias("f1"),
-            zero(shared / F.size(F.array_union(window, goal))).alias("jaccard"), zero(F.when(window == goal, 1.0).otherwise(0.0)).alias("exact"))
+            zero(shared / F.size(F.array_union(window, goal))).alias("jaccard"), zero(2.0 * met / (F.size(window) + F.size(goal))).alias("rouge1"), zero(F.when(window == goal, 1.0).otherwise(0.0)).alias("exact"))
 
-    tokens = F.struct(words(needle).alias("needle"), words(hay).alias("hay"))
+    tokens = F.struct(chinese.alias("chinese"), cut_up(needle).alias("needle"), cut_up(hay).alias("hay"))
     return bound(bound(tokens, windows), scores)
 
 

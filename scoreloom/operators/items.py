@@ -102,6 +102,14 @@ def submission_export(df: DataFrame, key: str = "index", labels: Sequence[str] =
     return df.select(key, F.when(F.col("A").isNotNull(), inferred).otherwise(F.col("prediction")).alias("value"))
 
 
+def submission_rows(df: DataFrame, labels: Sequence[str] = "ABCD", fallback: str = "Z", note: str = "no option found in the reply") -> DataFrame:
+    """The prediction rows with the option read from each reply (``opt``) and what was read (``log``): the reply, or ``note`` where no option is in it."""
+    from scoreloom.functions.extract import infer
+
+    read = df.withColumn("opt", infer(F.col("prediction"), item_options(labels)))
+    return read.withColumns({"opt": F.coalesce("opt", F.lit(fallback)), "log": F.when(F.col("opt").isNull(), note).otherwise(F.col("prediction"))})
+
+
 def shuffle_two_options(df: DataFrame, first: str, second: str, coin: Column) -> DataFrame:
     """Put two texts in A / B by a coin; ``answer`` is the place of the second one."""
     heads = coin == 1

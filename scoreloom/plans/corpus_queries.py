@@ -243,10 +243,11 @@ def _(t):
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sim DESC, i) AS rn FROM s) WHERE rn = 1),
     x AS (SELECT p.conv_id, p.turn, p.nw, win, sim, len(list_intersect(list_distinct(win), list_distinct(p.nw))) / CAST(len(list_distinct(win)) AS DOUBLE) AS pr, len(list_intersect(list_distinct(win), list_distinct(p.nw))) / CAST(len(list_distinct(p.nw)) AS DOUBLE) AS re FROM p LEFT JOIN b ON p.conv_id = b.conv_id AND p.turn = b.turn)
     SELECT conv_id, turn, coalesce(array_to_string(win, ' '), '') AS "window", round(coalesce(sim, 0), 6) AS similarity, round(coalesce(pr, 0), 6) AS precision, round(coalesce(re, 0), 6) AS recall, round(coalesce(2 * pr * re / (pr + re), 0), 6) AS f1,
-      round(coalesce(len(list_intersect(list_distinct(win), list_distinct(nw))) / CAST(len(list_distinct(list_concat(win, nw))) AS DOUBLE), 0), 6) AS jaccard, CASE WHEN win = nw THEN 1e0 ELSE 0e0 END AS exact FROM x""")
+      round(coalesce(len(list_intersect(list_distinct(win), list_distinct(nw))) / CAST(len(list_distinct(list_concat(win, nw))) AS DOUBLE), 0), 6) AS jaccard, CASE WHEN win = nw THEN 1e0 ELSE 0e0 END AS exact,
+      round(coalesce(2e0 * list_sum(list_transform(list_distinct(nw), lambda y: least(len(list_filter(win, lambda z: z = y)), len(list_filter(nw, lambda z: z = y))))) / (len(win) + len(nw)), 0), 6) AS rouge1 FROM x""")
 def _(t):
     best = cp.best_windows(_sides(t), IDS, "gt", "pred")
-    return best.select("conv_id", "turn", "window", *[F.round(c, 6).alias(c) for c in ("similarity", "precision", "recall", "f1", "jaccard")], "exact")
+    return best.select("conv_id", "turn", "window", *[F.round(c, 6).alias(c) for c in ("similarity", "precision", "recall", "f1", "jaccard", "rouge1")], "exact")
 
 
 _TEXT = "trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"

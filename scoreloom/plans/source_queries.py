@@ -55,9 +55,10 @@ def _(t):
     options = F.array(*[F.concat(F.lit(f"({c}) "), v) for c, v in (("A", F.col("A")), ("B", F.col("B")), ("C", F.col("C")), ("D", F.lit("none")), ("E", F.lit("all")))])
     rows = t.items.select(F.col("index").cast("string").alias("index"), "question", options.alias("multi-choice options"), "answer", "category", F.col("l2_category").alias("l2-category"))
     path = tb.scratch_folder(t.spark, "annotations")
-    tb.write_table(rows, path, "jsonl")
-    read = t.spark.read.schema(tb.ANNOTATION).json(path)
-    return tb.shape_annotations(read).select("index", "question", "options_text", *"ABCDE", "answer")
+    # files of a hundred records each, every one an array
+    files = rows.groupBy(F.floor(F.col("index").cast("bigint") / 100).alias("file")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return tb.read_json_annotations(t.spark, path).select("index", "question", "options_text", *"ABCDE", "answer")
 
 
 @query("a6_detect_kind", """
@@ -167,6 +168,14 @@ def _(t):
     return it.submission_export(exported, "id").select("id.*", "value")
 
 
+@query("a15_submission_rows", f"""
+    SELECT run, line, "index", coalesce(o, 'Z') AS opt, CASE WHEN o IS NULL THEN 'no option found in the reply' ELSE prediction END AS log
+    FROM (SELECT p.run, p.line, p."index", p.prediction, {q.infer('p.prediction', 'i.')} AS o FROM @preds p JOIN @items i ON p."index" = i."index")""")
+def _(t):
+    joined = t.preds.join(t.items.drop("question", "answer", "category", "l2_category", "split"), "index")
+    return it.submission_rows(joined).select("run", "line", "index", "opt", "log")
+
+
 @query("a16_shuffle_two_options", """
     SELECT "index", CASE WHEN c = 1 THEN x ELSE y END AS "A", CASE WHEN c = 1 THEN y ELSE x END AS "B", CASE WHEN c = 1 THEN 'B' ELSE 'A' END AS answer FROM (SELECT "index", "A" AS x, "B" AS y, ("index" * 31 + 7) % 5 % 2 AS c FROM @items)""")
 def _(t):

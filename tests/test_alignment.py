@@ -120,3 +120,13 @@ def test_rouge_l_of_several_references(spark):
         assert got[i] == pytest.approx((2.44 * p * q / (q + 1.44 * p)) if p and q else 0.0, abs=1e-6)
     scores = spark.createDataFrame([(1, 0.5), (2, 1.0)], "id int, rouge_l double")
     assert tuple(cp.corpus_mean(scores, "rouge_l").first()) == (0.75, 2)
+
+
+def test_windows_of_chinese_and_repeated_words(spark):
+    rows = [(1, "天气很好", "今天天气真好啊"), (2, "the cat the", "cat the the dog"), (3, "天气", "no such text"), (4, "", "x"), (5, "one", "")]
+    got = {r["id"]: r for r in cp.best_windows(spark.createDataFrame(rows, "id int, needle string, hay string"), ["id"], "needle", "hay").collect()}
+    one = got[1]
+    assert one["window"] == "天气真好" and one["similarity"] == 0.75 and one["rouge1"] == 0.75 and one["jaccard"] == pytest.approx(3 / 5) and one["exact"] == 0.0
+    two = got[2]
+    assert two["window"] == "cat the the" and two["rouge1"] == 1.0 and two["f1"] == 1.0 and two["exact"] == 0.0
+    assert all(got[k]["window"] == "" and got[k]["rouge1"] == 0.0 for k in (3, 4, 5))
