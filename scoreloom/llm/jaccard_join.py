@@ -30,6 +30,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,11 +96,16 @@ def count_grams(texts: DataFrame, folder: str, buckets: int, words: int) -> None
         held, size, seen = [], 0, np.zeros(0, np.int64)
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            grams = np.sort(np.concatenate(held))
+            # once each, with the number of sets: nearly all ones, which compress to nothing
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
             bounds = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1))
-            low = (grams & LOW).view(np.uint8).reshape(-1, 8)[:, :5]
-            rows = [(b, low[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "grams"])
+            low, times = (grams & LOW).view(np.uint8).reshape(-1, 8)[:, :5], times.astype("<u4")
+            used = np.flatnonzero(np.diff(bounds)).tolist()
+            squeeze = zstandard.ZstdCompressor(1).compress
+            spans = [slice(bounds[b], bounds[b + 1]) for b in used]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array([low[x].tobytes() for x in spans], pa.binary()), pa.array([squeeze(times[x].tobytes()) for x in spans], pa.binary())],
+                names=["bucket", "grams", "times"])
 
         for batch in batches:
             for grams, sizes in gram_sets(batch.column(0), words):
@@ -119,19 +125,22 @@ def count_grams(texts: DataFrame, folder: str, buckets: int, words: int) -> None
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = int(frame["bucket"].iloc[0])
         raw = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["grams"]]).reshape(-1, 5)
+        spread = zstandard.ZstdDecompressor().decompress
+        times = np.concatenate([np.frombuffer(spread(x), "<u4") for x in frame["times"]])
         frame.drop(frame.index, inplace=True)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw
         keys = wide.view(np.uint64).ravel()
-        keys.sort()
+        order = np.argsort(keys)
+        keys = keys[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        counts = np.diff(np.append(first, len(keys)))
+        counts = np.add.reduceat(times[order].astype(np.int64), first)
         common = counts > 1
         _save(f"{folder}/grams-{bucket}", keys[first[common]])
         _save(f"{folder}/sets-{bucket}", np.minimum(counts[common], 0xFFFFFFFF).astype(np.uint32))
         return pd.DataFrame({"bucket": [bucket]})
 
-    sent = texts.mapInArrow(send, "bucket int, grams binary")
+    sent = texts.mapInArrow(send, "bucket int, grams binary, times binary")
     sent.groupBy("bucket").applyInPandas(merge, "bucket int").count()
 
 

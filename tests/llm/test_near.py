@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scoreloom.llm import components, fingerprints, jaccard_join, neighbours, queries
@@ -244,3 +245,21 @@ def test_search_edge_rows(spark):
     found = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(df, df.filter("id % 50 = 0"), 3, shard_rows=4).orderBy("query_id", "rank").collect()]
     assert found == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, None, 0.707107), (50, 1, None, 0.707107), (50, 2, 10, 0.707107), (50, 3, 0, 0.0), (100, 1, 7, 1.0)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+def test_an_ngram_of_all_documents_travels_once_a_task(spark, tmp_path):
+    """Counts of sets are right, and a common n-gram is one entry of a task, however many documents have it."""
+    common = "one two three four five"
+    texts = [f"{common} {i} a b c d e f {i % 7}" for i in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
+    folder = str(tmp_path)
+    jaccard_join.count_grams(df, folder, 4, 5)
+    known = jaccard_join.Counts(folder, 4)
+    grams = [next(iter(jaccard_join.gram_sets(pa.array([t]))))[0] for t in texts[:10]]
+    plain = {}
+    for t in texts:
+        w = t.split()
+        for k in range(len(w) - 4):
+            plain.setdefault(tuple(w[k : k + 5]), set()).add(t)
+    assert sorted(known.of(grams[0]).tolist()) == sorted(len(plain[tuple(texts[0].split()[k : k + 5])]) for k in range(9))
+    assert known.of(grams[0]).max() == 3000
