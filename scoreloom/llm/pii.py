@@ -242,7 +242,8 @@ def find_spans(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     plausible = F.lit(False)
     for k in KINDS:
         plausible = plausible | _plausible(k, F.col("value"))
-    free = _strip(whole).unionByName(_strip(_in_parts(whole))).filter(plausible)
+    # numbers in parts have 7 to 19 digits and no letter, so they are plausible as they are
+    free = _strip(whole).filter(plausible).unionByName(_strip(_in_parts(whole)))
     free = stored(free.select("rid", "doc_id", "text_hash", "start", "end", "value", _patterns().alias("patterns")), "pii-instances")
     accepted = score_graph(seeds, free.select("value", F.explode("patterns").alias("pattern")), rounds)
     more = free.join(accepted, "value")
