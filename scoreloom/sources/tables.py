@@ -116,7 +116,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """md5 of every file under ``path`` (files up to 2 GB, the limit of one binary value)."""
+    """md5 of every file under ``path`` (files up to 2 GB, the limit of one binary value; ``checksums.file_crc32`` has none)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
         "path", F.md5("content").alias("md5"), "length")
 
