@@ -31,14 +31,23 @@ def exact_hit(prediction: Column, answer: Column) -> Column:
     return F.when(F.upper(F.trim(prediction)) == F.upper(F.trim(answer)), 1).otherwise(0)
 
 
-def vqa_score(prediction: Column, answers: Column) -> Column:
-    """Mean over references of min(1, other references equal to the prediction / 3)."""
+def vqa_references(answers: Column) -> Column:
+    """References normalised as ``vqa_score`` compares them: once an item, before its replies are joined."""
+    return F.transform(answers, normalise_answer)
+
+
+def vqa_score(prediction: Column, answers: Column, normalised: bool = False) -> Column:
+    """Mean over references of min(1, other references equal to the prediction / 3).
+
+    ``normalised``: the references come from ``vqa_references``.
+    """
+    references = answers if normalised else vqa_references(answers)
 
     def score(equal: Column) -> Column:
         others = lambda hits: mean_of(F.transform(equal, lambda e: F.least(F.lit(1.0), (hits - e) / 3.0)))
         return bound(sum_of(equal), others)
 
-    equal = lambda pred: F.transform(answers, lambda a: flag(normalise_answer(a) == pred))
+    equal = lambda pred: F.transform(references, lambda r: flag(r == pred))
     return bound(bound(normalise_answer(prediction), equal), score)
 
 

@@ -73,15 +73,26 @@ def circular_eval(rotated: DataFrame, carry: Sequence[str], keys: Sequence[str]
 
 
 def vanilla_vs_circular(rotated: DataFrame, l2: str, category: str, keys: Sequence[str] = (), index: str = "index") -> DataFrame:
-    """Three reports: first rotation, all rotations, circular."""
-    carry = [c for c in ("split", l2, category) if c in rotated.columns]
-    views = {
-        "vanilla": rotated.filter(F.col(index) == F.col("g_index")),
-        "all": rotated,
-        "circular": circular_eval(rotated, carry, keys, index),
-    }
-    reports = [rp.report_acc(df, l2, category).withColumn("setting", F.lit(name)) for name, df in views.items()]
-    return reports[0].unionByName(reports[1]).unionByName(reports[2])
+    """Three reports: first rotation, all rotations, circular.
+
+    The rotations are reduced once, per group and its attributes; all three views are read from these rows.
+    """
+    df = rp.with_split(rotated)
+    carry = [c for c in ("split", l2, category) if c in df.columns]
+    is_main = F.col(index) == F.col("g_index")
+    view = lambda name, kept: F.struct(
+        F.lit(name).alias("setting"), F.sum(F.when(kept, F.col("hit"))).alias("_s"), F.count(F.when(kept, F.col("hit"))).alias("_v"),
+        F.count_if(kept).alias("_r"))
+    groups = df.groupBy(*keys, "g_index", *carry).agg(
+        F.array(view("vanilla", is_main), view("all", F.lit(True))).alias("_views"), F.min("hit").alias("hit"), F.count_if(is_main).alias("_mains"))
+    single = groups.select(*carry, F.inline("_views")).filter(F.col("_r") > 0)
+    circular = group_all_hit(groups, [*keys, "g_index"], F.col("_mains") > 0, carry).select(
+        *carry, F.lit("circular").alias("setting"), F.col("hit").alias("_s"), F.col("hit").isNotNull().cast("bigint").alias("_v"),
+        F.lit(1).cast("bigint").alias("_r"))
+    scopes = {"overall": None, "l2": l2, "category": category}
+    present = {k: v for k, v in scopes.items() if v is None or v in df.columns}
+    sums = rp.scoped_sums(single.unionByName(circular), present, {"_s": F.sum("_s"), "_n": F.sum("_v"), "n": F.sum("_r")}, ["setting", "split"])
+    return sums.select("split", "scope", "group", rp.mean("_s", "_n").alias("value"), "n", "setting")
 
 
 def flip_key(qid: Column, setting: str) -> Column:

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import score as sc
 from scoreloom.functions.text import literal_map
-from scoreloom.operators.ordered import same_keys_join
+from scoreloom.operators.ordered import prefix_fold, same_keys_join, with_position
 
 ALL = "all"
+#: values of the order column in one chunk of ``fold_std``
+FOLD_CHUNK = 4096
 
 
 def mean(total: str, n: str, scale: float = 1.0, digits: int | None = 6) -> Column:
@@ -417,13 +419,32 @@ def two_level_weighted(df: DataFrame, tag: str, score: str) -> DataFrame:
 
 
 def fold_std(df: DataFrame, order: str | Sequence[str], value: str, k: int = 5, tie: Sequence[str] = ()) -> DataFrame:
-    """Ordered outcomes in k consecutive folds (the last takes the rest): means x 100, population std."""
-    from scoreloom.operators.ordered import with_position
+    """Ordered outcomes in k consecutive folds (the last takes the rest): means x 100, population std.
 
-    ranked = with_position(df, order, "_pos", tie=tie)
-    n = df.agg(F.count("*").alias("n")).scalar()
-    fold = F.least(F.floor(F.col("_pos") / F.nullif(F.floor(n / k), F.lit(0))), F.lit(k - 1))
-    means = ranked.groupBy(fold.alias("fold")).agg((F.sum(value) * 100.0 / F.count(value)).alias("m"))
+    Rows are reduced to sums per chunk of the first order column (nulls count as 0). Chunks that a
+    fold's end cuts (fewer than k) are reduced again by value, and only rows of a value that is cut are
+    placed one by one.
+    """
+    orders = [order] if isinstance(order, str) else list(order)
+    first = F.coalesce(F.col(orders[0]), F.lit(0)).cast("bigint")
+    rows = df.withColumn("_at", first).withColumn("_chunk", F.floor(F.col("_at") / FOLD_CHUNK))
+    summed = [F.sum(value).alias("s"), F.count(value).alias("v"), F.count("*").alias("n")]
+    sums = rows.groupBy("_chunk").agg(*summed)
+    size = F.nullif(F.floor(sums.agg(F.sum("n")).scalar() / k), F.lit(0))
+    fold_of = lambda spot: F.least(F.floor(spot / size), F.lit(k - 1).cast("bigint"))
+    ends = lambda placed: placed.withColumn("fold", fold_of(F.col("_before"))).withColumn("_last", fold_of(F.col("_before") + F.col("n") - 1))
+    whole = lambda placed: placed.filter("fold = _last").select("fold", "s", "v")
+    cut = lambda placed, key: same_keys_join(rows, placed.filter("fold <> _last").select(key, "_before"), (), [key])
+    zero = F.lit(0).cast("bigint")
+
+    chunks = ends(prefix_fold(sums, F.col("n"), "_chunk", "_before").withColumn("_before", F.coalesce("_before", zero)))
+    earlier = Window.partitionBy("_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    by_value = cut(chunks, "_chunk").groupBy("_chunk", "_at", "_before").agg(*summed)
+    values = ends(by_value.withColumn("_before", F.col("_before") + F.coalesce(F.sum("n").over(earlier), zero)))
+    inside = with_position(cut(values, "_at"), orders[1:] or orders, "_spot", ["_at"], tie)
+    placed = inside.groupBy(fold_of(F.col("_before") + F.col("_spot")).alias("fold")).agg(*summed[:2])
+    parts = whole(chunks).unionByName(whole(values)).unionByName(placed)
+    means = parts.groupBy("fold").agg(F.try_divide(F.sum("s") * 100.0, F.sum("v")).alias("m"))
     each = means.select(F.concat(F.lit("fold"), F.col("fold").cast("string")).alias("name"), F.round("m", 6).alias("value"))
     return each.unionByName(means.agg(F.round(F.stddev_pop("m"), 6).alias("value")).select(F.lit("std").alias("name"), "value"))
 

@@ -53,7 +53,9 @@ _HITS = f"len(list_filter(refs, lambda r: r = pred))"
     FROM (SELECT prediction, answers, n, {norm('prediction')} AS pred, {_REFS} AS refs
           FROM (SELECT prediction, answers, count(*) AS n FROM @multi GROUP BY ALL))""")
 def _(t):
-    return answer_tally(t, score=sc.vqa_score(F.col("prediction"), refs()))
+    items = t.multi.select("answers").distinct().withColumn("clean", sc.vqa_references(refs()))
+    score = sc.vqa_score(F.col("prediction"), F.col("clean"), normalised=True)
+    return tally(t.multi.join(items, "answers"), "prediction", answers=F.col("answers"), score=F.round(score, 6))
 
 
 _PLAIN = f"list_transform({_ANSWERS}, lambda a: CASE WHEN lower(trim(a)) = lower(trim(prediction)) THEN 1e0 ELSE 0e0 END)"

@@ -263,3 +263,39 @@ def test_intervals_merge_in_few_exchanges(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     shuffles = plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange")
     assert shuffles <= 8
+
+
+@pytest.mark.parametrize("k", [1, 3, 5, 50])
+@pytest.mark.parametrize("order", [["o"], ["o", "id"]])
+def test_fold_std_cuts_hot_and_sparse_chunks(spark, k, order):
+    rng = random.Random(k)
+    # a third of the rows share one order value, the rest spread over many chunks
+    rows = [(5000 if i % 3 == 0 else rng.randrange(-50_000, 90_000), i, rng.randrange(2)) for i in range(1700)]
+    got = {r["name"]: r["value"] for r in rp.fold_std(spark.createDataFrame(rows, "o int, id int, v int"), order, "v", k, tie=["id"]).collect()}
+    size, folds = len(rows) // k, {}
+    for spot, (_, _, v) in enumerate(sorted(rows)):
+        folds.setdefault(min(spot // size, k - 1), []).append(v)
+    means = {f: 100.0 * sum(vs) / len(vs) for f, vs in folds.items()}
+    middle = sum(means.values()) / k
+    assert got.pop("std") == pytest.approx((sum((m - middle) ** 2 for m in means.values()) / k) ** 0.5, abs=1e-5)
+    assert got == {f"fold{f}": pytest.approx(m, abs=1e-5) for f, m in means.items()}
+
+
+def test_fold_std_of_few_or_no_rows(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 0)], "o int, v int")
+    got = {r["name"]: r["value"] for r in rp.fold_std(rows, "o", "v", 5).collect()}
+    assert got == {"fold4": 50.0, "std": 0.0}
+    assert {r["name"]: r["value"] for r in rp.fold_std(rows.limit(0), "o", "v", 5).collect()} == {"std": None}
+
+
+def test_three_views_of_rotations(spark):
+    # groups of unlike size, one without a main row, a null category, a null hit
+    rows = [(1, 1, "dev", "x", "p", 1), (1000001, 1, "dev", "x", "p", 0), (2, 2, "dev", "x", None, 1), (1000002, 2, "dev", "x", None, 1),
+            (1000003, 3, "test", "y", "p", 1), (4, 4, "test", "y", "q", None)]
+    df = spark.createDataFrame(rows, "index long, g_index long, split string, l2 string, category string, hit int")
+    got = {(r["setting"], r["split"], r["scope"], r["group"]): (r["value"], r["n"]) for r in co.vanilla_vs_circular(df, "l2", "category").collect()}
+    plain = {"vanilla": df.filter("index = g_index"), "all": df, "circular": co.circular_eval(df, ["split", "l2", "category"])}
+    want = {(name, r["split"], r["scope"], r["group"]): (r["value"], r["n"]) for name, view in plain.items() for r in rp.report_acc(view, "l2", "category").collect()}
+    assert got == want
+    keyless = co.vanilla_vs_circular(df.drop("split"), "l2", "category").filter("setting = 'circular' AND scope = 'overall'").collect()
+    assert [(r["split"], r["value"], r["n"]) for r in keyless] == [("none", 0.5, 3)]

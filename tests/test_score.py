@@ -17,6 +17,9 @@ def test_vqa_score(value):
     assert value(lambda p: sc.vqa_score(p, arr("yes")), "yes") == 0.0
     assert value(lambda p: sc.vqa_score(p, arr("yes", "yes", "yes")), "Yes.") == pytest.approx(2 / 3)
     assert value(lambda p: sc.vqa_score(p, arr(*["yes"] * 10)), "yes") == 1.0
+    for said in ("Two cups", "the yes.", "", None):
+        refs = arr("2 cups", "Yes", "yes!", "two cups", "")
+        assert value(lambda p: sc.vqa_score(p, sc.vqa_references(refs), normalised=True), said) == value(lambda p: sc.vqa_score(p, refs), said)
 
 
 def test_relaxed_accuracy_divides_by_the_prediction(value):
