@@ -55,16 +55,20 @@ def infer(prediction: Column, options: Column) -> Column:
     return F.coalesce(infer_option(prediction, options), infer_text(prediction, options))
 
 
+# Phrases for the four places, and the shape of a numbered step.
+ORDINALS = [
+    "FIRST|1ST|首先|第一步", "SECOND|2ND|其次|第二步", "THIRD|3RD|再次|第三步", "FOURTH|4TH|最后|第四步",
+]
+NUMBERED_STEP = r"(?:STEP\s*[\d一二三四]+|步骤\s*[\d一二三四]+|第\s*[\d一二三四]\s*步).*?([A-D])"
+
+
 def infer_sequence(prediction: Column) -> Column:
     """A permutation of ABCD: as one word, by ordinal phrases, or by numbered steps."""
     up = F.upper(prediction)
     word = found(up, r"\b([A-D]{4})\b")
     word = F.when(F.size(F.array_distinct(F.split(word, ""))) == 4, word)
-    phrases = [
-        "FIRST|1ST|首先|第一步", "SECOND|2ND|其次|第二步", "THIRD|3RD|再次|第三步", "FOURTH|4TH|最后|第四步",
-    ]
-    named = F.array_distinct(F.array_compact(F.array(*[found(up, f"(?:{p}).*?([A-D])") for p in phrases])))
-    numbered = all_found(up, r"(?:STEP\s*[\d一二三四]+|步骤\s*[\d一二三四]+|第\s*[\d一二三四]\s*步).*?([A-D])")
+    named = F.array_distinct(F.array_compact(F.array(*[found(up, f"(?:{p}).*?([A-D])") for p in ORDINALS])))
+    numbered = all_found(up, NUMBERED_STEP)
     steps = F.array_distinct(F.slice(numbered, 1, 4))
     return F.coalesce(
         word,

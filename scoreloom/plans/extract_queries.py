@@ -54,7 +54,16 @@ def _(t):
     return infer_plan(t, ex.infer)
 
 
-@query("c4_infer_sequence")
+_UP = "upper(sequence)"
+_WORD = q.found(_UP, r"\b([A-D]{4})\b")
+_NAMED = "[" + ", ".join(q.found(_UP, f"(?:{p}).*?([A-D])") for p in ex.ORDINALS) + "]"
+_STEPS = f"{q.found_all(_UP, ex.NUMBERED_STEP)}[1:4]"
+
+
+@query("c4_infer_sequence", tally_sql("@notes", "sequence", value=f"""coalesce(
+    CASE WHEN len(list_distinct(string_split({_WORD}, ''))) = 4 THEN {_WORD} END,
+    CASE WHEN len(list_distinct({_NAMED})) = 4 THEN array_to_string({_NAMED}, '') END,
+    CASE WHEN len(list_distinct({_STEPS})) = 4 THEN array_to_string({_STEPS}, '') END)"""))
 def _(t):
     return tally(t.notes, "sequence", value=ex.infer_sequence(F.col("sequence")))
 
@@ -181,7 +190,22 @@ def _(t):
     return tally(t.notes, "choice", truth=b, plain=ex.match_first_token(a, b), advanced=ex.match_first_token_or_text(a, b))
 
 
-@query("c15_parse_choice_multi")
+_PADDED = f"(' ' || trim(prediction, {q.lit(",.!?;:'")}) || ' ')"
+
+
+def _latest(hay, needle):
+    """Label of the option whose needle stands last; the first label of several in one place."""
+    spot = lambda c: f"strpos(reverse({hay}), reverse({needle(c)}))"
+    each = ", ".join(f"""CASE WHEN "{c}" IS NOT NULL AND {spot(c)} > 0 THEN {{'gap': {spot(c)}, 'label': '{c}'}} END""" for c in "ABCD")
+    return f"list_sort(list_filter([{each}], lambda e: e IS NOT NULL))[1].label"
+
+
+_DOTTED = "CASE " + " ".join(f"""WHEN "{c}" IS NOT NULL AND contains({_PADDED}, '{c}. ') THEN '{c}'""" for c in "ABCD") + " END"
+_BY_LABEL = [_latest(_PADDED, lambda c: f"'({c})'"), _DOTTED, _latest(_PADDED, lambda c: f"' {c} '")]
+_BY_TEXT = f"CASE WHEN len({q.words(_PADDED)}) > 5 THEN " + _latest(f"lower({_PADDED})", lambda c: f'lower("{c}")') + " END"
+
+
+@query("c15_parse_choice_multi", infer_sql(f"coalesce({', '.join([*_BY_LABEL, _BY_TEXT])})"))
 def _(t):
     return infer_plan(t, ex.parse_choice_multi)
 
