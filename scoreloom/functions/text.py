@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -154,17 +155,55 @@ def prompt_translation(question: Column, answer: Column, source: str, target: st
     return F.concat(F.lit(head), F.lit("Question: "), question, F.lit("\nAnswer: "), answer)
 
 
-def prompt_judge(question: Column, answer: Column, prediction: Column) -> Column:
-    """Judge prompt; the template language follows the question."""
-    english = F.concat(
-        F.lit("Question: "), question, F.lit("\nGround truth: "), answer,
-        F.lit("\nPrediction: "), prediction, F.lit("\nIs the prediction right? Reply yes or no."),
-    )
-    chinese = F.concat(
-        F.lit("问题："), question, F.lit("\n标准答案："), answer,
-        F.lit("\n预测："), prediction, F.lit("\n预测正确吗？请回答 yes 或 no。"),
-    )
-    return F.when(has_cjk(question), chinese).otherwise(english)
+#: labels of the judge prompt: question, ground truth, prediction, verdict, reason, rule for lists, request
+JUDGE_LABELS = {
+    "en": ("Question: ", "Ground truth: ", "Prediction: ", "Verdict: ", "Reason: ",
+           "The ground truth is a list: a right prediction names everything in it and nothing else.",
+           "Is the prediction right? Reply yes or no."),
+    "cn": ("问题：", "标准答案：", "预测：", "判断：", "理由：", "标准答案是一个列表：预测须包含且仅包含其中全部内容。", "预测正确吗？请回答 yes 或 no。"),
+}
+# Answer types whose brackets are part of a single answer.
+BRACKETS_STAY = ["exactMatch", "multipleChoice"]
+
+
+def answer_list(answer: Column, answer_type: Column | None = None) -> Column:
+    """Answers of a text: its elements when it is written as a list, else itself; null for a null.
+
+    Brackets of the types in ``BRACKETS_STAY`` are text, and so is a list that cannot be read.
+    """
+    written = answer.startswith("[") & answer.endswith("]")
+    if answer_type is not None:
+        written &= ~F.coalesce(answer_type.isin(BRACKETS_STAY), F.lit(False))
+    return F.coalesce(F.when(written, F.from_json(answer, "array<string>")), F.when(answer.isNotNull(), F.array(answer)))
+
+
+def judge_examples(examples: Sequence[Mapping[str, str]], language: str = "en") -> str:
+    """Worked examples (question, answer, prediction, correctness, reason) as the head of a judge prompt."""
+    fields = ("question", "answer", "prediction", "correctness", "reason")
+    return "".join("\n".join(label + example[f] for label, f in zip(JUDGE_LABELS[language], fields)) + "\n\n" for example in examples)
+
+
+def prompt_judge(
+    question: Column, answer: Column, prediction: Column, examples: Mapping[str, Sequence[Mapping[str, str]]] | None = None,
+    answer_type: Column | None = None,
+) -> Column:
+    """Judge prompt; the language follows the question, the form whether the answer lists several.
+
+    ``examples`` holds worked examples by form: ``en_single``, ``en_multi``, ``cn_single``, ``cn_multi``.
+    A list of one is shown as its element, and a list of none as written. Null in any text gives null.
+    """
+    def form(language: str, many: bool, truth: Column) -> Column:
+        ask, given, said, _, _, rule, request = JUDGE_LABELS[language]
+        head = judge_examples((examples or {}).get(f"{language}_{'multi' if many else 'single'}", ()), language)
+        tail = f"\n{rule}\n{request}" if many else f"\n{request}"
+        return F.concat(F.lit(head + ask), question, F.lit("\n" + given), truth, F.lit("\n" + said), prediction, F.lit(tail))
+
+    def both(truth: Column) -> Column:
+        listed = lambda language: F.when(F.size(truth) > 1, form(language, True, F.to_json(truth))).otherwise(
+            form(language, False, F.when(F.size(truth) == 1, truth[0]).otherwise(answer)))
+        return F.when(has_cjk(question), listed("cn")).otherwise(listed("en"))
+
+    return bound(answer_list(answer, answer_type), both)
 
 
 def is_failure(prediction: Column) -> Column:

@@ -164,6 +164,33 @@ def _(t):
     return t.pairs.select("conv_id", "turn", F.md5(prompt).alias("digest"))
 
 
+_EXAMPLES = {
+    "en_single": [{"question": "How many cups?", "answer": "2", "prediction": "two cups", "correctness": "yes", "reason": "Two is 2."}],
+    "en_multi": [{"question": "Which cups?", "answer": '["red", "blue"]', "prediction": "red", "correctness": "no", "reason": "Blue is missing."}],
+    "cn_single": [{"question": "有几个杯子？", "answer": "2", "prediction": "两个", "correctness": "yes", "reason": "数目一致。"}],
+}
+
+
+def _judge_form(language, many):
+    ask, given, said, _, _, rule, request = tx.JUDGE_LABELS[language]
+    head = tx.judge_examples(_EXAMPLES.get(f"{language}_{'multi' if many else 'single'}", ()), language)
+    tail = f"{rule}\n{request}" if many else request
+    return f"{q.lit(head + ask)} || ref || {q.lit(chr(10) + given)} || truth || {q.lit(chr(10) + said)} || hyp || {q.lit(chr(10) + tail)}"
+
+
+@query("b14_prompt_judge_forms", f"""
+    SELECT conv_id, turn, many, md5(CASE WHEN regexp_matches(ref, '[一-鿿]') THEN CASE WHEN many THEN {_judge_form('cn', True)} ELSE {_judge_form('cn', False)} END
+      WHEN many THEN {_judge_form('en', True)} ELSE {_judge_form('en', False)} END) AS digest
+    FROM (SELECT *, turn % 4 = 0 AS many, CASE turn % 4 WHEN 3 THEN hyp WHEN 2 THEN hyp ELSE CAST(to_json([hyp, ref]) AS VARCHAR) END AS truth FROM @pairs)""")
+def _(t):
+    # two answers, two answers whose brackets stay, a list of one, a plain text
+    place, ref, hyp = F.col("turn") % 4, F.col("ref"), F.col("hyp")
+    written = F.when(place <= 1, F.to_json(F.array(hyp, ref))).when(place == 2, F.to_json(F.array(hyp))).otherwise(hyp)
+    kind = F.when(place == 1, "exactMatch")
+    prompt = tx.prompt_judge(ref, written, hyp, _EXAMPLES, kind)
+    return t.pairs.select("conv_id", "turn", (F.size(tx.answer_list(written, kind)) > 1).alias("many"), F.md5(prompt).alias("digest"))
+
+
 @query("b15_split_on_image_tags", """
     WITH tagged AS (SELECT conv_id, turn, replace(text, '. ', ' <image> ') AS text FROM conversations),
     sized AS (SELECT *, len(string_split(text, '<image>')) - 1 AS tags FROM tagged),

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed
 from scoreloom.functions import text as tx
@@ -54,3 +55,22 @@ def test_reads_as_letters(value, option, expected):
 
 def test_numbers(value):
     assert [value(tx.as_float, s) for s in ("1.5", " 2 ", "x", "1e3", "")] == [1.5, 2.0, None, 1000.0, None]
+
+
+def test_judge_prompt_forms(value):
+    examples = {"en_single": [dict(question="Q", answer="A", prediction="P", correctness="yes", reason="R")], "en_multi": [], "cn_multi": [
+        dict(question="问", answer="答", prediction="测", correctness="no", reason="因")]}
+    ask = lambda question, answer, kind=None: value(
+        lambda x, a, p, k: tx.prompt_judge(x, a, p, examples, k.cast("string")), question, answer, "said", kind)
+    head = "Question: Q\nGround truth: A\nPrediction: P\nVerdict: yes\nReason: R\n\n"
+    single = head + "Question: what?\nGround truth: {}\nPrediction: said\nIs the prediction right? Reply yes or no."
+    assert ask("what?", "red") == single.format("red")
+    assert ask("what?", "['red']") == single.format("red")
+    assert ask("what?", "[]") == single.format("[]")
+    assert ask("what?", "[red") == single.format("[red")
+    assert ask("what?", "['red', 'blue']", "exactMatch") == single.format("['red', 'blue']")
+    many = ask("what?", "['red', 'it\\'s \"blue\"']", "listofstr")
+    assert many.startswith("Question: what?\nGround truth: [\"red\",\"it's \\\"blue\\\"\"]\nPrediction: said\nThe ground truth is a list")
+    assert ask("什么？", '["红", "蓝"]').startswith('问题：问\n标准答案：答\n预测：测\n判断：no\n理由：因\n\n问题：什么？\n标准答案：["红","蓝"]\n预测：said\n标准答案是一个列表')
+    assert ask("什么？", "红") == "问题：什么？\n标准答案：红\n预测：said\n预测正确吗？请回答 yes 或 no。"
+    assert value(lambda x, p: tx.prompt_judge(x, F.lit(None).cast("string"), p), "what?", "said") is None
