@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.arrow_words import ALPHABETIC, numbered_words, split_words
+from scoreloom.llm.arrow_words import ALPHABETIC, Words, numbered_words, split_words
 from scoreloom.llm.common import stored, whole_text
 
-FLUSH_WORDS = 3_000_000
+#: entries (language, source, term, counts) that a task holds before it combines them
+FLUSH_WORDS = 400_000
+SENT_ROWS = 50_000
 GROUP_BLOCK = 32
 TERM_BLOCK = 8192
 #: shares are in parts of this
@@ -47,39 +49,45 @@ def _plain(column: str) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, count, docs): occurrences and documents of every term in every group."""
 
-    def combined(groups: list[pa.Array], rows: list[np.ndarray], words: list[pa.Array]) -> pa.RecordBatch:
-        codes, known = numbered_words(words)
-        row = np.concatenate(rows)
-        langs, lang_names = numbered_words([g.field("lang") for g in groups])
-        sources, source_names = numbered_words([g.field("source") for g in groups])
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
+
+    def counted(groups: pa.Array, part: Words) -> pa.Table:
+        """The entries of some texts of a batch."""
+        codes, known = numbered_words([part.words])
+        langs, lang_names = numbered_words([groups.field("lang")])
+        sources, source_names = numbered_words([groups.field("source")])
         group = langs * max(1, len(source_names)) + sources
         size = len(known)
-        entry, count = np.unique(row * size + codes, return_counts=True)  # once a document
+        entry, count = np.unique(part.rows * size + codes, return_counts=True)  # once a document
         key = group[entry // size] * size + entry % size
         order = np.argsort(key, kind="stable")
         key = key[order]
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         at, term = np.divmod(key[heads], size)
         take = lambda names, numbers: names.cast(pa.string()).take(pa.array(numbers, pa.int64()))
-        return pa.RecordBatch.from_arrays(
+        return pa.table(
             [take(lang_names, at // len(source_names)), take(source_names, at % len(source_names)), take(known, term),
              pa.array(np.add.reduceat(count[order], heads), pa.int64()), pa.array(np.diff(np.append(heads, len(key))), pa.int64())],
-            names=["lang", "source", "term", "count", "docs"],
+            schema=schema,
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, rows, words, texts, held = [], [], [], 0, 0
+        # only entries are held between texts, no words; they are sent when combining no longer helps
+        held, entries = [], 0
         for batch in batches:
             for part in split_words(batch.column(1), ALPHABETIC):
-                groups.append(batch.column(0).slice(part.row, len(part.counts)))
-                rows.append(part.rows + texts)
-                words.append(part.words)
-                texts, held = texts + len(part.counts), held + len(part.first)
-                if held >= FLUSH_WORDS:
-                    yield combined(groups, rows, words)
-                    groups, rows, words, texts, held = [], [], [], 0, 0
-        if held:
-            yield combined(groups, rows, words)
+                if not len(part.first):
+                    continue
+                held.append(counted(batch.column(0).slice(part.row, len(part.counts)), part))
+                entries += held[-1].num_rows
+                if entries >= FLUSH_WORDS:
+                    held = [pa.concat_tables(held).group_by(["lang", "source", "term"], use_threads=False).aggregate([("count", "sum"), ("docs", "sum")]).rename_columns(schema.names)]
+                    entries = held[0].num_rows
+                    if 2 * entries >= FLUSH_WORDS:
+                        yield from held[0].to_batches(SENT_ROWS)
+                        held, entries = [], 0
+        for table in held:
+            yield from table.to_batches(SENT_ROWS)
 
     sent = docs.select(F.struct(_plain("lang"), _plain("source")).alias("group"), whole_text().alias("text")).mapInArrow(send, COUNTED)
     return sent.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
@@ -123,8 +131,10 @@ def _cell(key: tuple, table: pa.Table) -> pa.Table:
     p = np.repeat(unseen, len(known)).reshape(len(unseen), len(known)) if len(known) else np.zeros((len(unseen), 0), np.int64)
     p[np.repeat(np.arange(len(width)), width), codes] = table.column("shares").combine_chunks().flatten().to_numpy()
     names = table.column("source").to_pylist()
+    # a pair has the same order in every term block, whatever order the slices come in
+    by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
     lang, same = key[0].as_py(), key[1].as_py() == key[2].as_py()
-    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one, two = by_name[side[by_name] == 0], by_name[side[by_name] == 1]
     a, b, parts = [], [], []
     for k, i in enumerate(one.tolist()):
         against = one[k + 1 :] if same else two

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from scoreloom.llm import collocations, decontamination, divergence, queries
@@ -215,5 +216,20 @@ def test_audit_by_small_blocks(spark, rng, monkeypatch):
         assert sorted(tuple(r) for r in divergence.audit(df, 30, 4, *blocks).collect()) == wanted
 
 
+def test_a_pair_is_named_alike_in_every_term_block():
+    row = lambda source, terms, share: {"source": source, "unseen": 1, "kept": 3, "terms": terms, "shares": share, "side": 0}
+    slices = [row("s2", ["x"], [5]), row("s1", ["x", "y"], [2, 4])]
+    key = tuple(pa.scalar(k) for k in ("en", 0, 0, 0))
+    types = pa.schema([("source", pa.string()), ("unseen", pa.int64()), ("kept", pa.int64()), ("terms", pa.list_(pa.string())), ("shares", pa.list_(pa.int64())), ("side", pa.int32())])
+    for order in (slices, slices[::-1]):
+        assert divergence._cell(key, pa.Table.from_pylist(order, types)).to_pylist() == [{"lang": "en", "a": "s1", "b": "s2", "part": 6}]
+
+
+def test_pairs_over_many_term_blocks(spark, rng):
+    rows = [(" ".join(f"{c}é" for c in rng.choice(list("abcdefghijklmnop"), 20)), "x", f"s{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(7)
+    assert sorted(tuple(r) for r in divergence.audit(df, 3, 4, 32, 2).collect()) == plain_audit(rows, 3, 4)
+
+
 def test_audit_of_nothing(empty):
     assert divergence.audit(empty).count() == 0
