@@ -10,7 +10,8 @@ A fingerprint keeps the characters written at sampled steps. A step's level is t
 zeros of its hash; a text takes the steps of the lowest level that leaves at most ``SAMPLES`` of them
 on average, so texts of any length have samples in common with texts of similar and of other lengths.
 Bands are small samples of a fingerprint; texts that share a band are compared by whole fingerprints,
-with the leaders of its groups of alike texts.
+with the leaders of its groups of alike texts. What bands miss is found by pigeonholes: of more disjoint
+blocks of samples than two alike fingerprints may differ in, one is the same in both.
 
 The bits repeat after 256 steps, which makes a step one table lookup. Null and empty texts have an
 empty embedding; two of them are alike (1), one of them is like no other text (0). Rows with equal or
@@ -21,7 +22,7 @@ single row is its own next. An empty table gives an empty result. Extra columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import accumulate
 from operator import getitem, itemgetter
@@ -39,7 +40,8 @@ PERIOD = 256
 PARTITION_BYTES = 16 << 20
 #: characters embedded at a time
 SEGMENT = 1 << 20
-BANDS, BAND_SAMPLES = 24, 8
+#: bands only gather most of what is alike; ``meeting_keys`` finds the rest
+BANDS, BAND_SAMPLES = 8, 8
 ALIKE = 0.75
 
 
@@ -248,14 +250,102 @@ def _compare(row: tuple, next_text: str, next_codes: np.ndarray, next_mark: tupl
     return doc, n, digest, write(mark), write(edited), likeness(mark, edited), likeness(mark, next_mark)
 
 
+# ---- pigeonholes ----------------------------------------------------------------------------------
+
+_KEY_PLACES: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+#: a random bit of each character
+_BITS = np.random.Generator(np.random.PCG64(77)).permutation(np.arange(256) % 2).astype(np.uint8)
+PAIRS_AT_ONCE = 2_000_000
+KEYS_A_TASK = 400_000
+
+
+def _key_places(n: int, middle: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(scheme and block, places) of the blocks that lie within the first ``n`` samples; place -1 is none.
+
+    Within the first m samples, m from 1, a scheme has more than m / 4 disjoint blocks: the first for m below
+    12, the second for 12 to 47, the third from 48 on. A text takes part in each scheme that a shorter alike one may use.
+    """
+    known = _KEY_PLACES.get((n, middle))
+    if known is None:
+        every = lambda first: [range(k, k + 4) for k in range(first, n, 4)]
+        blocks: list[tuple[int, int, Sequence[int]]] = []
+        if middle and n < 16:
+            blocks += [(0, k, b) for k, b in enumerate([range(1), range(1, 4), *every(4)])]
+        if middle and 12 <= n < 64:
+            blocks += [(1, k, b) for k, b in enumerate([*(range(k, 12, 4) for k in range(4)), *every(12)])]
+        if n >= 48:
+            blocks += [(2, k, b) for k, b in enumerate([*(range(k, 48, 14) for k in range(14)), *(range(c + k, c + 8, 2) for c in range(48, n, 8) for k in range(2))])]
+        blocks = [x for x in blocks if x[2][-1] < n]
+        places = np.array([[*b, *[-1] * (4 - len(b))] for _, _, b in blocks], np.int64).reshape(len(blocks), 4)
+        known = _KEY_PLACES[n, middle] = np.array([scheme << 10 | k for scheme, k, _ in blocks], np.int64), places
+    return known
+
+
+def meeting_keys(fingerprint: tuple[int, int, np.ndarray]) -> Iterator[tuple[np.ndarray, int, int, int]]:
+    """(keys, low bits, high bits, samples) for each level at which the text is compared.
+
+    Texts with a likeness of ``ALIKE`` or more share a key on the longer one's level: it has n samples there and
+    the shorter one m of them, at most n / 4 are not the same, so at most m / 4 of the first m are not. The
+    bits stand for the first 128 samples.
+    """
+    length, level, values = fingerprint
+    own = _levels(length)[sampled_steps(length, level)]
+    for up in range(level, level + 64):
+        held = values[own >= up]
+        n, least = len(held), len(sampled_steps((SAMPLES << up >> 1) + 1, up)) if up else 0
+        if not n:
+            return
+        if up > level and 4 * n < 3 * least:
+            continue  # too short for any text of that level
+        names, places = _key_places(n, not up or 3 * least < 4 * 48)
+        codes = np.append(held, np.uint8(0))[places].astype(np.int64) @ (np.int64(1) << np.arange(0, 32, 8))
+        bits = np.zeros(128, np.uint8)
+        bits[: min(n, 128)] = _BITS[held[:128]]
+        low, high = np.packbits(bits, bitorder="little").view(np.int64).tolist()
+        yield codes | (names | up << 12) << 32, low, high, n
+
+
+def _meetings(_: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of marks with a key in common, of different labels, that their bits do not rule out."""
+    key, mark, label, low, high, n = (table.column(c).to_numpy() for c in ("key", "mark", "label", "low", "high", "n"))
+    order = np.lexsort((label, key))
+    key, mark, label, low, high, n = (x[order] for x in (key, mark, label, low, high, n))
+    low, high, n = low.view(np.uint64), high.view(np.uint64), n.astype(np.int64)
+    ends = lambda new: np.append(np.flatnonzero(new), len(key))[np.cumsum(np.append(0, new[1:]))+ 1 if len(key) else []]
+    fresh = np.append(True, key[1:] != key[:-1])
+    after = ends(np.append(True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])))
+    many = ends(fresh) - after
+    total = np.cumsum(many)
+    ones = lambda k: np.where(k >= 64, ~np.uint64(0), (np.uint64(1) << np.clip(k, 0, 63).astype(np.uint64)) - np.uint64(1))
+    found, at = [np.zeros((0, 4), np.int64)], 0
+    while at < len(key):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        count = many[at:stop]
+        a = np.repeat(np.arange(at, stop), count)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + after[a]
+        least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        differ = np.bitwise_count((low[a] ^ low[b]) & ones(least)).astype(np.int64) + np.bitwise_count((high[a] ^ high[b]) & ones(least - 64))
+        keep = differ + most - least <= most // 4
+        a, b = a[keep], b[keep]
+        one, two = np.minimum(mark[a], mark[b]), np.maximum(mark[a], mark[b])
+        found.append(np.unique(np.stack([two, one, label[a], label[b]], axis=1), axis=0))
+        at = stop
+    rows = np.concatenate(found)
+    return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("mark", "leader", "la", "lb"))})
+
+
 def near_classes(marked: DataFrame, alike: float = ALIKE) -> DataFrame:
     """(fingerprint, label): fingerprints connected by shared bands and likeness of at least ``alike``.
 
     ``marked`` needs the column ``fingerprint``. Equal fingerprints are one. A band's members are compared
     with its first; those not alike to it with the next two that are left, then four, until none is left.
     So a band costs a comparison for each member and group of alike texts in it, in rounds that only grow
-    with the logarithm of the groups.
+    with the logarithm of the groups. Texts of different groups that are alike but share no band, or
+    were led by others, meet by their keys (``meeting_keys``), of which those of one group are left out.
+    Keys are made for a likeness of ``ALIKE``; a lower ``alike`` is not taken.
     """
+    if alike < ALIKE:
+        raise ValueError(f"keys do not reach a likeness below {ALIKE}")
     marks = stored(marked.select("fingerprint").distinct().withColumn("mark", F.xxhash64("fingerprint")), "fingerprints")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +387,29 @@ def near_classes(marked: DataFrame, alike: float = ALIKE) -> DataFrame:
     tied = linked.groupBy("mark").agg(F.array_sort(F.collect_set("leader")).alias("l"))
     links = tied.select(F.explode(F.array_append(F.slice("l", F.lit(2), F.size("l")), F.col("mark"))).alias("a"), F.get("l", F.lit(0)).alias("b")).distinct()
     labels = components(links)
-    return marks.join(labels, F.col("mark") == F.col("node"), "left").select("fingerprint", F.coalesce("label", "mark").alias("label"))
+    named = stored(marks.join(labels, F.col("mark") == F.col("node"), "left").select("mark", "fingerprint", F.coalesce("label", "mark").alias("label")), "labels")
+
+    def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                met = [(row, *x) for row, text in enumerate(part.column(1).to_pylist()) for x in meeting_keys(read(text))]
+                if not met:
+                    continue
+                many = [len(x[1]) for x in met]
+                row = pa.array(np.repeat([x[0] for x in met], many), pa.int64())
+                of = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in met], np.int64), many), kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([x[1] for x in met]), pa.int64()), part.column(0).take(row), part.column(2).take(row), of(2, pa.int64()), of(3, pa.int64()), of(4, pa.int32())],
+                    names=["key", "mark", "label", "low", "high", "n"])
+
+    tasks = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-40 * marks.count() // KEYS_A_TASK))
+    keyed = named.mapInArrow(holes, "key bigint, mark bigint, label bigint, low bigint, high bigint, n int")
+    dealt = keyed.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).repartition(tasks, "task")
+    missed = dealt.groupBy("task").applyInArrow(_meetings, "mark bigint, leader bigint, la bigint, lb bigint").distinct()
+    both = missed.join(a, "mark").join(b, "leader").select("la", "lb", "fa", "fb").mapInArrow(verify, "la bigint, lb bigint")
+    joined = components(both.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return named.join(joined.withColumnRenamed("label", "whole"), F.col("label") == F.col("node"), "left").select("fingerprint", F.coalesce("whole", "label").alias("label"))
 
 
 def with_classes(marked: DataFrame, alike: float = ALIKE) -> DataFrame:

@@ -263,3 +263,29 @@ def test_an_ngram_of_all_documents_travels_once_a_task(spark, tmp_path):
             plain.setdefault(tuple(w[k : k + 5]), set()).add(t)
     assert sorted(known.of(grams[0]).tolist()) == sorted(len(plain[tuple(texts[0].split()[k : k + 5])]) for k in range(9))
     assert known.of(grams[0]).max() == 3000
+
+
+def test_classes_lose_no_link_at_the_threshold(spark, rng):
+    marks = []
+    for length in (1, 3, 4, 7, 9, 14, 17, 40, 64, 66, 100, 128, 131, 180, 250, 1000):
+        for _ in range(12):
+            n = len(fingerprints.sampled_steps(length, fingerprints.level_of(length)))
+            values = rng.integers(97, 100, n).astype(np.uint8)
+            marks.append((length, fingerprints.level_of(length), values))
+            shorter = max(1, length - length // int(rng.integers(5, 30)))
+            level = fingerprints.level_of(shorter)
+            other = dict(zip(fingerprints.sampled_steps(length, fingerprints.level_of(length)).tolist(), values.tolist()))
+            near = np.array([other.get(k, 120) for k in fingerprints.sampled_steps(shorter, level).tolist()], np.uint8)
+            spots = rng.permutation(len(near))[: int(rng.integers(0, 1 + len(near) // 4))]
+            near[spots] = 121
+            marks.append((shorter, level, near))
+    written = sorted({fingerprints.write(m) for m in marks})
+    marks = [fingerprints.read(t) for t in written]
+    label = list(range(len(marks)))
+    for i in range(len(marks)):
+        for j in range(i):
+            if label[i] != label[j] and fingerprints.likeness(marks[i], marks[j]) >= fingerprints.ALIKE:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    found = fingerprints.with_classes(spark.createDataFrame(list(enumerate(written)), "doc_id long, fingerprint string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == dict(enumerate(label))
