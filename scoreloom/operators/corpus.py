@@ -337,12 +337,18 @@ def with_field_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: field_values(F.col(c), deep) for c in columns})
 
 
+#: files whose fields one task compares
+KIE_FILES = 50_000
+
+
 def kie_counts(files: DataFrame, name: str, pred: str, truth: str) -> DataFrame:
     """Counted full comparison per (file, field, value); inputs are arrays of (field, value)."""
     tag = lambda c, p, t: F.transform(c, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"), F.lit(p).alias("p"), F.lit(t).alias("t")))
     empty = F.array().cast("array<struct<field:string,value:string>>")
     both = F.concat(tag(F.coalesce(F.col(pred), empty), 1, 0), tag(F.coalesce(F.col(truth), empty), 0, 1))
-    rows = files.repartition(name).select(name, F.inline(both))
+    # the number of tasks follows the files: a task's counts are held in memory
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // KIE_FILES))
+    rows = files.repartition(tasks, name).select(name, F.inline(both))
     counts = rows.groupBy(name, "field", "value").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
     return counts.select(name, "field", "value", F.least("p", "t").alias("tp"), F.abs(F.col("p") - F.col("t")).alias("miss"))
 

@@ -173,3 +173,11 @@ def test_hot_grams_score_like_the_others(spark, monkeypatch):
         monkeypatch.setattr(cp, "HOT_GRAMS", hot)
         scores.append(sorted((r["id"], r["cider"]) for r in cp.cider(df, ["id"], "hyp", "refs").collect()))
     assert scores[0] == scores[1] == scores[2] and max(s for _, s in scores[0]) > 0
+
+
+def test_tasks_of_field_counts_follow_the_files(spark, monkeypatch):
+    monkeypatch.setattr(cp, "KIE_FILES", 10)
+    one = F.array(F.struct(F.lit("a").alias("field"), F.col("id").cast("string").alias("value")))
+    counts = cp.kie_counts(spark.range(400).select("id", one.alias("p"), one.alias("t")), "id", "p", "t")
+    assert counts.groupBy(F.spark_partition_id()).count().count() > 30
+    assert counts.agg(F.sum("tp")).first()[0] == 400
