@@ -13,12 +13,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from scoreloom.functions.bitwise import Packed, mutual_best
 from scoreloom.functions.bitwise import common_subsequence as _lcs
-from scoreloom.functions.bitwise import mutual_best
 from scoreloom.functions.text import bound, has_cjk, ocr_tokens, words
 
 
@@ -238,37 +239,107 @@ def corpus_mean(scores: DataFrame, score: str) -> DataFrame:
     return scores.agg(F.round(F.avg(score), 6).alias(score), F.count("*").alias("items"))
 
 
-#: grams that are told apart as hot, at most
+#: had set how many grams are told apart as hot; a gram has a row a block now, and nothing reads this
 HOT_GRAMS = 4096
+#: bytes of text whose grams one task numbers at a time
+CIDER_BLOCK_BYTES = 2 << 20
+
+
+def _block_grams(table: pa.Table, max_n: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(text, gram number) of every gram of a block and the grams by number, for each order.
+
+    Texts are the rows' hypotheses, then their references. Numbers follow from the words of the block,
+    not from the order of its rows.
+    """
+    sides = [table.column(c).combine_chunks() for c in ("_h", "_r")]
+    lengths = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in sides]).astype(np.int64)
+    coded = pa.concat_arrays([x.flatten().cast(pa.large_string()) for x in sides]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    codes, words_ = place[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order))
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    at, grams, names = np.arange(len(codes)), codes, words_
+    for n in range(1, max_n + 1):
+        if n > 1:
+            stays = left[at] >= n
+            at = at[stays]
+            known, grams = np.unique(grams[stays] * len(words_) + codes[at + n - 1], return_inverse=True)
+            take = lambda of, numbers: of.take(pa.array(numbers, pa.int64()))
+            names = pc.binary_join_element_wise(take(names, known // max(1, len(words_))), take(words_, known % max(1, len(words_))), pa.scalar(" ", pa.large_string()))
+        yield text_of[at], grams, names
+
+
+def _numbers(table: pa.Table, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every row's key, and the first row of each key."""
+    seen: dict[tuple, int] = {}
+    numbers = np.array([seen.setdefault(k, len(seen)) for k in zip(*[table.column(c).to_pylist() for c in columns], strict=True)], np.int64)
+    return numbers, np.unique(numbers, return_index=True)[1]
 
 
 def cider(pairs: DataFrame, ids: Sequence[str], hyp: str, refs: str, max_n: int = 4, sigma: float = 6.0) -> DataFrame:
     """TF-IDF n-gram similarity (x 10), document frequency over the whole reference corpus.
 
-    ``refs`` is an array of references; the score of an item is the mean over them. Grams with more than one in
-    ``HOT_GRAMS`` of all (item, gram) pairs, of which there are fewer than ``HOT_GRAMS``, are sent to the tasks;
-    their rows take part in the join of the others under keys of their own, so no gram fills a task.
+    ``refs`` is an array of references; the score of an item is the mean over them. Items are dealt to blocks of
+    about ``CIDER_BLOCK_BYTES`` of text. A block sends each of its distinct grams once, with the number of its items
+    that have it in a reference, and gets back the document frequencies above one; grams of single items stay in it.
+    A gram has at most one row a block, so none fills a task.
     """
-    each = pairs.select(*ids, hyp, F.posexplode(refs).alias("ref_no", "ref"))
+    size = F.octet_length(hyp) * F.size(refs) + F.octet_length(F.array_join(refs, ""))
+    whole = pairs.agg(F.log(F.count("*").cast("double")).alias("n"), F.sum(size).alias("bytes")).first()
+    blocks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(whole["bytes"] or 0) // CIDER_BLOCK_BYTES))
     keys = [*ids, "ref_no"]
-    counts = gram_counts(each, keys, words(F.lower(hyp)), words(F.lower("ref")), max_n)
-    df = counts.filter(F.col("r") > 0).groupBy(*ids, "gram").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.sum("one").alias("df"))
-    n_items = pairs.agg(F.log(F.count("*").cast("double")).alias("n")).scalar()
-    hot = df.filter(F.col("df") * HOT_GRAMS > df.agg(F.sum("df")).scalar()).select("gram", F.col("df").alias("hot"))
-    marked = counts.join(F.broadcast(hot), "gram", "left")
-    spot = F.when(F.col("hot").isNull(), F.col("gram")).otherwise(F.concat(F.lit("\0"), F.xxhash64(*keys).cast("string")))
-    known = marked.withColumn("_spot", spot).join(df.withColumnRenamed("gram", "_spot"), "_spot", "left")
-    weighted = known.withColumn("idf", n_items - F.log(F.coalesce("hot", "df", F.lit(1)).cast("double")))
-    vh, vr = F.col("h") * F.col("idf"), F.col("r") * F.col("idf")
-    per_order = weighted.groupBy(*keys, "n").agg(
-        F.sum(F.least(vh, vr) * vr).alias("dot"), F.sqrt(F.sum(vh * vh)).alias("nh"), F.sqrt(F.sum(vr * vr)).alias("nr"),
-        F.sum("h").alias("lh"), F.sum("r").alias("lr"))
-    cosine = F.coalesce(F.try_divide(F.col("dot"), F.col("nh") * F.col("nr")), F.lit(0.0))
-    # the length penalty uses the number of bigrams of both sides
-    second = lambda c: F.coalesce(F.max(F.when(F.col("n") == 2, F.col(c))), F.lit(0))
-    gap = second("lh") - second("lr")
-    scored = per_order.groupBy(*keys).agg((F.sum(cosine) / max_n * F.exp(-(gap * gap) / (2 * sigma * sigma))).alias("s"))
-    return scored.groupBy(*ids).agg(F.round(F.avg("s") * 10, 6).alias("cider"))
+    texts = pairs.select(F.pmod(F.xxhash64(*ids), F.lit(blocks)).alias("_block"), *ids, hyp, F.posexplode(refs).alias("ref_no", "ref"))
+    texts = spread(texts, ["_block"]).select("_block", *keys, words(F.lower(hyp)).alias("_h"), words(F.lower("ref")).alias("_r"))
+
+    def sent(key: tuple, table: pa.Table) -> pa.Table:
+        item, _ = _numbers(table, ids)
+        slots, names, counts = 0, [], []
+        for text, gram, known in _block_grams(table, max_n):
+            refs_ = text >= len(item)
+            held = np.unique(item[text[refs_] - len(item)] * max(1, len(known)) + gram[refs_])
+            counts.append(np.bincount(held % max(1, len(known)), minlength=len(known)))
+            names.append(known)
+            slots += len(known)
+        return pa.table({"_block": pa.array(np.full(slots, key[0].as_py(), np.int64)), "slot": pa.array(np.arange(slots), pa.int32()),
+                         "gram": pa.concat_arrays(names).cast(pa.string()), "df": pa.array(np.concatenate(counts), pa.int64())})
+
+    def score(table: pa.Table, frequent: pa.Table) -> pa.Table:
+        item, first = _numbers(table, keys)
+        log_df = np.zeros(int(pc.max(frequent.column("slot")).as_py()) + 1 if frequent.num_rows else 0)
+        log_df[frequent.column("slot").to_numpy()] = frequent.column("log_df").to_numpy()
+        items, slots = len(first), 0
+        total, gap, seen = np.zeros(items), np.zeros(items, np.int64), np.zeros(items, bool)
+        for n, (text, gram, known) in enumerate(_block_grams(table, max_n), 1):
+            logs = np.zeros(len(known))
+            mine = log_df[slots : slots + len(known)]
+            logs[: len(mine)] = mine
+            slots += len(known)
+            ref = text >= len(item)
+            entries, entry = np.unique(item[text % max(1, len(item))] * max(1, len(known)) + gram, return_inverse=True)
+            h, r = (np.bincount(entry[side], minlength=len(entries)) for side in (~ref, ref))
+            at, number = np.divmod(entries, max(1, len(known)))
+            vh, vr = h * (whole["n"] - logs[number]), r * (whole["n"] - logs[number])
+            add = lambda values: np.bincount(at, values, minlength=items)
+            norms = np.sqrt(add(vh * vh)) * np.sqrt(add(vr * vr))
+            total += np.divide(add(np.minimum(vh, vr) * vr), norms, out=np.zeros(items), where=norms != 0)
+            if n == 1:
+                seen[at] = True
+            if n == 2:
+                # the length penalty uses the number of bigrams of both sides
+                gap = add(h - r).astype(np.int64)
+        at = np.flatnonzero(seen)
+        out = table.select(keys).take(pa.array(first[at], pa.int64()))
+        return out.append_column("total", pa.array(total[at])).append_column("gap", pa.array(gap[at], pa.int64()))
+
+    grams = texts.groupBy("_block").applyInArrow(sent, "_block bigint, slot int, gram string, df bigint")
+    known = grams.withColumn("df", F.sum("df").over(Window.partitionBy("gram"))).filter("df > 1")
+    frequent = known.select("_block", "slot", F.log(F.col("df").cast("double")).alias("log_df"))
+    schema = StructType([*texts.select(*keys).schema.fields, *StructType.fromDDL("total double, gap bigint").fields])
+    scored = texts.groupBy("_block").cogroup(frequent.groupBy("_block")).applyInArrow(score, schema)
+    similarity = F.col("total") / max_n * F.exp(-(F.col("gap") * F.col("gap")) / (2 * sigma * sigma))
+    return scored.groupBy(*ids).agg(F.round(F.avg(similarity) * 10, 6).alias("cider"))
 
 
 # -- recognised text and key-value extraction ----------------------------------------------------

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,32 @@ def test_tasks_of_field_counts_follow_the_files(spark, monkeypatch):
     counts = cp.kie_counts(spark.range(400).select("id", one.alias("p"), one.alias("t")), "id", "p", "t")
     assert counts.groupBy(F.spark_partition_id()).count().count() > 30
     assert counts.agg(F.sum("tp")).first()[0] == 400
+
+
+def test_cider_by_small_blocks_equals_a_plain_one(spark, monkeypatch):
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice(["sat", "Ran", "on", "a", "mat", "the", "ünd"]) for _ in range(rng.randrange(0, 9)))
+    rows = [(i, say(), [say() for _ in range(i % 3)]) for i in range(60)]
+    grams = lambda t: Counter((n, *t.lower().split()[k : k + n]) for n in range(1, 5) for k in range(len(t.split()) - n + 1))
+    df = Counter(g for _, _, refs in rows for g in {g for r in refs for g in grams(r)})
+    wanted = {}
+    for i, hyp, refs in rows:
+        scores = []
+        for r in refs:
+            h, g = grams(hyp), grams(r)
+            if not h and not g:
+                continue
+            idf = lambda x: math.log(60) - math.log(df[x] or 1)
+            total = 0.0
+            for n in range(1, 5):
+                of = lambda c: {x: k * idf(x) for x, k in c.items() if x[0] == n}
+                a, b = of(h), of(g)
+                norm = math.sqrt(sum(x * x for x in a.values())) * math.sqrt(sum(x * x for x in b.values()))
+                total += sum(min(a.get(x, 0), y) * y for x, y in b.items()) / norm if norm else 0.0
+            gap = sum(k * (x[0] == 2) for x, k in h.items()) - sum(k * (x[0] == 2) for x, k in g.items())
+            scores.append(total / 4 * math.exp(-gap * gap / 72))
+        if scores:
+            wanted[i] = 10 * sum(scores) / len(scores)
+    monkeypatch.setattr(cp, "CIDER_BLOCK_BYTES", 100)
+    got = {r["id"]: r["cider"] for r in cp.cider(spark.createDataFrame(rows, "id int, hyp string, refs array<string>"), ["id"], "hyp", "refs").collect()}
+    assert got.keys() == wanted.keys() and all(math.isclose(got[i], wanted[i], abs_tol=2e-6) for i in wanted)
