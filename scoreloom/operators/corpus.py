@@ -489,6 +489,43 @@ def filter_groups(samples: DataFrame, attributes: str, groups: Mapping[str, Mapp
     return samples.withColumn("group", F.explode(names))
 
 
+#: characters of windows that are compared with a needle at once
+WINDOW_CHARACTERS = 1 << 16
+
+
+def nearest_window(needle: Sequence[str] | None, hay: Sequence[str] | None, sep: str) -> tuple[float | None, int | None]:
+    """(similarity, place from 1) of the first of the hay's windows nearest to the needle, of those that share a token with it."""
+    if needle is None or hay is None or not 0 < len(needle) <= len(hay):
+        return None, None
+    n, wanted = len(needle), set(needle)
+    met = np.concatenate(([0], np.cumsum(np.fromiter((w in wanted for w in hay), np.int64, len(hay)))))
+    starts = np.flatnonzero(met[n:] > met[:-n]).tolist()
+    goal, at = sep.join(needle), 0
+    best: tuple[float | None, int | None] = (None, None)
+    while at < len(starts):
+        texts, held = [], 0
+        while at + len(texts) < len(starts) and held < WINDOW_CHARACTERS:
+            i = starts[at + len(texts)]
+            texts.append(sep.join(hay[i : i + n]))
+            held += len(texts[-1])
+        similarity = 1.0 - Packed(texts).shares(goal)
+        k = int(similarity.argmax())
+        if best[0] is None or similarity[k] > best[0]:
+            best = float(similarity[k]), starts[at + k] + 1
+        at += len(texts)
+    return best
+
+
+def _best_windows(needle: Column, hay: Column, joined: Column) -> Column:
+    """``nearest_window`` of two token arrays, in Arrow batches; ``joined``: tokens stand without blanks between them."""
+
+    def batch(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        found = [nearest_window(None if x is None else list(x), None if y is None else list(y), "" if z else " ") for x, y, z in zip(a, b, c)]
+        return pd.DataFrame({"similarity": pd.array([f[0] for f in found], "Float64"), "start": pd.array([f[1] for f in found], "Int32")})
+
+    return F.pandas_udf(batch, "similarity double, start int")(needle, hay, joined)
+
+
 def best_ngram_window(needle: Column, hay: Column) -> Column:
     """struct of the hay's window most similar to the needle, and its scores against the needle.
 
@@ -500,18 +537,10 @@ def best_ngram_window(needle: Column, hay: Column) -> Column:
     cut_up = lambda s: F.when(chinese, characters(s)).otherwise(words(s))
     joined = lambda t, w: F.when(t["chinese"], F.array_join(w, "")).otherwise(F.array_join(w, " "))
 
-    def windows(t: Column) -> Column:
-        n = F.size(t["needle"])
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(t["hay"]) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(t["hay"]))
-        cut = F.filter(F.transform(starts, lambda i: F.slice(t["hay"], i, n)), lambda w: F.arrays_overlap(w, t["needle"]))
-        goal = joined(t, t["needle"])
-
-        def rate(w: Column, i: Column) -> Column:
-            text = joined(t, w)
-            distance = F.levenshtein(text, goal) / F.greatest(F.length(text), F.length(goal))
-            return F.struct((1.0 - distance).alias("similarity"), (-i).alias("order"), w.alias("window"))
-
-        return F.struct(t["chinese"].alias("chinese"), t["needle"].alias("needle"), F.array_max(F.transform(cut, rate)).alias("best"))
+    def found(t: Column) -> Column:
+        window = F.when(t["best"]["start"].isNotNull(), F.slice(t["hay"], F.coalesce(t["best"]["start"], F.lit(1)), F.size(t["needle"])))
+        best = F.struct(t["best"]["similarity"].alias("similarity"), window.alias("window"))
+        return F.struct(t["chinese"].alias("chinese"), t["needle"].alias("needle"), best.alias("best"))
 
     def scores(x: Column) -> Column:
         window, goal = x["best"]["window"], x["needle"]
@@ -525,8 +554,9 @@ def best_ngram_window(needle: Column, hay: Column) -> Column:
             zero(p).alias("precision"), zero(r).alias("recall"), zero(2 * p * r / (p + r)).alias("f1"),
             zero(shared / F.size(F.array_union(window, goal))).alias("jaccard"), zero(2.0 * met / (F.size(window) + F.size(goal))).alias("rouge1"), zero(F.when(window == goal, 1.0).otherwise(0.0)).alias("exact"))
 
-    tokens = F.struct(chinese.alias("chinese"), cut_up(needle).alias("needle"), cut_up(hay).alias("hay"))
-    return bound(bound(tokens, windows), scores)
+    best = _best_windows(cut_up(needle), cut_up(hay), chinese)
+    tokens = F.struct(chinese.alias("chinese"), cut_up(needle).alias("needle"), cut_up(hay).alias("hay"), best.alias("best"))
+    return bound(bound(tokens, found), scores)
 
 
 def best_windows(df: DataFrame, ids: Sequence[str], needle: str, hay: str) -> DataFrame:

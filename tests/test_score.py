@@ -211,3 +211,25 @@ def test_cider_by_small_blocks_equals_a_plain_one(spark, monkeypatch):
     monkeypatch.setattr(cp, "CIDER_BLOCK_BYTES", 100)
     got = {r["id"]: r["cider"] for r in cp.cider(spark.createDataFrame(rows, "id int, hyp string, refs array<string>"), ["id"], "hyp", "refs").collect()}
     assert got.keys() == wanted.keys() and all(math.isclose(got[i], wanted[i], abs_tol=2e-6) for i in wanted)
+
+
+def test_nearest_window_is_the_first_best(monkeypatch):
+    rng = random.Random(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for sep, size in ((" ", 1 << 16), ("", 5)):
+        monkeypatch.setattr(cp, "WINDOW_CHARACTERS", size)
+        for _ in range(60):
+            needle, hay = ([rng.choice(["a", "bé", "日本", "dd"]) for _ in range(rng.randrange(k))] for k in (5, 14))
+            n, goal = len(needle), sep.join(needle)
+            rated = [(1.0 - distance(sep.join(w), goal) / max(len(sep.join(w)), len(goal)), -i) for i in range(1, len(hay) - n + 2) if set(w := hay[i - 1 : i - 1 + n]) & set(needle)]
+            best = max(rated, default=(None, None))
+            assert cp.nearest_window(needle, hay, sep) == (best[0], best[1] and -best[1])
+    assert cp.nearest_window(None, ["a"], " ") == cp.nearest_window(["a"], None, " ") == (None, None)
