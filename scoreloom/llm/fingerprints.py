@@ -255,7 +255,10 @@ def _compare(row: tuple, next_text: str, next_codes: np.ndarray, next_mark: tupl
 _KEY_PLACES: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 #: a random bit of each character
 _BITS = np.random.Generator(np.random.PCG64(77)).permutation(np.arange(256) % 2).astype(np.uint8)
-PAIRS_AT_ONCE = 2_000_000
+_LEAST: dict[int, int] = {}
+#: a text with fewer samples on a level above its own is too short for it: the level's texts have 64 or so
+FEWEST = 16
+PAIRS_AT_ONCE = 1_000_000
 KEYS_A_TASK = 400_000
 
 
@@ -281,6 +284,17 @@ def _key_places(n: int, middle: bool) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def least_samples(level: int) -> int:
+    """The samples of the shortest text of a level, counted some steps at a time."""
+    if level and level not in _LEAST:
+        length, mask = (SAMPLES << level >> 1) + 1, np.uint64((1 << level) - 1)
+        with np.errstate(over="ignore"):
+            _LEAST[level] = sum(
+                int(np.count_nonzero(mix(np.arange(at, min(length, at + PERIOD * 256), dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019)) & mask == 0))
+                for at in range(0, length, PERIOD * 256))
+    return _LEAST.get(level, 0)
+
+
 def meeting_keys(fingerprint: tuple[int, int, np.ndarray]) -> Iterator[tuple[np.ndarray, int, int, int]]:
     """(keys, low bits, high bits, samples) for each level at which the text is compared.
 
@@ -292,9 +306,10 @@ def meeting_keys(fingerprint: tuple[int, int, np.ndarray]) -> Iterator[tuple[np.
     own = _levels(length)[sampled_steps(length, level)]
     for up in range(level, level + 64):
         held = values[own >= up]
-        n, least = len(held), len(sampled_steps((SAMPLES << up >> 1) + 1, up)) if up else 0
-        if not n:
+        n = len(held)
+        if not n or n < FEWEST and up > level:
             return
+        least = least_samples(up)
         if up > level and 4 * n < 3 * least:
             continue  # too short for any text of that level
         names, places = _key_places(n, not up or 3 * least < 4 * 48)

@@ -289,3 +289,9 @@ def test_classes_lose_no_link_at_the_threshold(spark, rng):
                 label = [new if x == old else x for x in label]
     found = fingerprints.with_classes(spark.createDataFrame(list(enumerate(written)), "doc_id long, fingerprint string"))
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == dict(enumerate(label))
+
+
+def test_least_samples_of_a_level():
+    for level in range(14):
+        least = len(fingerprints.sampled_steps((fingerprints.SAMPLES << level >> 1) + 1, level)) if level else 0
+        assert fingerprints.least_samples(level) == least and (not level or 3 * least > 4 * fingerprints.FEWEST)
