@@ -10,7 +10,7 @@ A fingerprint keeps the characters written at sampled steps. A step's level is t
 zeros of its hash; a text takes the steps of the lowest level that leaves at most ``SAMPLES`` of them
 on average, so texts of any length have samples in common with texts of similar and of other lengths.
 Bands are small samples of a fingerprint; texts that share a band are compared by whole fingerprints,
-with the leaders of its groups of alike texts. What bands miss is found by pigeonholes: of more disjoint
+with the leaders of its first groups of alike texts. What bands miss is found by pigeonholes: of more disjoint
 blocks of samples than two alike fingerprints may differ in, one is the same in both.
 
 The bits repeat after 256 steps, which makes a step one table lookup. Null and empty texts have an
@@ -42,6 +42,8 @@ PARTITION_BYTES = 16 << 20
 SEGMENT = 1 << 20
 #: bands only gather most of what is alike; ``meeting_keys`` finds the rest
 BANDS, BAND_SAMPLES = 8, 8
+#: so many leaders a band are elected last
+LEADERS = 16
 ALIKE = 0.75
 
 
@@ -253,13 +255,16 @@ def _compare(row: tuple, next_text: str, next_codes: np.ndarray, next_mark: tupl
 # ---- pigeonholes ----------------------------------------------------------------------------------
 
 _KEY_PLACES: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
-#: a random bit of each character
-_BITS = np.random.Generator(np.random.PCG64(77)).permutation(np.arange(256) % 2).astype(np.uint8)
+#: two random bits of each character
+_BITS, _MORE_BITS = (np.random.Generator(np.random.PCG64(seed)).permutation(np.arange(256) % 2).astype(np.uint8) for seed in (77, 78))
 _LEAST: dict[int, int] = {}
 #: a text with fewer samples on a level above its own is too short for it: the level's texts have 64 or so
 FEWEST = 16
 PAIRS_AT_ONCE = 1_000_000
 KEYS_A_TASK = 400_000
+#: rows of one key that are compared in one task; more are dealt as pairs of blocks of so many
+BLOCK = 4096
+MEMBERS_A_TASK = 50_000
 
 
 def _key_places(n: int, middle: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -295,17 +300,23 @@ def least_samples(level: int) -> int:
     return _LEAST.get(level, 0)
 
 
-def meeting_keys(fingerprint: tuple[int, int, np.ndarray]) -> Iterator[tuple[np.ndarray, int, int, int]]:
-    """(keys, low bits, high bits, samples) for each level at which the text is compared.
+def _held(fingerprint: tuple[int, int, np.ndarray], up: int) -> np.ndarray:
+    """The samples at steps of level ``up`` or higher."""
+    length, level, values = fingerprint
+    return values[_levels(length)[sampled_steps(length, level)] >= up] if up > level else values
+
+
+def meeting_keys(fingerprint: tuple[int, int, np.ndarray]) -> Iterator[tuple[np.ndarray, int, int, int, int]]:
+    """(keys, low bits, high bits, more bits, samples) for each level at which the text is compared.
 
     Texts with a likeness of ``ALIKE`` or more share a key on the longer one's level: it has n samples there and
     the shorter one m of them, at most n / 4 are not the same, so at most m / 4 of the first m are not. The
-    bits stand for the first 128 samples.
+    bits stand for the first 128 samples, the more bits for the first 64. Above the text's own level the samples are
+    given as a negative number: two such texts are not compared there.
     """
-    length, level, values = fingerprint
-    own = _levels(length)[sampled_steps(length, level)]
+    length, level, _ = fingerprint
     for up in range(level, level + 64):
-        held = values[own >= up]
+        held = _held(fingerprint, up)
         n = len(held)
         if not n or n < FEWEST and up > level:
             return
@@ -314,49 +325,108 @@ def meeting_keys(fingerprint: tuple[int, int, np.ndarray]) -> Iterator[tuple[np.
             continue  # too short for any text of that level
         names, places = _key_places(n, not up or 3 * least < 4 * 48)
         codes = np.append(held, np.uint8(0))[places].astype(np.int64) @ (np.int64(1) << np.arange(0, 32, 8))
-        bits = np.zeros(128, np.uint8)
+        bits = np.zeros(192, np.uint8)
         bits[: min(n, 128)] = _BITS[held[:128]]
-        low, high = np.packbits(bits, bitorder="little").view(np.int64).tolist()
-        yield codes | (names | up << 12) << 32, low, high, n
-
-
-def _meetings(_: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of marks with a key in common, of different labels, that their bits do not rule out."""
-    key, mark, label, low, high, n = (table.column(c).to_numpy() for c in ("key", "mark", "label", "low", "high", "n"))
-    order = np.lexsort((label, key))
-    key, mark, label, low, high, n = (x[order] for x in (key, mark, label, low, high, n))
-    low, high, n = low.view(np.uint64), high.view(np.uint64), n.astype(np.int64)
-    ends = lambda new: np.append(np.flatnonzero(new), len(key))[np.cumsum(np.append(0, new[1:]))+ 1 if len(key) else []]
-    fresh = np.append(True, key[1:] != key[:-1])
-    after = ends(np.append(True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])))
-    many = ends(fresh) - after
+        bits[128 : 128 + min(n, 64)] = _MORE_BITS[held[:64]]
+        low, high, more = np.packbits(bits, bitorder="little").view(np.int64).tolist()
+        yield codes | (names | up << 12) << 32, low, high, more, n if up == level else -n
+
+
+def _meetings(table: pa.Table, block: int) -> pa.Table:
+    """(key, mark, blocks): the rows with a key in common with one of another label that their bits do not rule out.
+
+    A row is given once a key, with however many it may be alike. The rows of a key of more than ``block``
+    are not compared here but all given, if of two labels, with the number of blocks to cut them into.
+    """
+    names = ("key", "mark", "label", "low", "high", "more", "n")
+    rows = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort((rows[2], rows[0]))
+    key, mark, label, low, high, more, n = (x[order] for x in rows)
+    low, high, more, own, n = low.view(np.uint64), high.view(np.uint64), more.view(np.uint64), n > 0, np.abs(n).astype(np.int64)
+    fresh = np.append(True, key[1:] != key[:-1])[: len(key)]
+    other = np.append(True, label[1:] != label[:-1])[: len(key)] | fresh
+    ends = lambda new: np.append(np.flatnonzero(new), len(key))[np.cumsum(new)]
+    members = np.diff(np.append(np.flatnonzero(fresh), len(key)))[np.cumsum(fresh) - 1]
+    blocks = -(-members // block)
+    after, end = ends(other), ends(fresh)
+    large = blocks > 1
+    # all labels are one where the first one ends with the key
+    given = large & (after[np.flatnonzero(fresh)] < end[np.flatnonzero(fresh)])[np.cumsum(fresh) - 1]
+    many = np.where(large, 0, end - after)
     total = np.cumsum(many)
     ones = lambda k: np.where(k >= 64, ~np.uint64(0), (np.uint64(1) << np.clip(k, 0, 63).astype(np.uint64)) - np.uint64(1))
-    found, at = [np.zeros((0, 4), np.int64)], 0
+    at = 0
     while at < len(key):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
         count = many[at:stop]
         a = np.repeat(np.arange(at, stop), count)
         b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + after[a]
         least, most = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        differ = np.bitwise_count((low[a] ^ low[b]) & ones(least)).astype(np.int64) + np.bitwise_count((high[a] ^ high[b]) & ones(least - 64))
-        keep = differ + most - least <= most // 4
-        a, b = a[keep], b[keep]
-        one, two = np.minimum(mark[a], mark[b]), np.maximum(mark[a], mark[b])
-        found.append(np.unique(np.stack([two, one, label[a], label[b]], axis=1), axis=0))
+        differ = np.bitwise_count((low[a] ^ low[b] | more[a] ^ more[b]) & ones(least)).astype(np.int64) + np.bitwise_count((high[a] ^ high[b]) & ones(least - 64))
+        keep = (differ + most - least <= most // 4) & (own[a] | own[b])
+        given[a[keep]] = given[b[keep]] = True
         at = stop
-    rows = np.concatenate(found)
-    return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("mark", "leader", "la", "lb"))})
+    return pa.table({"key": pa.array(key[given], pa.int64()), "mark": pa.array(mark[given], pa.int64()), "blocks": pa.array(blocks[given], pa.int32())})
+
 
+def _linked(table: pa.Table, alike: float) -> pa.Table:
+    """(a, b): a forest of labels with alike texts among the rows that share a key and a pair of blocks.
 
-def near_classes(marked: DataFrame, alike: float = ALIKE) -> DataFrame:
+    Texts whose labels are connected already are not compared.
+    """
+    cells: dict[tuple[int, int, int], list[int]] = {}
+    key, one, two, block, label = (table.column(c).to_pylist() for c in ("key", "one", "two", "block", "label"))
+    for row, cell in enumerate(zip(key, one, two, strict=True)):
+        cells.setdefault(cell, []).append(row)
+    marks = [read(f) for f in table.column("fingerprint").to_pylist()]
+    parent: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for (k, first, second), rows in cells.items():
+        rows.sort(key=lambda r: block[r] == second and first != second)
+        split = sum(block[r] == first for r in rows)
+        tops = np.array([root(label[r]) for r in rows], np.int64)
+        if (tops == tops[0]).all():
+            continue
+        up = k >> 44
+        held = [_held(marks[r], up) for r in rows]
+        n = np.array([len(h) for h in held])
+        own = np.array([marks[r][1] == up for r in rows])
+        width = int(n.max())
+        values = np.full((len(rows), width), 256, np.uint16)
+        for i, h in enumerate(held):
+            values[i, : len(h)] = h
+        for i in range(split):
+            others = np.arange(i + 1 if first == second else split, len(rows))
+            others = others[(tops[others] != tops[i]) & (own[others] | own[i])]
+            if not len(others):
+                continue
+            most = np.maximum(n[others], n[i])
+            # behind the longer of two both are filled up
+            same = (values[others] == values[i]).sum(axis=1) - (width - most)
+            for j in others[same / most >= alike].tolist():
+                if tops[i] != tops[j]:
+                    out.append((label[rows[i]], label[rows[j]]))
+                    into, gone = int(tops[i]), int(tops[j])
+                    parent[gone] = into
+                    tops[tops == gone] = into
+    return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+
+def near_classes(marked: DataFrame, alike: float = ALIKE, block: int = BLOCK) -> DataFrame:
     """(fingerprint, label): fingerprints connected by shared bands and likeness of at least ``alike``.
 
     ``marked`` needs the column ``fingerprint``. Equal fingerprints are one. A band's members are compared
-    with its first; those not alike to it with the next two that are left, then four, until none is left.
-    So a band costs a comparison for each member and group of alike texts in it, in rounds that only grow
-    with the logarithm of the groups. Texts of different groups that are alike but share no band, or
-    were led by others, meet by their keys (``meeting_keys``), of which those of one group are left out.
+    with its first; those not alike to it with the next two that are left, then four, up to ``LEADERS``, so
+    a band costs at most twice ``LEADERS`` comparisons a member. Texts of different groups that are alike but
+    share no band, were led by others or are still left, meet by their keys (``meeting_keys``), of which those of one group are left out.
+    A text goes on once for each key that it shares with a likely one, not once for each such text, and a task gives
+    no more links than labels: rows grow with the texts of a group, comparisons of unlinked ones with their square.
     Keys are made for a likeness of ``ALIKE``; a lower ``alike`` is not taken.
     """
     if alike < ALIKE:
@@ -392,6 +462,8 @@ def near_classes(marked: DataFrame, alike: float = ALIKE) -> DataFrame:
         # the members that are no leaders and alike to none
         seen = met.filter("mark > last").join(found[-1].withColumn("alike", F.lit(1)), ["mark", "leader"], "left")
         left = stored(seen.groupBy("band", "mark").agg(F.max("alike").alias("alike")).filter("alike IS NULL").select("band", "mark"), "left")
+        if many == LEADERS:
+            break
         many *= 2
         place = F.row_number().over(Window.partitionBy("band").orderBy("mark"))
         first = left.withColumn("place", place).filter(F.col("place") <= many).select("band", F.col("mark").alias("leader"))
@@ -415,15 +487,20 @@ def near_classes(marked: DataFrame, alike: float = ALIKE) -> DataFrame:
                 row = pa.array(np.repeat([x[0] for x in met], many), pa.int64())
                 of = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in met], np.int64), many), kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[1] for x in met]), pa.int64()), part.column(0).take(row), part.column(2).take(row), of(2, pa.int64()), of(3, pa.int64()), of(4, pa.int32())],
-                    names=["key", "mark", "label", "low", "high", "n"])
+                    [pa.array(np.concatenate([x[1] for x in met]), pa.int64()), part.column(0).take(row), part.column(2).take(row), of(2, pa.int64()), of(3, pa.int64()), of(4, pa.int64()), of(5, pa.int32())],
+                    names=["key", "mark", "label", "low", "high", "more", "n"])
 
     tasks = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-40 * marks.count() // KEYS_A_TASK))
-    keyed = named.mapInArrow(holes, "key bigint, mark bigint, label bigint, low bigint, high bigint, n int")
+    keyed = named.mapInArrow(holes, "key bigint, mark bigint, label bigint, low bigint, high bigint, more bigint, n int")
     dealt = keyed.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).repartition(tasks, "task")
-    missed = dealt.groupBy("task").applyInArrow(_meetings, "mark bigint, leader bigint, la bigint, lb bigint").distinct()
-    both = missed.join(a, "mark").join(b, "leader").select("la", "lb", "fa", "fb").mapInArrow(verify, "la bigint, lb bigint")
-    joined = components(both.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    likely = stored(dealt.groupBy("task").applyInArrow(lambda table: _meetings(table, block), "key bigint, mark bigint, blocks int"), "likely")
+    own = F.pmod(F.xxhash64(F.lit("block"), "mark"), F.col("blocks")).cast("int")
+    cells = likely.withColumn("block", own).select("key", "mark", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    cells = cells.select("key", "mark", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
+    sent = cells.join(named, "mark").select("key", "one", "two", "block", "label", "fingerprint")
+    tasks = max(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(likely.agg(F.sum("blocks")).first()[0] or 0) // MEMBERS_A_TASK))
+    sent = sent.withColumn("task", F.pmod(F.xxhash64("key", "one", "two"), F.lit(tasks))).repartition(tasks, "task")
+    joined = components(sent.groupBy("task").applyInArrow(lambda table: _linked(table, alike), "a bigint, b bigint").distinct())
     return named.join(joined.withColumnRenamed("label", "whole"), F.col("label") == F.col("node"), "left").select("fingerprint", F.coalesce("whole", "label").alias("label"))
 
 

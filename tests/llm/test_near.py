@@ -295,3 +295,81 @@ def test_least_samples_of_a_level():
     for level in range(14):
         least = len(fingerprints.sampled_steps((fingerprints.SAMPLES << level >> 1) + 1, level)) if level else 0
         assert fingerprints.least_samples(level) == least and (not level or 3 * least > 4 * fingerprints.FEWEST)
+
+
+def edited_copies(rng, n):
+    """Fingerprints of texts of which all share much and most pairs are a little too unlike, and their classes by all pairs."""
+    base = "".join(rng.choice(list("abcdefgh ijkl mno"), 900))
+    texts = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(int(rng.integers(4, 16))):
+            at = int(rng.integers(0, len(own)))
+            own[at : at + 1] = rng.choice(["", "z", own[at] + "yx"])
+        texts.append("".join(own))
+    mark = lambda t: fingerprints.embed(fingerprints._codes(t), fingerprints._walk(fingerprints._codes(t), 0))
+    written = sorted({fingerprints.write(mark(t)) for t in texts})
+    marks = [fingerprints.read(t) for t in written]
+    label = list(range(len(marks)))
+    for i in range(len(marks)):
+        for j in range(i):
+            if label[i] != label[j] and fingerprints.likeness(marks[i], marks[j]) >= fingerprints.ALIKE:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return written, label
+
+
+def test_rows_of_near_copies_do_not_grow_with_their_pairs(rng):
+    written, label = edited_copies(rng, 300)
+    found = [(i, *x) for i, text in enumerate(written) for x in fingerprints.meeting_keys(fingerprints.read(text))]
+    rows = [(int(k), i, i, *rest) for i, keys, *rest in found for k in keys]
+    table = pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("key", "mark", "label", "low", "high", "more", "n"), zip(*rows, strict=True), strict=True)})
+    likely = fingerprints._meetings(table, fingerprints.BLOCK)
+    assert likely.num_rows <= table.num_rows
+    of = likely.column("mark").to_pylist()
+    zero = pa.array([0] * len(of), pa.int32())
+    met = pa.table({"key": likely.column("key"), "one": zero, "two": zero, "block": zero, "label": likely.column("mark"), "fingerprint": pa.array([written[i] for i in of])})
+    links = fingerprints._linked(met, fingerprints.ALIKE)
+    # a forest that ties just what is tied by all pairs
+    plain = list(range(len(written)))
+    for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
+        old, new = max(plain[a], plain[b]), min(plain[a], plain[b])
+        assert old != new
+        plain = [new if x == old else x for x in plain]
+    assert plain == label and 10 < len(set(label)) < len(label) - 10
+    # bits alone let through more pairs than there are rows
+    marks = [fingerprints.read(t) for t in written]
+    near = sum(fingerprints.likeness(marks[i], marks[j]) >= 0.6 for i in range(len(marks)) for j in range(i))
+    assert near > likely.num_rows / 2
+
+
+def test_classes_of_near_copies_in_blocks(spark, rng):
+    written, label = edited_copies(rng, 150)
+    marked = spark.createDataFrame(list(enumerate(written)), "doc_id long, fingerprint string")
+    for block in (fingerprints.BLOCK, 7):
+        named = {r["fingerprint"]: r["label"] for r in fingerprints.near_classes(marked, block=block).collect()}
+        first = {}
+        assert [first.setdefault(named[t], i) for i, t in enumerate(written)] == label
+
+
+def test_unlike_members_of_a_band_are_not_all_compared(spark, rng, monkeypatch):
+    """Fingerprints that are the same at 70 of 100 places, a whole band among them, and alike to none."""
+    length, widest = 100, 0
+    while widest < 500:
+        values = np.tile(rng.integers(0, 256, length).astype(np.uint8), (500, 1))
+        values[:, rng.permutation(length)[:30]] = rng.integers(0, 256, (500, 30))
+        widest = max(np.unique([k for v in values for k in fingerprints.bands((length, 0, v))], return_counts=True)[1])
+    written = sorted({fingerprints.write((length, 0, v)) for v in values})
+    met, stored = [], fingerprints.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(fingerprints, "stored", counted)
+    found = fingerprints.with_classes(spark.createDataFrame(list(enumerate(written)), "doc_id long, fingerprint string")).collect()
+    assert len({r["class_id"] for r in found}) == len(written) == 500
+    shared = sum(n for n in np.unique([k for v in values for k in fingerprints.bands((length, 0, v))], return_counts=True)[1] if n > 1)
+    assert sum(met) < 2 * fingerprints.LEADERS * shared
