@@ -6,6 +6,7 @@ import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scoreloom.functions import bitwise
 from scoreloom.operators import corpus as cp
@@ -130,3 +131,11 @@ def test_windows_of_chinese_and_repeated_words(spark):
     two = got[2]
     assert two["window"] == "cat the the" and two["rouge1"] == 1.0 and two["f1"] == 1.0 and two["exact"] == 0.0
     assert all(got[k]["window"] == "" and got[k]["rouge1"] == 0.0 for k in (3, 4, 5))
+
+
+def test_best_windows_of_ids_named_like_its_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x a b c"), (2, None, "a"), (3, "a", None), (3, "日本", "東日本語"), (None, "p q", "x p")], "start int, needle string, hay string")
+    got = cp.best_windows(df, ["start", "needle"], "needle", "hay")
+    alone = df.select("start", "needle", cp.best_ngram_window(F.col("needle"), F.col("hay")).alias("b")).select("start", "needle", "b.*")
+    assert got.columns == alone.columns and sorted(map(repr, got.collect())) == sorted(map(repr, alone.collect()))
+    assert {r["window"] for r in got.collect()} == {"a b", "", "日本", "x p"}
